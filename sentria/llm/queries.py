@@ -7,17 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_reputation
-from ._shared import table
+from . import decontaminate, main_text, personal_data, quality_rules, secrets, url_reputation, warc_zip
+from ._shared import fresh_dir, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages to packages in the shared folder and reads these back."""
+    manifest = warc_zip.write_packages(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+    return warc_zip.read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans all documents against a ledger that is empty at first."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), fresh_dir(spark, "ledger")).drop("blob")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("item_ids", "spans")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels of the same id: quality 0 is a bad page."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
@@ -25,7 +49,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules, op10_url_filters)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op6_quality_rules, op7_personal_data, op10_url_filters)}
 
 
 #: One group's rates around m: the prior's strength by the method of moments.
@@ -34,6 +58,30 @@ _STRENGTH = """least(10000.0, greatest(1.0, coalesce(m * (1 - m) / nullif(greate
 _TOTALS = """sum(k)::DOUBLE AS all_k, sum(n)::DOUBLE AS all_n, count(*) AS groups, sum(n * n)::DOUBLE AS sq_n,
     sum(k * k / n::DOUBLE) AS sq_k, sum(k)::DOUBLE / nullif(sum(n), 0) AS m"""
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM r WHERE payload_bytes >= 100 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM r LEFT JOIN f USING (payload_digest)
+"""
+
+OP3_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item_id, words, least(13, len(words)) AS k, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM b WHERE len(words) > 0),
+bg AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS gram FROM bw),
+dw AS (SELECT rid, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM bg) WHERE len(words) >= k),
+dg AS (SELECT rid, i, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS gram FROM dw),
+hits AS (SELECT rid, i, k, item_id FROM dg JOIN bg USING (k, gram)),
+n AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hits) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN n USING (rid) LEFT JOIN items USING (rid)
+"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words,
@@ -83,4 +131,4 @@ FROM parts p JOIN rep USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL}
