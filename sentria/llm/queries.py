@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, packing, personal_data, quality_rules, secrets, url_reputation, warc_zip
+from . import decontaminate, main_text, packing, personal_data, quality_classifier, quality_rules, secrets, url_reputation, warc_zip
 from ._shared import fresh_dir, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -42,6 +42,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op6_quality_rules, op7_personal_data, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op6_quality_rules, op7_personal_data, op8_quality_classifier, op9_best_fit_packing, op10_url_filters)}
 
 
 #: One group's rates around m: the prior's strength by the method of moments.
