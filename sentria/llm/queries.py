@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, packing, personal_data, quality_classifier, quality_rules, secrets, url_reputation, warc_zip
+from . import decontaminate, main_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, secrets, url_reputation, warc_zip
 from ._shared import fresh_dir, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -33,6 +33,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("sig")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,7 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op6_quality_rules, op7_personal_data, op8_quality_classifier, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op5_ngram_join, op6_quality_rules, op7_personal_data, op8_quality_classifier, op9_best_fit_packing, op10_url_filters)}
 
 
 #: One group's rates around m: the prior's strength by the method of moments.
