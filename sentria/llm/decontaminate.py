@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ._shared import batch_of, filesystem, fresh_dir, rows_of, small_batches
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Words of the original text: letters in either case.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 13
 #: Most characters of windows in one automaton (some 100 bytes each in memory).
 BLOCK_CHARS = 2_000_000
