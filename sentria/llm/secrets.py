@@ -107,15 +107,15 @@ def scan_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     """Scan what the ledger lacks, append it, and give every row its findings.
 
     Returns ``doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans``.
-    Texts move between machines only where blobs have several paths and the
-    list of these is too long for the planner to broadcast.
+    Texts move between machines only if more blobs have several paths than
+    may be broadcast (``BROADCAST_KEYS``).
     """
     spark = docs.sparkSession
     small_batches(spark)
     addressed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), content_address(F.col(text_col)).alias("blob"))
     paths = written(addressed.select("doc_id", "blob"), "paths")
-    many = written(paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("blob").alias("of_blob"), "first_id"), "shared-blobs")
-    once = addressed.join(many, F.col("blob") == F.col("of_blob"), "left").filter(F.col("of_blob").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text")
+    many = written(paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.unhex("blob").alias("of_blob"), "first_id"), "shared-blobs")
+    once = addressed.join(keyed_only(many), F.unhex("blob") == F.col("of_blob"), "left").filter(F.col("of_blob").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text")
     before = ledger_of(docs, ledger)
     if before is not None:
         once = once.join(before.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
