@@ -1,0 +1 @@
+"""Columns, row operators, sources and plans of the assessment engine."""

@@ -1,0 +1,215 @@
+"""A hexagonal grid with aperture 7, entirely in Spark expressions.
+
+This grid is NOT H3 and its ids say so: they begin with the digit 7. It keeps
+the interface of such a grid (16 resolutions, exact parents with seven children,
+k-rings, covers) without its base-cell tables. The earth is projected by
+Lambert's equal-area cylinder, so that all cells of a resolution have equal area;
+shapes are true near ``STANDARD_LAT``. Cells are Eisenstein integers a + b*z
+with z the sixth root of unity; a coarser cell is a finer one divided by 2 + z, a
+number of norm 7, and rounded. In axial coordinates a polygon's area is the
+number of its cells, which gives the size estimate before any cell is made.
+"""
+
+from __future__ import annotations
+
+import cmath
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..params import EARTH_KM
+from .sphere import position
+
+STANDARD_LAT = 48.5
+AREA_6_KM2 = 36.129
+MAX_RESOLUTION = 15
+#: Resolutions between a cell list and its cover, at most.
+MAX_STEPS = 4
+#: Covers whose estimate is this many times the limit are refused without being made.
+SLACK = 2.0
+_C = math.cos(math.radians(STANDARD_LAT))
+_Z = cmath.exp(1j * math.pi / 3)
+_BETA = 2 + _Z
+_MARK, _HALF = 7 << 60, 1 << 27
+AXIAL = "struct<a:double,b:double>"
+
+
+def area_km2(resolution: int) -> float:
+    return AREA_6_KM2 * 7.0 ** (6 - resolution)
+
+
+def _unit(resolution: int) -> complex:
+    """The plane's vector from a cell to its neighbour in the direction of 1."""
+    return math.sqrt(2 * area_km2(0) / math.sqrt(3)) / _BETA**resolution
+
+
+def axial(lon: Column, lat: Column, resolution: int) -> Column:
+    """Fractional axial coordinates of a position."""
+    turn = 1 / _unit(resolution)
+    x, y = F.radians(lon) * (EARTH_KM * _C), F.sin(F.radians(lat)) * (EARTH_KM / _C)
+    u, v = x * turn.real - y * turn.imag, x * turn.imag + y * turn.real
+    b = v * (2 / math.sqrt(3))
+    return F.struct((u - b / 2).alias("a"), b.alias("b"))
+
+
+def let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rounded(a: Column, b: Column) -> Column:
+    """The nearest cell: round all three cube coordinates and mend the one that moved most."""
+
+    def mend(p: Column) -> Column:
+        da, db, dc = F.abs(p["ra"] - p["a"]), F.abs(p["rb"] - p["b"]), F.abs(p["rc"] + p["a"] + p["b"])
+        first, second = (da > db) & (da > dc), db > dc
+        return F.struct(F.when(first, -p["rb"] - p["rc"]).otherwise(p["ra"]).cast("long").alias("a"), F.when(~first & second, -p["ra"] - p["rc"]).otherwise(p["rb"]).cast("long").alias("b"))
+
+    at = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.round(p["a"]).alias("ra"), F.round(p["b"]).alias("rb"), F.round(-p["a"] - p["b"]).alias("rc"))
+    return let(let(F.struct(a.alias("a"), b.alias("b")), at), mend)
+
+
+def packed(cell: Column, resolution: Column | int) -> Column:
+    r = F.lit(resolution) if isinstance(resolution, int) else resolution
+    return F.lit(_MARK) + F.shiftleft(r.cast("long"), 56) + F.shiftleft(cell["a"] + _HALF, 28) + (cell["b"] + _HALF)
+
+
+def unpacked(cell: Column) -> Column:
+    low = (1 << 28) - 1
+    return F.struct((F.shiftright(cell, 28).bitwiseAND(F.lit(low)) - _HALF).alias("a"), (cell.bitwiseAND(F.lit(low)) - _HALF).alias("b"))
+
+
+def cell_resolution(cell: Column) -> Column:
+    return F.shiftright(cell, 56).bitwiseAND(F.lit(15)).cast("int")
+
+
+def cell_id(cell: Column) -> Column:
+    return F.lower(F.hex(cell))
+
+
+def parse_cell(text: Column) -> Column:
+    """The number of a cell's id; null if it is no id of this grid."""
+    return F.when(text.rlike("^7[0-9a-f]{15}$"), F.conv(text, 16, 10).cast("long"))
+
+
+def cell_of(lon: Column, lat: Column, resolution: int) -> Column:
+    return let(axial(lon, lat, resolution), lambda at: packed(_rounded(at["a"], at["b"]), resolution))
+
+
+def center(cell: Column, resolution: int) -> Column:
+    """Position of a cell's center."""
+    at, unit = unpacked(cell), _unit(resolution)
+    u, v = at["a"] + at["b"] / 2, at["b"] * (math.sqrt(3) / 2)
+    x, y = u * unit.real - v * unit.imag, u * unit.imag + v * unit.real
+    return position(F.degrees(x / (EARTH_KM * _C)), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * (_C / EARTH_KM))))))
+
+
+def parent(cell: Column, levels: int = 1) -> Column:
+    """The cell ``levels`` resolutions coarser."""
+    for _ in range(levels):
+        cell = let(cell, lambda c: let(unpacked(c), lambda at: packed(_rounded((3 * at["a"] + at["b"]) / 7.0, (2 * at["b"] - at["a"]) / 7.0), cell_resolution(c) - 1)))
+    return cell
+
+
+def _ancestor(levels: int):  # noqa: ANN202
+    return lambda cell: parent(cell, levels)
+
+
+def _offsets(rings: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1) if abs(a + b) <= rings]
+
+
+def disk(cell: Column, rings: int) -> Column:
+    """The cell and all within ``rings`` steps."""
+    at = unpacked(cell)
+    r = cell_resolution(cell)
+    steps = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in _offsets(rings)))
+    return F.transform(steps, lambda s: packed(F.struct((at["a"] + s["a"]).alias("a"), (at["b"] + s["b"]).alias("b")), r))
+
+
+def children(cell: Column) -> Column:
+    """The seven cells one resolution finer."""
+    at = unpacked(cell)
+    middle = F.struct((2 * at["a"] - at["b"]).alias("a"), (at["a"] + 3 * at["b"]).alias("b"))
+    return disk(packed(middle, cell_resolution(cell) + 1), 1)
+
+
+def expand(cells: Column, rings: int) -> Column:
+    """A sorted set with all neighbours within ``rings`` steps."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(cells, lambda c: disk(c, rings)))))
+
+
+def _edges(rings: Column) -> Column:
+    """All edges of closed rings as ``struct<p,q>``."""
+    pairs = F.transform(rings, lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q"))))
+    return F.flatten(pairs)
+
+
+def estimated_cells(rings: Column) -> Column:
+    """Cells of a polygon in axial coordinates: the area of its first ring plus its edges' length."""
+    edges = _edges(F.slice(rings, 1, 1))
+    twice = F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["p"]["a"] * e["q"]["b"] - e["q"]["a"] * e["p"]["b"])
+    length = F.aggregate(edges, F.lit(0.0), lambda s, e: s + F.greatest(F.abs(e["p"]["a"] - e["q"]["a"]), F.abs(e["p"]["b"] - e["q"]["b"])))
+    return F.abs(twice) / 2 + length / 2
+
+
+def polygon_cells(rings: Column, resolution: int) -> Column:
+    """Sorted cells whose centers the polygon (rings of positions, holes after the first) contains.
+
+    A polygon too small for any center has the cells of its corners.
+    """
+    flat = F.transform(rings, lambda r: F.transform(r, lambda p: axial(p["lon"], p["lat"], resolution)))
+
+    def inside(edges: Column, a: Column, b: Column) -> Column:
+        crossed = F.filter(edges, lambda e: ((e["p"]["b"] > b) != (e["q"]["b"] > b)) & (a < (e["q"]["a"] - e["p"]["a"]) * (b - e["p"]["b"]) / (e["q"]["b"] - e["p"]["b"]) + e["p"]["a"]))
+        return F.size(crossed) % 2 == 1
+
+    def filled(flat: Column) -> Column:
+        corners = F.element_at(flat, 1)
+        span = lambda name: F.sequence(F.ceil(F.array_min(F.transform(corners, lambda p: p[name]))), F.greatest(F.ceil(F.array_min(F.transform(corners, lambda p: p[name]))), F.floor(F.array_max(F.transform(corners, lambda p: p[name])))))
+        grid = F.flatten(F.transform(span("b"), lambda b: F.transform(span("a"), lambda a: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")))))
+        held = let(_edges(flat), lambda edges: F.filter(grid, lambda c: inside(edges, c["a"].cast("double"), c["b"].cast("double"))))
+        found = F.transform(held, lambda c: packed(c, resolution))
+        touched = F.transform(corners, lambda p: packed(_rounded(p["a"], p["b"]), resolution))
+        return let(found, lambda cells: F.array_sort(F.array_distinct(F.when(F.size(cells) > 0, cells).otherwise(touched))))
+
+    return let(flat, filled)
+
+
+def cover(rings: Column, resolution: int, max_cells: int) -> Column:
+    """``struct<cells: array<bigint>, error: string>``: null cells and a code if there are too many."""
+    none = F.lit(None).cast("array<bigint>")
+    too_many = F.struct(none.alias("cells"), F.lit("cover_too_large").alias("error"))
+    flat = F.transform(rings, lambda r: F.transform(r, lambda p: axial(p["lon"], p["lat"], resolution)))
+    made = let(
+        polygon_cells(rings, resolution),
+        lambda cells: F.when(F.size(cells) > max_cells, too_many).otherwise(F.struct(cells.alias("cells"), F.lit(None).cast("string").alias("error"))),
+    )
+    # a CASE evaluates one branch: refused polygons are never filled
+    return F.when(estimated_cells(flat) > SLACK * max_cells + 64, too_many).otherwise(made)
+
+
+def recast(cells: Column, resolution: int, max_cells: int) -> Column:
+    """A cell list at another resolution: parents, or children within the limit; ``struct<cells, error>``."""
+    none = F.lit(None).cast("array<bigint>")
+    bad = lambda code: F.struct(none.alias("cells"), F.lit(code).alias("error"))
+    good = lambda c: F.struct(F.array_sort(F.array_distinct(c)).alias("cells"), F.lit(None).cast("string").alias("error"))
+    have = cell_resolution(F.element_at(cells, 1))
+    limited = lambda c: F.when(F.size(c) > max_cells, bad("cover_too_large")).otherwise(good(c))
+    result = bad("invalid_geometry")
+    finer = cells
+    for steps in range(1, MAX_STEPS + 1):
+        result = F.when(have == resolution + steps, let(F.array_distinct(F.transform(cells, _ancestor(steps))), limited)).otherwise(result)
+        finer = F.flatten(F.transform(finer, children))
+        # the count is known before any child is made
+        split = F.when(F.size(cells) * 7**steps > max_cells, bad("cover_too_large")).otherwise(good(finer))
+        result = F.when(have == resolution - steps, split).otherwise(result)
+    same = F.forall(cells, lambda c: cell_resolution(c) == have)
+    return F.when((F.size(cells) > 0) & same, F.when(have == resolution, limited(cells)).otherwise(result)).otherwise(bad("invalid_geometry"))
+
+
+def centroid(cells: Column, resolution: int) -> Column:
+    """``struct<center, radius_km>``: the mean of the centers and the radius of a circle of equal area."""
+    mean = lambda name: F.aggregate(cells, F.lit(0.0), lambda s, c: s + center(c, resolution)[name], lambda s: s / F.size(cells))
+    return F.when(F.size(cells) > 0, F.struct(position(mean("lon"), mean("lat")).alias("center"), F.sqrt(F.size(cells) * area_km2(resolution) / math.pi).alias("radius_km")))
