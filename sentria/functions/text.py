@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 APOSTROPHES = "'’ʼ`"
 # translate(): what has no partner in the second string is dropped
 FOLD_FROM, FOLD_TO = "ёєіїыґ" + APOSTROPHES + "ъ", "ееиииг"
-NORM_FROM, NORM_TO = "ё" + APOSTROPHES + "̀́", "е"
+NORM_FROM, NORM_TO = "ё" + APOSTROPHES + "\u0300\u0301", "е"
 VOWELS = "аеёиоуыэюяіїє"
 #: Endings in the order in which they are tried.
 ENDINGS = (
@@ -45,7 +45,7 @@ ROLE_WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}'’ʼ-]*[\p{L}\p{N}])?"
 ROLE_BREAK = r"[\n.!?;…]"
 ROLE_PARTS = ROLE_WORD + "|" + ROLE_BREAK + "|,"
 #: A word of the point reader with its stress marks, or a clause end, or a free-standing dash.
-POINT_WORD = "[\\p{L}\\p{N}̀́](?:[\\p{L}\\p{N}̀́'’ʼ`-]*[\\p{L}\\p{N}̀́])?"
+POINT_WORD = "[\\p{L}\\p{N}\u0300\u0301](?:[\\p{L}\\p{N}\u0300\u0301'’ʼ`-]*[\\p{L}\\p{N}\u0300\u0301])?"
 POINT_PARTS = POINT_WORD + r"|[.,;:!?—–]|-+"
 
 
@@ -164,7 +164,7 @@ def collapse_whitespace(text: Column | str) -> Column:
 @F.pandas_udf(StringType())
 def strip_stress(text):  # noqa: ANN001, ANN201
     """NFC without combining stress marks; the only scalar without a built-in."""
-    plain = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).replace("̀", "").replace("́", ""))
+    plain = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).replace("\u0300", "").replace("\u0301", ""))
     return text.map(plain, na_action="ignore")
 
 
