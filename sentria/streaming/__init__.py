@@ -1 +1,80 @@
+"""Episodes and tracks over streams.
 
+Exact mode: each micro-batch joins a retained window, which is assessed again at
+an event-time evaluation time; rows are keyed, so sinks replace them. Late rows
+do no harm. Incremental mode: state for each (class, place) holds the open
+episode and rows that the watermark has not passed; timers close it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import episodes
+from ..params import FusionPolicy
+
+
+def deduplicated(posts: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each post once within the watermark."""
+    return posts.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["source_id", "external_id"])
+
+
+def assess_window(stream: DataFrame, window_path: str, policy: FusionPolicy, sink: Callable[[episodes.Assessed, int], None], checkpoint: str, keep: timedelta = timedelta(hours=24), now: datetime | None = None) -> StreamingQuery:
+    """Exact mode. Batches are appended to the window folder; what is older than ``keep`` is not read again."""
+
+    def fuse(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # one folder for each batch: a batch that runs again replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{window_path}/batch={number}")
+        seen = spark.read.schema(batch.schema).parquet(window_path).drop("batch")
+        end = now or seen.agg(F.max("observed_at")).first()[0]
+        if end is not None:
+            end = end if end.tzinfo else end.replace(tzinfo=timezone.utc)
+            sink(episodes.assess(seen.filter(F.col("observed_at") > F.lit(end - keep)), policy, end), number)
+
+    return stream.writeStream.foreachBatch(fuse).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: State of one (class, place): the open session's bounds, sources and number of reports.
+STATE = "first_at timestamp, until timestamp, evidence_id string, sources array<string>, reports int"
+CLOSED = "class string, key string, evidence_id string, first_at timestamp, until timestamp, sources int, reports int, status string"
+
+
+def sessions(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Incremental mode for threats: one row for each episode once event time has passed its end.
+
+    ``rows`` are flat: class, key, source_id, evidence_id, observed_at, ttl. The
+    watermark orders closing; reports within it extend the open episode.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            first, until, evidence, sources, n = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, evidence, first, until, len(sources), n, "expired")], columns=["class", "key", "evidence_id", "first_at", "until", "sources", "reports", "status"])
+            return
+        open_ = list(state.get) if state.exists else None
+        for row in pd.concat(list(batches)).sort_values(["observed_at", "source_id", "evidence_id"]).itertuples():
+            at = row.observed_at.to_pydatetime()
+            if open_ and at > open_[1]:
+                out.append((*key, open_[2], open_[0], open_[1], len(open_[3]), open_[4], "expired"))
+                open_ = None
+            open_ = open_ or [at, at, row.evidence_id, [], 0]
+            open_[1] = max(open_[1], at + timedelta(seconds=int(row.ttl)))
+            open_[3] = sorted({*open_[3], row.source_id})
+            open_[4] += 1
+        state.update(tuple(open_))
+        end = int(open_[1].replace(tzinfo=timezone.utc).timestamp() * 1000) if open_[1].tzinfo is None else int(open_[1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["class", "key", "evidence_id", "first_at", "until", "sources", "reports", "status"])
+
+    marked = rows.withWatermark("observed_at", delay)
+    return marked.groupBy("class", "key").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
