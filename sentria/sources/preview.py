@@ -19,7 +19,7 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from ..operators.runs import map_rows
 from ..schemas import EVIDENCE
@@ -358,8 +358,8 @@ class PreviewSource(DataSource):
     def name(cls) -> str:
         return "preview"
 
-    def schema(self) -> StructType:
-        return _parse_datatype_string(EVIDENCE)
+    def schema(self) -> str:
+        return EVIDENCE
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Backfill(dict(self.options))
