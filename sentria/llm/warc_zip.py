@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, filesystem, fresh_dir, rows_of, small_batches, written
+from ._shared import batch_of, filesystem, fresh_dir, keyed_only, rows_of, small_batches, written
 
 MIN_REVISIT = 100
 #: A package is closed beyond this many stored bytes.
@@ -207,8 +207,8 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_typ
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write every row as a record; returns the manifest ``MANIFEST``, written.
 
-    Payloads move between machines only if the list of repeated digests is too
-    long for the planner to broadcast.
+    Payloads move between machines only if more digests are repeated than may
+    be broadcast (``BROADCAST_KEYS``).
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -216,8 +216,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"))
     digests = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).alias("bytes"))
     repeated = digests.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
-    first = written(repeated.select(F.col("digest").alias("of_digest"), "first_id"), "repeated-payloads")
-    decided = records.join(first, F.col("digest") == F.col("of_digest"), "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).drop("of_digest")
+    first = written(repeated.select(F.unhex("digest").alias("of_digest"), "first_id"), "repeated-payloads")
+    decided = records.join(keyed_only(first), F.unhex("digest") == F.col("of_digest"), "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).drop("of_digest")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
