@@ -7,8 +7,9 @@ text density is computed: characters for each tag, lowered where characters
 and tags belong to links. The densities of a node's children are summed. The
 subtree with the largest sum is the core; blocks whose density reaches the
 threshold, which is the smallest density on the path from the core to the
-body, widen it to the smallest subtree that holds them all, or to the article or
-main element around the core if the page marks one.
+body, widen it to the smallest subtree that holds them all. Where a page marks
+articles or main elements with text, the core is the largest sum within these,
+and the result is the whole element around it.
 
 Inline elements count as tags of their block, not as nodes of their own, so
 that a bold paragraph isn't taken for a container.
@@ -196,7 +197,12 @@ def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> in
         if not cut[node] and not inline[node]:
             sums[page.parent[node]] += density[node]
             parents.add(page.parent[node])
-    best = max(range(n), key=lambda i: (sums[i] if not inline[i] else -1.0, -i))
+    # where the page marks its articles, the largest sum among these counts
+    marked = [False] * n
+    for node in range(1, n):
+        marked[node] = not cut[node] and (marked[page.parent[node]] or page.tag[node] in ARTICLE and chars[node] > 0)
+    among = [i for i in range(n) if marked[i]] or range(n)
+    best = max(among, key=lambda i: (sums[i] if not inline[i] else -1.0, -i))
     threshold, node = math.inf, best
     while node >= 0:
         threshold = min(threshold, density[node] or math.inf)
