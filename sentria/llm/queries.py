@@ -94,6 +94,22 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM w LEFT JOIN n USING (rid) LEFT JOIN items USING (rid)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+g AS (SELECT rid, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(words, i, i + 4), ' ') AS gram FROM g),
+n AS (SELECT w.rid, w.doc_id, count(s.gram) AS n FROM w LEFT JOIN s USING (rid) GROUP BY ALL),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT a, b, c = na.n AND c = nb.n AS equal FROM shared JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 5 * c >= 4 * (na.n + nb.n - c)
+    UNION ALL SELECT x.rid, y.rid, true FROM n x JOIN n y ON x.n = 0 AND y.n = 0 AND x.rid <> y.rid),
+copies AS (SELECT n.rid, least(n.doc_id, min(m.doc_id)) AS copy_id FROM n LEFT JOIN links ON a = n.rid AND equal LEFT JOIN n m ON m.rid = b GROUP BY n.rid, n.doc_id),
+reach(a, b) AS (SELECT rid, rid FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+classes AS (SELECT reach.a AS rid, min(n.doc_id) AS class_id FROM reach JOIN n ON n.rid = reach.b GROUP BY reach.a),
+counts AS (SELECT a AS rid, count(*) AS n_links, count(DISTINCT copy_id) FILTER (NOT equal) AS n_texts FROM links JOIN copies ON copies.rid = b GROUP BY a)
+SELECT doc_id, class_id, copy_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_texts, 0)::BIGINT AS n_texts, doc_id = class_id AS is_first
+FROM n JOIN classes USING (rid) JOIN copies USING (rid) LEFT JOIN counts USING (rid)
+"""
+
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, source, t, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS words,
@@ -143,4 +159,4 @@ FROM parts p JOIN rep USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontamination": OP3_SQL, "op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL}
