@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sphere import valid_geometry
@@ -54,14 +54,9 @@ def evidence_ref() -> Column:
 
 
 def contradicted(rows: DataFrame) -> DataFrame:
-    """Adds ``contradicted``: a clear whose own post also threatens its class and place.
-
-    The flag comes from an aggregate, combined before its shuffle, that is joined back.
-    """
-    threats = rows.filter("stance = 'threat'").select(*(F.col(c).alias(f"t_{c}") for c in ("source_id", "evidence_id", "class", "key"))).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("source_id", "evidence_id", "class", "key")]
-    joined = rows.join(threats, same[0] & same[1] & same[2] & same[3], "left")
-    return joined.withColumn("contradicted", (F.col("stance") == "clear") & F.col("t_class").isNotNull()).drop(*(f"t_{c}" for c in ("source_id", "evidence_id", "class", "key")))
+    """Adds ``contradicted``: a clear whose own post also threatens its class and place. A window holds one post's rows."""
+    post = Window.partitionBy("source_id", "evidence_id", "class", "key")
+    return rows.withColumn("contradicted", (F.col("stance") == "clear") & F.max((F.col("stance") == "threat").cast("int")).over(post).cast("boolean"))
 
 
 def usable(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import shapes
 from ..params import FusionPolicy
@@ -39,7 +43,16 @@ def cover_geometries(df: DataFrame, resolution: int, max_cells: int, rings: int
 
 
 def with_footprint(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
-    """Adds ``footprint`` (struct<cells, error>), computed once for each distinct geometry."""
-    ready = cover_geometries(observations, policy.resolution, policy.max_cells, policy.edge_rings, policy.point_radius_km, policy.disc_vertices)
-    ready = ready.select(F.col("geometry").alias("of_geometry"), F.struct("cells", "error").alias("footprint"))
-    return observations.join(ready, F.col("geometry").eqNullSafe(F.col("of_geometry")), "left").drop("of_geometry")
+    """Adds ``footprint`` (struct<cells, error>) without a shuffle: each batch of rows covers each of its geometries once."""
+
+    @F.pandas_udf(StructType([StructField("cells", ArrayType(StringType())), StructField("error", StringType())]))
+    def footprint(geometry: pd.Series) -> pd.DataFrame:
+        @lru_cache(maxsize=100_000)
+        def one(text: str) -> tuple:
+            g = {"type": "", "coordinates": None, "rings": None, "cells": None} | json.loads(text)
+            found = outcome(lambda: shapes.texts(shapes.expanded(shapes.covered(g, policy.resolution, policy.max_cells, policy.point_radius_km, policy.disc_vertices), policy.edge_rings, policy.max_cells), policy.resolution))
+            return found["cells"], found["error"]
+
+        return pd.DataFrame([one(g) for g in geometry], columns=["cells", "error"])
+
+    return observations.withColumn("footprint", footprint(F.coalesce(F.to_json("geometry"), F.lit("{}"))))

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -80,13 +80,10 @@ def reports(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
 
 
 def with_contradictions(rows: DataFrame) -> DataFrame:
-    """Adds ``contradicted`` to clears whose own post threatens one of their places, in the same class."""
-    named = rows.select("source_id", "evidence_id", "class", "stance", F.explode("places.id").alias("place_id"))
-    both = named.groupBy("source_id", "evidence_id", "class", "place_id").agg(F.max((F.col("stance") == "threat").cast("int")).alias("t"), F.max((F.col("stance") == "clear").cast("int")).alias("c"))
-    bad = both.filter("t = 1 and c = 1").groupBy("source_id", "evidence_id", "class").agg(F.collect_set("place_id").alias("taken")).toDF("b_source", "b_evidence", "b_class", "taken")
-    joined = rows.join(bad, (F.col("source_id") == F.col("b_source")) & (F.col("evidence_id") == F.col("b_evidence")) & (F.col("class") == F.col("b_class")), "left")
-    hit = F.coalesce(F.arrays_overlap("places.id", "taken"), F.lit(False)) & (F.col("stance") == "clear")
-    return joined.withColumn("contradicted", hit).drop("b_source", "b_evidence", "b_class", "taken")
+    """Adds ``contradicted`` to clears whose own post threatens one of their places, in the same class. A window holds one post's reports."""
+    post = Window.partitionBy("source_id", "evidence_id", "class")
+    taken = F.flatten(F.collect_list(F.when(F.col("stance") == "threat", F.col("places.id"))).over(post))
+    return rows.withColumn("contradicted", (F.col("stance") == "clear") & F.coalesce(F.arrays_overlap("places.id", taken), F.lit(False)))
 
 
 def distance_km(a: dict, b: dict) -> float:
