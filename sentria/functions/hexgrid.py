@@ -130,9 +130,9 @@ def disk(cell: Column, rings: int) -> Column:
 
 def children(cell: Column) -> Column:
     """The seven cells one resolution finer."""
-    at = unpacked(cell)
-    middle = F.struct((2 * at["a"] - at["b"]).alias("a"), (at["a"] + 3 * at["b"]).alias("b"))
-    return disk(packed(middle, cell_resolution(cell) + 1), 1)
+    middle = lambda at: F.struct((2 * at["a"] - at["b"]).alias("a"), (at["a"] + 3 * at["b"]).alias("b"))
+    below = lambda c: let(unpacked(c), lambda at: packed(middle(at), cell_resolution(c) + 1))
+    return let(let(cell, below), lambda c: disk(c, 1))
 
 
 def expand(cells: Column, rings: int) -> Column:

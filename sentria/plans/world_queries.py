@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import h3bits, hexgrid, sphere
 from ..functions.hexgrid import _C, _HALF, _MARK, _unit
-from ..operators import bridge, role_reader
+from ..operators import bridge, regions, role_reader
 from ..operators.vocabulary import RoleGazetteer, RolePlace, parse_lexicon, reach_km, wanted_place
 from ..params import EARTH_KM, policy
 from ..sources import ndjson, preview
@@ -119,6 +119,21 @@ def g05_g08_h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", h3bits.to_text(F.col("up")).alias("id"), h3bits.resolution(F.col("up")).alias("resolution"), h3bits.base_cell(F.col("up")).alias("base_cell"), h3bits.is_cell(F.col("up")).alias("valid"), kids.alias("n_children"))
 
 
+def g08_g09_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's cell split twice into 49, one child left out for odd nations, and compacted again."""
+    fine = regions.uncompacted(_cells(spark, sf_dir).select("n_nationkey", F.col("cell").alias("own"), "cell"), 10, 2)
+    kept = fine.filter((F.col("n_nationkey") % 2 == 0) | (F.col("cell") != F.element_at(hexgrid.children(F.element_at(hexgrid.children(F.col("own")), 1)), 1)))
+    return regions.compacted(kept, "n_nationkey", 2).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_compact"))
+
+
+def s28_s34_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square degree around each nation as a region: its cells, middle and reach."""
+    corner = lambda x, y: F.array(F.col("lon") + x, F.col("lat") + y)
+    square = F.array(F.array(F.array(corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5), corner(-0.5, -0.5))))
+    built = regions.build_regions(_nations(spark, sf_dir).select(F.concat(F.lit("ua-adm1:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("x").alias("name"), square.alias("polygons")))
+    return built.select("id", F.round("lon", 1).alias("lon"), "reach_km", F.size("cells").alias("n_cells"), "error")
+
+
 def g01_g04_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a 20 km disc around each nation; one more cover of 400 km is refused."""
     n = _nations(spark, sf_dir)
@@ -229,6 +244,7 @@ SQL: dict[str, str] = {
     "G05_parents": "SELECT n_nationkey, 7::BIGINT AS n_children, 7::BIGINT AS n_true, 1::INT AS has_own FROM nation",
     "G05_G08_h3": """WITH k AS (SELECT n_nationkey, 617700169958293503::BIGINT AS c, n_nationkey AS r FROM nation WHERE n_nationkey BETWEEN 0 AND 9),
         u AS (SELECT n_nationkey, r, (c & ~(15::BIGINT << 52)) | (r::BIGINT << 52) | ((1::BIGINT << (3 * (15 - r))) - 1) AS up FROM k) SELECT n_nationkey, printf('%x', up) AS id, r::INT AS resolution, ((up >> 45) & 127)::INT AS base_cell, true AS valid, 7::INT AS n_children FROM u""",
+    "G08_G09_compact": "SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN 1 ELSE 12 END::BIGINT AS n_compact FROM nation",
     "G06_expanded": "SELECT n_nationkey, 1::INT AS ring_0, 7::INT AS ring_1, 19::INT AS ring_2, 37::INT AS ring_3 FROM nation",
     "S09_plain_text": r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS text FROM pages",
     "S11_background": "SELECT page_id, regexp_replace(url, '^http:', 'https:') AS url FROM pages",
@@ -244,7 +260,7 @@ SQL: dict[str, str] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "N13_readings": n13_readings, "N22_actionable": n22_actionable, "B01_B03_skipped": b01_b03_skipped, "B04_B09_observations": b04_b09_observations, "B05_B07_twins": b05_b07_twins, "G01_G04_covers": g01_g04_covers, "G02_disc": g02_disc,
-    "G03_corridors": g03_corridors, "G05_parents": g05_parents, "G05_G08_h3": g05_g08_h3, "G06_expanded": g06_expanded, "G07_cell_ids": g07_cell_ids, "G10_centroids": g10_centroids, "G11_haversine": g11_haversine, "G14_valid": g14_valid,
+    "G03_corridors": g03_corridors, "G05_parents": g05_parents, "G05_G08_h3": g05_g08_h3, "G06_expanded": g06_expanded, "G08_G09_compact": g08_g09_compact, "S28_S34_regions": s28_s34_regions, "G07_cell_ids": g07_cell_ids, "G10_centroids": g10_centroids, "G11_haversine": g11_haversine, "G14_valid": g14_valid,
     "S01_wire_times": s01_wire_times, "S09_plain_text": s09_plain_text, "S11_background": s11_background, "S13_dedup": s13_dedup, "S14_S15_windows": s14_s15_windows, "S17_channel_names": s17_channel_names,
     "S30_S33_gazetteer": s30_s33_gazetteer, "R01_R07_protocol": r01_r07_protocol, "R02_capabilities": r02_capabilities,
 }
