@@ -157,7 +157,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.float64)
     width = 4096
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [start, start + width])

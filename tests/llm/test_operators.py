@@ -239,6 +239,16 @@ def test_large_buckets_and_blocks(spark, monkeypatch):
     assert [r["class_id"] for r in got] == groups and [r["n_links"] for r in got] == links
 
 
+@pytest.mark.parametrize(("shared", "one", "two"), [(12, 12, 15), (24, 27, 27), (28, 28, 35), (4000, 4000, 5000)])
+def test_links_at_exactly_the_threshold(shared, one, two):
+    one_set, two_set = np.arange(one, dtype=np.uint64), np.concatenate([np.arange(shared), np.arange(10**6, 10**6 + two - shared)]).astype(np.uint64)
+    far = np.arange(10**7, 10**7 + 20, dtype=np.uint64)
+    for sets in ([one_set, two_set], [one_set, two_set, far], [one_set, two_set, *(far + np.uint64(100 * i) for i in range(70))]):
+        n = len(sets)
+        texts, linked, root = ngram_join.compared(1, [0] * n, (0, 0), sets, [1] * n, [[1]] * n, 0.8)
+        assert texts.tolist() == linked.tolist() == [1, 1] + [0] * (n - 2) and root[:2] == [0, 0]
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100 + rnd.randint(0, 20)]), bytes([100 + rnd.randint(0, 20)])) for _ in range(9)]
