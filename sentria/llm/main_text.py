@@ -7,9 +7,11 @@ text density is computed: characters for each tag, lowered where characters
 and tags belong to links. The densities of a node's children are summed. The
 subtree with the largest sum is the core; blocks whose density reaches the
 threshold, which is the smallest density on the path from the core to the
-body, widen it to the smallest subtree that holds them all. Where a page marks
-articles or main elements with text, the core is the largest sum within these,
-and the result is the whole element around it.
+body, widen it to the smallest subtree that holds them all. Where one article or
+main element holds most of the page's text outside of links, the core is the
+largest sum within it, and the result is this element, with those of its sibling
+articles whose text is mostly outside of links (the threshold is no measure for these:
+it includes the body's density, below which the less dense of two parts always lies).
 
 Inline elements count as tags of their block, not as nodes of their own, so
 that a bold paragraph isn't taken for a container.
@@ -53,6 +55,8 @@ NO_ARTICLE = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments commentlist disqus replies respond share sharing social related recommended recommendations toolbar pagination pager "
     "login search complementary contentinfo".split()
 )
+#: Those of them that no article inside rescues: teasers and readers' comments are marked as articles, too.
+NO_RESCUE = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
 
 
 class Page:
@@ -62,7 +66,7 @@ class Page:
         self.tag: list[str] = ["html"]
         self.parent: list[int] = [-1]
         self.cut: list[bool] = [False]
-        self.suspect: list[bool] = [False]  # cut unless an article is inside
+        self.suspect: list[bool] = [False]  # cut unless an article with most of the text is inside
         #: (node, text) in page order; None for the edge of a block
         self.items: list[tuple[int, str | None]] = []
         self._build(source)
@@ -76,7 +80,7 @@ class Page:
         if not cut and attributes:
             words = {w for m in CLUES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
             suspect = bool(words & NO_ARTICLE) and tag not in ("html", "body", "main")
-            cut = tag not in ("html", "body") and bool(HIDDEN.search(attributes))
+            cut = tag not in ("html", "body") and bool(HIDDEN.search(attributes) or suspect and words & NO_RESCUE)
         if tag == "header" and not self._within_article(parent):
             suspect = True
         elif self.tag[parent] == "header" and not self.suspect[parent] and tag not in HEADINGS and tag not in INLINE:
@@ -149,14 +153,18 @@ class Page:
 
 
 def _settle_cuts(page: Page) -> list[bool]:
-    """Which nodes are cut; a suspect that holds an article or main element stays."""
-    holds = [False] * len(page.tag)
+    """Which nodes are cut; a suspect that holds an article or main element and most of the page's text stays."""
+    holds, chars = [False] * len(page.tag), [0] * len(page.tag)
+    for node, text in page.items:
+        if text and not page.cut[node]:
+            chars[node] += len("".join(text.split()))
     for node in range(len(page.tag) - 1, 0, -1):
+        chars[page.parent[node]] += chars[node]
         if holds[node] or page.tag[node] in ARTICLE and not page.cut[node] and not page.suspect[node]:
             holds[page.parent[node]] = True
     cut = [False] * len(page.tag)
     for node in range(1, len(page.tag)):
-        cut[node] = cut[page.parent[node]] or page.cut[node] or page.suspect[node] and not holds[node]
+        cut[node] = cut[page.parent[node]] or page.cut[node] or page.suspect[node] and not (holds[node] and 2 * chars[node] > chars[0])
     return cut
 
 
@@ -169,8 +177,8 @@ def _density(c: int, t: int, lc: int, lt: int, base: float) -> float:
     return max(0.0, c / t * math.log(c / (lc or 1) * t / (lt or 1) + 1) / max(root, 1.0))
 
 
-def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> int:
-    """The node whose subtree is the main text."""
+def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> set[int]:
+    """The nodes whose subtrees are the main text: one, or an article and its siblings."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     link = [False] * n
@@ -197,23 +205,24 @@ def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> in
         if not cut[node] and not inline[node]:
             sums[page.parent[node]] += density[node]
             parents.add(page.parent[node])
-    # where the page marks its articles, the largest sum among these counts
-    marked = [False] * n
-    for node in range(1, n):
-        marked[node] = not cut[node] and (marked[page.parent[node]] or page.tag[node] in ARTICLE and chars[node] > 0)
-    among = [i for i in range(n) if marked[i]] or range(n)
-    best = max(among, key=lambda i: (sums[i] if not inline[i] else -1.0, -i))
-    threshold, node = math.inf, best
+    # an article with most of the text outside of links bounds the core: the innermost of these, which lie within each other
+    own = [c - lc for c, lc in zip(chars, link_chars, strict=True)]
+    bound = max((i for i in range(1, n) if not cut[i] and page.tag[i] in ARTICLE and 2 * own[i] > own[0]), default=0)
+    within = [i == bound for i in range(n)]
+    for node in range(bound + 1, n):
+        within[node] = within[page.parent[node]]
+    best = max((i for i in range(n) if within[i] and not cut[i]), key=lambda i: (sums[i] if not inline[i] else -1.0, -i))
+    threshold, path, node = math.inf, set(), best
     while node >= 0:
         threshold = min(threshold, density[node] or math.inf)
-        if page.tag[node] in ARTICLE:
-            return node
-        node = page.parent[node]
-    path = set()
-    node = best
-    while node >= 0:
         path.add(node)
         node = page.parent[node]
+
+    def with_siblings(node: int) -> set[int]:
+        return {node, *(i for i in range(1, n) if page.parent[i] == page.parent[node] and page.tag[i] in ARTICLE and not cut[i] and 2 * own[i] > chars[i])}
+
+    if bound:
+        return with_siblings(bound)
     # leaves that reach the threshold pull the result up the path from the core
     top = best
     for node in range(1, n):
@@ -223,7 +232,13 @@ def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> in
                 up = page.parent[up]
             if up < top:
                 top = up
-    return top
+    # a part of an article stands for the whole
+    node = top
+    while node > 0:
+        if page.tag[node] in ARTICLE:
+            return with_siblings(node)
+        node = page.parent[node]
+    return {top}
 
 
 def main_text(source: str | None) -> str:
@@ -233,13 +248,12 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     cut = _settle_cuts(page)
     texts = [(n, t if t is None else htmllib.unescape(t) if "&" in t else t) for n, t in page.items if not cut[n]]
-    root = core(page, cut, texts)
-    inside = [False] * len(page.tag)
-    inside[root] = True
-    for node in range(root + 1, len(page.tag)):
-        inside[node] = inside[page.parent[node]]
+    roots = core(page, cut, texts)
+    inside = [node in roots for node in range(len(page.tag))]
+    for node in range(min(roots) + 1, len(page.tag)):
+        inside[node] = inside[node] or inside[page.parent[node]]
     blocks, parts = [], []
-    for node, text in [*texts, (root, None)]:
+    for node, text in [*texts, (min(roots), None)]:
         if inside[node]:
             if text is not None:
                 parts.append(text)

@@ -179,6 +179,26 @@ def test_main_text(html, expected):
     assert main_text.main_text(html) == expected
 
 
+STORY = [f"Paragraph {i} of a story that goes on for a while, with commas, names and numbers such as {i}." for i in range(6)]
+P = "".join(f"<p>{s}</p>" for s in STORY)
+PART = "".join(f"<p>Another part says this at length as well, line {i} of it.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(("html", "kept", "gone"), [
+    (f"<div id=story>{P}</div><article><a href=x>A teaser</a></article>", STORY, []),
+    (f"<article>{P}</article><article>{PART}</article>", [*STORY, "line 0 of it", "line 5 of it"], []),
+    (f"<article>{P}</article><article>{PART}</article><article>{PART.replace('line', 'row')}</article>", [*STORY, "line 0 of it", "row 5 of it"], []),
+    (f"<article>{P}</article><article><p>A short last part.</p></article><article><a href=x>Read on there</a></article>", [*STORY, "A short last part."], ["Read on"]),
+    (f"<div>{P}</div><div class=related><article><p>A teaser of something else</p></article></div>", STORY, ["teaser"]),
+    (f"<div>{P}</div><div class=sidebar><article><p>A teaser of something else</p></article></div>", STORY, ["teaser"]),
+    (f"<div>{PART}</div><section id=comments><article>{P}</article></section>", ["line 0 of it", "line 5 of it"], STORY),
+    (f"<div class=with-sidebar><article>{P}</article></div>", STORY, []),
+])
+def test_articles_do_not_decide_alone(html, kept, gone):
+    found = main_text.main_text(f"<body>{html}</body>")
+    assert [s for s in kept if s not in found] == [] and [s for s in gone if s in found] == []
+
+
 def test_main_text_is_linear():
     assert main_text.main_text("<div>" * 20_000 + "deep").endswith("deep")
     assert main_text.main_text('<a href="' * 300 + "x" * 1000) is not None
