@@ -8,7 +8,9 @@ import pytest
 
 from sentria.operators import episodes, tracks
 from sentria.params import UnknownPolicy, policy
+from sentria.plans import registry
 from sentria.schemas import OBSERVATION
+from tests.oracle import rows, tables
 
 T0 = datetime(2024, 5, 1, 12, 0, tzinfo=timezone.utc)
 P = policy("fusion.v1")
@@ -126,3 +128,10 @@ def test_track_cells(spark):
     t, _ = tracks.follow(spark.createDataFrame([obs(0), obs(1, "B", "clear", place="x")], OBSERVATION), P, T0 + timedelta(minutes=5))
     row = tracks.with_cells(t, P, T0 + timedelta(minutes=5)).first()
     assert len(row["cells"]["cells"]) > 20 and row["region_cells"]["cells"] == []
+
+
+def test_order_returns_every_row(spark, monkeypatch):
+    monkeypatch.setattr("tests.oracle.SF", "/root/testdata/sf0.01")
+    every = tables().execute(registry.SQL["F07_order"].removesuffix(" WHERE n <= 100")).df()
+    got = registry.QUERIES["F07_order"](spark, "/root/testdata/sf0.01").toPandas()
+    assert every["n"].max() > 100 and rows(got) == rows(every)
