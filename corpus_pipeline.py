@@ -11,19 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentria.llm import decontaminate, ngram_join, packing, quality_classifier, secrets
-from sentria.llm._shared import fresh_dir, keyed_only, table, written
+from sentria.llm._shared import content, fresh_dir, keyed_only, table, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``rejected`` (doc_id)."""
-    ids = written(rejected.select(F.col("doc_id").alias("__rejected")).distinct(), "rejected")
-    return docs.join(keyed_only(ids), F.col("doc_id").eqNullSafe(F.col("__rejected")), "left_anti")
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are rejected; ``judged`` has ``doc_id, content, rejected`` of every row.
+
+    Ids whose rows are all rejected go by id. Where only some are (rows that
+    share an id or have none), these go by id and content.
+    """
+    judged = written(judged, "judged")
+    some = written(judged.groupBy("doc_id").agg(F.max("rejected").alias("any"), F.min("rejected").alias("all")).filter("`any`").select(F.col("doc_id").alias("__rejected"), F.col("all").alias("__all")), "rejected")
+    of_id = F.col("doc_id").eqNullSafe(F.col("__rejected"))
+    left = docs.join(keyed_only(some.filter("__all").select("__rejected")), of_id, "left_anti")
+    mixed = some.filter("not __all").select("__rejected")
+    if mixed.isEmpty():
+        return left
+    rows = judged.filter("rejected").join(keyed_only(mixed), of_id, "left_semi").select(F.col("doc_id").alias("__rejected"), F.col("content").alias("__of")).distinct()
+    rows = written(rows, "rejected-rows")
+    return left.withColumn("__content", content(F.col("text"))).join(keyed_only(rows), of_id & (F.col("__content") == F.col("__of")), "left_anti").drop("__content")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as 0 go; rows that share an id go if any of them does."""
-    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter("predicted = 0"))
+    """Documents that the classifier predicts as 0 go; each row is judged by its own text."""
+    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), with_content=True)
+    return _without(docs, judged.select("doc_id", "content", F.coalesce(F.col("predicted") == 0, F.lit(False)).alias("rejected")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows contaminate go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    """Documents that benchmark windows contaminate go; each row is judged by its own text."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_content=True)
+    return _without(docs, found.select("doc_id", "content", F.col("contaminated").alias("rejected")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of one Arrow batch sent to a Python worker; texts are long.
@@ -82,3 +82,13 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """An Arrow batch of row tuples, which may be none."""
     columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def content(text: Column) -> Column:
+    """Sixteen bytes of the SHA-256 of a text; null is empty."""
+    return F.substring(F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)), 1, 16)
+
+
+def beside(out: pa.RecordBatch, batch: pa.RecordBatch, names: Iterable[str]) -> pa.RecordBatch:
+    """``out`` with the named columns of ``batch``, which has the same rows."""
+    return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(batch.schema.get_field_index(n)) for n in names)], names=[*out.schema.names, *names])

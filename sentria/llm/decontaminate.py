@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, filesystem, fresh_dir, rows_of, small_batches
+from ._shared import batch_of, beside, content, filesystem, fresh_dir, rows_of, small_batches
 
 # Words of the original text: letters in either case.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -154,22 +154,25 @@ def judged(text: str | None, folded: bytes, hits: list[tuple[int, int, set[int]]
     return n_words, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, ids, spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``FOUND``. One pass over the texts, no shuffle.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_content: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``FOUND``, and ``content`` if wanted. One pass over the texts, no shuffle.
 
     A text is contaminated if a window occurs and hit words are at least 5 % of its words.
     """
     small_batches(docs.sparkSession)
     paths = _blocks(benchmark, item_col, item_text_col)
+    kept = ["content"] if with_content else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for batch in batches:
+            ids, texts = next(rows_of(iter([batch]), "doc_id", "text"))
             folded = [normalised(t or "") for t in texts]
             hits: list[list] = [[] for _ in texts]
             for path in paths:
                 matcher = _matcher(path)
                 for own, line in zip(hits, folded, strict=True):
                     own += matcher.hits(line)
-            yield batch_of([(i, *judged(t, f, h)) for i, t, f, h in zip(ids, texts, folded, hits, strict=True)], _ARROW)
+            yield beside(batch_of([(i, *judged(t, f, h)) for i, t, f, h in zip(ids, texts, folded, hits, strict=True)], _ARROW), batch, kept)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, FOUND)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept))
+    return rows.mapInArrow(scan, ", ".join([FOUND, *(f"{k} binary" for k in kept)]))

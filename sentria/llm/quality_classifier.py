@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, rows_of, small_batches, written
+from ._shared import batch_of, beside, content, rows_of, small_batches, written
 
 THRESHOLD = 0.7
 FEATURES = (
@@ -112,14 +112,17 @@ SCORED = "doc_id long, score double"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_content: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
+    kept = ["content"] if with_content else []
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            yield batch_of([(i, statistics(t or "")) for i, t in zip(ids, texts, strict=True)], _VECTOR)
+        for batch in batches:
+            for ids, texts in rows_of(iter([batch]), "doc_id", "text"):
+                yield beside(batch_of([(i, statistics(t or "")) for i, t in zip(ids, texts, strict=True)], _VECTOR), batch, kept)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, VECTOR)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept))
+    return rows.mapInArrow(measure, ", ".join([VECTOR, *(f"{k} binary" for k in kept)]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,15 +146,16 @@ def train(measured: DataFrame, labels: DataFrame, label_col: str = "quality") ->
     return fit(sums)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: ``doc_id, held_out, score, predicted``. Texts are read once and don't move."""
-    measured = written(vectors(docs, id_col, text_col), "vectors")
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, with_content: bool = False) -> DataFrame:
+    """Per row: ``doc_id, held_out, score, predicted``, and ``content`` if wanted. Texts are read once and don't move."""
+    kept = ["content"] if with_content else []
+    measured = written(vectors(docs, id_col, text_col, with_content), "vectors")
     model = train(measured, labels, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], schema=_SCORED)
+            yield beside(pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], schema=_SCORED), batch, kept)
 
-    scored = measured.mapInArrow(score, SCORED)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = measured.mapInArrow(score, ", ".join([SCORED, *(f"{k} binary" for k in kept)]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)

@@ -425,3 +425,22 @@ def test_packing_is_whole(spark):
         s = s.sort_values("offset")
         assert list(s["offset"]) == list(np.cumsum([0, *s["length"][:-1]])) and s["length"].sum() <= 2048
     assert out["sequence_id"].nunique() <= out["length"].sum() / 2048 + 3
+
+
+def test_stages_keep_clean_rows_of_shared_ids(spark):
+    import corpus_pipeline
+
+    small = SF.replace("sf0.001", "sf0.01")
+    item = next(r["text"] for r in table(spark, small, "benchmark").collect() if len((r["text"] or "").split()) > 13)
+    leaked = docs(spark, item, "clean words", item, "other clean words", item, "fine", None, ids=[1, 1, None, None, 2, 3, None])
+    kept = corpus_pipeline.decontamination(spark, leaked, small)
+    assert kept.columns == leaked.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "other clean words"), (1, "clean words"), (3, "fine")]
+
+    every = table(spark, small, "documents")
+    judged = quality_classifier.classify(every, table(spark, small, "labels"))
+    wanted = {r["doc_id"] for r in judged.filter("predicted = 1").collect()}
+    # the unlabelled rows lose their ids, so that the model stays as it is
+    lost = every.join(table(spark, small, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id").unionByName(every.filter(quality_classifier.held_out(F.col("doc_id"))).select("doc_id"))
+    mixed = every.join(lost.distinct().withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").withColumn("n_chars", F.col("doc_id")).withColumn("doc_id", F.when(F.col("of").isNotNull() & ~quality_classifier.held_out(F.col("of")), F.col("of"))).drop("of")
+    assert mixed.filter("doc_id is null").count() > 100
+    assert {r["n_chars"] for r in corpus_pipeline.quality(spark, mixed, small).collect()} == wanted
