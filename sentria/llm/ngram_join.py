@@ -106,9 +106,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability, through three levels of splits."""
-    met = threshold * (1 - (1 - threshold) ** 2) ** 2
+def runs_for(threshold: float, recall: float, splits: int = 2) -> int:
+    """Runs after which a pair at the threshold has met with this probability, through so many levels of splits."""
+    met = threshold * (1 - (1 - threshold) ** 2) ** splits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -119,18 +119,20 @@ def _sized(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(sizes, "path")
 
 
-def leaves(classes: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """Buckets ``path, sig, n`` in which sets are to be compared; each membership once."""
+def _buckets(classes: DataFrame, runs: range) -> tuple[DataFrame, int]:
+    """Buckets ``path, sig, n`` of these runs, and how often the most split of them were split."""
     at = lambda i: F.substring("minhashes", 4 * i + 1, 4)
-    starts = F.explode(F.array(*(F.xxhash64(F.lit(r), at(r)) for r in range(runs_for(threshold, recall)))))
+    starts = F.explode(F.array(*(F.xxhash64(F.lit(r), at(r)) for r in runs)))
     level = written(_sized(classes.select(starts.alias("path"), "sig"), "paths"), "level")
-    done = []
+    done, splits_done = [], 0
     for depth in range(1, MAX_DEPTH):
         big = level.filter(F.col("n") > BUCKET)
         if big.isEmpty():
             break
         done.append(level.filter(F.col("n") <= BUCKET))
-        chosen = [F.pmod(F.xxhash64("path", F.lit(depth), F.lit(b)), F.lit(COORDINATES)).cast("int") for b in (0, 1)]
+        first, step = (F.pmod(F.xxhash64("path", F.lit(depth), F.lit(b)), F.lit(COORDINATES - b)).cast("int") for b in (0, 1))
+        # two coordinates that differ: equal ones would put every set twice into the same bucket
+        chosen = [first, F.pmod(first + 1 + step, F.lit(COORDINATES))]
         splits = F.explode(F.array(*(F.xxhash64("path", c, F.substring(F.col("minhashes"), 4 * c + 1, F.lit(4))) for c in chosen)))
         children = _sized(big.join(classes.select("sig", "minhashes"), "sig").select(F.col("path").alias("parent"), F.col("n").alias("parent_n"), splits.alias("path"), "sig"), "split")
         children = written(children, "level")
@@ -139,8 +141,24 @@ def leaves(classes: DataFrame, threshold: float = THRESHOLD, recall: float = TAR
         done.append(big.join(dense, "path", "left_semi"))
         level = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "sig", "n")
         level = written(level, "level")
+        if level.isEmpty():
+            break
+        splits_done = depth
     for more in done:
         level = level.unionByName(more)
+    return level, splits_done
+
+
+def leaves(classes: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """Buckets ``path, sig, n`` in which sets are to be compared; each membership once.
+
+    Where buckets were split more often than the runs made so far allow for, more runs follow.
+    """
+    level, made, depth = None, 0, 2
+    while made < (wanted := runs_for(threshold, recall, depth)):
+        more, splits = _buckets(classes, range(made, wanted))
+        level = more if level is None else level.unionByName(more)
+        made, depth = wanted, max(depth, splits)
     level = written(level, "buckets")
     # runs often agree on a bucket: of those with the same members, the least path stays
     same = level.groupBy("path", "n").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("sig", F.lit(1)).cast("decimal(38,0)")).alias("b")).groupBy("n", "a", "b").agg(F.min("path").alias("path"))

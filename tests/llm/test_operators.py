@@ -269,6 +269,26 @@ def test_links_at_exactly_the_threshold(shared, one, two):
         assert texts.tolist() == linked.tolist() == [1, 1] + [0] * (n - 2) and root[:2] == [0, 0]
 
 
+def test_splits_hold_each_set_once_and_deep_ones_add_runs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    made, inner = [], ngram_join._buckets
+
+    def seen(classes, runs):
+        out = inner(classes, runs)
+        made.append((runs, out[1]))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_buckets", seen)
+    rng = np.random.default_rng(5)
+    classes = spark.createDataFrame([(bytes([i // 256, i % 256]), rng.integers(0, 3, ngram_join.COORDINATES).astype("<u4").tobytes()) for i in range(400)], "sig binary, minhashes binary")
+    found = ngram_join.leaves(classes)
+    assert found.count() == found.select("path", "sig").distinct().count()
+    sizes = found.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    assert sizes.filter("m <> n").count() == 0
+    deepest = max(depth for _, depth in made)
+    assert deepest > 2 and [r for runs, _ in made for r in runs] == list(range(ngram_join.runs_for(0.8, 0.9999, deepest)))
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100 + rnd.randint(0, 20)]), bytes([100 + rnd.randint(0, 20)])) for _ in range(9)]
