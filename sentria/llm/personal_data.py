@@ -40,7 +40,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
-LOGIN = re.compile(r"[^\s/:@]{1,64}:[^\s/@]{1,64}(?=@)")
+LOGIN = re.compile(r"[^\s/:@]++:[^\s/@]++(?=@)")
 IBAN = re.compile(r"[\s:#.no]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[\s:#.no]{0,8}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?:[\s:#.=]|number|nummer|num|no){0,8}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.IGNORECASE)

@@ -111,6 +111,14 @@ def test_secret_kinds_and_redaction():
     assert secrets.redact("clean") == "clean" and secrets.redact(None) is None
 
 
+@pytest.mark.parametrize(("user", "word"), [("me", "eyJ0.x" + "aB3_" * 60), ("u" * 90, "github_pat_" + "A1b2" * 20), ("u" * 65, "abc")])
+def test_long_credentials_in_urls(user, word):
+    text = f"see https://{user}:{word}@host/x"
+    assert secrets.redact(text) == "see https://[SECRET]@host/x"
+    assert (12, 13 + len(user) + len(word), "login") in personal_data.find_personal(text)[1]
+    secrets.redact("://" + "a" * 200_000 + "://a:" * 50_000)
+
+
 def test_secret_ledger_is_incremental(spark):
     ledger = fresh_dir(spark, "t")
     first = docs(spark, "token=abcdef", "clean", "token=abcdef", None, "")
