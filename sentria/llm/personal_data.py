@@ -44,6 +44,7 @@ LOGIN = re.compile(r"[^\s/:@]++:[^\s/@]++(?=@)")
 IBAN = re.compile(r"[\s:#.no]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[\s:#.no]{0,8}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?:[\s:#.=]|number|nummer|num|no){0,8}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.IGNORECASE)
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 @cache
@@ -90,10 +91,11 @@ def find_personal(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans as (start, end, kind), in order of start, then kind."""
     base: list[Span] = []
     more: list[Span] = []
-    # lower case for the cues only; a text that changes length keeps its case
+    # lower case for the cues only; where it changes the length, of A-Z alone
     low = text.lower()
+    low = low if len(low) == len(text) else text.translate(_LOWER)
     mailed = 0
-    for last, (size, kind) in _automaton().iter(low if len(low) == len(text) else text):
+    for last, (size, kind) in _automaton().iter(low):
         first, end = last - size + 1, last + 1
         if kind == "email":
             if span := _email(text, first, mailed):

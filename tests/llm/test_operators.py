@@ -374,6 +374,12 @@ def test_personal_data_cues():
     personal_data.find_personal("1" * 100_000 + "@" * 1000 + "+1" * 1000)
 
 
+def test_cues_in_capitals_beside_a_dotted_i():
+    text = "İ IBAN: DE89 3704 0044 0532 0130 00, SSN 123-45-6789, Account no 12345678"
+    assert [k for _, _, k in personal_data.find_personal(text)[1]] == ["iban", "ssn", "account"]
+    assert personal_data.find_personal(text)[1] == personal_data.find_personal(text.replace("İ", "I"))[1]
+
+
 @pytest.mark.parametrize("run", [personal_data.personal_data, lambda d: packing.pack_documents(d), lambda d: quality_rules.quality_rules(d), lambda d: secrets.scan_secrets(d, fresh_dir(d.sparkSession, "t"))])
 def test_odd_rows_are_kept(spark, run):
     rows = docs(spark, *ODD).withColumn("spans", F.lit(1)).withColumn("blob", F.lit(2))
