@@ -1,17 +1,27 @@
 """Main text of web pages by composite text density.
 
-A tolerant tokenizer builds the element tree in one pass. What is certainly no
-article (scripts, forms, navigation, and elements that name themselves menus,
-notices, adverts or comments) is cut. For every remaining block the composite
-text density is computed: characters for each tag, lowered where characters
-and tags belong to links. The densities of a node's children are summed. The
-subtree with the largest sum is the core; blocks whose density reaches the
-threshold, which is the smallest density on the path from the core to the
-body, widen it to the smallest subtree that holds them all. Where one article or
-main element holds most of the page's text outside of links, the core is the
-largest sum within it, and the result is this element, with those of its sibling
-articles whose text is mostly outside of links (the threshold is no measure for these:
-it includes the body's density, below which the less dense of two parts always lies).
+A tolerant tokenizer builds the element tree in one pass. For every block the
+composite text density is computed: characters for each tag, lowered where
+characters and tags belong to links. The densities of a node's children are
+summed, and the container with the largest sum is the core; ``article`` and
+``main`` count double. A single container that holds nearly all text of the
+core stands for it. From the core the path leads up to the body. The threshold
+is two thirds of the larger of two figures: the smallest density on this path, and
+the median density of the core's parts (of a paragraph of ``PARAGRAPH`` characters
+at most). Blocks beside the path that reach it belong to the result; so does running
+text (paragraphs, lists, tables) beside such running text, and a heading right
+before what is kept. An article or main element on the path that holds most of the
+page's text outside of links is kept whole, with those of its sibling articles
+that are not mostly links.
+
+Before that, what is certainly no article goes: scripts, controls, navigation,
+asides and footers by their tag; forms, page headers, and elements that name
+themselves menus, notices, adverts or comments, unless they hold nearly all of the
+page's text outside of links, or most of it with a marked article among it.
+A name counts if a class, id or role ends in it ("cookie-notice"), or begins
+with it and goes on with a word for a container ("comment-list"): "has-sidebar",
+"comments-open" and "social-science" name nothing. Of the header of an article,
+headings stay, and what is as dense as a line of ``LEAD`` characters (a lead is, an author's name isn't).
 
 Inline elements count as tags of their block, not as nodes of their own, so
 that a bold paragraph isn't taken for a container.
@@ -41,7 +51,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE | re.ASCII) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-CUT = frozenset("script style noscript template iframe object embed svg math canvas audio video form button select textarea input option datalist dialog nav aside footer menu head title xmp noembed noframes".split())
+CUT = frozenset("script style noscript template iframe object embed svg math canvas audio video button select textarea input option datalist dialog nav aside footer menu head title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Start tags that end an open paragraph.
@@ -49,14 +59,38 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 #: Start tags that end an open sibling, and the containers beyond which they don't look.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ARTICLE = frozenset({"article", "main"})
-#: Words in class, id or role that name what is no article.
+#: Running text: parts of an article, but never the container of one.
+FLOW = frozenset("p ul ol dl li dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption details summary address hr".split()) | HEADINGS
+#: Words that name what is no article.
 NO_ARTICLE = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments commentlist disqus replies respond share sharing social related recommended recommendations toolbar pagination pager "
     "login search complementary contentinfo".split()
 )
-#: Those of them that no article inside rescues: teasers and readers' comments are marked as articles, too.
-NO_RESCUE = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
+#: Those that hold text of their own kind, of which a page may have more than of the article.
+OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
+#: What may follow such a word in the name of a container, and what makes a name one of a state.
+CONTAINERS = frozenset("area bar block body box button buttons column container content group holder inner item items left link links list main outer panel posts region right row section slot text thread top bottom unit wrap wrapper".split())
+STATES = frozenset("has with without no not is hide show enable disable".split())
+#: Characters of the paragraph that the threshold asks for at most, and of the shortest that the header of an article keeps.
+PARAGRAPH, LEAD = 200, 40
+#: Share of the text outside of links that a child needs to stand for the core.
+NEARLY_ALL = 0.8
+
+
+def named(attributes: str) -> frozenset[str]:
+    """Which words of ``NO_ARTICLE`` the classes, id and role name."""
+    found = set()
+    for m in CLUES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
+            if not parts or parts[0] in STATES:
+                continue
+            if parts[-1] in NO_ARTICLE:
+                found.add(parts[-1])
+            elif parts[0] in NO_ARTICLE and CONTAINERS.issuperset(parts[1:]):
+                found.add(parts[0])
+    return frozenset(found)
 
 
 class Page:
@@ -66,7 +100,9 @@ class Page:
         self.tag: list[str] = ["html"]
         self.parent: list[int] = [-1]
         self.cut: list[bool] = [False]
-        self.suspect: list[bool] = [False]  # cut unless an article with most of the text is inside
+        #: how much of the page's text outside of links keeps a suspect from being cut; 0 for others
+        self.suspect: list[float] = [0.0]
+        self.in_header: list[bool] = [False]  # blocks in the header of an article, headings aside
         #: (node, text) in page order; None for the edge of a block
         self.items: list[tuple[int, str | None]] = []
         self._build(source)
@@ -76,17 +112,22 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         cut = self.cut[parent] or tag in CUT
-        suspect = False
-        if not cut and attributes:
-            words = {w for m in CLUES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-            suspect = bool(words & NO_ARTICLE) and tag not in ("html", "body", "main")
-            cut = tag not in ("html", "body") and bool(HIDDEN.search(attributes) or suspect and words & NO_RESCUE)
+        suspect = 0.5 if tag == "form" else 0.0
+        if not cut and attributes and tag not in ("html", "body"):
+            cut = bool(HIDDEN.search(attributes))
+            names = named(attributes)
+            if names & OTHERS:
+                suspect = 0.5 if tag in ARTICLE else 0.9
+            elif names and tag not in ARTICLE:
+                suspect = suspect or NEARLY_ALL
+        lead = False
         if tag == "header" and not self._within_article(parent):
-            suspect = True
-        elif self.tag[parent] == "header" and not self.suspect[parent] and tag not in HEADINGS and tag not in INLINE:
-            cut = True
+            suspect = suspect or NEARLY_ALL
+        elif self.tag[parent] == "header" and not self.suspect[parent]:
+            lead = tag not in HEADINGS and tag not in INLINE
         self.cut.append(cut)
         self.suspect.append(suspect)
+        self.in_header.append(lead)
         return node
 
     def _within_article(self, node: int) -> bool:
@@ -153,18 +194,28 @@ class Page:
 
 
 def _settle_cuts(page: Page) -> list[bool]:
-    """Which nodes are cut; a suspect that holds an article or main element and most of the page's text stays."""
-    holds, chars = [False] * len(page.tag), [0] * len(page.tag)
+    """Which nodes are cut.
+
+    Suspects with enough of the page's text outside of links stay; where articles are
+    marked, only those that hold one, for which most of the text is enough.
+    """
+    n = len(page.tag)
+    own, link, marked = [0] * n, [False] * n, [False] * n
+    for node in range(1, n):
+        link[node] = page.tag[node] == "a" or link[page.parent[node]]
     for node, text in page.items:
-        if text and not page.cut[node]:
-            chars[node] += len("".join(text.split()))
-    for node in range(len(page.tag) - 1, 0, -1):
-        chars[page.parent[node]] += chars[node]
-        if holds[node] or page.tag[node] in ARTICLE and not page.cut[node] and not page.suspect[node]:
-            holds[page.parent[node]] = True
-    cut = [False] * len(page.tag)
-    for node in range(1, len(page.tag)):
-        cut[node] = cut[page.parent[node]] or page.cut[node] or page.suspect[node] and not (holds[node] and 2 * chars[node] > chars[0])
+        if text and not page.cut[node] and not link[node]:
+            own[node] += len("".join(text.split()))
+    for node in range(n - 1, 0, -1):
+        own[page.parent[node]] += own[node]
+        marked[node] = marked[node] or page.tag[node] in ARTICLE and own[node] > 0
+        marked[page.parent[node]] = marked[page.parent[node]] or marked[node]
+    cut = [False] * n
+    for node in range(1, n):
+        cut[node] = cut[page.parent[node]] or page.cut[node]
+        if (share := page.suspect[node]) and not cut[node]:
+            share = 0.5 if marked[node] and share == NEARLY_ALL else share
+            cut[node] = own[node] <= share * own[0] or marked[0] and not marked[node]
     return cut
 
 
@@ -177,68 +228,95 @@ def _density(c: int, t: int, lc: int, lt: int, base: float) -> float:
     return max(0.0, c / t * math.log(c / (lc or 1) * t / (lt or 1) + 1) / max(root, 1.0))
 
 
-def core(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> set[int]:
-    """The nodes whose subtrees are the main text: one, or an article and its siblings."""
-    n = len(page.tag)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    link = [False] * n
-    for node in range(1, n):
-        link[node] = page.tag[node] == "a" or link[page.parent[node]]
-    for node, text in texts:
-        if text and not cut[node]:
-            size = len(text) - text.count(" ")
-            chars[node] += size
-            link_chars[node] += size if link[node] else 0
-    inline = [t in INLINE for t in page.tag]
-    for node in range(n - 1, 0, -1):
-        if not cut[node]:
-            up = page.parent[node]
-            chars[up] += chars[node]
-            link_chars[up] += link_chars[node]
-            tags[up] += tags[node] + 1
-            link_tags[up] += link_tags[node] + link[node]
-    base = link_chars[0] / max(1, chars[0])
-    density = [0.0 if cut[i] or inline[i] else _density(chars[i], tags[i], link_chars[i], link_tags[i], base) for i in range(n)]
-    sums = [0.0] * n
-    parents = {0}
-    for node in range(1, n):
-        if not cut[node] and not inline[node]:
-            sums[page.parent[node]] += density[node]
-            parents.add(page.parent[node])
-    # an article with most of the text outside of links bounds the core: the innermost of these, which lie within each other
-    own = [c - lc for c, lc in zip(chars, link_chars, strict=True)]
-    bound = max((i for i in range(1, n) if not cut[i] and page.tag[i] in ARTICLE and 2 * own[i] > own[0]), default=0)
-    within = [i == bound for i in range(n)]
-    for node in range(bound + 1, n):
+class Measures:
+    """Densities of all nodes that are not cut, and the sums of their children's."""
+
+    def __init__(self, page: Page, cut: list[bool], texts: list[tuple[int, str | None]]):
+        n = len(page.tag)
+        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        link = [False] * n
+        for node in range(1, n):
+            link[node] = page.tag[node] == "a" or link[page.parent[node]]
+        for node, text in texts:
+            if text and not cut[node]:
+                size = len("".join(text.split()))
+                chars[node] += size
+                link_chars[node] += size if link[node] else 0
+        for node in range(n - 1, 0, -1):
+            if not cut[node]:
+                up = page.parent[node]
+                chars[up] += chars[node]
+                link_chars[up] += link_chars[node]
+                tags[up] += tags[node] + 1
+                link_tags[up] += link_tags[node] + link[node]
+        base = link_chars[0] / max(1, chars[0])
+        self.block = [not cut[i] and page.tag[i] not in INLINE for i in range(n)]
+        self.density = [_density(chars[i], tags[i], link_chars[i], link_tags[i], base) if self.block[i] else 0.0 for i in range(n)]
+        self.sums = [0.0] * n
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for node in range(1, n):
+            if self.block[node] or cut[node]:
+                self.children[page.parent[node]].append(node)
+            if self.block[node]:
+                self.sums[page.parent[node]] += self.density[node]
+        #: characters outside of links, and whether most are
+        self.own = [c - lc for c, lc in zip(chars, link_chars, strict=True)]
+        self.texty = [2 * o > c for o, c in zip(self.own, chars, strict=True)]
+
+
+def core_of(page: Page, m: Measures) -> int:
+    """The container with the largest sum of its children's densities, or what within it holds nearly all of its text (of marked articles: most)."""
+    container = lambda i: m.block[i] and page.tag[i] not in FLOW
+    best = max((i for i in range(len(page.tag)) if container(i)), key=lambda i: (m.sums[i] * (2 if page.tag[i] in ARTICLE else 1), -i))
+    while inner := next((i for i in m.children[best] if container(i) and m.own[i] >= NEARLY_ALL * m.own[best] > 0), None):
+        best = inner
+    within = [i == best for i in range(len(page.tag))]
+    for node in range(best + 1, len(page.tag)):
         within[node] = within[page.parent[node]]
-    best = max((i for i in range(n) if within[i] and not cut[i]), key=lambda i: (sums[i] if not inline[i] else -1.0, -i))
-    threshold, path, node = math.inf, set(), best
-    while node >= 0:
-        threshold = min(threshold, density[node] or math.inf)
-        path.add(node)
-        node = page.parent[node]
+    return max((i for i in range(len(page.tag)) if within[i] and m.block[i] and page.tag[i] in ARTICLE and 2 * m.own[i] > m.own[best]), default=best)
 
-    def with_siblings(node: int) -> set[int]:
-        return {node, *(i for i in range(1, n) if page.parent[i] == page.parent[node] and page.tag[i] in ARTICLE and not cut[i] and 2 * own[i] > chars[i])}
 
-    if bound:
-        return with_siblings(bound)
-    # leaves that reach the threshold pull the result up the path from the core
-    top = best
-    for node in range(1, n):
-        if node not in parents and density[node] >= threshold and density[node] > 0:
-            up = node
-            while up not in path:
-                up = page.parent[up]
-            if up < top:
-                top = up
-    # a part of an article stands for the whole
-    node = top
-    while node > 0:
-        if page.tag[node] in ARTICLE:
-            return with_siblings(node)
+def threshold_of(page: Page, m: Measures, core: int) -> float:
+    """The density from which blocks beside the core's path to the body count as text of the article."""
+    least, node = math.inf, core
+    while node >= 0:
+        least = min(least, m.density[node] or math.inf)
         node = page.parent[node]
-    return {top}
+    parts = sorted(d for i in m.children[core] if (d := m.density[i]) > 0) or [m.density[core]]
+    paragraph = _density(PARAGRAPH, 0, 0, 0, 0.0)
+    return min(max(least if least < math.inf else 0.0, parts[len(parts) // 2]), paragraph) * 2 / 3
+
+
+def _beside(page: Page, m: Measures, up: int, inner: int, limit: float) -> list[int]:
+    """Children of ``up`` that belong to the article besides ``inner``, through which the path goes."""
+    children = m.children[up]
+    flows = any(m.block[i] and page.tag[i] in FLOW and page.tag[i] not in HEADINGS and m.density[i] >= limit for i in children if i != inner)
+    kept = [i == inner or m.block[i] and (m.density[i] >= limit or flows and page.tag[i] in FLOW and m.texty[i]) for i in children]
+    for at in range(len(children) - 2, -1, -1):
+        kept[at] = kept[at] or kept[at + 1] and page.tag[children[at]] in HEADINGS and m.block[children[at]]
+    return [i for i, keep in zip(children, kept, strict=True) if keep and i != inner]
+
+
+def article_roots(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> tuple[set[int], set[int]]:
+    """The nodes whose subtrees are the main text, and those within them that are not."""
+    m = Measures(page, cut, texts)
+    core = core_of(page, m)
+    limit = threshold_of(page, m, core)
+    low = _density(LEAD, 0, 0, 0, 0.0)
+    without = {i for i in range(1, len(page.tag)) if page.in_header[i] and m.block[i] and m.density[i] < low}
+    whole = core
+    while whole > 0 and not (page.tag[whole] in ARTICLE and 2 * m.own[whole] > m.own[0]):
+        whole = page.parent[whole]
+    roots = {max(whole, 0) or core}
+    top = next(iter(roots))
+    if page.tag[top] in ARTICLE:
+        roots |= {i for i in m.children[page.parent[top]] if page.tag[i] in ARTICLE and m.block[i] and m.texty[i]}
+    if whole <= 0:
+        node = core
+        while node > 0 and page.tag[node] != "body":
+            roots.update(_beside(page, m, page.parent[node], node, limit))
+            node = page.parent[node]
+    return roots, without
 
 
 def main_text(source: str | None) -> str:
@@ -248,10 +326,10 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     cut = _settle_cuts(page)
     texts = [(n, t if t is None else htmllib.unescape(t) if "&" in t else t) for n, t in page.items if not cut[n]]
-    roots = core(page, cut, texts)
+    roots, without = article_roots(page, cut, texts)
     inside = [node in roots for node in range(len(page.tag))]
-    for node in range(min(roots) + 1, len(page.tag)):
-        inside[node] = inside[node] or inside[page.parent[node]]
+    for node in range(1, len(page.tag)):
+        inside[node] = (inside[node] or inside[page.parent[node]]) and node not in without
     blocks, parts = [], []
     for node, text in [*texts, (min(roots), None)]:
         if inside[node]:
