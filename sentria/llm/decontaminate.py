@@ -1,15 +1,19 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Test items are normalised (A-Z in lower case, words joined by single spaces)
-and cut into windows of 13 words; an item with fewer is one window. The
-automaton holds every window between spaces. A text is normalised in the same
-way and scanned once; the offsets of hits are mapped back to words of the text,
-and on request to offsets in the original.
-
-The automaton goes to each task as the items' windows. Items are taken in
-blocks of at most ``BLOCK_CHARS``; a benchmark of one block, as is usual, is
-scanned for in one go, a larger one block by block for each batch of texts, so
-that a worker never holds more than one block's automaton.
+Test items are normalised (A-Z in lower case, words joined by single spaces). A
+window is 13 consecutive words of an item; an item with fewer is one window.
+The automaton holds each item cut into consecutive blocks of seven words, one of
+which lies whole in every window (an item of fewer than 13 words is held whole),
+so that it has about as many nodes as the benchmark has characters. A text is
+normalised in the same way and scanned once; a block that occurs is expanded to the
+longest run of words that text and item share there, which is a hit from 13 words
+on. Hits are mapped back to words of the text, and on request to offsets in the original.
+
+The items go to the workers as a broadcast of at most ``MAX_CHARS`` characters, which
+are counted first; each worker builds the automaton once (some 60 bytes a character,
+half a GB at most). A benchmark beyond that is dealt into parts by a hash of the item's id.
+The texts are then scanned for one part after the other, with what was found written
+between, and results are the same.
 
 Defined cases: null and wordless texts have no words, are hit nowhere and are
 not contaminated; wordless items match nothing; items that repeat an id count as
@@ -19,8 +23,8 @@ one item; items without an id are ignored; an empty benchmark leaves all clean;
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, beside, content, filesystem, fresh_dir, rows_of, small_batches
+from ._shared import batch_of, beside, content, rows_of, small_batches, written
 
 # Words of the original text: letters in either case.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 13
-#: Most characters of windows in one automaton (some 100 bytes each in memory).
-BLOCK_CHARS = 2_000_000
+#: Most characters of items in one automaton.
+MAX_CHARS = 8_000_000
 # On UTF-8 bytes: lower case for A-Z, a space for what is no word character.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -46,40 +50,68 @@ def normalised(text: str) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
-def windows(text: str, size: int = WINDOW) -> list[bytes]:
-    """Distinct windows of an item, each between spaces."""
-    words = normalised(text).split()
-    return list(dict.fromkeys(b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1)))) if words else []
-
-
 class Matcher:
-    """The automaton of one block: window -> (words in it, item ids)."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        owners: dict[bytes, set[int]] = {}
-        for item_id, text in items:
-            for window in windows(text):
-                owners.setdefault(window, set()).add(item_id)
-        self.automaton = ahocorasick.Automaton()
-        for window, ids in owners.items():
-            self.automaton.add_word(window.decode("latin-1"), (len(window), window.count(b" ") - 1, ids))
-        if owners:
+    """The automaton of a benchmark, or of a part of it."""
+
+    def __init__(self, items: list[tuple[int, str | None]], size: int = WINDOW):
+        self.size = size
+        step = (size + 1) // 2
+        self.items: list[tuple[object, list[bytes]]] = []
+        #: for each pattern of the automaton the items and the words in them where it begins
+        self.owners: list[list[tuple[int, int]]] = []
+        numbers: dict[bytes, int] = {}
+        for item_id, text in dict.fromkeys(items):
+            words = normalised(text or "").split()
+            short = len(words) < size
+            for at in range(0, 1 if short else len(words) - step + 1, step) if words else ():
+                block = b" " + b" ".join(words if short else words[at : at + step]) + b" "
+                number = numbers.setdefault(block, len(numbers))
+                if number == len(self.owners):
+                    self.owners.append([])
+                self.owners[number].append((len(self.items), at))
+            self.items.append((item_id, words))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.lengths = [len(block) for block in numbers]
+        for block, number in numbers.items():
+            self.automaton.add_word(block.decode("latin-1"), number)
+        if numbers:
             self.automaton.make_automaton()
 
-    def hits(self, folded: bytes) -> list[tuple[int, int, set[int]]]:
-        """(offset of the leading space, words, items) of every occurrence."""
+    def hits(self, folded: bytes) -> list[tuple[int, int, object]]:
+        """(first word, words, item) of every run of words that holds a window of the item."""
         if not len(self.automaton):
             return []
-        return [(end - size + 1, n, ids) for end, (size, n, ids) in self.automaton.iter(folded.decode("latin-1"))]
-
-
-def marked_words(folded: bytes, hits: list[tuple[int, int, set[int]]]) -> np.ndarray:
-    """For each word whether any occurrence of a window covers it."""
-    spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
-    steps = np.zeros(len(spaces), np.int64)
-    first = np.searchsorted(spaces, [h[0] for h in hits])
-    np.add.at(steps, first, 1)
-    np.add.at(steps, first + [h[1] for h in hits], -1)
+        seen = list(self.automaton.iter(folded.decode("latin-1")))
+        if not seen:
+            return []
+        words = folded.split()
+        spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+        firsts = np.searchsorted(spaces, [end + 1 - self.lengths[number] for end, number in seen]).tolist()
+        reached: dict[tuple[int, int], int] = {}  # (item, its offset in the text) -> end of the last run there
+        out = []
+        for first, (_, number) in zip(firsts, seen, strict=True):
+            for item, at in self.owners[number]:
+                line = (item, first - at)
+                if reached.get(line, 0) > first:
+                    continue
+                item_id, own = self.items[item]
+                low, offset = first, first - at
+                while low > 0 and low > offset and words[low - 1] == own[low - 1 - offset]:
+                    low -= 1
+                high = first
+                while high < len(words) and high - offset < len(own) and words[high] == own[high - offset]:
+                    high += 1
+                reached[line] = high
+                if high - low >= min(self.size, len(own)):
+                    out.append((low, high - low, item_id))
+        return out
+
+
+def marked_words(n_words: int, hits: list[tuple[int, int, object]]) -> np.ndarray:
+    """For each word whether any hit covers it."""
+    steps = np.zeros(n_words + 1, np.int64)
+    np.add.at(steps, [h[0] for h in hits], 1)
+    np.add.at(steps, [h[0] + h[1] for h in hits], -1)
     return np.cumsum(steps)[:-1] > 0
 
 
@@ -97,45 +129,33 @@ def original_spans(text: str, marked: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-_HELD: dict[str, Matcher] = {}
+_HELD: dict[object, Matcher] = {}
 
 
-def _matcher(path: str) -> Matcher:
-    """The automaton of a block's file; a worker keeps the last one it built."""
-    if path not in _HELD:
+def _matcher(part) -> Matcher:
+    """The automaton of a broadcast part; a worker keeps the last one it built."""
+    if part.id not in _HELD:
         _HELD.clear()
-        files, inner = filesystem(path)
-        with files.open_input_file(inner) as f:
-            _HELD[path] = Matcher(pickle.loads(f.read()))
-    return _HELD[path]
+        _HELD[part.id] = Matcher(part.items.value)
+    return _HELD[part.id]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """Files in the shared folder, each with the items of one block.
+class _Part:
+    """Items of a part of the benchmark, broadcast, under a name of its own."""
 
-    Items pass through the driver one by one; it never holds more than a block.
-    """
-    spark = benchmark.sparkSession
-    folder, paths, held, chars = fresh_dir(spark, "benchmark"), [], [], 0
-
-    def put() -> None:
-        path = f"{folder}/{len(paths)}"
-        files, inner = filesystem(path)
-        files.create_dir(inner.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(inner) as f:
-            f.write(pickle.dumps(held))
-        paths.append(path)
-
-    for row in benchmark.select(F.col(id_col), F.col(text_col)).filter(F.col(id_col).isNotNull()).toLocalIterator():
-        size = WINDOW * len(row[1] or "")
-        if held and chars + size > BLOCK_CHARS:
-            put()
-            held, chars = [], 0
-        held.append((row[0], row[1] or ""))
-        chars += size
-    if held:
-        put()
-    return paths
+    def __init__(self, spark, items: list[tuple]):
+        self.id = uuid.uuid4().hex
+        self.items = spark.sparkContext.broadcast(items)
+
+
+def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[_Part, bool]]:
+    """The benchmark in parts of ``MAX_CHARS`` or so, and whether each one is the last."""
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-chars // MAX_CHARS) or 1
+    for i in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
+        yield _Part(benchmark.sparkSession, [tuple(r) for r in part.collect()]), i == n - 1
 
 
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:long,end:long>>"
@@ -144,35 +164,47 @@ _ARROW = pa.schema(
 )
 
 
-def judged(text: str | None, folded: bytes, hits: list[tuple[int, int, set[int]]]) -> tuple:
+def judged(text: str | None, folded: bytes, hits: list[tuple[int, int, object]]) -> tuple:
     """What ``FOUND`` has of a text besides its id."""
     n_words = max(0, folded.count(b" ") - 1)
-    marked = marked_words(folded, hits) if hits else np.zeros(n_words, bool)
+    marked = marked_words(n_words, hits)
     n_hit = int(marked.sum())
-    ids = sorted({str(i) for h in hits for i in h[2]})
+    ids = sorted({str(h[2]) for h in hits})
     spans = [{"start": a, "end": b} for a, b in original_spans(text or "", marked)] if n_hit else []
     return n_words, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, ids, spans
 
 
+_HITS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("item", pa.string())]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_content: bool = False) -> DataFrame:
     """Per row of ``docs``: ``FOUND``, and ``content`` if wanted. One pass over the texts, no shuffle.
 
     A text is contaminated if a window occurs and hit words are at least 5 % of its words.
     """
-    small_batches(docs.sparkSession)
-    paths = _blocks(benchmark, item_col, item_text_col)
     kept = ["content"] if with_content else []
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = next(rows_of(iter([batch]), "doc_id", "text"))
-            folded = [normalised(t or "") for t in texts]
-            hits: list[list] = [[] for _ in texts]
-            for path in paths:
-                matcher = _matcher(path)
-                for own, line in zip(hits, folded, strict=True):
-                    own += matcher.hits(line)
-            yield beside(batch_of([(i, *judged(t, f, h)) for i, t, f, h in zip(ids, texts, folded, hits, strict=True)], _ARROW), batch, kept)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept))
-    return rows.mapInArrow(scan, ", ".join([FOUND, *(f"{k} binary" for k in kept)]))
+    def scan(part: _Part, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(part)
+            for batch in batches:
+                ids, texts, before = next(rows_of(iter([batch]), "doc_id", "text", "hits"))
+                rows = []
+                for doc_id, text, found in zip(ids, texts, before, strict=True):
+                    folded = normalised(text or "")
+                    hits = [(h["first"], h["n"], h["item"]) for h in found or ()] + matcher.hits(folded)
+                    rows.append((doc_id, *judged(text, folded, hits)) if last else [{"first": a, "n": n, "item": str(i)} for a, n, i in hits])
+                if last:
+                    yield beside(batch_of(rows, _ARROW), batch, kept)
+                else:
+                    at = batch.schema.get_field_index("hits")
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, _HITS) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+        return run
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept), F.lit(None).cast("array<struct<first:long,n:long,item:string>>").alias("hits"))
+    small_batches(docs.sparkSession)
+    for part, last in _parts(benchmark, item_col, item_text_col):
+        if last:
+            return rows.mapInArrow(scan(part, True), ", ".join([FOUND, *(f"{k} binary" for k in kept)]))
+        rows = written(rows.mapInArrow(scan(part, False), rows.schema), "decontaminated-in-part")

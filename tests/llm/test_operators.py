@@ -166,7 +166,7 @@ def test_contamination_blocks_and_spans(spark, monkeypatch):
     texts = ["Intro! " + items[1][1].replace(" ", "; ").upper() + " tail", "another two", "clean words only", *ODD]
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = decontaminate.decontaminate(docs(spark, *texts), bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(decontaminate, "MAX_CHARS", 100)
     assert decontaminate.decontaminate(docs(spark, *texts), bench).orderBy("doc_id").collect() == one
     assert [tuple(s) for s in one[0]["spans"]] == [(7, len(texts[0]) - 5)] and one[0]["contaminated"] and one[1]["item_ids"] == ["2"] and not one[2]["contaminated"]
     assert decontaminate.decontaminate(docs(spark, *ODD), bench.limit(0)).filter("contaminated").count() == 0
