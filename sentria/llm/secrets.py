@@ -1,10 +1,13 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a text is content-addressed by the SHA-256 of its UTF-8
-bytes. A ledger in a folder records which blobs were scanned under which
-version of the rules, with what was found. A scan looks only at pairs of blob
-and rule version that the ledger lacks, each blob once however many paths hold
-it, appends them, and joins findings back to all paths.
+bytes. A ledger in a folder has two tables that only grow. ``findings`` records
+which blobs were scanned under which version of the rules, with what was found;
+``versions`` records which blobs every path ever had, with the batch that saw it
+first. A scan looks only at pairs of blob and rule version that the ledger lacks,
+each blob once however many paths hold it, appends them, and joins findings back
+to all paths: ``scan_secrets`` to the rows at hand, ``history`` to every version
+of every path, those that were overwritten or deleted since included.
 
 Defined cases: a null text is the empty blob; repeated rows and repeated ids
 each keep a row; an empty table gives an empty result; columns beside the id
@@ -20,10 +23,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, keyed_only, rows_of, small_batches, written
+from ._shared import batch_of, keyed_only, rows_of, small_batches, spare, written
 
 Span = tuple[int, int, str]
 
@@ -31,6 +34,8 @@ Span = tuple[int, int, str]
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge", "chat", "basic")
 #: Part of the ledger's key: raise it with every change of the rules below.
 RULE_VERSION = 3
+#: Rows of one blob from which its findings are not joined by a shuffle.
+HOT = 10_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 CUES = (b"passw", b"secret", b"token", b"api_key", b"apikey")
@@ -77,6 +82,7 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 FOUND = "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+VERSION = "doc_id long, blob binary, batch int"
 _ARROW = pa.schema([("blob", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
@@ -94,13 +100,43 @@ def content_address(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def ledger_of(docs: DataFrame, ledger: str) -> DataFrame | None:
-    """The ledger's rows ``FOUND + rule_version``, null if it has none."""
-    spark = docs.sparkSession
+def _ledger(spark: SparkSession, ledger: str, table: str, schema: str) -> DataFrame | None:
+    """The finished batches of one of the ledger's tables, null if there are none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [str(s.getPath().getParent()) for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/batch-*/_SUCCESS")) or []]
-    return spark.read.schema(f"{FOUND}, rule_version int").parquet(*done) if done else None
+    done = [str(s.getPath().getParent()) for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{table}-*/_SUCCESS")) or []]
+    return spark.read.schema(schema).parquet(*done) if done else None
+
+
+def ledger_of(docs: DataFrame, ledger: str) -> DataFrame | None:
+    """The ledger's rows ``FOUND + rule_version``, null if it has none."""
+    return _ledger(docs.sparkSession, ledger, "batch", f"{FOUND}, rule_version int")
+
+
+def versions_of(docs: DataFrame, ledger: str) -> DataFrame | None:
+    """Rows ``VERSION``: a blob that a path had once, null if there are none."""
+    return _ledger(docs.sparkSession, ledger, "versions", VERSION)
+
+
+def _with_findings(paths: DataFrame, hits: DataFrame, hot: DataFrame | None, *columns: str) -> DataFrame:
+    """``paths`` with the findings of their blobs; those of ``hot`` blobs go to the rows, not the rows to one task."""
+    none = hashlib.sha256(b"").hexdigest()
+    if hot is None:
+        rows = paths.join(hits, "blob", "left")
+    else:
+        hot_hits = written(hits.join(keyed_only(hot), "blob", "left_semi"), "hot-findings")
+        marked = paths.join(keyed_only(hot.select(F.col("blob").alias("hot_blob"))), F.col("blob") == F.col("hot_blob"), "left")
+        cold = marked.filter("hot_blob is null").drop("hot_blob").join(hits.join(keyed_only(hot), "blob", "left_anti"), "blob", "left")
+        rows = cold.unionByName(marked.filter("hot_blob is not null").drop("hot_blob").join(keyed_only(hot_hits), "blob", "left"))
+    return rows.select(
+        *columns, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")),
+        F.coalesce("base_sha256", F.lit(none)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+    )
+
+
+def _hits(docs: DataFrame, ledger: str, rule_version: int) -> DataFrame:
+    # repeated rows of one id scan a blob more than once, with equal results
+    return ledger_of(docs, ledger).filter((F.col("rule_version") == rule_version) & (F.col("spans") != "")).drop("rule_version").dropDuplicates(["blob"])
 
 
 def scan_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
@@ -112,23 +148,37 @@ def scan_secrets(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    addressed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), content_address(F.col(text_col)).alias("blob"))
+    addressed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), content_address(F.col(text_col)).alias("blob"))
     paths = written(addressed.select("doc_id", "blob"), "paths")
-    many = written(paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.unhex("blob").alias("of_blob"), "first_id"), "shared-blobs")
+    many = written(paths.groupBy("blob").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.unhex("blob").alias("of_blob"), "first_id", "n"), "shared-blobs")
     once = addressed.join(keyed_only(many), F.unhex("blob") == F.col("of_blob"), "left").filter(F.col("of_blob").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("blob", "text")
-    before = ledger_of(docs, ledger)
+    before, known = ledger_of(docs, ledger), versions_of(docs, ledger)
     if before is not None:
         once = once.join(before.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     found = once.mapInArrow(_scan, FOUND).withColumn("rule_version", F.lit(rule_version))
     found.write.parquet(f"{ledger}/batch-{uuid.uuid4().hex}")
-    # repeated rows of one id scan a blob more than once, with equal results
-    hits = ledger_of(docs, ledger).filter((F.col("rule_version") == rule_version) & (F.col("spans") != "")).drop("rule_version").dropDuplicates(["blob"])
-    none = hashlib.sha256(b"").hexdigest()
-    rows = paths.join(hits, "blob", "left")
-    return rows.select(
-        "doc_id", "blob", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")),
-        F.coalesce("base_sha256", F.lit(none)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
-    )
+    unseen = paths.select("doc_id", F.unhex("blob").alias("blob")).distinct()
+    if known is not None:
+        old = known.select(F.col("doc_id").alias("old_id"), F.col("blob").alias("old_blob"))
+        unseen = unseen.join(old, F.col("doc_id").eqNullSafe(F.col("old_id")) & (F.col("blob") == F.col("old_blob")), "left_anti")
+    # batches are numbered in the order of their scans
+    number = 0 if known is None else known.agg(F.max("batch")).first()[0] or 0
+    unseen.withColumn("batch", F.lit(number + 1)).write.parquet(f"{ledger}/versions-{uuid.uuid4().hex}")
+    hot = many.filter(F.col("n") > HOT).select(F.lower(F.hex("of_blob")).alias("blob"))
+    return _with_findings(paths, _hits(docs, ledger, rule_version), None if hot.isEmpty() else hot, "doc_id", "blob")
+
+
+def history(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Findings in every version that a path ever had: ``doc_id, blob, batch`` and the columns of ``scan_secrets``.
+
+    ``docs`` lends its session only.
+    """
+    versions = versions_of(docs, ledger)
+    if versions is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, blob string, batch int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    paths = versions.withColumn("blob", F.lower(F.hex("blob")))
+    hot = written(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("blob"), "hot-blobs")
+    return _with_findings(paths, _hits(docs, ledger, rule_version), None if hot.isEmpty() else hot, "doc_id", "blob", "batch")
 
 
 def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -137,12 +187,13 @@ def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     Only texts whose blob has findings are scanned for their spans again.
     """
     small_batches(docs.sparkSession)
-    dirty = keyed_only(found.filter("spans <> ''").select(F.col("blob").alias("__dirty")).distinct())
-    marked = docs.withColumn("__blob", content_address(F.col(text_col))).join(dirty, F.col("__blob") == F.col("__dirty"), "left").drop("__blob")
+    is_dirty, blob = spare(docs, "is_dirty"), spare(docs, "blob_of_text")
+    dirty = keyed_only(found.filter("spans <> ''").select(F.col("blob").alias(is_dirty)).distinct())
+    marked = docs.withColumn(blob, content_address(F.col(text_col))).join(dirty, F.col(blob) == F.col(is_dirty), "left").drop(blob)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, flag = batch.schema.get_field_index(text_col), batch.schema.get_field_index("__dirty")
+            at, flag = batch.schema.get_field_index(text_col), batch.schema.get_field_index(is_dirty)
             texts = batch.column(at)
             if batch.column(flag).null_count < len(batch):
                 texts = pa.array([redact(t) if d else t for t, d in zip(texts.to_pylist(), batch.column(flag).to_pylist(), strict=True)], texts.type)
@@ -151,5 +202,5 @@ def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     fixed = marked.mapInArrow(mark, marked.schema)
     if length_col:
         changed = F.length(F.col(text_col)).cast(docs.schema[length_col].dataType)
-        fixed = fixed.withColumn(length_col, F.when(F.col("__dirty").isNotNull(), changed).otherwise(F.col(length_col)))
-    return fixed.drop("__dirty")
+        fixed = fixed.withColumn(length_col, F.when(F.col(is_dirty).isNotNull(), changed).otherwise(F.col(length_col)))
+    return fixed.drop(is_dirty)
