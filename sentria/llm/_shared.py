@@ -6,6 +6,7 @@ cluster names in ``spark.checkpoint.dir``; nothing is kept on one machine.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,26 +16,30 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of one Arrow batch sent to a Python worker; texts are long.
-BATCH_ROWS = "1000"
-#: Most rows of single 8 to 16 byte keys that may be broadcast.
+#: Most rows and bytes of one Arrow batch sent to a Python worker; texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Most rows of single keys of 8 to 32 bytes that may be broadcast (some 150 MB as a hashed relation).
 BROADCAST_KEYS = 1_000_000
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session doesn't name a folder that all executors can reach."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver can reach.
 
-    ``spark.checkpoint.dir`` of the session if it is set. Where it is not
-    (local runs and tests), a folder of this machine is made and registered.
+    ``spark.checkpoint.dir`` of the session, or what was set on its context. Where
+    neither is, a local session (as in tests) gets a folder of this machine; on
+    a cluster this is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise NoSharedFolder("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sentria-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -54,8 +59,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the Arrow batches that carry whole texts, by rows and by bytes.
+
+    Plans read these settings when they run, so they stay with the session; they
+    are only ever lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = re.sub(r"[^0-9-]", "", str(spark.conf.get(key)))
+        if not 0 < int(held or 0) <= most:
+            spark.conf.set(key, str(most))
 
 
 def keyed_only(keys: DataFrame) -> DataFrame:
@@ -67,9 +80,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it: with the scheme of the default file system if it has none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
+#: Schemes of Hadoop's connectors and those by which Arrow knows the same stores.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file", "abfss": "abfss"}
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI and the path in it."""
-    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    """Arrow's file system of a qualified path, and the path in it. HDFS needs libhdfs on the workers."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), re.sub("^//+", "/", rest if colon else uri)
+    return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, like ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, filesystem, fresh_dir, keyed_only, rows_of, small_batches, written
+from ._shared import batch_of, filesystem, keyed_only, qualified, rows_of, small_batches, written
 
 MIN_REVISIT = 100
 #: A package is closed beyond this many stored bytes.
@@ -212,6 +212,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     spark = pages.sparkSession
     small_batches(spark)
+    folder = qualified(spark, folder)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     records = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"))
     digests = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).alias("bytes"))
