@@ -19,8 +19,8 @@ def parse(text: Column) -> Column:
     return F.when(text.rlike("^[0-9a-f]{1,16}$"), F.conv(text, 16, 10).cast("decimal(20,0)").cast("long"))
 
 
-def to_text(cell: Column) -> Column:
-    return F.lower(F.hex(cell))
+def to_text(cell: Column | str) -> Column:
+    return F.lower(F.hex(F.col(cell) if isinstance(cell, str) else cell))
 
 
 def resolution(cell: Column) -> Column:
@@ -66,17 +66,21 @@ def children(cell: Column, to: int) -> Column:
     return F.when(resolution(cell) == to - 1, F.transform(digits, lambda d: opened.bitwiseOR(d.cast("long") * F.lit(1 << shift))))
 
 
-def _split(to: int):  # noqa: ANN202
-    return lambda cell: children(cell, to)
+def _shifted(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", value.cast("long"), bits.cast("int"))
 
 
-def uncompacted(cell: Column, to: int) -> Column:
-    """All descendants at resolution ``to``; null if the cell is finer."""
-    found = F.when(resolution(cell) == to, F.array(cell))
-    for r in range(to - 1, -1, -1):
-        below = children(cell, r + 1)
-        for finer in range(r + 2, to + 1):
-            below = F.flatten(F.transform(below, _split(finer)))
-        if to - r <= 4:
-            found = F.coalesce(found, below)
-    return found
+def up(cell: Column) -> Column:
+    """The cell that holds it one resolution coarser; null for base cells."""
+    r = resolution(cell)
+    moved = cell.bitwiseAND(F.lit(~(15 << 52))).bitwiseOR(_shifted(r - 1, F.lit(52))).bitwiseOR(_shifted(F.lit(7), 3 * (15 - r)))
+    return F.when(r > 0, moved)
+
+
+def split(cell: Column) -> Column:
+    """Its children one resolution finer: seven, or six of a pentagon; null at the finest."""
+    r = resolution(cell)
+    shift = 3 * (14 - r)
+    opened = cell.bitwiseAND(F.lit(~(15 << 52))).bitwiseOR(_shifted(r + 1, F.lit(52))).bitwiseAND(F.bitwise_not(_shifted(F.lit(7), shift)))
+    digits = F.when(is_pentagon(cell), F.array(*map(F.lit, (0, 2, 3, 4, 5, 6)))).otherwise(F.array(*map(F.lit, range(7))))
+    return F.when(r < 15, F.transform(digits, lambda d: opened.bitwiseOR(_shifted(d, shift))))

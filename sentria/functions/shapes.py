@@ -1,102 +1,107 @@
-"""Covers in plain Python for distinct geometries: the same grid as ``hexgrid``, cell by cell.
-
-One expression for every geometry type would be compiled into each plan; a
-table of distinct shapes is small, so it goes through Arrow instead. Tests hold
-both forms against each other.
-"""
+"""Covers of geometries as sets of H3 cells, for distinct geometries in plain Python."""
 
 from __future__ import annotations
 
 import math
 
 from ..params import EARTH_KM
-from .hexgrid import _BETA, _C, _HALF, _MARK, _Z, MAX_STEPS, SLACK, _offsets, _unit, area_km2
+from . import h3grid
 
-Cells = set[tuple[int, int]]
+Cells = set[int]
+#: The estimate of a polygon's cells may exceed the real count so many times before it is refused.
+SLACK = 2.0
 
 
 class Refused(ValueError):
     """Why there is no cover: ``invalid_geometry`` or ``cover_too_large``."""
 
 
-def to_axial(lon: float, lat: float, resolution: int) -> tuple[float, float]:
-    w = complex(math.radians(lon) * EARTH_KM * _C, math.sin(math.radians(lat)) * EARTH_KM / _C) / _unit(resolution)
-    b = w.imag * 2 / math.sqrt(3)
-    return w.real - b / 2, b
+def parsed(text: str) -> tuple[int, int]:
+    """Resolution and number of a cell's text."""
+    try:
+        cell = h3grid.parsed(text)
+    except h3grid.NotACell as e:
+        raise Refused("invalid_geometry") from e
+    return h3grid.resolution_of(cell), cell
 
 
-def _near(x: float) -> int:
-    return math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+def texts(cells: Cells, resolution: int) -> list[str]:
+    return sorted(map(h3grid.text_of, cells))
 
 
-def rounded(a: float, b: float) -> tuple[int, int]:
-    c = -a - b
-    ra, rb, rc = _near(a), _near(b), _near(c)
-    da, db, dc = abs(ra - a), abs(rb - b), abs(rc - c)
-    if da > db and da > dc:
-        return -rb - rc, rb
-    return (ra, -ra - rc) if db > dc else (ra, rb)
+def centroid(cells: Cells, resolution: int) -> tuple[float, float, float]:
+    """Longitude and latitude of the mean center, and the radius of a circle of equal area."""
+    found = [h3grid.center_of(c) for c in cells]
+    return sum(x for x, _ in found) / len(found), sum(y for _, y in found) / len(found), math.sqrt(sum(map(h3grid.area_km2, cells)) / math.pi)
 
 
-def cell_text(cell: tuple[int, int], resolution: int) -> str:
-    return f"{_MARK + (resolution << 56) + ((cell[0] + _HALF) << 28) + cell[1] + _HALF:x}"
+def _ring_km2(ring: list[tuple[float, float]]) -> float:
+    steps = zip(ring, ring[1:], strict=False)
+    return abs(sum(math.radians(q[0] - p[0]) * (2 + math.sin(math.radians(p[1])) + math.sin(math.radians(q[1]))) for p, q in steps)) * EARTH_KM**2 / 2
 
 
-def parsed(text: str) -> tuple[int, tuple[int, int]]:
-    """Resolution and axial coordinates of an id of this grid."""
-    if len(text) != 16 or text[0] != "7" or any(c not in "0123456789abcdef" for c in text):
-        raise Refused("invalid_geometry")
-    n = int(text, 16)
-    return n >> 56 & 15, ((n >> 28 & (2 * _HALF - 1)) - _HALF, (n & (2 * _HALF - 1)) - _HALF)
+def _km(p: tuple[float, float], q: tuple[float, float]) -> float:
+    a, b = math.radians(p[1]), math.radians(q[1])
+    return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2)))
 
 
-def centers(cells: Cells, resolution: int) -> list[tuple[float, float]]:
-    out = []
-    for a, b in cells:
-        w = (a + b * _Z) * _unit(resolution)
-        out.append((math.degrees(w.real / (EARTH_KM * _C)), math.degrees(math.asin(max(-1.0, min(1.0, w.imag * _C / EARTH_KM))))))
-    return out
+def _inside(rings: list[list[tuple[float, float]]], x: float, y: float) -> bool:
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
 
 
-def centroid(cells: Cells, resolution: int) -> tuple[float, float, float]:
-    """Longitude and latitude of the mean center, and the radius of a circle of equal area."""
-    found = centers(cells, resolution)
-    return sum(x for x, _ in found) / len(found), sum(y for _, y in found) / len(found), math.sqrt(len(found) * area_km2(resolution) / math.pi)
+def _touched(rings: list[list[tuple[float, float]]], resolution: int, step_km: float, limit: float) -> Cells:
+    """Cells along the boundary, looked up at steps of such a length."""
+    out: Cells = set()
+    for ring in rings:
+        for p, q in zip(ring, ring[1:], strict=False):
+            n = max(1, math.ceil(_km(p, q) / step_km))
+            out.update(h3grid.cell_of(p[0] + (q[0] - p[0]) * t / n, p[1] + (q[1] - p[1]) * t / n, resolution) for t in range(n))
+            if len(out) > limit:
+                raise Refused("cover_too_large")
+    return out
 
 
 def polygon(rings: list[list[tuple[float, float]]], resolution: int, max_cells: int) -> Cells:
-    """Cells with their center inside, row by row between the crossings of the edges."""
-    flat = [[to_axial(x, y, resolution) for x, y in ring] for ring in rings]
-    edges = [(p, q) for ring in flat for p, q in zip(ring, ring[1:], strict=False)]
-    outer = list(zip(flat[0], flat[0][1:], strict=False))
-    area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in outer)) / 2
-    if area + sum(max(abs(p[0] - q[0]), abs(p[1] - q[1])) for p, q in outer) / 2 > SLACK * max_cells + 64:
+    """Cells with their center inside; all that it touches if there are none.
+
+    What is certainly too large is refused by its area and boundary. The cells
+    along the boundary are then grown inwards, neighbour by neighbour.
+    """
+    edge = h3grid.mean_edge_km(resolution)
+    area = _ring_km2(rings[0]) - sum(map(_ring_km2, rings[1:]))
+    boundary = sum(_km(p, q) for ring in rings for p, q in zip(ring, ring[1:], strict=False))
+    if max(area / h3grid.mean_area_km2(resolution), boundary / edge) > SLACK * max_cells:
         raise Refused("cover_too_large")
-    cells: Cells = set()
-    low, high = min(p[1] for p in flat[0]), max(p[1] for p in flat[0])
-    for b in range(math.ceil(low), math.floor(high) + 1):
-        cuts = sorted((q[0] - p[0]) * (b - p[1]) / (q[1] - p[1]) + p[0] for p, q in edges if (p[1] > b) != (q[1] > b))
-        for left, right in zip(cuts[::2], cuts[1::2], strict=False):
-            cells.update((a, b) for a in range(math.ceil(left), math.ceil(right)))
-            if len(cells) > max_cells:
-                raise Refused("cover_too_large")
-    return cells or {rounded(*p) for p in flat[0]}
-
-
-def recast(listed: list[str], resolution: int, max_cells: int) -> Cells:
+    seen = _touched(rings, resolution, edge / 2, math.inf)
+    edge_cells, found = h3grid.disk(seen, 1), set()
+    seen = set(edge_cells)
+    while edge_cells:
+        fresh = {c for c in edge_cells if _inside(rings, *h3grid.center_of(c))}
+        found |= fresh
+        if len(found) > max_cells:
+            raise Refused("cover_too_large")
+        edge_cells = {n for c in fresh for n in h3grid.neighbours(c)} - seen
+        seen |= edge_cells
+    return found or _touched(rings, resolution, edge / 20, max_cells)
+
+
+def recast(listed: list[str], resolution: int, max_cells: int, declared: int | None = None) -> Cells:
     """A list of ids at another resolution: parents, or all children if they fit."""
     known = [parsed(t) for t in listed]
-    have = known[0][0]
-    if any(r != have for r, _ in known) or abs(have - resolution) > MAX_STEPS:
+    have = known[0][0] if declared is None else declared
+    if any(r != have for r, _ in known):
         raise Refused("invalid_geometry")
     cells = {c for _, c in known}
-    if have < resolution and len(cells) * 7 ** (resolution - have) > max_cells:
+    if resolution <= have:
+        return {h3grid.parent_of(c, resolution) for c in cells}
+    if sum(h3grid.children_count(c, resolution) for c in cells) > max_cells:
         raise Refused("cover_too_large")
-    for _ in range(have, resolution):
-        cells = {(2 * a - b + da, a + 3 * b + db) for a, b in cells for da, db in _offsets(1)}
-    for _ in range(resolution, have):
-        cells = {rounded((3 * a + b) / 7, (2 * b - a) / 7) for a, b in cells}
-    return cells
+    return {child for c in cells for child in h3grid.children_of(c, resolution)}
 
 
 def around(lon: float, lat: float, km: float, vertices: int) -> list[tuple[float, float]]:
@@ -125,11 +130,11 @@ def covered(geometry: dict, resolution: int, max_cells: int, point_km: float | N
     kind = geometry["type"]
     if kind == "point":
         at = _position(geometry["coordinates"])
-        cells = {rounded(*to_axial(*at, resolution))} if point_km is None else polygon([around(*at, point_km, vertices)], resolution, max_cells)
+        cells = {h3grid.cell_of(*at, resolution)} if point_km is None else polygon([around(*at, point_km, vertices)], resolution, max_cells)
     elif kind == "polygon":
         cells = polygon(rings_of(geometry), resolution, max_cells)
     elif kind == "cells" and geometry["cells"]:
-        cells = recast(geometry["cells"], resolution, max_cells)
+        cells = recast(geometry["cells"], resolution, max_cells, geometry.get("resolution"))
     else:
         raise Refused("invalid_geometry")
     if len(cells) > max_cells:
@@ -138,14 +143,7 @@ def covered(geometry: dict, resolution: int, max_cells: int, point_km: float | N
 
 
 def expanded(cells: Cells, rings: int, max_cells: int) -> Cells:
-    grown = {(a + da, b + db) for a, b in cells for da, db in _offsets(rings)}
+    grown = h3grid.disk(cells, rings)
     if len(grown) > max_cells:
         raise Refused("cover_too_large")
     return grown
-
-
-def texts(cells: Cells, resolution: int) -> list[str]:
-    return sorted(cell_text(c, resolution) for c in cells)
-
-
-assert abs(abs(_BETA) ** 2 - 7) < 1e-9

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hexgrid, shapes
+from ..functions import h3bits, shapes
 from ..params import MAX_REGION_CELLS
 from .runs import map_rows
 
@@ -16,39 +16,44 @@ REGION = "id string, name string, lat double, lon double, reach_km int, resoluti
 
 
 def compacted(cells: DataFrame, key: str, levels: int) -> DataFrame:
-    """``key, cell`` with every seven children that are all there replaced by their parent, ``levels`` times.
+    """``key, cell`` with all children of a cell replaced by it where all are there, ``levels`` times.
 
-    Each level is one aggregation by (key, parent); cells of a level above are left as they are.
+    Each level, from the finest of a key's cells on, is one aggregation by (key, parent); cells of other levels stay.
     """
-    rows = cells.select(key, "cell").distinct()
+    # a key is one region: the window holds its cells
+    finest = F.max(h3bits.resolution(F.col("cell"))).over(Window.partitionBy(key))
+    rows = cells.select(key, "cell").distinct().withColumn("finest", finest)
+    for level in range(levels):
+        marked = rows.withColumn("joins", h3bits.resolution(F.col("cell")) == F.col("finest") - level)
+        grouped = marked.groupBy(key, "finest", F.when(F.col("joins"), h3bits.up(F.col("cell"))).otherwise(F.col("cell")).alias("parent"), "joins").agg(F.collect_list("cell").alias("own"))  # seven at most
+        whole = F.col("joins") & (F.size("own") == F.size(h3bits.split(F.col("parent"))))
+        rows = grouped.select(key, "finest", F.explode(F.when(whole, F.array("parent")).otherwise(F.col("own"))).alias("cell"))
+    return rows.drop("finest")
+
+
+def uncompacted(cells: DataFrame, resolution: Column | int, levels: int = 8) -> DataFrame:
+    """Rows with ``cell`` replaced by its descendants at ``resolution``, at most ``levels`` below. Finer ones, and what is coarser still, stay as they are."""
+    target = F.lit(resolution) if isinstance(resolution, int) else resolution
     for _ in range(levels):
-        # a key is one region: the window holds its cells
-        finest = F.max(hexgrid.cell_resolution(F.col("cell"))).over(Window.partitionBy(key))
-        marked = rows.withColumn("__finest", finest).withColumn("__parent", F.when(hexgrid.cell_resolution(F.col("cell")) == F.col("__finest"), hexgrid.parent(F.col("cell"))).otherwise(-F.col("cell")))
-        grouped = marked.groupBy(key, "__parent").agg(F.collect_list("cell").alias("__cells"))  # seven at most
-        rows = grouped.select(key, F.explode(F.when(F.size("__cells") == 7, F.array("__parent")).otherwise(F.col("__cells"))).alias("cell"))
-    return rows
-
-
-def uncompacted(cells: DataFrame, resolution: int, levels: int = 4) -> DataFrame:
-    """Rows with ``cell`` replaced by its descendants at ``resolution``, at most ``levels`` below; finer ones are dropped."""
-    for _ in range(levels):
-        coarse = hexgrid.cell_resolution(F.col("cell")) < resolution
-        cells = cells.withColumn("cell", F.explode(F.when(coarse, hexgrid.children(F.col("cell"))).otherwise(F.array("cell"))))
-    return cells.filter(hexgrid.cell_resolution(F.col("cell")) == resolution)
+        coarse = h3bits.resolution(F.col("cell")) < target
+        cells = cells.withColumn("cell", F.explode(F.when(coarse, h3bits.split(F.col("cell"))).otherwise(F.array("cell"))))
+    return cells
 
 
 def load_regions(spark: SparkSession, path: str, max_cells: int = MAX_REGION_CELLS) -> tuple[DataFrame, DataFrame]:
-    """Regions of a JSON document with uncompacted cells, and ``problems`` (id, problem)."""
+    """Regions of a JSON document with uncompacted cells, each at its own resolution, and ``problems`` (id, problem)."""
     doc = spark.read.option("multiLine", "true").schema(f"version string, attribution string, regions array<struct<{REGION}>>").json(path)
-    rows = doc.select(F.explode("regions").alias("r")).select("r.*")
-    one = rows.withColumn("text", F.explode("cells")).withColumn("cell", hexgrid.parse_cell(F.col("text")))
-    fine = one.groupBy("resolution").agg(F.count(F.lit(1)).alias("n"))  # a document has one resolution
-    level = fine.orderBy(F.desc("n")).limit(1).select("resolution").first()
-    cells = uncompacted(one.filter("cell is not null").select("id", "cell"), level[0] if level else 6).groupBy("id").agg(F.array_sort(F.collect_set(hexgrid.cell_id(F.col("cell")))).alias("cells"))
-    whole = rows.drop("cells").join(cells, "id", "left")
-    problems = whole.select("id", F.when(F.col("cells").isNull(), "no cells of this grid").when(F.size("cells") > max_cells, "too many cells").alias("problem")).filter("problem is not null")
-    return whole.join(problems.select("id"), "id", "left_anti"), problems
+    rows = doc.select("version", F.explode("regions").alias("r")).select("version", "r.*")
+    one = rows.select("id", "resolution", F.explode("cells").alias("text")).withColumn("cell", h3bits.parse(F.col("text")))
+    wrong = one.groupBy("id").agg(F.max(~h3bits.is_cell(F.col("cell")) | (h3bits.resolution(F.col("cell")) > F.col("resolution"))).alias("wrong"))
+    fine = uncompacted(one.filter(h3bits.is_cell(F.col("cell"))).select("id", "resolution", "cell"), F.col("resolution")).groupBy("id").agg(F.array_sort(F.collect_set(h3bits.to_text(F.col("cell")))).alias("cells"), F.min(h3bits.resolution(F.col("cell"))).alias("coarsest"))
+    whole = rows.drop("cells").join(wrong, "id", "left").join(fine, "id", "left")
+    problem = (
+        F.when(~F.col("version").eqNullSafe("regions.v1"), "unsupported version").when(F.col("wrong"), "no h3 cell, or finer than the region's resolution").when(F.col("cells").isNull(), "no cells")
+        .when(F.col("coarsest") < F.col("resolution"), "a cell is too coarse").when(F.size("cells") > max_cells, "too many cells")
+    )
+    judged = whole.withColumn("problem", problem)
+    return judged.filter("problem is null").drop("problem", "version", "wrong", "coarsest"), judged.filter("problem is not null").select("id", "problem")
 
 
 def build_regions(boundaries: DataFrame, resolution: int = 6, max_cells: int = MAX_REGION_CELLS) -> DataFrame:

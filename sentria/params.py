@@ -52,6 +52,16 @@ class FusionPolicy:
     tracks: TrackPolicy = field(default_factory=TrackPolicy)
 
 
+@dataclass(frozen=True)
+class GridProfile:
+    """Resolutions that a deployment uses: for broadcasts, and for proximity and map aggregation."""
+
+    broadcast: int
+    proximity: int
+
+
+GRID_PROFILES = {"current": GridProfile(7, 8)}
+
 POLICIES = {"fusion.v1": FusionPolicy()}
 
 
