@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ADJECTIVE_ENDINGS, NOUN_ENDINGS, keyed, normalized
@@ -20,7 +20,8 @@ from ..schemas import GEOMETRY, OBSERVATION_PROVENANCE
 from .runs import map_rows
 
 NORMALIZER = "points.v1"
-#: Kind words in the order in which they are tried: kind, endings, stems (fixed values).
+# Fixed values of the reader, down to the look-back: kind words in the order in which they are tried (kind, endings,
+# stems), what is matched whole or by its beginning, administrative areas, units.
 KIND_WORDS = (
     ("air.ballistic_missile", NOUN_ENDINGS, ("баллист", "баллистик", "баліст", "балістик", "искандер", "іскандер", "кинжал", "кинджал")),
     ("air.ballistic_missile", ADJECTIVE_ENDINGS, ("баллистическ", "балістичн")),
@@ -153,6 +154,17 @@ def read_line(line: str, names: dict[tuple[str, ...], dict]) -> tuple[list[dict]
     return pairs, problems
 
 
+def of_lines(evidence: DataFrame, function: Callable[[list[tuple[str, str, int]]], list[dict]], schema: str) -> DataFrame:
+    """``evidence_id, line`` and what ``function`` makes of each line's words, for posts that weren't forwarded."""
+
+    def one(row: dict) -> Iterator[dict]:
+        for number, line in enumerate(re.split("\r?\n", row["text"] or ""), 1):
+            for found in function(words_of(line)):
+                yield {"evidence_id": row["external_id"], "line": number} | found
+
+    return map_rows(evidence.filter("forwarded_from is null").select("external_id", "text"), one, f"evidence_id string, line int, {schema}")
+
+
 READ = f"source_id string, kind string, stance string, count int, observed_at timestamp, geometry {GEOMETRY}, ttl int, confidence string, provenance {OBSERVATION_PROVENANCE}, line int, code string, detail string"
 
 
@@ -182,7 +194,3 @@ def observe(evidence: DataFrame, names: dict[tuple[str, ...], dict]) -> tuple[Da
     problems = rows.filter("code is not null").select(F.col("provenance.evidence_id").alias("evidence_id"), "line", "code", "detail")
     return rows.filter("code is null").drop("line", "code", "detail"), forwarded.unionByName(problems)
 
-
-def owner_clause(clause: Column, owners: Column) -> Column:
-    """The last owner at or before a clause, or else the first."""
-    return F.coalesce(F.array_max(F.filter(owners, lambda o: o <= clause)), F.array_min(owners))

@@ -1,65 +1,19 @@
-"""Registered queries of the bridge (B), the grid (G), sources (S) and the protocol (R), with DuckDB counterparts."""
+"""Registered queries of the bridge's expressions (B), the sphere (G), sources (S) and the protocol (R), with DuckDB counterparts."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import h3bits, hexgrid, sphere
-from ..functions.hexgrid import _C, _HALF, _MARK, _unit
-from ..operators import bridge, regions, role_reader
-from ..operators.vocabulary import RoleGazetteer, RolePlace, parse_lexicon, reach_km, wanted_place
+from ..functions import sphere
+from ..operators import bridge
+from ..operators.vocabulary import reach_km, wanted_place
 from ..params import EARTH_KM, policy
 from ..sources import ndjson, preview
 from . import runtime
 
-#: A lexicon of a few words for the invented prose of the tables.
-LEXICON = json.dumps({
-    "version": "lexicon.v1",
-    "kinds": {"drone": {"stems": ["thin"], "forms": ["the"]}, "guided_bomb": {"forms": ["la"]}, "cruise_missile": {"forms": ["der"]}, "ballistic_missile": {"forms": ["is"]}, "missile": {"forms": ["and", "y"]}},
-    "cleared": {"forms": ["of", "des"], "negated_by": ["to", "que"], "negated_after": ["on"]}, "intercepted": {"forms": ["was", "est"], "negated_by": ["a"]},
-    "cues": {"target": ["in", "en", "zu"], "via": ["for", "par", "von"], "origin": ["with", "con"]}, "conjunctions": ["or", "et", "und"], "fillers": ["a", "un", "ein"], "continuation": {"leads": ["it"], "marks": ["ha"]},
-})
-PLACES = [
-    RolePlace(f"geonames:{i}", word, 44 + 0.3 * i, 22 + 0.7 * i, (5, 8, 12, 20)[i % 4], None, (((word, False),),), frozenset(), 3, False)
-    for i, word in enumerate(("er", "an", "on", "re", "ti", "sh", "que", "ch", "ge", "os"))
-]
-
-
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    name = F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn"))
-    return c.select(
-        F.concat(F.lit("telegram.channel:"), "role").alias("source_id"), name.alias("external_id"), at.alias("published_at"), F.lit(False).alias("edited"), "text", F.array().cast("array<struct<kind:string,url:string>>").alias("media"),
-        F.when(F.col("conv_id") % 10 == 0, "other").alias("forwarded_from"), F.struct(F.concat(F.lit("https://t.me/"), name).alias("url"), F.lit("table").alias("collector")).alias("provenance"),
-    )
-
-
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return role_reader.read(_evidence(spark, sf_dir), parse_lexicon(LEXICON), RoleGazetteer(PLACES))
-
-
-def n13_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(spark, sf_dir).select("external_id", "statement", "kind", "kind_inherited", "phase", "count", F.array_join(F.transform("places", lambda p: F.concat(p["place_id"], F.lit("="), p["role"])), ",").alias("places"), F.array_join("unresolved", ",").alias("unresolved"))
-
-
-def n22_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return role_reader.coverage(_readings(spark, sf_dir))[0]
-
-
-def b01_b03_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.skipped(_readings(spark, sf_dir)).withColumn("wire", bridge.wire_code("code"))
-
-
-def b04_b09_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = bridge.bridge(_readings(spark, sf_dir))
-    return o.select(F.col("provenance.evidence_id").alias("evidence_id"), "kind", "stance", "count", "ttl", F.col("provenance.place_id").alias("place_id"), F.col("provenance.place_role").alias("place_role"), F.col("provenance.statement").alias("statement"), F.col("provenance.place_order").alias("place_order"), F.size(F.element_at("geometry.rings", 1)).alias("corners"))
-
-
 def _stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings made from orders, to hold the bridge's expressions against SQL."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -95,70 +49,6 @@ def g14_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("s_suppkey", sphere.valid_position(sphere.position(F.col("s_acctbal") / 40, F.col("s_acctbal") / 100)).alias("valid"))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nations(spark, sf_dir).withColumn("cell", hexgrid.cell_of(F.col("lon"), F.col("lat"), 8))
-
-
-def g07_cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).select("n_nationkey", hexgrid.cell_id(F.col("cell")).alias("id"), hexgrid.cell_resolution(F.col("cell")).alias("resolution"), (hexgrid.parse_cell(hexgrid.cell_id(F.col("cell"))) == F.col("cell")).alias("same"))
-
-
-def g05_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents, and whether each is the parent of its seven children."""
-    up = _cells(spark, sf_dir).withColumn("parent", hexgrid.parent(F.col("cell")))
-    back = up.withColumn("child", F.explode(hexgrid.children(F.col("parent")))).withColumn("back", hexgrid.parent(F.col("child")))
-    return back.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_children"), F.count_if(F.col("back") == F.col("parent")).alias("n_true"), F.max((F.col("child") == F.col("cell")).cast("int")).alias("has_own"))
-
-
-def g05_g08_h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public H3 algebra on one known cell and its kin at each resolution."""
-    known = _nations(spark, sf_dir).filter("n_nationkey between 0 and 9").withColumn("cell", h3bits.parse(F.lit("8928308280fffff")))
-    up = F.element_at(F.array(*(h3bits.parent(F.col("cell"), r) for r in range(10))), F.col("n_nationkey") + 1)
-    out = known.withColumn("up", up)
-    kids = F.size(F.coalesce(*(h3bits.children(F.col("up"), r) for r in range(1, 11))))
-    return out.select("n_nationkey", h3bits.to_text(F.col("up")).alias("id"), h3bits.resolution(F.col("up")).alias("resolution"), h3bits.base_cell(F.col("up")).alias("base_cell"), h3bits.is_cell(F.col("up")).alias("valid"), kids.alias("n_children"))
-
-
-def g08_g09_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's cell split twice into 49, one child left out for odd nations, and compacted again."""
-    fine = regions.uncompacted(_cells(spark, sf_dir).select("n_nationkey", F.col("cell").alias("own"), "cell"), 10, 2)
-    kept = fine.filter((F.col("n_nationkey") % 2 == 0) | (F.col("cell") != F.element_at(hexgrid.children(F.element_at(hexgrid.children(F.col("own")), 1)), 1)))
-    return regions.compacted(kept, "n_nationkey", 2).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n_compact"))
-
-
-def s28_s34_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A square degree around each nation as a region: its cells, middle and reach."""
-    corner = lambda x, y: F.array(F.col("lon") + x, F.col("lat") + y)
-    square = F.array(F.array(F.array(corner(-0.5, -0.5), corner(0.5, -0.5), corner(0.5, 0.5), corner(-0.5, 0.5), corner(-0.5, -0.5))))
-    built = regions.build_regions(_nations(spark, sf_dir).select(F.concat(F.lit("ua-adm1:"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("x").alias("name"), square.alias("polygons")))
-    return built.select("id", F.round("lon", 1).alias("lon"), "reach_km", F.size("cells").alias("n_cells"), "error")
-
-
-def g01_g04_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a 20 km disc around each nation; one more cover of 400 km is refused."""
-    n = _nations(spark, sf_dir)
-    made = lambda km: hexgrid.cover(F.array(sphere.disc(sphere.position(F.col("lon"), F.col("lat")), km)), 6, 400)
-    small, large = n.select("n_nationkey", made(20.0).alias("c")), n.select("n_nationkey", made(400.0).alias("d"))
-    return small.join(large, "n_nationkey").select("n_nationkey", F.size("c.cells").alias("n_cells"), F.col("c.error").alias("error"), F.col("d.error").alias("large_error"))
-
-
-def g03_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nations(spark, sf_dir)
-    ring = n.withColumn("ring", sphere.corridor("lon", "lat", F.lit(10.0), F.lit(30.0), F.lit(48.0), F.lit(20.0)))
-    return ring.select("n_nationkey", F.size("ring").alias("corners"), F.round(sphere.mean_distance_km(sphere.mean_position(F.col("ring")), F.col("ring")), 3).alias("mean_km"))
-
-
-def g06_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of k-rings: 1, 7, 19, 37."""
-    rings = [F.size(hexgrid.expand(F.array("cell"), k)).alias(f"ring_{k}") for k in range(4)]
-    return _cells(spark, sf_dir).select("n_nationkey", *rings)
-
-
-def g10_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cells(spark, sf_dir).select("n_nationkey", hexgrid.centroid(hexgrid.disk(F.col("cell"), 1), 8).alias("c"))
-    return c.select("n_nationkey", F.round("c.center.lon", 6).alias("lon"), F.round("c.center.lat", 4).alias("lat"), F.round("c.radius_km", 6).alias("radius_km"))
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -222,14 +112,6 @@ POLICY = policy("fusion.v1")
 _KM = f"2 * {EARTH_KM} * asin(sqrt(pow(sin(radians(0.3 * (b - n_nationkey)) / 2), 2) + cos(radians(44 + 0.3 * n_nationkey)) * cos(radians(44 + 0.3 * b)) * pow(sin(radians(0.7 * (b - n_nationkey)) / 2), 2)))"
 _D = f"(12.0::DOUBLE / {EARTH_KM})"
 _T = "(corner % 48 * (2 * pi() / 48))"
-_TURN = 1 / _unit(8)
-_X, _Y = f"(radians(22 + 0.7 * n_nationkey) * {EARTH_KM * _C!r})", f"(sin(radians(44 + 0.3 * n_nationkey)) * {EARTH_KM / _C!r})"
-_CELL = f"""
-u AS (SELECT n_nationkey, {_X} * {_TURN.real!r} - {_Y} * {_TURN.imag!r} AS u, ({_X} * {_TURN.imag!r} + {_Y} * {_TURN.real!r}) * (2 / sqrt(3)) AS b FROM nation),
-c AS (SELECT n_nationkey, u - b / 2 AS a, b, -(u - b / 2) - b AS c FROM u),
-r AS (SELECT *, abs(round(a) - a) AS da, abs(round(b) - b) AS db, abs(round(c) - c) AS dc FROM c),
-cells AS (SELECT n_nationkey, (CASE WHEN da > db AND da > dc THEN -round(b) - round(c) ELSE round(a) END)::BIGINT AS a, (CASE WHEN NOT (da > db AND da > dc) AND db > dc THEN -round(a) - round(c) ELSE round(b) END)::BIGINT AS b FROM r)
-"""
 
 SQL: dict[str, str] = {
     "B05_B07_twins": """WITH o AS (SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'air.attack_drone' WHEN 1 THEN 'air.guided_bomb' WHEN 2 THEN 'air.missile' WHEN 3 THEN 'air.ballistic_missile' ELSE 'air.missile' END AS kind,
@@ -240,12 +122,6 @@ SQL: dict[str, str] = {
         SELECT n_nationkey, corner::INT AS corner, round(lon + degrees(atan2(sin({_T}) * sin({_D}) * cos(p), cos({_D}) - sin(p) * sine)), 6) AS lon, round(degrees(asin(sine)), 6) AS lat FROM s""",
     "G11_haversine": f"SELECT n_nationkey, b::INT AS b, round({_KM}, 6) AS km FROM nation, range(0, 25) t(b)",
     "G14_valid": "SELECT s_suppkey, abs(s_acctbal / 40) <= 180 AND abs(s_acctbal / 100) <= 90 AS valid FROM supplier",
-    "G07_cell_ids": f"WITH {_CELL} SELECT n_nationkey, printf('%x', {_MARK} + (8::BIGINT << 56) + ((a + {_HALF}) << 28) + b + {_HALF}) AS id, 8::INT AS resolution, true AS same FROM cells",
-    "G05_parents": "SELECT n_nationkey, 7::BIGINT AS n_children, 7::BIGINT AS n_true, 1::INT AS has_own FROM nation",
-    "G05_G08_h3": """WITH k AS (SELECT n_nationkey, 617700169958293503::BIGINT AS c, n_nationkey AS r FROM nation WHERE n_nationkey BETWEEN 0 AND 9),
-        u AS (SELECT n_nationkey, r, (c & ~(15::BIGINT << 52)) | (r::BIGINT << 52) | ((1::BIGINT << (3 * (15 - r))) - 1) AS up FROM k) SELECT n_nationkey, printf('%x', up) AS id, r::INT AS resolution, ((up >> 45) & 127)::INT AS base_cell, true AS valid, 7::INT AS n_children FROM u""",
-    "G08_G09_compact": "SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN 1 ELSE 12 END::BIGINT AS n_compact FROM nation",
-    "G06_expanded": "SELECT n_nationkey, 1::INT AS ring_0, 7::INT AS ring_1, 19::INT AS ring_2, 37::INT AS ring_3 FROM nation",
     "S09_plain_text": r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS text FROM pages",
     "S11_background": "SELECT page_id, regexp_replace(url, '^http:', 'https:') AS url FROM pages",
     "S13_dedup": "SELECT 'telegram.channel:ch' || (user_id % 4) AS source_id, count(DISTINCT event_id % 3000) AS n, min(event_id % 3000) AS oldest, max(event_id % 3000) AS newest FROM events GROUP BY user_id % 4",
@@ -259,8 +135,8 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "N13_readings": n13_readings, "N22_actionable": n22_actionable, "B01_B03_skipped": b01_b03_skipped, "B04_B09_observations": b04_b09_observations, "B05_B07_twins": b05_b07_twins, "G01_G04_covers": g01_g04_covers, "G02_disc": g02_disc,
-    "G03_corridors": g03_corridors, "G05_parents": g05_parents, "G05_G08_h3": g05_g08_h3, "G06_expanded": g06_expanded, "G08_G09_compact": g08_g09_compact, "S28_S34_regions": s28_s34_regions, "G07_cell_ids": g07_cell_ids, "G10_centroids": g10_centroids, "G11_haversine": g11_haversine, "G14_valid": g14_valid,
+    "B05_B07_twins": b05_b07_twins, "G02_disc": g02_disc,
+    "G11_haversine": g11_haversine, "G14_valid": g14_valid,
     "S01_wire_times": s01_wire_times, "S09_plain_text": s09_plain_text, "S11_background": s11_background, "S13_dedup": s13_dedup, "S14_S15_windows": s14_s15_windows, "S17_channel_names": s17_channel_names,
     "S30_S33_gazetteer": s30_s33_gazetteer, "R01_R07_protocol": r01_r07_protocol, "R02_capabilities": r02_capabilities,
 }

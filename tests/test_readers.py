@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sentria.functions import hexgrid, shapes, sphere
+from sentria.functions import h3bits, h3cells, h3grid, shapes, sphere
 from sentria.functions import text as T
-from sentria.operators import bridge, point_reader, role_reader, vocabulary
+from sentria.operators import bridge, point_reader, regions, role_reader, vocabulary
 from sentria.plans import runtime
 from sentria.schemas import EVIDENCE
 from sentria.sources import ndjson, preview
@@ -30,11 +32,13 @@ def place(i, word, within=None):
 GAZ = vocabulary.parse_role_gazetteer(json.dumps({"version": "gazetteer.v1", "attribution": "x", "places": [place(1, "Киев"), place(2, "Сумы"), place(3, "Оболонь", "g:1")]}))
 
 
-def read(text):
-    return [(r["kind"], r["phase"], r["count"], [(p["place_id"], p["role"]) for p in r["places"]], r["kind_inherited"]) for r in role_reader.read_post(text, "f:x", LEX, GAZ)]
+def read_all(spark, texts):
+    rows = role_reader.read(evidence(spark, *texts), LEX, GAZ).collect()
+    own = lambda i: sorted((r for r in rows if r["external_id"] == f"x/{i}"), key=lambda r: r["statement"])
+    return [own(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("text", "expected"), [
+READINGS = [
     ("2 шахеда на Киев", [("drone", "threat", 2, [("g:1", "target")], False)]),
     ("Дроны через Сумы на Киев", [("drone", "threat", None, [("g:2", "via"), ("g:1", "target")], False)]),
     ("Дроны на Сумы и Киев", [("drone", "threat", None, [("g:2", "target"), ("g:1", "target")], False)]),
@@ -49,13 +53,28 @@ def read(text):
     ("Дрон на Оболонь", [("drone", "threat", None, [], False)]),
     ("Дрон на Оболонь, Киев", [("drone", "threat", None, [("g:3", "target"), ("g:1", "target")], False)]),
     ("", []),
-])
-def test_role_reader(text, expected):
-    assert read(text) == expected
+    ("Дроны из Сумы, Полтава, Киев", [("drone", "threat", None, [("g:2", "origin"), ("g:1", "mention")], False)]),
+    ("Дроны на Сумы, Полтаву и Киев", [("drone", "threat", None, [("g:2", "target"), ("g:1", "target")], False)]),
+    ("Дроны. 3 на Сумы. Дроны на Киев. 2 на Сумы", [("drone", "threat", None, [], False), ("drone", "threat", None, [("g:2", "target")], True), ("drone", "threat", None, [("g:1", "target")], False)]),
+    ("Отбой, дроны на Киев", [(None, "cleared", None, [], False), ("drone", "threat", None, [("g:1", "target")], False)]),
+]
+
+
+def test_role_reader(spark):
+    got = read_all(spark, [text for text, _ in READINGS])
+    for (text, expected), rows in zip(READINGS, got, strict=True):
+        assert [(r["kind"], r["phase"], r["count"], [(p["place_id"], p["role"]) for p in r["places"]], r["kind_inherited"]) for r in rows] == expected, text
+
+
+def test_role_reader_keeps_repeated_posts_apart(spark):
+    twice = evidence(spark, "Дрон на Сумы").unionByName(evidence(spark, "Дрон на Сумы")).unionByName(evidence(spark, None))
+    assert [(r["statement"], len(r["places"])) for r in role_reader.read(twice, LEX, GAZ).collect()] == [(0, 1), (0, 1)]
+    assert role_reader.read(twice.limit(0), LEX, GAZ).count() == 0
+    assert role_reader.read(twice, LEX, vocabulary.RoleGazetteer([])).filter("size(places) > 0").count() == 0
 
 
-def test_unresolved():
-    assert role_reader.read_post("Дрон на Полтаву", "f:x", LEX, GAZ)[0]["unresolved"] == ["Полтаву"]
+def test_unresolved(spark):
+    assert read_all(spark, ["Дрон на Полтаву"])[0][0]["unresolved"] == ["Полтаву"]
 
 
 @pytest.mark.parametrize("change", [{"version": "lexicon.v2"}, {"extra": 1}])
@@ -67,8 +86,10 @@ def test_bad_lexicon(change):
 def test_tokens_agree(spark):
     texts = ["Дрон на Сумы, Киев. Отбой!", "об'єкт-2 – «слово»…", "a, b; c", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.role_tokens("t").alias("w")).collect()
-    for row, text in zip(df, texts, strict=True):
-        assert [(w["original"], w["folded"], w["barrier_before"], w["comma_before"]) for w in row["w"]] == [(w.text, w.plain, w.opens, w.comma) for w in role_reader.split_words(text)]
+    words = role_reader.split_words(evidence(spark, *texts)).orderBy("pos").collect()
+    for i, row in enumerate(df):
+        own = [w for w in words if w["external_id"] == f"x/{i}"]
+        assert [(w["original"], w["folded"], w["barrier_before"], w["comma_before"]) for w in row["w"]] == [(w["text"], w["plain"], n == 0 or w["sentence"] > own[n - 1]["sentence"], w["after_comma"]) for n, w in enumerate(own)]
     lines = spark.createDataFrame([(t,) for t in texts], "t string").select(T.point_tokens("t").alias("w")).collect()
     for row, text in zip(lines, texts, strict=True):
         assert [(w["raw"], w["norm"], w["clause"]) for w in row["w"]] == point_reader.words_of(text)
@@ -89,6 +110,18 @@ def test_bridge(spark):
     assert bridge.bridge(role_reader.read(evidence(spark, "Дрон на Сумы", forwarded="y"), LEX, GAZ)).count() == 0
 
 
+def test_bridge_says_what_it_cannot_place(spark):
+    def at(i, **more):
+        return place(i, f"Место{i}") | more
+
+    gaz = vocabulary.parse_role_gazetteer(json.dumps({"version": "gazetteer.v1", "attribution": "x", "places": [at(1, id="ua-adm1:UA1"), at(2, id="ua-adm1:UA2"), at(3, lat=95.0), at(4, id="ua-adm1:UA3"), at(5)]}))
+    r = role_reader.read(evidence(spark, *(f"Дрон на Место{i}" for i in range(1, 6))), LEX, gaz)
+    known = spark.createDataFrame([("ua-adm1:UA1", 6, ["8611e1a27ffffff"]), ("ua-adm1:UA3", 6, ["8611e1a27ffffff"] * 5001)], "id string, resolution int, cells array<string>")
+    seen, problems = bridge.bridge_all(r, known)
+    assert sorted(x["provenance"]["evidence_id"] for x in seen.collect()) == ["x/0", "x/4"]
+    assert sorted(map(tuple, problems.collect())) == [("x/1", "unknown_region"), ("x/2", "invalid_geometry"), ("x/3", "cover_too_large")]
+
+
 NAMES = {T.keyed(["киев"]): {"place": {"id": "k", "name": "Киев", "lat": 50.0, "lon": 30.0}}, T.keyed(["сумы"]): {"place": {"id": "s", "name": "Сумы", "lat": 51.0, "lon": 34.0}}, T.keyed(["новое"]): {"place": None}}
 
 
@@ -118,16 +151,66 @@ def test_namesakes(spark):
     assert got[T.keyed(["нова"])[0]] == ("a", False) and got[T.keyed(["липа"])[0]] == (None, True)
 
 
-def test_grid_twins(spark):
-    points = [(30.5 + i / 7, 44.1 + i / 3) for i in range(20)]
-    df = spark.createDataFrame(points, "lon double, lat double")
-    ring = sphere.disc(sphere.position(F.col("lon"), F.col("lat")), 20.0)
-    rows = df.select("lon", "lat", hexgrid.cell_id(hexgrid.cell_of(F.col("lon"), F.col("lat"), 7)).alias("c"), F.transform(hexgrid.polygon_cells(F.array(ring), 6), hexgrid.cell_id).alias("p"), ring.alias("ring")).collect()
-    for r in rows:
-        assert r["c"] == shapes.cell_text(shapes.rounded(*shapes.to_axial(r["lon"], r["lat"], 7)), 7)
-        made = shapes.polygon([[(p["lon"], p["lat"]) for p in r["ring"]]], 6, 400)
-        assert sorted(r["p"]) == shapes.texts(made, 6)
-        assert 25 < len(made) < 60
+@pytest.mark.parametrize(("lat", "lon", "cell"), [(37.7759387, -122.4183075, "8928308280fffff"), (37.3615593, -122.0553238, "85283473fffffff"), (40.689167, -74.044444, "8a2a1072b59ffff"), (79.2423985, 38.0234070, "8001fffffffffff")])
+def test_published_cells(lat, lon, cell):
+    number = h3grid.parsed(cell)
+    assert h3grid.cell_of(lon, lat, h3grid.resolution_of(number)) == number and h3grid.text_of(number) == cell
+
+
+@pytest.mark.parametrize("resolution", [0, 1, 2])
+def test_the_grid_covers_the_world(resolution):
+    cells = [c for b in range(122) for c in h3grid.children_of(h3grid._made(b, []), resolution)]
+    assert len(cells) == 2 + 120 * 7**resolution and sum(map(h3grid.is_pentagon, cells)) == 12
+    for c in cells:
+        around = h3grid.neighbours(c)
+        assert h3grid.cell_of(*h3grid.center_of(c), resolution) == c and len(around) == 6 - h3grid.is_pentagon(c) and all(c in h3grid.neighbours(n) for n in around)
+        assert resolution == 0 or h3grid.parent_of(c, resolution - 1) in {h3grid.parent_of(n, resolution - 1) for n in around} | {h3grid.parent_of(c, resolution - 1)}
+    assert abs(sum(map(h3grid.area_km2, cells)) / 510_065_622 - 1) < 1e-5
+
+
+def test_positions_lie_in_their_cells():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        lat, lon, r = math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180), rnd.randint(0, 15)
+        c = h3grid.cell_of(lon, lat, r)
+        assert h3grid.parsed(h3grid.text_of(c)) == c and shapes._km((lon, lat), h3grid.center_of(c)) < 1.2 * h3grid.mean_edge_km(r)
+
+
+@pytest.mark.parametrize("text", ["", "x", "8928308280ffff", "8928308280ffff7", "0928308280fffff", "89f5308280fffff", "8009fffffffffffff", "810847fffffffff".replace("847", "847"[:2] + "1")])
+def test_no_cells(text):
+    with pytest.raises(h3grid.NotACell):
+        h3grid.parsed(text)
+
+
+def test_cells_on_columns(spark):
+    df = spark.createDataFrame([(30.5, 50.4), (None, 1.0), (10.0, 95.0)], "lon double, lat double").withColumn("cell", h3cells.cell_of("lon", "lat", F.lit(6)))
+    rows = df.withColumn("c", h3cells.center_of("cell")).withColumn("up", h3bits.to_text(h3bits.up(F.col("cell")))).withColumn("kids", F.transform(h3bits.split(F.col("cell")), h3bits.to_text)).collect()
+    cell = h3grid.cell_of(30.5, 50.4, 6)
+    assert [r["cell"] for r in rows] == [cell, None, None] and abs(rows[0]["c"]["lon"] - h3grid.center_of(cell)[0]) < 1e-9
+    assert rows[0]["up"] == h3grid.text_of(h3grid.parent_of(cell, 5)) and rows[0]["kids"] == [h3grid.text_of(c) for c in h3grid.children_of(cell, 7)]
+
+
+def test_polygons():
+    ring = shapes.around(30.5238, 50.4547, 20, 48)
+    made = shapes.polygon([ring], 6, 400)
+    assert 25 < len(made) < 60 and all(shapes._km((30.5238, 50.4547), h3grid.center_of(c)) < 20 for c in made)
+    assert {c for c in h3grid.disk(made, 2) if shapes._inside([ring], *h3grid.center_of(c))} == made
+    hole = shapes.around(30.5238, 50.4547, 10, 48)
+    assert shapes.polygon([ring, hole], 6, 400) == made - shapes.polygon([hole], 6, 400)
+    assert shapes.polygon([shapes.around(30.5238, 50.4547, 0.1, 48)], 6, 400) == {h3grid.cell_of(30.5238, 50.4547, 6)}
+    assert len(shapes.covered({"type": "cells", "cells": [h3grid.text_of(c) for c in made], "resolution": 6}, 7, 400)) == 7 * len(made)
+
+
+def test_regions(spark, tmp_path):
+    own = [h3grid.text_of(c) for c in shapes.polygon([shapes.around(30.5, 50.4, 30, 48)], 6, 400)]
+    coarse = h3grid.text_of(h3grid.cell_of(30.5, 50.4, 4))
+    region = lambda i, resolution, cells: {"id": f"ua-adm1:{i}", "name": "x", "lat": 50.4, "lon": 30.5, "reach_km": 30, "resolution": resolution, "cells": cells}
+    (tmp_path / "r.json").write_text(json.dumps({"version": "regions.v1", "attribution": "x", "regions": [region(1, 6, own), region(2, 6, [coarse, "8609a4d07ffffff"]), region(3, 5, [coarse]), region(4, 6, ["zz"]), region(5, 3, [coarse])]}))
+    rows, problems = regions.load_regions(spark, str(tmp_path / "r.json"))
+    assert {r["id"]: len(r["cells"]) for r in rows.collect()} == {"ua-adm1:1": len(own), "ua-adm1:2": 50, "ua-adm1:3": 7}
+    assert {r["id"] for r in problems.collect()} == {"ua-adm1:4", "ua-adm1:5"}
+    packed = regions.compacted(rows.select("id", F.explode("cells").alias("t")).withColumn("cell", h3bits.parse(F.col("t"))), "id", 3)
+    assert {r["id"]: r["n"] for r in packed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}["ua-adm1:2"] == 2
 
 
 def test_corridor_and_limits():
@@ -180,11 +263,11 @@ def test_ndjson(spark, tmp_path):
     assert ndjson.numbered_problems(spark, str(tmp_path / "bad.json")).count() == 1
 
 
-def ask(operation, payload=None, version=runtime.PROTOCOL, **more):
-    return json.loads(runtime.handle(json.dumps({"protocol_version": version, "request_id": "r", "operation": operation} | ({"payload": payload} if payload is not None else {}) | more), runtime.Vocabulary(LEX, GAZ, NAMES, {})))
+def ask(operation, payload=None, version=runtime.PROTOCOL, spark=None, **more):
+    return json.loads(runtime.handle(json.dumps({"protocol_version": version, "request_id": "r", "operation": operation} | ({"payload": payload} if payload is not None else {}) | more), runtime.Vocabulary(LEX, GAZ, NAMES, {}), spark))
 
 
-def test_protocol():
+def test_protocol(spark):
     assert ask("capabilities")["result"]["limits"]["evidence"] == 500
     assert json.loads(runtime.handle("{"))["failure"]["code"] == "invalid_request"
     assert ask("dance", version="x")["failure"]["code"] == "unknown_operation"
@@ -196,7 +279,7 @@ def test_protocol():
     assert ask("assess", {"policy_version": "fusion.v1", "observations": []})["failure"]["code"] == "invalid_request"
     post = {"source_id": "f:x", "external_id": "x/1", "published_at": "2024-01-01T10:00:00+02:00", "provenance": {"url": "u", "collector": "c"}, "text": "2 шахеда на Киев"}
     for reader in runtime.READERS:
-        found = ask("normalize", {"evidence": [post], "reader": reader})["result"]["observations"]
+        found = ask("normalize", {"evidence": [post], "reader": reader}, spark=spark)["result"]["observations"]
         assert found[0]["observed_at"] == "2024-01-01T08:00:00Z" and found[0]["count"] == 2
         out = ask("assess", {"policy_version": "fusion.v1", "evaluation_time": "2024-01-01T08:10:00Z", "observations": found})["result"]
         assert [a["status"] for a in out["assessments"]] == ["active"] and [e["kind"] for e in out["events"]] == ["issued"]
