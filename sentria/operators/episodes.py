@@ -2,7 +2,9 @@
 
 A pure function of observations, policy and evaluation time. Rows are
 classified by expressions; what ends up in the fold is dealt by (class, place)
-and walked in one total order, so any order of the input gives equal rows.
+and by the island of time between gaps that no report outlives, and walked in one
+total order, so any order of the input gives equal rows. Rows are narrow: the
+cells of an assessment are covered when it is finished, from its first report.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sphere import valid_geometry
 from ..params import CLASS_OF, CLASSES, KINDS, REGION_PREFIX, STANCES, FusionPolicy
-from ..schemas import ASSESSMENT, ASSESSMENT_EVENT, EVIDENCE_REF
-from .footprint import with_footprint
+from ..schemas import ASSESSMENT, ASSESSMENT_EVENT, EVIDENCE_REF, GEOMETRY
+from .footprint import with_footprint, with_problem
 from .runs import fold_runs
 
 
@@ -45,8 +47,7 @@ def skip_code() -> Column:
 
 
 def place_key() -> Column:
-    first = F.get("footprint.cells", F.lit(0))
-    return F.coalesce("provenance.place_id", F.concat(F.lit("cells:"), F.coalesce(first, F.lit("none"))))
+    return F.coalesce("provenance.place_id", F.concat(F.lit("cells:"), F.coalesce("first_cell", F.lit("none"))))
 
 
 def evidence_ref() -> Column:
@@ -62,14 +63,14 @@ def contradicted(rows: DataFrame) -> DataFrame:
 def usable(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Rows for the fold, and ``skipped``; later rows than ``now`` are in neither."""
     seen = observations.filter(F.col("observed_at") <= F.lit(now)).withColumn("code", skip_code())
-    located = with_footprint(seen.filter("code is null"), policy)
+    located = with_problem(seen.filter("code is null"), policy)
     skipped = seen.filter("code is not null").select(F.col("provenance.evidence_id").alias("evidence_id"), "code").unionByName(
-        located.filter("footprint.error is not null").select(F.col("provenance.evidence_id").alias("evidence_id"), F.col("footprint.error").alias("code"))
+        located.filter("error is not null").select(F.col("provenance.evidence_id").alias("evidence_id"), F.col("error").alias("code"))
     )
-    ready = located.filter("footprint.error is null").select(
+    ready = located.filter("error is null").select(
         "source_id", F.col("provenance.evidence_id").alias("evidence_id"), hazard_class(F.col("kind")).alias("class"), place_key().alias("key"), "stance", "kind", "ttl", "observed_at",
         F.coalesce(F.col("provenance.place_role") != "via", F.lit(True)).alias("aimed"), F.col("provenance.place_id").alias("place_id"), F.col("provenance.place_name").alias("place_name"),
-        F.col("footprint.cells").alias("cells"), evidence_ref().alias("ref"),
+        "geometry", evidence_ref().alias("ref"),
         rank_of(F.col("stance"), STANCES).alias("stance_rank"), rank_of(F.col("kind"), KINDS).alias("kind_rank"), F.coalesce("provenance.place_order", F.lit(65535)).alias("place_order"),
     )
     return contradicted(ready), skipped
@@ -77,7 +78,24 @@ def usable(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tupl
 
 #: Order within (class, key). The last four break ties that the policy leaves to input order.
 ORDER = ["observed_at", "source_id", "evidence_id", "stance_rank", "kind_rank", "ttl", "place_order", "aimed"]
-FOLDED = f"assessment struct<{ASSESSMENT}>, event struct<{ASSESSMENT_EVENT}>"
+FOLDED = f"assessment struct<{ASSESSMENT.replace('cells struct<resolution:int,cells:array<string>>', f'geometry {GEOMETRY}')}>, event struct<{ASSESSMENT_EVENT}>"
+#: Rows of one place are cut into islands at gaps between buckets of so many seconds.
+BUCKET_S = 6 * 3600
+
+
+def with_islands(rows: DataFrame) -> DataFrame:
+    """Adds ``island``: the number of gaps before a row, in its class and place, after which no earlier report is valid.
+
+    First and last times and the longest validity of each bucket tell, so that the
+    window holds four rows a day for each place, not the place's rows.
+    """
+    us = F.unix_micros("observed_at")
+    bucketed = rows.withColumn("bucket", F.floor(us / (BUCKET_S * 1_000_000)))
+    spans = bucketed.groupBy("class", "key", "bucket").agg(F.min(us).alias("first"), F.max(us + F.col("ttl").cast("long") * 1_000_000).alias("until"))
+    by_time = Window.partitionBy("class", "key").orderBy("bucket")
+    over = F.col("first") > F.max("until").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("new", F.coalesce(over, F.lit(False))).select("class", "key", "bucket", F.count_if("new").over(by_time).alias("island"))
+    return bucketed.join(numbered, ["class", "key", "bucket"]).drop("bucket")
 
 
 class _Episode:
@@ -126,7 +144,7 @@ class _Episode:
             "event": None,
             "assessment": {
                 "assessment_id": self.id, "policy_version": self.policy.version, "class": self.first["class"], "kinds": sorted(self.kinds, key=KINDS.index), "place": place,
-                "proximity": "target" if self.aimed else "nearby", "cells": {"resolution": self.policy.resolution, "cells": self.first["cells"]},
+                "proximity": "target" if self.aimed else "nearby", "geometry": self.first["geometry"],
                 "valid_from": self.first["observed_at"], "valid_until": until, "status": status, "revision": len(self.refs),
                 "likelihood": "high" if len(active) >= 2 else "moderate", "corroboration_count": len(active), "active_sources": active, "evidence": self.refs,
             },
@@ -166,8 +184,11 @@ def episode_fold(policy: FusionPolicy, now: datetime):
 def assess(observations: DataFrame, policy: FusionPolicy, now: datetime) -> Assessed:
     """Assessments, events and skipped rows. Sorted output: ``assessments_sorted`` and ``events_sorted``."""
     rows, skipped = usable(observations, policy, now)
-    folded = fold_runs(rows.filter("stance <> 'neutralized'"), ["class", "key"], ORDER, episode_fold(policy, now), FOLDED)
-    return Assessed(folded.filter("assessment is not null").select("assessment.*"), folded.filter("event is not null").select("event.*"), skipped)
+    folded = fold_runs(with_islands(rows.filter("stance <> 'neutralized'")), ["class", "key", "island"], ORDER, episode_fold(policy, now), FOLDED)
+    found = with_footprint(folded.filter("assessment is not null").select("assessment.*"), policy)
+    covered = found.withColumn("cells", F.struct(F.lit(policy.resolution).alias("resolution"), F.col("footprint.cells").alias("cells")))
+    columns = ["cells" if n == "geometry" else n for n in found.columns if n != "footprint"]
+    return Assessed(covered.select(*columns), folded.filter("event is not null").select("event.*"), skipped)
 
 
 def assessments_sorted(df: DataFrame) -> DataFrame:

@@ -42,17 +42,47 @@ def cover_geometries(df: DataFrame, resolution: int, max_cells: int, rings: int
     return map_rows(distinct, one, f"g {distinct.schema['g'].dataType.simpleString()}, {OUTCOME}").withColumnRenamed("g", column)
 
 
+NO_FIELDS = {"type": "", "coordinates": None, "rings": None, "cells": None}
+
+
+def footprint_of(geometry: dict, policy: FusionPolicy) -> dict:
+    """Cells and error of what an observation speaks for: its geometry, or the disc around its point, and some rings."""
+    make = lambda: shapes.texts(shapes.expanded(shapes.covered(NO_FIELDS | geometry, policy.resolution, policy.max_cells, policy.point_radius_km, policy.disc_vertices), policy.edge_rings, policy.max_cells), policy.resolution)
+    return outcome(make)
+
+
+def _cached(policy: FusionPolicy):
+    @lru_cache(maxsize=100_000)
+    def one(text: str | None) -> dict:
+        return {"cells": None, "error": None} if text is None else footprint_of(json.loads(text), policy)
+
+    return one
+
+
 def with_footprint(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
     """Adds ``footprint`` (struct<cells, error>) without a shuffle: each batch of rows covers each of its geometries once."""
 
     @F.pandas_udf(StructType([StructField("cells", ArrayType(StringType())), StructField("error", StringType())]))
     def footprint(geometry: pd.Series) -> pd.DataFrame:
-        @lru_cache(maxsize=100_000)
-        def one(text: str) -> tuple:
-            g = {"type": "", "coordinates": None, "rings": None, "cells": None} | json.loads(text)
-            found = outcome(lambda: shapes.texts(shapes.expanded(shapes.covered(g, policy.resolution, policy.max_cells, policy.point_radius_km, policy.disc_vertices), policy.edge_rings, policy.max_cells), policy.resolution))
-            return found["cells"], found["error"]
-
+        one = _cached(policy)
         return pd.DataFrame([one(g) for g in geometry], columns=["cells", "error"])
 
     return observations.withColumn("footprint", footprint(F.coalesce(F.to_json("geometry"), F.lit("{}"))))
+
+
+def with_problem(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
+    """Adds ``error`` and ``first_cell`` of the footprint.
+
+    The disc around a valid point always has a cover, so that points with a
+    place (which names them) send a null to Python, and no row carries its cells.
+    """
+
+    @F.pandas_udf(StructType([StructField("first", StringType()), StructField("error", StringType())]))
+    def problem(geometry: pd.Series) -> pd.DataFrame:
+        one = _cached(policy)
+        found = [one(g) for g in geometry]
+        return pd.DataFrame([((f["cells"] or [None])[0], f["error"]) for f in found], columns=["first", "error"])
+
+    simple = (F.col("geometry.type") == "point") & F.col("provenance.place_id").isNotNull()
+    checked = observations.withColumn("checked", problem(F.when(simple, F.lit(None).cast("string")).otherwise(F.coalesce(F.to_json("geometry"), F.lit("{}")))))
+    return checked.select(*observations.columns, F.col("checked.first").alias("first_cell"), F.col("checked.error").alias("error"))

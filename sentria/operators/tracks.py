@@ -1,9 +1,10 @@
 """Tracks: reports about moving objects, matched to what is already followed.
 
-Observations become reports by aggregation; reports of one hazard class are
-then walked in time order. Everything that compares two tracks or a track and a
-report requires equal classes, and ageing depends on a track's own last report
-only, so the walk is dealt by (window, class): many windows run side by side.
+Observations become reports by aggregation. Everything that compares two tracks
+or a track and a report requires equal classes, and after a silence of
+``stale_s`` nothing of a class is followed any more: reports are dealt by class
+and by the island of time between such silences, and walked in time order. A walk
+keeps live tracks only; a track leaves it when it ends.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,160 +88,195 @@ def with_contradictions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("contradicted", (F.col("stance") == "clear") & F.coalesce(F.arrays_overlap("places.id", taken), F.lit(False)))
 
 
+def islands(observations: DataFrame, rules: TrackPolicy) -> DataFrame:
+    """``class, bucket, island``: times in buckets as long as the silence after which all is stale, numbered between such silences.
+
+    Two reports of one bucket are closer than that, so only the first and last of
+    each bucket count. The table has four rows a day for each class, whatever
+    the number of observations.
+    """
+    second = F.unix_micros("observed_at")
+    spans = observations.select(hazard_class(F.col("kind")).alias("class"), second.alias("us")).groupBy("class", bucket_of(F.col("us"), rules.stale_s).alias("bucket")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    by_time = Window.partitionBy("class").orderBy("bucket")
+    silent = F.col("first") - F.lag("last").over(by_time) >= rules.stale_s * 1_000_000
+    return spans.withColumn("new", F.coalesce(silent, F.lit(False))).select("class", "bucket", F.count_if("new").over(by_time).alias("island"))
+
+
+def bucket_of(us: Column, seconds: int) -> Column:
+    return F.floor(us / (seconds * 1_000_000))
+
+
 def distance_km(a: dict, b: dict) -> float:
     p, q = math.radians(a["lat"]), math.radians(b["lat"])
     chord = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
     return 2 * EARTH_KM * math.asin(math.sqrt(chord))
 
 
-def reach_km(kind: str, position_km: float, place_km: float, seconds: float, rules: TrackPolicy) -> float | None:
-    """How far an object may have come; None if it is matched at its own places only."""
-    radii = position_km + place_km + rules.margin_km
-    if kind == "air.guided_bomb":
-        return rules.bomb_reach_km + radii
-    return rules.speed_kmh[kind] * max(0.0, seconds) / 3600 + radii if kind in rules.speed_kmh else None
+class Track(NamedTuple):
+    """What is known of one object; a change makes a new one."""
 
+    n: int  # among the tracks of its walk: posts that are edited may give an id twice
+    id: str
+    hazard: str
+    kind: str
+    unknown: bool
+    path: tuple[tuple[dict, datetime], ...]
+    target: dict | None
+    post: tuple[str, str]
+    sources: tuple[str, ...]
+    refs: tuple[dict, ...]
+    status: str = "active"
+    seq: int = 0
 
-class _Track:
-    def __init__(self, name: str, report: dict, position: dict, target: dict | None):
-        self.id, self.kind, self.unknown = name, report["kind"], report["count"] is None
-        self.position, self.target = position, target
-        self.first = self.last = report["observed_at"]
-        self.post = (report["source_id"], report["evidence_id"])
-        self.sources, self.refs = [report["source_id"]], [report["ref"]]
-        self.path = [(position, self.first)]
-        self.status, self.seq, self.quiet = "active", 0, False
+    @property
+    def position(self) -> dict:
+        return self.path[-1][0]
 
     @property
-    def live(self) -> bool:
-        return self.status in ("active", "quiet")
+    def last(self) -> datetime:
+        return self.path[-1][1]
+
+    def names(self) -> set[str]:
+        return {self.position["id"]} | ({self.target["id"]} if self.target else set())
+
+
+def range_km(rules: TrackPolicy, kind: str, seconds: float) -> float | None:
+    """Kilometres a kind may cover in a time, the margin included; None for kinds that are matched at their own places only."""
+    glide = rules.bomb_reach_km if kind == "air.guided_bomb" else None
+    flown = rules.speed_kmh[kind] * max(0.0, seconds) / 3600 if kind in rules.speed_kmh else glide
+    return None if flown is None else flown + rules.margin_km
 
-    def at(self, place_id: str) -> bool:
-        return self.position["id"] == place_id or (self.target is not None and self.target["id"] == place_id)
+
+#: How well a track fits a report, best first: other kind (of what was ended), not the same place, metres, id, number.
+Fit = tuple[bool, bool, int, str, int]
+
+
+def fits(live: Iterable[Track], report: dict, rules: TrackPolicy) -> list[Fit]:
+    """The tracks that a report may speak of, for threats and for what was ended alike, the best first."""
+    ended, here, aim = report["stance"] == "neutralized", report["places"][0], aimed_at(report)
+    post, out = (report["source_id"], report["evidence_id"]), []
+    for track in live:
+        if track.unknown if ended else track.post == post:
+            continue
+        km = distance_km(track.position["spot"], here["spot"])
+        same = here["id"] in track.names() or not ended and aim is not None and track.target is not None and track.target["id"] == aim["id"]
+        reach = range_km(rules, track.kind, (report["observed_at"] - track.last).total_seconds())
+        if same or reach is not None and km <= reach + track.position["spot"]["radius_km"] + here["spot"]["radius_km"]:
+            out.append((ended and track.kind != report["kind"], not same, int(km * 1000), track.id, track.n))
+    return sorted(out)
+
+
+def taken(found: list[Fit], report: dict) -> list[int]:
+    """The tracks that it does speak of: as many as it counts, or one; an uncounted threat speaks of all at its place."""
+    if report["count"] is None and report["stance"] == "threat":
+        found = [f for f in found if not f[1]] or found[:1]
+    else:
+        found = found[: 1 if report["count"] is None else report["count"]]
+    return [f[4] for f in found]
+
+
+def aimed_at(report: dict) -> dict | None:
+    """The last place of a report that isn't passed by only."""
+    return next((p for p in reversed(report["places"]) if not p["via"]), None)
+
+
+def moved(track: Track, report: dict) -> Track:
+    at, source = report["observed_at"], report["source_id"]
+    kind = report["kind"] if report["kind"] in SPECIFIC and track.kind not in SPECIFIC else track.kind
+    sources = track.sources if source in track.sources else (*track.sources, source)
+    return track._replace(kind=kind, path=(*track.path, (report["places"][0], at)), target=aimed_at(report) or track.target, post=(source, report["evidence_id"]), sources=sources, status="active")
 
 
 class Walk:
-    """All tracks of one class, in the order of its reports."""
-
-    def __init__(self, hazard: str, policy: FusionPolicy):
-        self.hazard, self.policy, self.rules = hazard, policy, policy.tracks
-        self.tracks: list[_Track] = []
-        self.done: list[_Track] = []
-
-    def _event(self, track: _Track, kind: str, at: datetime, ref: dict | None) -> dict:
-        track.seq += 1
-        return {"track": None, "event": {"track_id": track.id, "seq": track.seq, "kind": kind, "effective_at": at, "evidence": ref}}
-
-    def age(self, now: datetime) -> Iterator[dict]:
-        ended = False
-        for track in self.tracks:
-            quiet, stale = track.last + timedelta(seconds=self.rules.quiet_s[self.hazard]), track.last + timedelta(seconds=self.rules.stale_s)
-            if quiet <= now and not track.quiet:
-                track.quiet, track.status = True, "quiet"
-                yield self._event(track, "quiet", quiet, None)
-            if stale <= now:
-                track.status, ended = "stale", True
-                yield self._event(track, "stale", stale, None)
-        if ended:
-            self._retire()
-
-    def _retire(self) -> None:
-        self.done += [t for t in self.tracks if not t.live]
-        self.tracks = [t for t in self.tracks if t.live]
-
-    def fit(self, track: _Track, position: dict, target: dict | None, at: datetime) -> tuple[int, int] | None:
-        far = distance_km(track.position["spot"], position["spot"])
-        aimed_alike = target is not None and track.target is not None and track.target["id"] == target["id"]
-        if aimed_alike or track.at(position["id"]):
-            return 0, int(far * 1000)
-        reach = reach_km(track.kind, track.position["spot"]["radius_km"], position["spot"]["radius_km"], (at - track.last).total_seconds(), self.rules)
-        return (1, int(far * 1000)) if reach is not None and far <= reach else None
-
-    def threat(self, report: dict) -> Iterator[dict]:
-        at, places = report["observed_at"], report["places"]
-        position = places[0]
-        target = next((p for p in reversed(places) if not p["via"]), None)
-        post = (report["source_id"], report["evidence_id"])
-        scored = sorted((score, t.id, i) for i, t in enumerate(self.tracks) if t.post != post and (score := self.fit(t, position, target, at)))
-        if report["count"] is not None:
-            chosen = scored[: report["count"]]
-            new = report["count"] - len(chosen)
+    """The live tracks of a class; ``out`` gathers events, and tracks that have ended."""
+
+    def __init__(self, policy: FusionPolicy):
+        self.policy, self.rules = policy, policy.tracks
+        self.live: dict[int, Track] = {}
+        self.begun = 0
+        self.out: list[dict] = []
+
+    def _keep(self, track: Track, event: str, at: datetime, ref: dict | None) -> None:
+        """Every change of a track ends here: its event, its evidence, and whether it is still followed."""
+        track = track._replace(seq=track.seq + 1, refs=track.refs if ref is None or event == "started" else (*track.refs, ref))
+        self.out.append({"track": None, "event": {"track_id": track.id, "seq": track.seq, "kind": event, "effective_at": at, "evidence": ref}})
+        if track.status in ("active", "quiet"):
+            self.live[track.n] = track
         else:
-            chosen = [s for s in scored if s[0][0] == 0] or scored[:1]
-            new = 0 if chosen else 1
-        for _, _, i in chosen:
-            track = self.tracks[i]
-            if report["kind"] in SPECIFIC and track.kind not in SPECIFIC:
-                track.kind = report["kind"]
-            track.position, track.target = position, target or track.target
-            track.path.append((position, at))
-            track.status, track.quiet, track.last, track.post = "active", False, at, post
-            if report["source_id"] not in track.sources:
-                track.sources.append(report["source_id"])
-            track.refs.append(report["ref"])
-            yield self._event(track, "moved", at, report["ref"])
+            self.live.pop(track.n, None)
+            self.out.append(finished(track, self.policy))
+
+    def age(self, now: datetime) -> None:
+        for track in list(self.live.values()):
+            for status, seconds in (("quiet", self.rules.quiet_s[track.hazard]), ("stale", self.rules.stale_s)):
+                due = track.last + timedelta(seconds=seconds)
+                if due <= now and track.n in self.live and self.live[track.n].status != status:
+                    self._keep(self.live[track.n]._replace(status=status), status, due, None)
+
+    def take(self, report: dict) -> None:
+        at, ref, stance = report["observed_at"], report["ref"], report["stance"]
+        if stance == "clear":
+            named = {p["id"] for p in report["places"]}
+            for track in [] if report["contradicted"] else list(self.live.values()):
+                if report["source_id"] in track.sources and named & track.names():
+                    left = track._replace(sources=tuple(s for s in track.sources if s != report["source_id"]))
+                    if left.sources:
+                        self.live[track.n] = left
+                    else:
+                        self._keep(left._replace(status="cleared"), "cleared", at, ref)
+            return
+        chosen = taken(fits(self.live.values(), report, self.rules), report)
+        for number in chosen:
+            track = self.live[number]
+            if stance == "threat":
+                self._keep(moved(track, report), "moved", at, ref)
+            else:
+                self._keep(track._replace(status="neutralized"), "neutralized", at, ref)
+        if stance == "threat":
+            self._start(report, int(not chosen) if report["count"] is None else report["count"] - len(chosen))
+
+    def _start(self, report: dict, new: int) -> None:
+        position, at = report["places"][0], report["observed_at"]
         where = position["id"] if report["statement"] is None else str(report["statement"])
         for n in range(1, new + 1):
-            track = _Track(f"{self.policy.version}/track/{self.hazard}/{report['evidence_id']}#{where}#{n}", report, position, target)
-            self.tracks.append(track)
-            yield self._event(track, "started", at, report["ref"])
-
-    def neutralize(self, report: dict) -> Iterator[dict]:
-        at, place = report["observed_at"], report["places"][0]
-        scored = sorted(((t.kind != report["kind"], *score), t.id, i) for i, t in enumerate(self.tracks) if not t.unknown and (score := self.fit(t, place, None, at)))
-        for _, _, i in scored[: 1 if report["count"] is None else report["count"]]:
-            track = self.tracks[i]
-            track.status = "neutralized"
-            track.refs.append(report["ref"])
-            yield self._event(track, "neutralized", at, report["ref"])
-        self._retire()
-
-    def clear(self, report: dict) -> Iterator[dict]:
-        source = report["source_id"]
-        for track in self.tracks:
-            if source in track.sources and any(track.at(p["id"]) for p in report["places"]):
-                track.sources.remove(source)
-                if not track.sources:
-                    track.status = "cleared"
-                    track.refs.append(report["ref"])
-                    yield self._event(track, "cleared", report["observed_at"], report["ref"])
-        self._retire()
-
-    def rows(self) -> Iterator[dict]:
-        for t in [*self.done, *self.tracks]:
-            named = lambda p: None if p is None else {"id": p["id"], "name": p["name"]}
-            circle = lambda p: (None, None) if p is None else ({"lon": p["spot"]["lon"], "lat": p["spot"]["lat"]}, p["spot"]["radius_km"])
-            yield {
-                "event": None,
-                "track": {
-                    "track_id": t.id, "policy_version": self.policy.version, "class": self.hazard, "kind": t.kind, "count_unknown": t.unknown, "position": named(t.position), "target": named(t.target),
-                    "motion": "unknown" if t.target is None else "heading", "path": [{"id": p["id"], "name": p["name"], "at": at} for p, at in t.path], "status": t.status, "first_at": t.first,
-                    "last_seen_at": t.last, "evidence": t.refs, "center": circle(t.position)[0], "radius_km": circle(t.position)[1], "target_center": circle(t.target)[0], "target_radius_km": circle(t.target)[1],
-                    "region": next((p["cells"] for p in (t.target, t.position) if p and p["region"]), None), "position_region": t.position["region"], "target_region": bool(t.target and t.target["region"]),
-                },
-            }
+            name = f"{self.policy.version}/track/{report['class']}/{report['evidence_id']}#{where}#{n}"
+            post = (report["source_id"], report["evidence_id"])
+            self.begun += 1
+            self._keep(Track(self.begun, name, report["class"], report["kind"], report["count"] is None, ((position, at),), aimed_at(report), post, (report["source_id"],), (report["ref"],)), "started", at, report["ref"])
+
+
+def finished(t: Track, policy: FusionPolicy) -> dict:
+    named = lambda p: None if p is None else {"id": p["id"], "name": p["name"]}
+    circle = lambda p: (None, None) if p is None else ({"lon": p["spot"]["lon"], "lat": p["spot"]["lat"]}, p["spot"]["radius_km"])
+    return {
+        "event": None,
+        "track": {
+            "track_id": t.id, "policy_version": policy.version, "class": t.hazard, "kind": t.kind, "count_unknown": t.unknown, "position": named(t.position), "target": named(t.target),
+            "motion": "unknown" if t.target is None else "heading", "path": [{"id": p["id"], "name": p["name"], "at": at} for p, at in t.path], "status": t.status, "first_at": t.path[0][1],
+            "last_seen_at": t.last, "evidence": list(t.refs), "center": circle(t.position)[0], "radius_km": circle(t.position)[1], "target_center": circle(t.target)[0], "target_radius_km": circle(t.target)[1],
+            "region": next((p["cells"] for p in (t.target, t.position) if p and p["region"]), None), "position_region": t.position["region"], "target_region": bool(t.target and t.target["region"]),
+        },
+    }
 
 
 FOLDED = f"track struct<{TRACK}, region array<string>, position_region boolean, target_region boolean>, event struct<{TRACK_EVENT}>"
 
 
 def track_fold(policy: FusionPolicy, now: datetime):
+    """The fold over one island's reports in order: tracks as they end, and events."""
+
     def fold(rows: Iterable[dict]) -> Iterator[dict]:
-        walk, end = None, now
+        walk, end = Walk(policy), now
         for row in rows:
-            if walk is None:
-                walk = Walk(row["class"], policy)
-                end = now.replace(tzinfo=row["observed_at"].tzinfo) if now.tzinfo is None else now
-            yield from walk.age(row["observed_at"])
-            if row["stance"] == "threat":
-                yield from walk.threat(row)
-            elif row["stance"] == "neutralized":
-                yield from walk.neutralize(row)
-            elif not row["contradicted"]:
-                yield from walk.clear(row)
-        if walk is not None:
-            yield from walk.age(end)
-            yield from walk.rows()
+            end = now.replace(tzinfo=row["observed_at"].tzinfo) if now.tzinfo is None else now
+            walk.age(row["observed_at"])
+            walk.take(row)
+            yield from walk.out
+            walk.out.clear()
+        walk.age(end)
+        yield from walk.out
+        for track in walk.live.values():
+            yield finished(track, policy)
 
     return fold
 
@@ -285,7 +322,10 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
 
 def follow(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Tracks (without cells; see ``with_cells``) and their events."""
-    seen = with_contradictions(reports(observations.filter(F.col("observed_at") <= F.lit(now)), policy))
+    known = observations.filter(F.col("observed_at") <= F.lit(now))
+    seen = with_contradictions(reports(known, policy)).withColumn("bucket", bucket_of(F.unix_micros("observed_at"), policy.tracks.stale_s))
     order = ["observed_at", "source_id", "evidence_id", "statement", "alone", "turn"]
-    folded = fold_runs(seen, ["class"], order, track_fold(policy, now), FOLDED)
+    # the calendar bounds the broadcast: four rows a day for each class
+    dealt = seen.join(F.broadcast(islands(known, policy.tracks)), ["class", "bucket"])
+    folded = fold_runs(dealt, ["class", "island"], order, track_fold(policy, now), FOLDED)
     return folded.filter("track is not null").select("track.*"), folded.filter("event is not null").select("event.*")
