@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sphere
 from ..operators import episodes, tracks
+from ..operators.footprint import with_footprint
 from ..params import policy
 from .views import DUCK_OBS, EVALUATION, NOW, flat_observations, micros, observations
 
@@ -98,7 +99,8 @@ def f19_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f04_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each place's footprint: a disc of 10 km and one ring."""
-    return _usable_rows(spark, sf_dir).select("key", F.explode("cells").alias("cell")).distinct()
+    covered = with_footprint(_usable_rows(spark, sf_dir).select("key", "geometry").distinct(), POLICY)
+    return covered.select("key", F.explode("footprint.cells").alias("cell")).distinct()
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +227,7 @@ SQL: dict[str, str] = {
     "F05_place_keys": f"WITH {_OBS} SELECT place_id AS key, count(*) AS n FROM obs WHERE place_id LIKE 'geonames:%' GROUP BY place_id",
     "F06_class_counts": f"SELECT class, count(*) AS n FROM ({DUCK_OBS}) GROUP BY class",
     "F07_order": f"""WITH {_OBS} SELECT class, key, n, evidence_id, stance FROM (SELECT class, place_id AS key, evidence_id, stance, row_number() OVER (PARTITION BY class, place_id
-        ORDER BY us, source_id, evidence_id, CASE stance WHEN 'threat' THEN 0 WHEN 'clear' THEN 1 ELSE 2 END, kind_rank, ttl)::INT AS n FROM obs WHERE place_id LIKE 'geonames:%') WHERE n <= 100""",
+        ORDER BY us, source_id, evidence_id, CASE stance WHEN 'threat' THEN 0 WHEN 'clear' THEN 1 ELSE 2 END, kind_rank, ttl)::INT AS n FROM obs WHERE place_id LIKE 'geonames:%')""",
     "F09_contradicted_clears": f"WITH {_OBS} SELECT evidence_id, class, place_id AS key FROM obs a WHERE stance = 'clear' AND place_id LIKE 'geonames:%' AND EXISTS (SELECT 1 FROM obs b WHERE b.stance = 'threat' AND b.evidence_id = a.evidence_id AND b.source_id = a.source_id AND b.class = a.class AND b.place_id = a.place_id)",
     "F15_neutralized_ignored": f"WITH {_OBS} SELECT class, stance, count(*) AS n FROM obs WHERE place_id LIKE 'geonames:%' AND stance <> 'neutralized' GROUP BY class, stance",
     "F13_episode_islands": f"WITH {_OBS} SELECT * FROM ({ISLANDS})",
