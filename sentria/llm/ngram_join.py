@@ -4,10 +4,12 @@ Each text is the set of its five-word shingles (A-Z in lower case; a shorter
 text is one shingle of all its words). Equal sets form one class, and
 classes are joined: a run sends every class down a path of sampled tokens
 (minhash coordinates), on which similar sets stay together with a probability
-of their similarity. Buckets that are still large are split again on two more
-sampled tokens each, unless a split keeps three quarters together: such dense
-buckets, like all small ones, are compared by brute force, exactly, in blocks of
-bounded size. Runs repeat until a pair at the threshold is met with the target
+of their similarity. Buckets that are still large are split again on three more
+sampled tokens each, which the path has not used yet, unless their sets are alike: how
+often two of them agree on a token is their mean similarity, and is counted on
+``PROBES`` unused tokens of some ``PROBED`` sets (this only chooses between two ways
+to the same links). Such dense buckets, like all small ones, are compared by brute
+force, exactly, in blocks of a bounded number of sets and of shingles. Runs repeat until a pair at the threshold is met with the target
 recall. A pair that meets in several buckets is counted in the least of them only.
 
 Pairs never leave the task that compares them: it returns, for each set, how many
@@ -30,10 +32,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch_of, keyed_only, rows_of, small_batches, written
+from ._shared import batch_of, keyed_only, rows_of, small_batches, spare, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,11 +43,16 @@ TARGET_RECALL = 0.9999
 #: Minhash coordinates of a set; paths sample from these.
 COORDINATES = 64
 #: Buckets up to this size are compared at once; larger ones are split, or compared in blocks.
-BUCKET = 256
+BUCKET = 1024
 BLOCK = 512
+#: Shingles in a block, if its sets are large (8 bytes each; a task holds two blocks).
+BLOCK_SHINGLES = 2_000_000
 MAX_DEPTH = 8
-#: A split that leaves this share together doesn't separate.
-DENSE = 0.75
+#: Sets whose mean similarity is at least this are not split; by so many tokens, of so many sets.
+DENSE = 0.55
+PROBES, PROBED = 16, 64
+#: Tokens on which a large bucket is split, each into buckets of its own.
+SPLITS = 3
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PLACES = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(WORDS)], np.uint64)
@@ -106,55 +113,73 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
 
 
-def runs_for(threshold: float, recall: float, splits: int = 2) -> int:
+def runs_for(threshold: float, recall: float, splits: int = 3) -> int:
     """Runs after which a pair at the threshold has met with this probability, through so many levels of splits."""
-    met = threshold * (1 - (1 - threshold) ** 2) ** splits
+    met = threshold * (1 - (1 - threshold) ** SPLITS) ** splits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
 def _sized(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` (path, ...) of paths that hold two rows or more, with their ``n``."""
+    """``rows`` (path, ...) of paths that hold two rows or more, with their ``n`` and the ``shingles`` of all their sets."""
     rows = written(rows, label)
-    sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"{label}-sizes")
+    sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles")).filter("n > 1"), f"{label}-sizes")
     return rows.join(sizes, "path")
 
 
+def _bit(coordinate: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), coordinate.cast("int"))
+
+
+def _fresh_coordinates(used: Column, wanted: int) -> Column:
+    """Different coordinates that ``used`` (a bit for each one) lacks, drawn by the path's hash."""
+    unused = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda c: used.bitwiseAND(_bit(c)) == 0)
+    drawn = F.array_sort(F.transform(unused, lambda c: F.struct(F.xxhash64("path", c).alias("h"), c.alias("c"))))
+    return F.transform(F.slice(drawn, 1, wanted), lambda x: x["c"])
+
+
+def _value(coordinate: Column) -> Column:
+    return F.substring(F.col("minhashes"), 4 * coordinate + 1, F.lit(4))
+
+
 def _buckets(classes: DataFrame, runs: range) -> tuple[DataFrame, int]:
-    """Buckets ``path, sig, n`` of these runs, and how often the most split of them were split."""
-    at = lambda i: F.substring("minhashes", 4 * i + 1, 4)
-    starts = F.explode(F.array(*(F.xxhash64(F.lit(r), at(r)) for r in runs)))
-    level = written(_sized(classes.select(starts.alias("path"), "sig"), "paths"), "level")
-    done, splits_done = [], 0
+    """Buckets ``path, sig, size, n_copies, n, shingles`` of these runs, and how often the most split of them were split."""
+    starts = F.inline(F.array(*(F.struct(F.xxhash64(F.lit(r), _value(F.lit(r % COORDINATES))).alias("path"), _bit(F.lit(r % COORDINATES)).alias("used")) for r in runs)))
+    level = written(_sized(classes.select(starts, "sig", "size", "n_copies"), "paths"), "level")
+    leaf = ("path", "sig", "size", "n_copies", "n", "shingles")
+    done, splits_done, pool = [], 0, classes.select("sig", "minhashes")
     for depth in range(1, MAX_DEPTH):
-        big = level.filter(F.col("n") > BUCKET)
-        if big.isEmpty():
+        large = level.filter(F.col("n") > BUCKET)
+        if large.isEmpty():
             break
-        done.append(level.filter(F.col("n") <= BUCKET))
-        first, step = (F.pmod(F.xxhash64("path", F.lit(depth), F.lit(b)), F.lit(COORDINATES - b)).cast("int") for b in (0, 1))
-        # two coordinates that differ: equal ones would put every set twice into the same bucket
-        chosen = [first, F.pmod(first + 1 + step, F.lit(COORDINATES))]
-        splits = F.explode(F.array(*(F.xxhash64("path", c, F.substring(F.col("minhashes"), 4 * c + 1, F.lit(4))) for c in chosen)))
-        children = _sized(big.join(classes.select("sig", "minhashes"), "sig").select(F.col("path").alias("parent"), F.col("n").alias("parent_n"), splits.alias("path"), "sig"), "split")
-        children = written(children, "level")
-        largest = children.groupBy("parent").agg((F.max("n") >= DENSE * F.max("parent_n")).alias("dense"))
-        dense = written(largest.filter("dense").select(F.col("parent").alias("path")), "dense")
-        done.append(big.join(dense, "path", "left_semi"))
-        level = children.join(dense.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "sig", "n")
-        level = written(level, "level")
+        done.append(level.filter(F.col("n") <= BUCKET).select(*leaf))
+        # few classes are in large buckets: only their minhashes are read from here on
+        own = written(large.select("sig").distinct(), "large-classes")
+        pool = written(pool.join(keyed_only(own), "sig", "left_semi"), "pool")
+        drawn = large.join(pool, "sig").withColumn("drawn", _fresh_coordinates(F.col("used"), max(PROBES, SPLITS)))
+        probed = drawn.filter(F.pmod(F.xxhash64("path", "sig"), F.col("n")) < PROBED)
+        probes = probed.select("path", F.inline(F.transform(F.slice("drawn", 1, PROBES), lambda c: F.struct(c.alias("c"), _value(c).alias("v")))))
+        tokens = probes.groupBy("path", "c", "v").agg(F.count(F.lit(1)).alias("m")).groupBy("path", "c").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("agree"), F.sum("m").alias("m"))
+        alike = tokens.groupBy("path").agg(F.avg(F.col("agree") / F.nullif(F.col("m") * (F.col("m") - 1), F.lit(0))).alias("mean"))
+        dense = written(alike.filter(F.col("mean") >= DENSE).select("path"), "dense")
+        done.append(large.join(keyed_only(dense), "path", "left_semi").select(*leaf))
+        child = lambda c: F.struct(F.xxhash64("path", c, _value(c)).alias("child"), F.col("used").bitwiseOR(_bit(c)).alias("child_used"))
+        split = drawn.join(keyed_only(dense), "path", "left_anti").select(F.inline(F.transform(F.slice("drawn", 1, SPLITS), child)), "sig", "size", "n_copies")
+        level = written(_sized(split.toDF("path", "used", "sig", "size", "n_copies"), "split"), "level")
         if level.isEmpty():
             break
         splits_done = depth
+    level = level.select(*leaf)
     for more in done:
         level = level.unionByName(more)
     return level, splits_done
 
 
 def leaves(classes: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """Buckets ``path, sig, n`` in which sets are to be compared; each membership once.
+    """Buckets ``path, sig, size, n_copies, n, shingles`` in which sets are to be compared; each membership once.
 
     Where buckets were split more often than the runs made so far allow for, more runs follow.
     """
-    level, made, depth = None, 0, 2
+    level, made, depth = None, 0, 3
     while made < (wanted := runs_for(threshold, recall, depth)):
         more, splits = _buckets(classes, range(made, wanted))
         level = more if level is None else level.unionByName(more)
@@ -303,13 +328,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = written(sketches(docs, id_col, text_col, size), "sketches")
     classes = written(sketched.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("minhashes").alias("minhashes")), "classes")
     met = leaves(classes.filter("size > 0"), threshold, recall)
-    own = written(met.groupBy("sig").agg(F.collect_list("path").alias("paths")), "paths-of")  # a path for each run and split at most
+    own = written(met.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_list("path").alias("paths")), "paths-of")  # a path for each run and split at most
     sets = written(_sets_of(docs, classes, own.select("sig"), id_col, text_col, size), "sets")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    side = F.when(F.col("n") <= 2 * BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("sig", "path"), blocks)).cast("int")
-    dealt = met.withColumn("blocks", F.when(F.col("n") <= 2 * BLOCK, F.lit(1)).otherwise(blocks).cast("int")).withColumn("side", side)
+    one = (F.col("n") <= 2 * BLOCK) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    dealt = met.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.least(blocks, F.col("n"))).cast("int")).withColumn("side", F.pmod(F.xxhash64("sig", "path"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("path", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "sig")
-    full = dealt.join(own, "sig").join(classes.select("sig", "n_copies"), "sig").join(sets, "sig").select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
+    full = dealt.join(own.join(sets, "sig"), "sig").select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
     linked = written(full.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "sig").mapInArrow(_compare(threshold), LINKED), "linked")
     groups = components(linked.filter("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     links = linked.groupBy("sig").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
@@ -339,16 +364,17 @@ def one_of_each(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text
     Ids that occur once, as all should, are dropped by id. Rows that share an
     id, or have none, are told apart by their sets.
     """
+    shared_id, dropped, own, other, of = (spare(docs, n) for n in ("shared_id", "dropped_id", "own_sig", "first_id_of", "first_sig"))
     judged = written(joined.select("doc_id", "sig", "is_first"), "judged")
-    shared = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("__shared"))
+    shared = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(shared_id))
     shared = written(shared, "shared-ids")
-    rest = written(judged.filter("not is_first and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct(), "dropped-ids")
+    rest = written(judged.filter("not is_first and doc_id is not null").select(F.col("doc_id").alias(dropped)).distinct(), "dropped-ids")
     if shared.isEmpty():
-        return docs.join(keyed_only(rest), F.col(id_col) == F.col("__drop"), "left_anti")
+        return docs.join(keyed_only(rest), F.col(id_col) == F.col(dropped), "left_anti")
     marked = keyed_only(shared)
-    single = docs.join(marked, F.col(id_col).eqNullSafe(F.col("__shared")), "left_anti").join(keyed_only(rest), F.col(id_col) == F.col("__drop"), "left_anti")
-    double = docs.join(marked, F.col(id_col).eqNullSafe(F.col("__shared")), "left_semi")
+    single = docs.join(marked, F.col(id_col).eqNullSafe(F.col(shared_id)), "left_anti").join(keyed_only(rest), F.col(id_col) == F.col(dropped), "left_anti")
+    double = docs.join(marked, F.col(id_col).eqNullSafe(F.col(shared_id)), "left_semi")
     sig = F.pandas_udf(lambda texts: texts.map(lambda t: signature(shingles(t, size))), "binary")
-    first = judged.filter("is_first").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__of")).distinct()
-    chosen = double.withColumn("__sig", sig(F.coalesce(F.col(text_col), F.lit("")))).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__of")), "left_semi")
-    return single.unionByName(chosen.dropDuplicates([id_col, "__sig"]).drop("__sig"))
+    first = judged.filter("is_first").select(F.col("doc_id").alias(other), F.col("sig").alias(of)).distinct()
+    chosen = double.withColumn(own, sig(F.coalesce(F.col(text_col), F.lit("")))).join(first, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(of)), "left_semi")
+    return single.unionByName(chosen.dropDuplicates([id_col, own]).drop(own))

@@ -288,7 +288,7 @@ def test_splits_hold_each_set_once_and_deep_ones_add_runs(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "_buckets", seen)
     rng = np.random.default_rng(5)
-    classes = spark.createDataFrame([(bytes([i // 256, i % 256]), rng.integers(0, 3, ngram_join.COORDINATES).astype("<u4").tobytes()) for i in range(400)], "sig binary, minhashes binary")
+    classes = spark.createDataFrame([(bytes([i // 256, i % 256]), rng.integers(0, 3, ngram_join.COORDINATES).astype("<u4").tobytes()) for i in range(400)], "sig binary, minhashes binary").selectExpr("*", "5 as size", "1L as n_copies")
     found = ngram_join.leaves(classes)
     assert found.count() == found.select("path", "sig").distinct().count()
     sizes = found.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
