@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors (at-signs, plus signs, URL schemes
-and identifier cues). Deterministic parsers then expand each anchor in its
-neighbourhood and validate what they found; runs of digits are anchors of their
-own. Every parser takes time in proportion to the text.
+One Aho-Corasick automaton finds anchors (at-signs, plus signs, URL schemes,
+digits and identifier cues). Deterministic parsers then expand each anchor in its
+neighbourhood and validate what they found: addresses of hosts and card numbers
+from the first digit of a run on, which no anchor within it opens again. Every
+parser takes time in proportion to the text.
 
 Base kinds are email, ip, card and phone; added kinds are ``login`` (user part
 of a URL), ``iban`` (checksum of 97), ``ssn`` and ``account`` (digits after a cue).
@@ -32,18 +33,18 @@ Span = tuple[int, int, str]
 #: Base kinds first, in the order that ties in ``start`` take.
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn", "account")
 #: Anchors of the automaton (matched in lower case) and the parser each one calls.
-ANCHORS = {"@": "email", "+": "phone", "://": "login", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account"}
+ANCHORS = {"@": "email", "+": "phone", "://": "login", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account"} | dict.fromkeys("0123456789", "digits")
 
+DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-# A start inside a run of digits can't match where the run's own start doesn't.
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}+")
+IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
 LOGIN = re.compile(r"[^\s/:@]++:[^\s/@]++(?=@)")
 IBAN = re.compile(r"[\s:#.no]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[\s:#.no]{0,8}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-ACCOUNT = re.compile(r"(?:[\s:#.=]|number|nummer|num|no){0,8}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])", re.IGNORECASE)
+ACCOUNT = re.compile(r"(?:[\s:#.=]|number|nummer|num|no){0,8}([0-9](?:[ -]?[0-9]){7,16})(?![ -]?[0-9]|[A-Za-z])", re.IGNORECASE)
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -64,6 +65,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def card_valid(text: str) -> bool:
+    digits = text.replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
 def iban_valid(text: str) -> bool:
     plain = text.replace(" ", "")
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -94,10 +100,20 @@ def find_personal(text: str) -> tuple[list[Span], list[Span]]:
     # lower case for the cues only; where it changes the length, of A-Z alone
     low = text.lower()
     low = low if len(low) == len(text) else text.translate(_LOWER)
-    mailed = 0
+    mailed = addressed = carded = 0
     for last, (size, kind) in _automaton().iter(low):
         first, end = last - size + 1, last + 1
-        if kind == "email":
+        if kind == "digits":
+            # a start inside a run of digits can't match where the run's own start doesn't
+            if first >= addressed and not (first and text[first - 1] in DIGITS) and (m := IP.match(text, first)):
+                addressed = m.end()
+                if _small(m[0]):
+                    base.append((*m.span(), "ip"))
+            if first >= carded and (m := CARD.match(text, first)):
+                carded = m.end()
+                if card_valid(m[0]):
+                    base.append((*m.span(), "card"))
+        elif kind == "email":
             if span := _email(text, first, mailed):
                 base.append((*span, kind))
                 mailed = span[1]
@@ -112,11 +128,6 @@ def find_personal(text: str) -> tuple[list[Span], list[Span]]:
                 more.append((m.start(1), m.start(1) + fit, kind))
         elif m := (SSN if kind == "ssn" else ACCOUNT).match(text, end):
             more.append((*m.span(1), kind))
-    base += [(*m.span(), "ip") for m in IP.finditer(text) if _small(m[0])]
-    for m in CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if len(digits) <= 19 and luhn(digits):
-            base.append((*m.span(), "card"))
     order = lambda s: (s[0], KINDS.index(s[2]))
     return sorted(base, key=order), sorted({*base, *more}, key=order)
 
