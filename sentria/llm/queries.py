@@ -55,7 +55,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the quality labels of the same id: quality 0 is a bad page."""
+    """The tables label documents only: a page's outcome is the quality label of the document of its id, 0 being bad.
+
+    These are two kinds of things, so that hosts differ by chance only, and hardly
+    any posterior reaches the bound; ``tests/llm/test_urls.py`` has hosts that do.
+    """
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("rate")
 

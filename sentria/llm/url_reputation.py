@@ -5,7 +5,9 @@ Where none fits, the host's reputation does: labelled page outcomes are
 counted by host, and bad rates are shrunk through a chain of beta-binomial
 priors, from all pages to the suffix, to the registered domain, to the host.
 The strength of each level's prior comes from the spread of its groups (method
-of moments). A host is blocked if the lower posterior bound of its bad rate is
+of moments). A registered domain is a public suffix and the label before it; public
+suffixes are the last labels, and those of several labels that the caller lists
+(``suffixes``, one pattern: some hundred at most). A host is blocked if the lower posterior bound of its bad rate is
 above ``max_rate``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
@@ -17,6 +19,7 @@ but by rules; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,14 +62,21 @@ def _strength(groups: DataFrame) -> DataFrame:
     return total.select(F.coalesce(m, F.lit(0.0)).alias("m"), s.alias("s"))
 
 
-def reputations(seen: DataFrame, z: float = 2.0, max_rate: float = 0.5) -> DataFrame:
+def domain_parts(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host."""
+    suffix = "|".join([*(re.escape(s) for s in sorted(suffixes, key=len, reverse=True)), "[^.]*"])
+    return F.regexp_extract(host, rf"(?:[^.]*\.)?(?:{suffix})$", 0), F.regexp_extract(host, rf"(?:^|\.)({suffix})$", 1)
+
+
+def reputations(seen: DataFrame, z: float = 2.0, max_rate: float = 0.5, suffixes: Sequence[str] = ()) -> DataFrame:
     """Per host of ``seen`` (host, bad): posterior ``rate`` and ``reputation``.
 
     ``bad`` is 1, 0 or null (no label). All hosts are kept, labelled or not.
     """
+    domain, suffix = domain_parts(F.col("host"), suffixes)
     hosts = written(
         seen.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"), F.count("bad").alias("n"))
-        .withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)),
+        .withColumn("domain", domain).withColumn("suffix", suffix),
         "hosts",
     )
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
@@ -81,7 +91,7 @@ def reputations(seen: DataFrame, z: float = 2.0, max_rate: float = 0.5) -> DataF
     return rated.select("host", "rate", F.when(bound > max_rate, "block").otherwise("allow").alias("reputation"))
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", z: float = 2.0, max_rate: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", z: float = 2.0, max_rate: float = 0.5, suffixes: Sequence[str] = ()) -> DataFrame:
     """Per row of ``pages``: ``page_id, host, path, rule, verdict, rate``.
 
     ``outcomes`` has ``page_id`` and ``bad`` (1, 0 or null), any number for a page.
@@ -91,7 +101,7 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], id_
     judged = outcomes.select(F.col("page_id").alias("of_page"), F.col("bad").cast("long").alias("bad")).filter("bad is not null and of_page is not null")
     labels = judged.groupBy("of_page").agg(F.sum("bad").alias("bad_n"), F.count(F.lit(1)).alias("label_n"))
     seen = parts.join(labels, F.col("page_id") == F.col("of_page"), "left")
-    rated = reputations(seen.select("host", F.when(F.col("label_n") > 0, F.col("bad_n") / F.col("label_n") >= 0.5).cast("int").alias("bad")), z, max_rate)
+    rated = reputations(seen.select("host", F.when(F.col("label_n") > 0, F.col("bad_n") / F.col("label_n") >= 0.5).cast("int").alias("bad")), z, max_rate, suffixes)
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     known = rated.withColumnRenamed("host", "of_host")
     joined = parts.join(known, parts["host"] == known["of_host"], "left")
