@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sphere
+from ..functions import shapes
 from ..operators import episodes, tracks
 from ..operators.footprint import with_footprint
+from ..operators.runs import map_rows
 from ..params import policy
-from .views import DUCK_OBS, EVALUATION, NOW, flat_observations, micros, observations
+from .views import DUCK_OBS, EVALUATION, LOOSE_CELL_FIRST, NOW, PAIRED_SQL, REGION_CELLS, flat_observations, micros, observations, paired_observations
 
 POLICY = policy("fusion.v1")
+#: Radius of the region of the paired view, as the grid's areas give it.
+_REGION_KM = round(shapes.centroid({shapes.parsed(c)[1] for c in REGION_CELLS}, 6)[2], 6)
+_CORNER = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(0.1) / 2), 2) + cos(radians(44 + 0.3 * place_no)) * cos(radians(44 + 0.3 * place_no {s} 0.1)) * pow(sin(radians(0.1) / 2), 2)))"
+_SQUARE_KM = f"(({_CORNER.format(s='+')}) + ({_CORNER.format(s='-')})) / 2"
 US = f"epoch_us(TIMESTAMP '{EVALUATION}')"
 
 
@@ -121,34 +127,55 @@ def k03_k04_report_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir).select("evidence_id", "class", "stance", F.element_at("places", 1)["id"].alias("position"), F.when(F.size(aimed) > 0, F.element_at(aimed, -1)["id"]).alias("target"))
 
 
-def k05_specific_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.min(F.struct((~F.col("kind").isin(*tracks.SPECIFIC)).alias("plain"), F.col("kind_rank"), F.col("kind")))
-    return flat_observations(spark, sf_dir).groupBy("class", "place_id").agg(best["kind"].alias("kind"))
+def _grouped_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.reports(paired_observations(spark, sf_dir).filter(F.col("observed_at") <= F.lit(NOW)), POLICY)
+
+
+def k01_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots of points, polygons and regions; what has no place, or no valid geometry, has none."""
+    spotted = paired_observations(spark, sf_dir).withColumn("spot", tracks.spot(POLICY)).withColumn("shape", F.col("geometry.type"))
+    return spotted.groupBy("shape", F.col("provenance.place_id").alias("place_id")).agg(F.count(F.lit(1)).alias("n"), F.count("spot").alias("n_spots"), F.round(F.max("spot.radius_km"), 6).alias("radius_km"))
+
+
+def k02_k05_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with several hazards and places: the specific kind, the largest count, places in their order."""
+    r = _grouped_reports(spark, sf_dir)
+    return r.select("source_id", "evidence_id", "class", "stance", "kind", "count", F.array_join(F.transform("places", lambda p: p["id"]), ",").alias("places"))
+
+
+def k04_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aimed = F.filter("places", lambda p: ~p["via"])
+    return _grouped_reports(spark, sf_dir).select("evidence_id", "class", "stance", F.element_at("places", 1)["id"].alias("position"), F.when(F.size(aimed) > 0, F.element_at(aimed, -1)["id"]).alias("target"))
+
+
+def f02_f05_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left out and why, and the keys of the rest, of points, polygons, regions, cells without a place and broken geometries."""
+    rows, skipped = episodes.usable(paired_observations(spark, sf_dir), POLICY, NOW)
+    return skipped.select(F.col("code").alias("what")).unionByName(rows.select(F.col("key").alias("what"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
 def k06_quiet_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When the last report of each class and place goes quiet and stale."""
-    quiet = F.element_at(F.create_map(*[F.lit(x) for pair in POLICY.tracks.quiet_s.items() for x in pair]), F.col("class"))
-    last = flat_observations(spark, sf_dir).filter("stance = 'threat'").groupBy("class", "place_id").agg(F.max(micros("ts")).alias("last_us"))
-    return last.select("class", "place_id", "last_us", (F.col("last_us") + quiet.cast("long") * 1000000).alias("quiet_us"), (F.col("last_us") + F.lit(POLICY.tracks.stale_s * 1000000)).alias("stale_us"))
+    """When tracks went quiet and stale."""
+    return k18_track_events(spark, sf_dir).filter("kind in ('quiet', 'stale')").drop("evidence_id")
 
 
 def k07_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kilometres an object of each kind may have come after 0 to 5 hours."""
-    rules = POLICY.tracks
-    speed = F.element_at(F.create_map(*[F.lit(x) for pair in rules.speed_kmh.items() for x in pair]), F.col("kind"))
+    """Kilometres that an object of each kind may have come after 0 to 5 hours; null for those matched in place only."""
     kinds = flat_observations(spark, sf_dir).select("kind").distinct().withColumn("hours", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    radii = 2 * POLICY.point_radius_km + rules.margin_km
-    return kinds.select("kind", "hours", F.round(F.when(F.col("kind") == "air.guided_bomb", F.lit(rules.bomb_reach_km + radii)).otherwise(speed * F.col("hours") + radii), 6).alias("reach_km"))
+    return map_rows(kinds, lambda r: [r | {"reach_km": tracks.range_km(POLICY.tracks, r["kind"], 3600.0 * r["hours"])}], "kind string, hours int, reach_km double")
 
 
 def k08_fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How places fit each other: 0 the same, 1 within an hour's reach of a drone; whole metres."""
-    p = flat_observations(spark, sf_dir).select("place_no").distinct()
-    at = lambda c: sphere.position(22 + 0.7 * F.col(c), 44 + 0.3 * F.col(c))
-    pairs = p.select(F.col("place_no").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    km = pairs.withColumn("km", sphere.haversine_km(at("a"), at("b")))
-    return km.filter("a = b or km <= 230").select("a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("how"), F.floor(F.col("km") * 1000).alias("meters"))
+    """How a drone at one place fits a report of another an hour later: at the same place or within reach, and whole metres."""
+    pairs = flat_observations(spark, sf_dir).select(F.col("place_no").alias("a")).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(4))))
+
+    def fit(row: dict) -> list[dict]:
+        place = lambda n: {"id": f"geonames:{n}", "via": False, "spot": {"lon": 22 + 0.7 * n, "lat": 44 + 0.3 * n, "radius_km": 10.0}}
+        report = {"stance": "threat", "source_id": "s", "evidence_id": "e", "observed_at": NOW, "kind": "air.attack_drone", "places": [place(row["b"])]}
+        track = tracks.Track(1, "t", "drone", "air.attack_drone", False, ((place(row["a"]), NOW - timedelta(hours=1)),), None, ("s", "f"), ("s",), ())
+        return [row | {"how": int(away), "meters": meters} for _, away, meters, _, _ in tracks.fits([track], report, POLICY.tracks)]
+
+    return map_rows(pairs, fit, "a int, b int, how int, meters long")
 
 
 def k14_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +205,14 @@ SELECT class, place_id, CAST(island AS BIGINT) AS island, MIN(us) AS first_us, M
 """
 
 _OBS = f"obs0 AS ({DUCK_OBS}), obs AS (SELECT *, epoch_us(ts) AS us, count AS n_objects FROM obs0 WHERE ts <= TIMESTAMP '{EVALUATION}')"
+_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(0.3 * (b - a)) / 2), 2) + cos(radians(44 + 0.3 * a)) * cos(radians(44 + 0.3 * b)) * pow(sin(radians(0.7 * (b - a)) / 2), 2)))"
+_QUIET = "(CASE class WHEN 'drone' THEN 3600 ELSE 1800 END * 1000000::BIGINT)"
+# A place as a number: 0 to 4, or of a region 100 and ten for each, and where it lies.
+_SPOT = "(CASE WHEN place_id LIKE 'geonames:%' THEN place_no ELSE 100 + 10 * substr(place_id, 11)::INT + place_no END)"
+_same = lambda c: f"(CASE WHEN {c} >= 100 THEN {c} // 10 ELSE {c} END)"
+_place_id = lambda c: f"CASE WHEN {c} >= 100 THEN 'ua-adm1:UA' || ({c} // 10 - 10) ELSE 'geonames:' || {c} END"
+_STATE = "STRUCT(class VARCHAR, rn BIGINT, what VARCHAR, track_id VARCHAR, kind VARCHAR, unknown BOOLEAN, position INT, target INT, first_us BIGINT, last_us BIGINT, steps BIGINT, post VARCHAR, sources VARCHAR[], status VARCHAR, seq INT, happened VARCHAR, at_us BIGINT, evidence_id VARCHAR)[]"
+_NEW_ID = "'fusion.v1/track/' || class || '/' || r_evidence || '#0#' || i"
 _LIVE = ", ".join(f"was AND coalesce(e.u{i} >= r.us, false) AS l{i}" for i in range(4))
 _NEXT = ", ".join(f"CASE WHEN stance = 'threat' THEN CASE WHEN s = {i} THEN us + ttl * CAST(1000000 AS BIGINT) WHEN l{i} THEN u{i} END WHEN hit THEN CASE WHEN s <> {i} AND l{i} THEN u{i} END ELSE u{i} END AS n{i}" for i in range(4))
 #: The fold over each (class, place) as a recursion; four sources make four columns of expiry.
@@ -219,6 +254,60 @@ log AS (
     UNION ALL SELECT 'fusion.v1/' || class || '/' || key || '/' || first_id, (rev + (happened = 'retracted')::INT)::INT, happened, at_us, evidence_id, CASE WHEN happened = 'retracted' THEN 'source_all_clear' END FROM e WHERE happened <> ''
     UNION ALL SELECT 'fusion.v1/' || class || '/' || key || '/' || first_id, (rev + 1)::INT, 'expired', until_us, NULL, NULL FROM last WHERE back = 1 AND open AND until_us <= {US})
 """
+#: The walk over each class's reports as a recursion: a row for each live track and one that begins new ones.
+TRACKS = f"""
+WITH RECURSIVE {_OBS},
+rep AS (SELECT us, source_id, evidence_id, class, stance, min(kind) AS kind, max(n_objects) AS n, any_value({_SPOT}) AS place, any_value(CASE WHEN place_role <> 'via' THEN {_SPOT} END) AS aim FROM obs GROUP BY us, source_id, evidence_id, class, stance),
+threats AS (SELECT DISTINCT source_id, evidence_id, class, {_same('place')} AS place FROM rep WHERE stance = 'threat'),
+r AS (SELECT rep.*, stance = 'clear' AND EXISTS (SELECT 1 FROM threats t WHERE t.source_id = rep.source_id AND t.evidence_id = rep.evidence_id AND t.class = rep.class AND t.place = {_same('rep.place')}) AS contradicted,
+    row_number() OVER (PARTITION BY class ORDER BY us, source_id, evidence_id, CASE stance WHEN 'threat' THEN 0 WHEN 'neutralized' THEN 1 ELSE 2 END) AS rn FROM rep),
+km AS (SELECT a::INT AS a, b::INT AS b, {_KM} AS km FROM range(0, 5) s(a), range(0, 5) t(b)),
+w(class, rn, what, track_id, kind, unknown, position, target, first_us, last_us, steps, post, sources, status, seq, happened, at_us, evidence_id) AS (
+    SELECT DISTINCT class, 0::BIGINT, 'start', NULL::VARCHAR, NULL::VARCHAR, false, NULL::INT, NULL::INT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], NULL::VARCHAR, 0::INT, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR FROM r
+    UNION ALL
+    SELECT unnest(out, max_depth := 2) FROM (
+        SELECT CAST(list_filter([
+            CASE WHEN what = 'start' THEN row(class, rn, 'start', NULL, NULL, false, NULL, NULL, NULL, NULL, 0, NULL, [], NULL, 0, NULL, NULL, NULL) END,
+            CASE WHEN grows_quiet THEN row(class, rn, 'event', track_id, NULL, false, NULL, NULL, NULL, NULL, 0, NULL, [], NULL, seq + 1, 'quiet', last_us + quiet_us, NULL) END,
+            CASE WHEN stale THEN row(class, rn, 'event', track_id, NULL, false, NULL, NULL, NULL, NULL, 0, NULL, [], NULL, aged_seq, 'stale', last_us + 21600000000, NULL) END,
+            CASE WHEN taken AND stance <> 'clear' OR ends THEN row(class, rn, 'event', track_id, NULL, false, NULL, NULL, NULL, NULL, 0, NULL, [], NULL, aged_seq + 1, CASE stance WHEN 'threat' THEN 'moved' WHEN 'clear' THEN 'cleared' ELSE 'neutralized' END, us, r_evidence) END,
+            CASE WHEN what = 'track' THEN row(class, rn, CASE WHEN stale OR ends OR taken AND stance = 'neutralized' THEN 'done' ELSE 'track' END, track_id,
+                CASE WHEN taken AND stance = 'threat' AND r_kind IN ('air.jet_drone', 'air.ballistic_missile') AND kind NOT IN ('air.jet_drone', 'air.ballistic_missile') THEN r_kind ELSE kind END, unknown,
+                CASE WHEN taken AND stance = 'threat' THEN r_place ELSE position END, CASE WHEN taken AND stance = 'threat' THEN coalesce(aim, target) ELSE target END, first_us, CASE WHEN taken AND stance = 'threat' THEN us ELSE last_us END,
+                steps + (taken AND stance = 'threat')::INT, CASE WHEN taken AND stance = 'threat' THEN r_post ELSE post END,
+                CASE WHEN withdraws THEN list_filter(sources, lambda x: x <> r_source) WHEN taken AND stance = 'threat' AND NOT list_contains(sources, r_source) THEN list_append(sources, r_source) ELSE sources END,
+                CASE WHEN stale THEN 'stale' WHEN ends THEN 'cleared' WHEN taken AND stance = 'neutralized' THEN 'neutralized' WHEN taken AND stance = 'threat' THEN 'active' WHEN grows_quiet THEN 'quiet' ELSE status END,
+                aged_seq + (taken AND stance <> 'clear' OR ends)::INT, NULL, NULL, NULL) END], lambda x: x IS NOT NULL)
+            || CASE WHEN what = 'start' AND stance = 'threat' THEN flatten(list_transform(range(1, 1 + CASE WHEN n IS NULL THEN (n_taken = 0)::BIGINT ELSE n - n_taken END), lambda i: [
+                row(class, rn, 'track', {_NEW_ID}, r_kind, n IS NULL, r_place, aim, us, us, 1, r_post, [r_source], 'active', 1, NULL, NULL, NULL),
+                row(class, rn, 'event', {_NEW_ID}, NULL, false, NULL, NULL, NULL, NULL, 0, NULL, [], NULL, 1, 'started', us, r_evidence)])) ELSE [] END AS {_STATE}) AS out
+        FROM (SELECT *, coalesce(withdraws AND len(sources) = 1, false) AS ends, count(*) FILTER (taken) OVER (PARTITION BY class) AS n_taken FROM (
+            SELECT *, coalesce(fit AND CASE stance WHEN 'threat' THEN CASE WHEN n IS NOT NULL THEN nth <= n WHEN n_same > 0 THEN same ELSE nth = 1 END WHEN 'neutralized' THEN nth <= coalesce(n, 1) ELSE false END, false) AS taken,
+                coalesce(what = 'track' AND NOT stale AND stance = 'clear' AND NOT contradicted AND list_contains(sources, r_source) AND ({_same('r_place')} = {_same('position')} OR {_same('r_place')} = {_same('target')}), false) AS withdraws FROM (
+                SELECT *, row_number() OVER (PARTITION BY class, fit ORDER BY CASE WHEN stance = 'neutralized' THEN kind <> r_kind ELSE false END, NOT same, meters, track_id) AS nth, count(*) FILTER (fit AND same) OVER (PARTITION BY class) AS n_same FROM (
+                    SELECT *, coalesce(what = 'track' AND NOT stale AND CASE stance WHEN 'threat' THEN post <> r_post WHEN 'neutralized' THEN NOT unknown ELSE false END AND (same OR km <= reach + 20), false) AS fit, seq + grows_quiet::INT + stale::INT AS aged_seq FROM (
+                        SELECT w.class, r.rn, w.what, w.track_id, w.kind, w.unknown, w.position, w.target, w.first_us, w.last_us, w.steps, w.post, w.sources, w.status, w.seq, r.us, r.stance, r.n, r.aim, r.contradicted, r.kind AS r_kind, r.place AS r_place,
+                            r.source_id AS r_source, r.evidence_id AS r_evidence, r.source_id || ' ' || r.evidence_id AS r_post, km.km, floor(km.km * 1000)::BIGINT AS meters,
+                            coalesce(w.what = 'track' AND w.status = 'active' AND w.last_us + {_QUIET.replace('class', 'w.class')} <= r.us, false) AS grows_quiet, {_QUIET.replace('class', 'w.class')} AS quiet_us, coalesce(w.what = 'track' AND w.last_us + 21600000000 <= r.us, false) AS stale,
+                            coalesce({_same('r.place')} = {_same('w.position')}, false) OR coalesce({_same('r.place')} = {_same('w.target')}, false) OR r.stance = 'threat' AND coalesce({_same('r.aim')} = {_same('w.target')}, false) AS same,
+                            CASE w.kind WHEN 'air.guided_bomb' THEN 80.0 WHEN 'air.attack_drone' THEN 200.0 * (r.us - w.last_us) / 3.6e9 + 10 WHEN 'air.jet_drone' THEN 700.0 * (r.us - w.last_us) / 3.6e9 + 10 WHEN 'air.missile' THEN 1000.0 * (r.us - w.last_us) / 3.6e9 + 10 END AS reach
+                        FROM w JOIN r ON r.class = w.class AND r.rn = w.rn + 1 AND w.what IN ('track', 'start') LEFT JOIN km ON km.a = w.position % 10 AND km.b = r.place % 10))))))),
+final AS (SELECT *, {_QUIET} AS quiet_us FROM w WHERE what = 'track' AND rn = (SELECT max(rn) FROM r WHERE r.class = w.class)),
+tracks AS (SELECT track_id, class, kind, unknown, position, target, steps, status, first_us, last_us FROM w WHERE what = 'done'
+    UNION ALL SELECT track_id, class, kind, unknown, position, target, steps, CASE WHEN last_us + 21600000000 <= {US} THEN 'stale' WHEN last_us + quiet_us <= {US} THEN 'quiet' ELSE status END, first_us, last_us FROM final),
+events AS (SELECT track_id, seq, happened, at_us, evidence_id FROM w WHERE what = 'event'
+    UNION ALL SELECT track_id, seq + 1, 'quiet', last_us + quiet_us, NULL FROM final WHERE status = 'active' AND last_us + quiet_us <= {US}
+    UNION ALL SELECT track_id, seq + 1 + (status = 'active')::INT, 'stale', last_us + 21600000000, NULL FROM final WHERE last_us + 21600000000 <= {US})
+"""
+#: Reports of the paired view.
+GROUPED = f"""
+WITH p AS ({PAIRED_SQL}),
+seen AS (SELECT * FROM p WHERE place_id IS NOT NULL AND NOT broken AND shape IN ('point', 'polygon', 'region') AND ts <= TIMESTAMP '{EVALUATION}'),
+named AS (SELECT ts, source_id, evidence_id, class, stance, place_id AS id, min(place_order) AS nth, arg_min(via, place_order * 2 + via::INT) AS via FROM seen GROUP BY ALL),
+lists AS (SELECT ts, source_id, evidence_id, class, stance, list({{'id': id, 'via': via}} ORDER BY nth, id) AS places FROM named GROUP BY ALL),
+grouped AS (SELECT s.ts, s.source_id, s.evidence_id, s.class, s.stance, arg_min(s.kind, (CASE WHEN s.kind IN ('air.jet_drone', 'air.ballistic_missile') THEN 0 ELSE 10 END) + s.kind_rank) AS kind, max(s.count) AS count, any_value(l.places) AS places
+    FROM seen s JOIN lists l USING (ts, source_id, evidence_id, class, stance) GROUP BY s.ts, s.source_id, s.evidence_id, s.class, s.stance)
+"""
 _CLASS_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(0.3 * (b - a)) / 2), 2) + cos(radians(44 + 0.3 * a)) * cos(radians(44 + 0.3 * b)) * pow(sin(radians(0.7 * (b - a)) / 2), 2)))"
 
 SQL: dict[str, str] = {
@@ -241,10 +330,15 @@ SQL: dict[str, str] = {
     "K01_spots": f"SELECT DISTINCT place_id, round((22 + 0.7 * place_no)::DOUBLE, 6) AS lon, round((44 + 0.3 * place_no)::DOUBLE, 6) AS lat, 10.0::DOUBLE AS radius_km FROM ({DUCK_OBS})",
     "K02_reports": f"WITH {_OBS} SELECT source_id, evidence_id, class, stance, min(kind) AS kind, max(n_objects) AS count, 1 AS n_places FROM obs GROUP BY us, source_id, evidence_id, class, stance",
     "K03_K04_report_places": f"WITH {_OBS} SELECT DISTINCT evidence_id, class, stance, place_id AS position, CASE WHEN place_role <> 'via' THEN place_id END AS target FROM obs",
-    "K05_specific_kind": f"SELECT class, place_id, arg_min(kind, (CASE WHEN kind IN ('air.jet_drone', 'air.ballistic_missile') THEN 0 ELSE 10 END) + kind_rank) AS kind FROM ({DUCK_OBS}) GROUP BY class, place_id",
-    "K06_quiet_stale": f"SELECT class, place_id, last_us, last_us + CASE class WHEN 'drone' THEN 3600 ELSE 1800 END * 1000000::BIGINT AS quiet_us, last_us + 21600000000 AS stale_us FROM (SELECT class, place_id, max(epoch_us(ts)) AS last_us FROM ({DUCK_OBS}) WHERE stance = 'threat' GROUP BY class, place_id)",
-    "K07_reach": f"SELECT kind, hours::INT AS hours, round(CASE kind WHEN 'air.guided_bomb' THEN 100.0 WHEN 'air.attack_drone' THEN 200.0 * hours + 30 WHEN 'air.jet_drone' THEN 700.0 * hours + 30 WHEN 'air.missile' THEN 1000.0 * hours + 30 END::DOUBLE, 6) AS reach_km FROM (SELECT DISTINCT kind FROM ({DUCK_OBS})), range(0, 6) t(hours)",
+    "K07_reach": f"SELECT kind, hours::INT AS hours, (CASE kind WHEN 'air.guided_bomb' THEN 80.0 WHEN 'air.attack_drone' THEN 200.0 * hours + 10 WHEN 'air.jet_drone' THEN 700.0 * hours + 10 WHEN 'air.missile' THEN 1000.0 * hours + 10 END)::DOUBLE AS reach_km FROM (SELECT DISTINCT kind FROM ({DUCK_OBS})), range(0, 6) t(hours)",
     "K08_fit_scores": f"SELECT a::INT AS a, b::INT AS b, (a <> b)::INT AS how, floor({_CLASS_KM} * 1000)::BIGINT AS meters FROM (SELECT DISTINCT place_no AS a FROM ({DUCK_OBS})), range(0, 5) t(b) WHERE a = b OR {_CLASS_KM} <= 230",
+    "K06_quiet_stale": TRACKS + "SELECT track_id, seq, happened AS kind, at_us FROM events WHERE happened IN ('quiet', 'stale')",
+    "K09_K13_tracks": TRACKS + f"SELECT track_id, class, kind, unknown AS count_unknown, {_place_id('position')} AS position, {_place_id('target')} AS target, CASE WHEN target IS NULL THEN 'unknown' ELSE 'heading' END AS motion, steps::INT AS steps, status, first_us, last_us FROM tracks",
+    "K18_track_events": TRACKS + "SELECT track_id, seq, happened AS kind, at_us, evidence_id FROM events",
+    "K01_shapes": f"WITH p AS ({PAIRED_SQL}) SELECT shape, place_id, count(*) AS n, count(*) FILTER (place_id IS NOT NULL AND NOT broken AND shape IN ('point', 'polygon', 'region')) AS n_spots, round(max(CASE WHEN place_id IS NULL OR broken THEN NULL WHEN shape = 'point' THEN 10.0 WHEN shape = 'polygon' THEN {_SQUARE_KM} WHEN shape = 'region' THEN {_REGION_KM!r} END)::DOUBLE, 6) AS radius_km FROM p GROUP BY ALL".replace("SELECT shape, place_id", "SELECT CASE shape WHEN 'region' THEN 'cells' ELSE shape END AS shape, place_id").replace("GROUP BY ALL", "GROUP BY CASE shape WHEN 'region' THEN 'cells' ELSE shape END, place_id"),
+    "K02_K05_grouped": GROUPED + "SELECT source_id, evidence_id, class, stance, kind, count, array_to_string(list_transform(places, lambda p: p.id), ',') AS places FROM grouped",
+    "K04_targets": GROUPED + "SELECT evidence_id, class, stance, places[1].id AS position, list_filter(places, lambda p: NOT p.via)[-1].id AS target FROM grouped",
+    "F02_F05_paired": f"WITH p AS ({PAIRED_SQL}) SELECT CASE WHEN broken THEN 'invalid_geometry' WHEN shape = 'region' THEN 'region' WHEN place_id IS NULL THEN 'cells:{LOOSE_CELL_FIRST}' ELSE place_id END AS what, count(*) AS n FROM p WHERE ts <= TIMESTAMP '{EVALUATION}' GROUP BY ALL",
     "K14_contradicted": f"WITH {_OBS} SELECT DISTINCT evidence_id, class FROM obs a WHERE stance = 'clear' AND EXISTS (SELECT 1 FROM obs b WHERE b.stance = 'threat' AND b.evidence_id = a.evidence_id AND b.class = a.class AND b.place_id = a.place_id)",
 }
 
@@ -252,6 +346,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "F01_future_filter": f01_future_filter, "F02_F03_skipped": f02_f03_skipped, "F04_footprints": f04_footprints, "F05_place_keys": f05_place_keys, "F06_class_counts": f06_class_counts, "F07_order": f07_order,
     "F09_contradicted_clears": f09_contradicted_clears, "F10_F17_assessments": f10_f17_assessments, "F11_session_windows": f11_session_windows, "F13_episode_islands": f13_episode_islands,
     "F14_retractions": f14_retractions, "F15_neutralized_ignored": f15_neutralized_ignored, "F16_status_by_class": f16_status_by_class, "F17_corroboration": f17_corroboration, "F19_event_log": f19_event_log,
-    "K01_spots": k01_spots, "K02_reports": k02_reports, "K03_K04_report_places": k03_k04_report_places, "K05_specific_kind": k05_specific_kind, "K06_quiet_stale": k06_quiet_stale, "K07_reach": k07_reach,
+    "K01_spots": k01_spots, "K02_reports": k02_reports, "K03_K04_report_places": k03_k04_report_places, "K01_shapes": k01_shapes, "K02_K05_grouped": k02_k05_grouped, "K04_targets": k04_targets, "F02_F05_paired": f02_f05_paired, "K06_quiet_stale": k06_quiet_stale, "K07_reach": k07_reach,
     "K08_fit_scores": k08_fit_scores, "K09_K13_tracks": k09_k13_tracks, "K14_contradicted": k14_contradicted, "K15_K17_track_cells": k15_k17_track_cells, "K18_track_events": k18_track_events,
 }

@@ -39,7 +39,7 @@ GAZETTEER = json.dumps({"version": "gazetteer.v1", "attribution": "none", "place
 ]})
 LEX = parse_lexicon(LEXICON)
 #: Cells of the regions that are known; the other one is not.
-REGIONS = [(f"{REGION_PREFIX}UA1", 6, ["8611e1a27ffffff", "8611e1a2fffffff"])]
+REGIONS = [(f"{REGION_PREFIX}UA1", 6, ["861e63bb7ffffff", "861e63b97ffffff"])]
 
 
 def gazetteer() -> RoleGazetteer:

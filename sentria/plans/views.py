@@ -7,6 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import shapes
+
 EVALUATION = "2024-01-25 00:00:00"
 NOW = datetime(2024, 1, 25, tzinfo=timezone.utc)
 
@@ -57,3 +59,38 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a timestamp, as the session's wall clock shows it."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
+#: Cells of the one region of the paired view, and of observations that name no place.
+REGION_CELLS = ("861e63bb7ffffff", "861e63b97ffffff")
+LOOSE_CELLS = ("861e54b87ffffff", "861e54b97ffffff")
+LOOSE_CELL_FIRST = min(shapes.texts(shapes.expanded({shapes.parsed(c)[1] for c in LOOSE_CELLS}, 1, 400), 6))
+#: Events in pairs that make one statement of two places: points, squares, regions, cells without a place and broken geometries.
+PAIRED = """
+SELECT f.*, p.at AS ts, 'telegram.channel:ch' || CAST(p.pair % 4 AS VARCHAR(20)) AS source_id, 'ch' || CAST(p.pair % 4 AS VARCHAR(20)) || '/' || CAST(p.pair AS VARCHAR(20)) AS evidence_id, CAST(event_id % 2 AS INT) AS place_order, place_role = 'via' AS via,
+    CASE WHEN event_id % 13 = 0 THEN 'region' WHEN event_id % 11 = 0 THEN 'polygon' WHEN event_id % 7 = 0 THEN 'cells' ELSE 'point' END AS shape, event_id % 17 = 0 AS broken,
+    CASE WHEN event_id % 13 = 0 THEN 'ua-adm1:UA1' WHEN event_id % 11 = 0 OR event_id % 7 <> 0 THEN 'geonames:' || CAST(place_no AS VARCHAR(20)) END AS place_id
+FROM (SELECT event_id, floor(event_id / 2) AS half, kind, class, kind_rank, stance, place_no, place_role, count, ttl FROM ({flat})) f JOIN (SELECT CAST(floor(event_id / 2) AS BIGINT) AS pair, min(ts) AS at FROM ({flat}) GROUP BY floor(event_id / 2)) p ON p.pair = f.half
+"""
+PAIRED_SQL = PAIRED.format(flat=FLAT.replace("{k}", "CAST(json_extract(props, '$.k') AS INT)"))
+
+
+def paired_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``OBSERVATION`` rows of ``PAIRED``."""
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    rows = spark.sql(PAIRED.format(flat=FLAT.replace("{k}", k).replace("FROM events", "FROM {events}")), events=events(spark, sf_dir))
+    none = lambda t: F.lit(None).cast(t)
+    x, y = 22 + 0.7 * F.col("place_no"), 44 + 0.3 * F.col("place_no")
+    corner = lambda a, b: F.array((x + a).cast("double"), (y + b).cast("double"))
+    square = F.array(F.array(corner(-0.1, -0.1), corner(0.1, -0.1), corner(0.1, 0.1), corner(-0.1, 0.1), corner(-0.1, -0.1)))
+    is_ = lambda *shapes_: F.col("shape").isin(*shapes_) & ~F.col("broken")
+    cells = F.when(is_("region"), F.array(*map(F.lit, REGION_CELLS))).when(is_("cells"), F.array(*map(F.lit, LOOSE_CELLS)))
+    geometry = F.struct(
+        F.when(F.col("shape") == "region", "cells").otherwise(F.col("shape")).alias("type"), F.when(is_("point"), F.array(x.cast("double"), y.cast("double"))).alias("coordinates"), F.when(is_("polygon"), square).alias("rings"),
+        F.when(is_("region", "cells"), F.lit(6)).alias("resolution"), cells.alias("cells"),
+    )
+    provenance = F.struct(
+        "evidence_id", F.concat(F.lit("https://t.me/"), "evidence_id").alias("evidence_url"), F.lit("events").alias("normalizer"), F.array().cast("array<string>").alias("matched"), "place_id",
+        F.col("place_id").alias("place_name"), "place_role", F.lit(0).alias("statement"), "place_order",
+    )
+    return rows.select("source_id", "kind", "stance", "count", F.col("ts").cast("timestamp").alias("observed_at"), geometry.alias("geometry"), "ttl", none("string").alias("confidence"), provenance.alias("provenance"))
