@@ -6,14 +6,20 @@ driver; place tables are built by joins and stay DataFrames.
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.text import folded
+from ..params import REGION_PREFIX
 
 READER_KINDS = ("drone", "guided_bomb", "cruise_missile", "ballistic_missile", "missile")
 #: Shorthand that two sources use (fixed values).
@@ -48,7 +54,7 @@ class Words:
     def of(forms: list[str] = (), stems: list[str] = ()) -> Words:
         forms, stems = [folded(f) for f in forms], [folded(s) for s in stems]
         if not all(forms) or not all(stems):
-            raise BadVocabulary("empty word pattern")
+            raise BadVocabulary("a pattern without a word")
         return Words(frozenset(forms), tuple(stems))
 
     def __contains__(self, word: str) -> bool:
@@ -101,7 +107,7 @@ def parse_lexicon(document: str) -> Lexicon:
     clear, hit = doc["cleared"], doc.get("intercepted") or {}
     phrases = tuple(tuple(map(folded, p.split())) for p in clear.get("phrases", []))
     if not all(phrases):
-        raise BadVocabulary("empty word pattern")
+        raise BadVocabulary("a pattern without a word")
     return Lexicon(
         kinds={k: both(doc["kinds"][k]) for k in READER_KINDS}, cleared=both(clear), phrases=phrases, negated_by=Words.of(clear.get("negated_by", [])), negated_after=Words.of(clear.get("negated_after", [])),
         intercepted=both(hit), intercepted_negated_by=Words.of(hit.get("negated_by", [])), cues={k: Words.of(v) for k, v in doc["cues"].items()}, conjunctions=Words.of(doc["conjunctions"]),
@@ -148,7 +154,7 @@ def parse_role_gazetteer(document: str) -> RoleGazetteer:
         m = _checked(p["match"], {"stems", "forms", "not", "max_suffix", "capitalized"}, set(), "match")
         patterns = tuple(tuple((folded(w), exact) for w in spelled.split()) for spelled, exact in [*((s, False) for s in m.get("stems", [])), *((f, True) for f in m.get("forms", []))])
         if any(not pattern or not all(w for w, _ in pattern) for pattern in patterns):
-            raise BadVocabulary("empty word pattern")
+            raise BadVocabulary("a pattern without a word")
         places.append(RolePlace(p["id"], p["name"], p["lat"], p["lon"], p["reach_km"], p.get("within"), patterns, frozenset(map(folded, m.get("not", []))), m.get("max_suffix", 2), m.get("capitalized", False)))
     return RoleGazetteer(places)
 
@@ -204,11 +210,36 @@ SEATS = ("PPLC", "PPLA", "PPLA2", "PPLA3", "PPLA4")
 DUMP = ("id", "name", "asciiname", "alternates", "lat", "lon", "class", "code", "country", "cc2", "admin1", "admin2", "admin3", "admin4", "population", "elevation", "dem", "timezone", "modified")
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """A place dump: tab-separated, 19 columns or more, no quoting. Rows with fewer are left out."""
-    parts = F.split("value", "\t", -1)
-    rows = spark.read.text(path).filter(F.size(parts) >= len(DUMP)).select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(DUMP)))
-    return rows.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "population": F.coalesce(F.col("population").try_cast("long"), F.lit(0).cast("long"))})
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (``value``) of a text file, or of the text in a ZIP archive, which one task unpacks."""
+    if not path.endswith(".zip"):
+        return spark.read.text(path)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    member = next(n for n in archive.namelist() if n.endswith(".txt") and "readme" not in n.lower())
+                    with archive.open(member) as f:
+                        text = io.TextIOWrapper(f, encoding="utf-8", newline="\n")
+                        while lines := list(islice(text, 10_000)):
+                            yield pa.RecordBatch.from_pydict({"value": [line.rstrip("\n") for line in lines]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpacked, "value string")
+
+
+def dump_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a place dump (tab-separated, 19 columns or more, no quoting) from ``value``, and ``problems`` (value, problem) of lines with fewer."""
+    parts = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    long_enough = F.size(parts) >= len(DUMP)
+    rows = lines.filter(long_enough).select(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(DUMP)))
+    typed = rows.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "population": F.coalesce(F.col("population").try_cast("long"), F.lit(0).cast("long"))})
+    return typed, lines.filter(~long_enough & (F.col("value") != "")).select("value", F.concat(F.lit("expected 19 tab-separated fields, found "), F.size(parts).cast("string")).alias("problem"))
+
+
+def read_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``dump_rows`` of a text file or a ZIP archive."""
+    return dump_rows(_lines(spark, path))
 
 
 def wanted_place() -> Column:
@@ -232,16 +263,22 @@ def reach_km(population: Column | str, given: Column | None = None) -> Column:
     return steps if given is None else F.coalesce(given, steps)
 
 
-def build_role_gazetteer(spec: DataFrame, dump: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places of a curated list with the dump's coordinates, and ``problems`` (id, problem).
+def build_role_gazetteer(spec: DataFrame, dump: DataFrame, regions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Places of a curated list (``geonames_id`` or ``region``, name, reach_km, within) with coordinates, and ``problems`` (id, problem).
 
-    The list is the small side and the planner broadcasts it if it is; every
-    listed place must be a populated place of the dump, once, and what it lies within must be listed too.
+    The list is the small side and the planner broadcasts it if it is. A listed
+    place must be a populated place of the dump, a region one of ``regions`` (id,
+    lat, lon, reach_km); each once, and what a place lies within must be listed too.
     """
     places = dump.filter("class = 'P' and country = 'UA'").select(F.col("id").alias("d_id"), "lat", "lon", "population")
-    joined = spec.join(places, F.col("geonames_id").cast("string") == F.col("d_id"), "left")
-    rows = joined.filter("d_id is not null").select(F.concat(F.lit("geonames:"), "d_id").alias("id"), "name", "lat", "lon", reach_km("population", F.col("reach_km")).alias("reach_km"), "within")
-    unmatched = joined.filter("d_id is null").select(F.concat(F.lit("geonames:"), F.col("geonames_id").cast("string")).alias("id"), F.lit("not in the dump").alias("problem"))
+    joined = spec.filter("region is null").join(places, F.col("geonames_id").cast("string") == F.col("d_id"), "left")
+    name = lambda c: F.concat(F.lit("geonames:"), F.col(c).cast("string"))
+    rows = joined.filter("d_id is not null").select(name("d_id").alias("id"), "name", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), reach_km("population", F.col("reach_km")).alias("reach_km"), name("within").alias("within"))
+    unmatched = joined.filter("d_id is null").select(name("geonames_id").alias("id"), F.lit("not a populated place of the dump").alias("problem"))
+    known = regions if regions is not None else spec.sparkSession.createDataFrame([], "id string, lat double, lon double, reach_km int")
+    coded = spec.filter("region is not null").select(F.concat(F.lit(REGION_PREFIX), "region").alias("id"), "name").join(known.select(F.col("id").alias("r_id"), "lat", "lon", "reach_km"), F.col("id") == F.col("r_id"), "left")
+    rows = rows.unionByName(coded.filter("r_id is not null").select("id", "name", "lat", "lon", F.col("reach_km").cast("int").alias("reach_km"), F.lit(None).cast("string").alias("within")))
+    unknown = coded.filter("r_id is null").select("id", F.lit("not a region that is listed").alias("problem"))
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit("listed more than once").alias("problem"))
-    outside = rows.filter("within is not null").join(rows.select(F.col("id").alias("o_id")), F.col("within") == F.col("o_id"), "left_anti").select("id", F.lit("lies within a place that is not listed").alias("problem"))
-    return rows, unmatched.unionByName(twice).unionByName(outside)
+    outside = rows.filter("within is not null").join(rows.select(F.col("id").alias("o_id")).distinct(), F.col("within") == F.col("o_id"), "left_anti").select("id", F.lit("lies within a place that is not listed").alias("problem"))
+    return rows, unmatched.unionByName(unknown).unionByName(twice).unionByName(outside)

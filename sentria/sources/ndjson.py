@@ -16,11 +16,16 @@ def read_evidence(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return spark.read.schema(f"{EVIDENCE}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def judged_lines(lines: DataFrame) -> DataFrame:
+    """Lines (``value``) that aren't blank, with ``valid``: whether they are evidence with ids of the right form."""
+    parsed = lines.filter(F.trim("value") != "").withColumn("e", F.from_json("value", EVIDENCE, {"mode": "PERMISSIVE"}))
+    return parsed.withColumn("valid", F.col("e.source_id").isNotNull() & valid_ids(F.col("e.source_id"), F.col("e.external_id"))).drop("e")
+
+
 def numbered_problems(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are no evidence: file, byte offset order and text. Each line is judged where it is read."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value").filter(F.trim("value") != "")
-    parsed = lines.withColumn("e", F.from_json("value", EVIDENCE, {"mode": "PERMISSIVE"}))
-    return parsed.filter(F.col("e.source_id").isNull() | ~valid_ids(F.col("e.source_id"), F.col("e.external_id"))).select("file", "n", "value")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+    return judged_lines(lines).filter(~F.col("valid")).drop("valid")
 
 
 def valid_ids(source_id: Column, external_id: Column) -> Column:

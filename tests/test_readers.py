@@ -282,7 +282,12 @@ def test_protocol(spark):
         found = ask("normalize", {"evidence": [post], "reader": reader}, spark=spark)["result"]["observations"]
         assert found[0]["observed_at"] == "2024-01-01T08:00:00Z" and found[0]["count"] == 2
         out = ask("assess", {"policy_version": "fusion.v1", "evaluation_time": "2024-01-01T08:10:00Z", "observations": found})["result"]
-        assert [a["status"] for a in out["assessments"]] == ["active"] and [e["kind"] for e in out["events"]] == ["issued"]
+        assert [a["status"] for a in out["assessments"]] == ["active"] and [e["kind"] for e in out["events"]] == ["issued"] and "tracks" not in out
+        full = ask("assess", {"policy_version": "fusion.v1", "evaluation_time": "2024-01-01T08:10:00Z", "observations": found}, spark=spark)["result"]
+        assert (full["assessments"], full["events"]) == (out["assessments"], out["events"])
+        assert [(t["status"], t["first_at"], len(t["cells"]["cells"]) > 20) for t in full["tracks"]] == [("active", "2024-01-01T08:00:00Z", True)] * 2 and [e["kind"] for e in full["track_events"]] == ["started"] * 2
+    whole = json.dumps({"protocol_version": runtime.PROTOCOL, "request_id": "w", "operation": "capabilities"}, indent=2)
+    assert json.loads(runtime.handle_document(f"\n{whole}\n"))["request_id"] == "w"
 
 
 def test_stream_sessions(spark, tmp_path):
@@ -298,3 +303,23 @@ def test_stream_sessions(spark, tmp_path):
     q = sessions(stream).writeStream.format("memory").queryName("closed_sessions").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("closed_sessions").filter("reports = 2 and status = 'expired'").count() == 1
+
+
+def test_dumps_of_places(spark, tmp_path):
+    import zipfile
+
+    row = lambda i, cls="P", country="UA": "\t".join([str(i), f"N{i}", f"N{i}", "", "50", "30", cls, "PPL", country, "", "", "", "", "", "5000", "", "", "", "2024"])
+    text = "\n".join([row(1), "2\tshort", row(3, "A"), row(4, country="PL"), row(5) + "\r", ""])
+    (tmp_path / "d.txt").write_text(text)
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+        z.writestr("UA.txt", text)
+    for path in ("d.txt", "d.zip"):
+        rows, problems = vocabulary.read_dump(spark, str(tmp_path / path))
+        assert sorted((r["id"], r["modified"], r["population"]) for r in rows.collect()) == [(i, "2024", 5000) for i in "1345"]
+        assert [r["value"] for r in problems.collect()] == ["2\tshort"]
+    spec = spark.createDataFrame([(1, None, "a", None, 5), (5, None, "b", 9, None), (4, None, "c", None, None), (None, "UA1", "d", None, None), (None, "UA2", "e", None, None), (5, None, "b", None, 7)], "geonames_id long, region string, name string, reach_km int, within long")
+    regions_ = spark.createDataFrame([("ua-adm1:UA1", 50.0, 30.0, 80)], "id string, lat double, lon double, reach_km int")
+    got, problems = vocabulary.build_role_gazetteer(spec, rows, regions_)
+    assert sorted((r["id"], r["reach_km"], r["within"]) for r in got.collect()) == [("geonames:1", 5, "geonames:5"), ("geonames:5", 5, "geonames:7"), ("geonames:5", 9, None), ("ua-adm1:UA1", 80, None)]
+    assert sorted((r["id"], r["problem"].split()[0]) for r in problems.collect()) == [("geonames:4", "not"), ("geonames:5", "lies"), ("geonames:5", "listed"), ("ua-adm1:UA2", "not")]
