@@ -290,21 +290,6 @@ def test_protocol(spark):
     assert json.loads(runtime.handle_document(f"\n{whole}\n"))["request_id"] == "w"
 
 
-def test_stream_sessions(spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    from sentria.streaming import sessions
-
-    schema = "class string, key string, source_id string, evidence_id string, observed_at timestamp, ttl int"
-    t0 = datetime(2024, 1, 1)
-    for n, minutes in enumerate(([0, 20], [120], [600])):
-        spark.createDataFrame([("drone", "p", "s:a", f"e{m}", t0 + timedelta(minutes=m), 1800) for m in minutes], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = sessions(stream).writeStream.format("memory").queryName("closed_sessions").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("closed_sessions").filter("reports = 2 and status = 'expired'").count() == 1
-
-
 def test_dumps_of_places(spark, tmp_path):
     import zipfile
 
