@@ -10,7 +10,8 @@ is two thirds of the larger of two figures: the smallest density on this path, a
 the median density of the core's parts (of a paragraph of ``PARAGRAPH`` characters
 at most). Blocks beside the path that reach it belong to the result; so does running
 text (paragraphs, lists, tables) beside such running text, and a heading right
-before what is kept. An article or main element on the path that holds most of the
+before what is kept. Where the body itself is the core, its parts are judged alike.
+An article or main element on the path that holds most of the
 page's text outside of links is kept whole, with those of its sibling articles
 that are not mostly links.
 
@@ -20,7 +21,7 @@ themselves menus, notices, adverts or comments, unless they hold nearly all of t
 page's text outside of links, or most of it with a marked article among it.
 A name counts if a class, id or role ends in it ("cookie-notice"), or begins
 with it and goes on with a word for a container ("comment-list"): "has-sidebar",
-"comments-open" and "social-science" name nothing. Of the header of an article,
+"comments-open", "post--with-sidebar" and "social-science" name nothing. Of the header of an article,
 headings stay, and what is as dense as a line of ``LEAD`` characters (a lead is, an author's name isn't).
 
 Inline elements count as tags of their block, not as nodes of their own, so
@@ -69,8 +70,13 @@ NO_ARTICLE = frozenset(
 )
 #: Those that hold text of their own kind, of which a page may have more than of the article.
 OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
+#: Those that name no article whatever follows.
+ALWAYS = frozenset("cookie cookies gdpr consent newsletter advert adverts advertisement advertising adsense sponsored disqus breadcrumb breadcrumbs popup modal".split())
 #: What may follow such a word in the name of a container, and what makes a name one of a state.
-CONTAINERS = frozenset("area bar block body box button buttons column container content group holder inner item items left link links list main outer panel posts region right row section slot text thread top bottom unit wrap wrapper".split())
+CONTAINERS = frozenset(
+    "area articles bar block body box button buttons column container content count feed form group heading headlines holder icon icons inner item items left link links list main news next outer panel posts previous products region right row "
+    "section slot stories strip text thread title top topics bottom unit wrap wrapper".split()
+)
 STATES = frozenset("has with without no not is hide show enable disable".split())
 #: Characters of the paragraph that the threshold asks for at most, and of the shortest that the header of an article keeps.
 PARAGRAPH, LEAD = 200, 40
@@ -78,18 +84,25 @@ PARAGRAPH, LEAD = 200, 40
 NEARLY_ALL = 0.8
 
 
+def _parts(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
+
+
 def named(attributes: str) -> frozenset[str]:
-    """Which words of ``NO_ARTICLE`` the classes, id and role name."""
+    """Which words of ``NO_ARTICLE`` the classes, id and role name.
+
+    Of names like ``block__element--modifier``, block and element are looked at each by itself.
+    """
     found = set()
     for m in CLUES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
-            if not parts or parts[0] in STATES:
-                continue
-            if parts[-1] in NO_ARTICLE:
-                found.add(parts[-1])
-            elif parts[0] in NO_ARTICLE and CONTAINERS.issuperset(parts[1:]):
-                found.add(parts[0])
+            for parts in map(_parts, name.partition("--")[0].split("__")):
+                if not parts or parts[0] in STATES:
+                    continue
+                if parts[-1] in NO_ARTICLE:
+                    found.add(parts[-1])
+                elif parts[0] in ALWAYS or parts[0] in NO_ARTICLE and CONTAINERS.issuperset(parts[1:]):
+                    found.add(parts[0])
     return frozenset(found)
 
 
@@ -287,10 +300,10 @@ def threshold_of(page: Page, m: Measures, core: int) -> float:
     return min(max(least if least < math.inf else 0.0, parts[len(parts) // 2]), paragraph) * 2 / 3
 
 
-def _beside(page: Page, m: Measures, up: int, inner: int, limit: float) -> list[int]:
-    """Children of ``up`` that belong to the article besides ``inner``, through which the path goes."""
+def _beside(page: Page, m: Measures, up: int, inner: int | None, limit: float) -> list[int]:
+    """Children of ``up`` that belong to the article besides ``inner``, through which the path goes; without it, ``up`` is the core."""
     children = m.children[up]
-    flows = any(m.block[i] and page.tag[i] in FLOW and page.tag[i] not in HEADINGS and m.density[i] >= limit for i in children if i != inner)
+    flows = inner is None or any(m.block[i] and page.tag[i] in FLOW and page.tag[i] not in HEADINGS and m.density[i] >= limit for i in children if i != inner)
     kept = [i == inner or m.block[i] and (m.density[i] >= limit or flows and page.tag[i] in FLOW and m.texty[i]) for i in children]
     for at in range(len(children) - 2, -1, -1):
         kept[at] = kept[at] or kept[at + 1] and page.tag[children[at]] in HEADINGS and m.block[children[at]]
@@ -313,6 +326,9 @@ def article_roots(page: Page, cut: list[bool], texts: list[tuple[int, str | None
         roots |= {i for i in m.children[page.parent[top]] if page.tag[i] in ARTICLE and m.block[i] and m.texty[i]}
     if whole <= 0:
         node = core
+        if page.tag[core] in ("html", "body"):
+            kept = set(_beside(page, m, core, None, limit))
+            without.update(i for i in m.children[core] if i not in kept)
         while node > 0 and page.tag[node] != "body":
             roots.update(_beside(page, m, page.parent[node], node, limit))
             node = page.parent[node]

@@ -112,6 +112,12 @@ def test_densities_by_definition(seed):
     (f"<div>{P}<p>Of.</p><blockquote>{PART * 4}</blockquote><p>No.</p></div>{LINKS}", [*STORY, "Of.", "No.", "line 5 of it"], ["Home"]),
     (f"<div class=ad>{'An advert that is longer than the page. ' * 3}</div><article><p>Short.</p></article>", ["Short."], ["advert"]),
     (f"<div class='comment-list'>{PART}</div><div>{P}</div><div id=siteFooter>All rights</div><ul role=navigation><li>x</ul>", STORY, ["line 0", "All rights", "x\n"]),
+    (f"<h1>Head</h1>{P}<p>Of.</p>{LINKS}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div>Copyright 2020 Somebody</div>Last words.", ["Head", *STORY, "Of.", "Last words."], ["Home", "One", "Copyright"]),
+    (f"<table><tr><td>{LINKS}</td><td><h2>Head</h2>{P}</td></tr></table>", ["Head", *STORY], ["Home"]),
+    (f"<div class=page><div class=c-newsletter__form><p>{'Subscribe to all of this. ' * 9}</p></div><div class=article-body>{P}<div class=ad-slot>{'Buy it now. ' * 9}</div></div><div class=related-articles>{PART}</div><div id=cookie-law-info-bar>We use them</div></div>", STORY, ["Subscribe", "Buy", "line 0", "We use"]),
+    (f"<div class='post post--with-sidebar article__body'>{P}</div><div class=site-nav__item>Go</div>", STORY, ["Go"]),
+    (f"<div id=page><header id=masthead><p>Site</p></header><main><article class='post type-post'><header class=entry-header><h1>Title</h1><div class=entry-meta>By me, May 2024</div></header><div class=entry-content>{P}<div class=sharedaddy><div class='share-buttons'>Share it</div></div></div><footer>Tags</footer></article>"
+     f"<div id=comments class=comments-area><ol class=comment-list><li class=comment><article class=comment-body>{PART}</article></ol></div></main><aside class=widget-area>W</aside></div>", ["Title", *STORY], ["Site", "By me", "Share it", "Tags", "line 0", "W\n"]),
     (f"<div>{'Line of a text without paragraphs, which goes on.<br>' * 9}</div><div>Copyright 2020 Somebody</div>", ["goes on. Line"], ["Copyright"]),
 ])
 def test_names_and_threshold(html, kept, gone):
@@ -127,7 +133,7 @@ def test_density_decides(monkeypatch):
     assert main_text.main_text(html) != found
 
 
-@pytest.mark.parametrize(("name", "words"), [("cookie-notice", {"notice"}), ("comment-list", {"comment"}), ("commentList", {"comment"}), ("ad_1", {"ad"}), ("has-sidebar", set()), ("comments-open", set()), ("social-science", set()), ("header", set()), ("share", {"share"}), ("", set())])
+@pytest.mark.parametrize(("name", "words"), [("cookie-notice", {"notice"}), ("comment-list", {"comment"}), ("commentList", {"comment"}), ("ad_1", {"ad"}), ("has-sidebar", set()), ("comments-open", set()), ("social-science", set()), ("header", set()), ("c-newsletter__form", {"newsletter"}), ("post--with-sidebar", set()), ("site-nav__item", {"nav"}), ("related-articles", {"related"}), ("share", {"share"}), ("", set())])
 def test_named(name, words):
     assert main_text.named(f" class='{name}'") == words == main_text.named(f' data-x=1 id="{name}"')
 
