@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
+from sentria.functions import h3grid
 from sentria.operators import episodes, tracks
 from sentria.params import UnknownPolicy, policy
 from sentria.plans import registry
@@ -135,3 +138,61 @@ def test_order_returns_every_row(spark, monkeypatch):
     every = tables().execute(registry.SQL["F07_order"].removesuffix(" WHERE n <= 100")).df()
     got = registry.QUERIES["F07_order"](spark, "/root/testdata/sf0.01").toPandas()
     assert every["n"].max() > 100 and rows(got) == rows(every)
+
+
+def test_islands_cut_the_walk_and_change_nothing(spark):
+    """Silences of six hours and more cut a class; results equal those of one walk over all its reports."""
+    rnd = random.Random(4)
+    minute, rows = 0, []
+    for n in range(120):
+        minute += rnd.choice([1, 5, 30, 90, 359, 360, 361, 900])
+        rows.append(obs(minute, "ABC"[n % 3], rnd.choice(["threat", "threat", "clear", "neutralized"]), place=f"p{rnd.randint(0, 3)}", at=(30.5 + rnd.randint(0, 3) / 2, 50.4), count=rnd.choice([None, 1, 2])))
+    df, now = spark.createDataFrame(rows, OBSERVATION), T0 + timedelta(minutes=minute + 45)
+    cut = tracks.islands(df, P.tracks)
+    assert cut.agg(F.max("island")).first()[0] >= 5
+    t, e = tracks.follow(df, P, now)
+    seen = tracks.with_contradictions(tracks.reports(df, P)).orderBy("observed_at", "source_id", "evidence_id", "statement", "alone", "turn")
+    order = [r.asDict(True) for r in seen.collect()]
+    whole = list(tracks.track_fold(P, now.astimezone().replace(tzinfo=None))(iter(order)))
+    assert sorted(r["track_id"] + r["status"] + str(len(r["path"])) for r in t.collect()) == sorted(r["track"]["track_id"] + r["track"]["status"] + str(len(r["track"]["path"])) for r in whole if r["track"])
+    assert sorted((r["track_id"], r["seq"], r["kind"]) for r in e.collect()) == sorted((r["event"]["track_id"], r["event"]["seq"], r["event"]["kind"]) for r in whole if r["event"])
+
+
+def test_islands_of_episodes(spark):
+    rnd = random.Random(5)
+    minute, rows = 0, []
+    for n in range(150):
+        minute += rnd.choice([1, 10, 29, 30, 31, 200, 400, 800])
+        rows.append(obs(minute, "AB"[n % 2], rnd.choice(["threat", "threat", "clear"]), place="p1", ttl=rnd.choice([600, 1800, 30000])))
+    df, now = spark.createDataFrame(rows, OBSERVATION), T0 + timedelta(minutes=minute + 10)
+    ready = episodes.usable(df, P, now)[0]
+    assert episodes.with_islands(ready).agg(F.max("island")).first()[0] >= 3
+    found = episodes.assess(df, P, now)
+    whole = list(episodes.episode_fold(P, now.astimezone().replace(tzinfo=None))(iter(r.asDict(True) for r in ready.orderBy(*episodes.ORDER).collect())))
+    assert sorted((r["assessment_id"], r["status"], r["revision"]) for r in found.assessments.collect()) == sorted((r["assessment"]["assessment_id"], r["assessment"]["status"], r["assessment"]["revision"]) for r in whole if r["assessment"])
+    assert sorted((r["assessment_id"], r["seq"], r["kind"]) for r in found.events.collect()) == sorted((r["event"]["assessment_id"], r["event"]["seq"], r["event"]["kind"]) for r in whole if r["event"])
+    assert all(len(r["cells"]["cells"]) > 5 for r in found.assessments.collect())
+
+
+def cells_of(df):
+    return {r["position"]["id"]: (len(r["cells"]["cells"]), len(r["region_cells"]["cells"]), r["status"]) for r in df.collect()}
+
+
+def test_cells_of_tracks(spark):
+    """Discs that grow with time, corridors to a target, regions, and tracks that ended."""
+    middle = h3grid.cell_of(31.0, 50.5, 6)
+    region = {"type": "cells", "coordinates": None, "rings": None, "resolution": 6, "cells": sorted(map(h3grid.text_of, h3grid.disk([middle], 1)))}
+    now = T0 + timedelta(minutes=30)
+    follow_ = lambda *rows: cells_of(tracks.with_cells(tracks.follow(spark.createDataFrame(rows, OBSERVATION), P, now)[0], P, now))
+    at_once, later = follow_(obs(29)), follow_(obs(0))
+    assert 20 < at_once["p1"][0] < later["p1"][0] and at_once["p1"][1:] == (0, "active")
+    # a region has no cells of its own but those of the region and a ring
+    assert follow_(obs(0, place="ua-adm1:UA1", geometry=region)) == {"ua-adm1:UA1": (0, 19, "active")}
+    assert assess(spark, [obs(0, place="ua-adm1:UA1", geometry=region)])[2] == [("A/0", "region")]
+    # from a place into a region: the place's disc, and the region
+    both = follow_(obs(0, role="via", post="A/x"), (*obs(0, place="ua-adm1:UA1", post="A/x", geometry=region)[:8], ("A/x", "u", "n", [], "ua-adm1:UA1", "ua-adm1:UA1", None, 0, 1)))
+    assert both["p1"][0] > 20 and both["p1"][1] == 19
+    # towards another place: a corridor, which holds more than the disc
+    aimed = follow_(obs(0, role="via", post="A/y"), (*obs(0, place="p9", post="A/y", at=(31.6, 51.0))[:8], ("A/y", "u", "n", [], "p9", "p9", None, 0, 1)))
+    assert aimed["p1"][0] > later["p1"][0] + 10
+    assert follow_(obs(0), obs(5, "A", "clear"))["p1"] == (0, 0, "cleared")
