@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, tzinfo
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -76,9 +77,10 @@ def reports(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
         ).alias("place"),
     )
     key = ["observed_at", "source_id", "evidence_id", "statement", "alone", "class", "turn", "stance"]
-    once = rows.groupBy(*key, F.col("place.id").alias("place_id")).agg(F.min("place").alias("place"), F.min("best").alias("best"), F.max("count").alias("count"), F.min("ref").alias("ref"))
     # places of one statement of one post: a handful
-    return once.groupBy(*key).agg(F.array_sort(F.collect_list("place")).alias("places"), F.min("best").alias("best"), F.max("count").alias("count"), F.min("ref").alias("ref")).withColumn("kind", F.col("best.kind")).drop("best")
+    gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_set("place")).alias("named"), F.min("best").alias("best"), F.max("count").alias("count"), F.min("ref").alias("ref"))
+    first = F.filter("named", lambda p, i: ~F.exists(F.slice("named", F.lit(1), i), lambda q: q["id"] == p["id"]))
+    return gathered.withColumn("places", first).withColumn("kind", F.col("best.kind")).drop("best", "named")
 
 
 def with_contradictions(rows: DataFrame) -> DataFrame:
@@ -107,11 +109,28 @@ def bucket_of(us: Column, seconds: int) -> Column:
 
 
 def distance_km(a: dict, b: dict) -> float:
-    p, q = math.radians(a["lat"]), math.radians(b["lat"])
-    chord = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b["lon"] - a["lon"]) / 2) ** 2
+    return _distance_km(a["lon"], a["lat"], b["lon"], b["lat"])
+
+
+@lru_cache(maxsize=100_000)
+def _distance_km(lon: float, lat: float, to_lon: float, to_lat: float) -> float:
+    p, q = math.radians(lat), math.radians(to_lat)
+    chord = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(to_lon - lon) / 2) ** 2
     return 2 * EARTH_KM * math.asin(math.sqrt(chord))
 
 
+#: A list that grows at its end by (what was before, item), so that no change copies it.
+Chain = tuple["Chain | None", object] | None
+
+
+def unrolled(chain: Chain) -> list:
+    out = []
+    while chain is not None:
+        chain, item = chain
+        out.append(item)
+    return out[::-1]
+
+
 class Track(NamedTuple):
     """What is known of one object; a change makes a new one."""
 
@@ -120,24 +139,19 @@ class Track(NamedTuple):
     hazard: str
     kind: str
     unknown: bool
-    path: tuple[tuple[dict, datetime], ...]
+    first: datetime
+    position: dict
+    last: datetime
+    path: Chain  # of (place, time)
     target: dict | None
     post: tuple[str, str]
     sources: tuple[str, ...]
-    refs: tuple[dict, ...]
+    refs: Chain
     status: str = "active"
     seq: int = 0
 
-    @property
-    def position(self) -> dict:
-        return self.path[-1][0]
-
-    @property
-    def last(self) -> datetime:
-        return self.path[-1][1]
-
-    def names(self) -> set[str]:
-        return {self.position["id"]} | ({self.target["id"]} if self.target else set())
+    def names(self) -> tuple[str, ...]:
+        return (self.position["id"], self.target["id"]) if self.target else (self.position["id"],)
 
 
 def range_km(rules: TrackPolicy, kind: str, seconds: float) -> float | None:
@@ -153,16 +167,18 @@ Fit = tuple[bool, bool, int, str, int]
 
 def fits(live: Iterable[Track], report: dict, rules: TrackPolicy) -> list[Fit]:
     """The tracks that a report may speak of, for threats and for what was ended alike, the best first."""
-    ended, here, aim = report["stance"] == "neutralized", report["places"][0], aimed_at(report)
-    post, out = (report["source_id"], report["evidence_id"]), []
+    ended, here, aim, at = report["stance"] == "neutralized", report["places"][0], aimed_at(report), report["observed_at"]
+    post, place, spot, aimed, out = (report["source_id"], report["evidence_id"]), here["id"], here["spot"], None if ended or aim is None else aim["id"], []
     for track in live:
         if track.unknown if ended else track.post == post:
             continue
-        km = distance_km(track.position["spot"], here["spot"])
-        same = here["id"] in track.names() or not ended and aim is not None and track.target is not None and track.target["id"] == aim["id"]
-        reach = range_km(rules, track.kind, (report["observed_at"] - track.last).total_seconds())
-        if same or reach is not None and km <= reach + track.position["spot"]["radius_km"] + here["spot"]["radius_km"]:
-            out.append((ended and track.kind != report["kind"], not same, int(km * 1000), track.id, track.n))
+        target = track.target["id"] if track.target else None
+        same = place == track.position["id"] or target is not None and (place == target or aimed == target)
+        reach = 0.0 if same else range_km(rules, track.kind, (at - track.last).total_seconds())
+        if reach is not None:
+            km = distance_km(track.position["spot"], spot)
+            if same or km <= reach + track.position["spot"]["radius_km"] + spot["radius_km"]:
+                out.append((ended and track.kind != report["kind"], not same, int(km * 1000), track.id, track.n))
     return sorted(out)
 
 
@@ -184,41 +200,50 @@ def moved(track: Track, report: dict) -> Track:
     at, source = report["observed_at"], report["source_id"]
     kind = report["kind"] if report["kind"] in SPECIFIC and track.kind not in SPECIFIC else track.kind
     sources = track.sources if source in track.sources else (*track.sources, source)
-    return track._replace(kind=kind, path=(*track.path, (report["places"][0], at)), target=aimed_at(report) or track.target, post=(source, report["evidence_id"]), sources=sources, status="active")
+    return track._replace(kind=kind, position=report["places"][0], last=at, path=(track.path, (report["places"][0], at)), target=aimed_at(report) or track.target, post=(source, report["evidence_id"]), sources=sources, status="active")
 
 
 class Walk:
     """The live tracks of a class; ``out`` gathers events, and tracks that have ended."""
 
-    def __init__(self, policy: FusionPolicy):
+    def __init__(self, policy: FusionPolicy, hazard: str, zone: tzinfo | None):
         self.policy, self.rules = policy, policy.tracks
         self.live: dict[int, Track] = {}
         self.begun = 0
         self.out: list[dict] = []
+        self.quiet_after, self.stale_after = timedelta(seconds=policy.tracks.quiet_s[hazard]), timedelta(seconds=policy.tracks.stale_s)
+        self.due = datetime.min.replace(tzinfo=zone)  # nothing changes by age before
 
     def _keep(self, track: Track, event: str, at: datetime, ref: dict | None) -> None:
         """Every change of a track ends here: its event, its evidence, and whether it is still followed."""
-        track = track._replace(seq=track.seq + 1, refs=track.refs if ref is None or event == "started" else (*track.refs, ref))
+        track = track._replace(seq=track.seq + 1, refs=track.refs if ref is None or event == "started" else (track.refs, ref))
         self.out.append({"track": None, "event": {"track_id": track.id, "seq": track.seq, "kind": event, "effective_at": at, "evidence": ref}})
         if track.status in ("active", "quiet"):
             self.live[track.n] = track
+            self.due = min(self.due, self._due(track))
         else:
             self.live.pop(track.n, None)
             self.out.append(finished(track, self.policy))
 
+    def _due(self, track: Track) -> datetime:
+        return track.last + (self.quiet_after if track.status == "active" else self.stale_after)
+
     def age(self, now: datetime) -> None:
+        if now < self.due:
+            return
         for track in list(self.live.values()):
-            for status, seconds in (("quiet", self.rules.quiet_s[track.hazard]), ("stale", self.rules.stale_s)):
-                due = track.last + timedelta(seconds=seconds)
-                if due <= now and track.n in self.live and self.live[track.n].status != status:
-                    self._keep(self.live[track.n]._replace(status=status), status, due, None)
+            while track.n in self.live and (due := self._due(track)) <= now:
+                status = "quiet" if track.status == "active" else "stale"
+                self._keep(track._replace(status=status), status, due, None)
+                track = self.live.get(track.n, track)
+        self.due = min(map(self._due, self.live.values()), default=datetime.max.replace(tzinfo=now.tzinfo))
 
     def take(self, report: dict) -> None:
         at, ref, stance = report["observed_at"], report["ref"], report["stance"]
         if stance == "clear":
             named = {p["id"] for p in report["places"]}
             for track in [] if report["contradicted"] else list(self.live.values()):
-                if report["source_id"] in track.sources and named & track.names():
+                if report["source_id"] in track.sources and not named.isdisjoint(track.names()):
                     left = track._replace(sources=tuple(s for s in track.sources if s != report["source_id"]))
                     if left.sources:
                         self.live[track.n] = left
@@ -242,7 +267,7 @@ class Walk:
             name = f"{self.policy.version}/track/{report['class']}/{report['evidence_id']}#{where}#{n}"
             post = (report["source_id"], report["evidence_id"])
             self.begun += 1
-            self._keep(Track(self.begun, name, report["class"], report["kind"], report["count"] is None, ((position, at),), aimed_at(report), post, (report["source_id"],), (report["ref"],)), "started", at, report["ref"])
+            self._keep(Track(self.begun, name, report["class"], report["kind"], report["count"] is None, at, position, at, (None, (position, at)), aimed_at(report), post, (report["source_id"],), (None, report["ref"])), "started", at, report["ref"])
 
 
 def finished(t: Track, policy: FusionPolicy) -> dict:
@@ -252,8 +277,8 @@ def finished(t: Track, policy: FusionPolicy) -> dict:
         "event": None,
         "track": {
             "track_id": t.id, "policy_version": policy.version, "class": t.hazard, "kind": t.kind, "count_unknown": t.unknown, "position": named(t.position), "target": named(t.target),
-            "motion": "unknown" if t.target is None else "heading", "path": [{"id": p["id"], "name": p["name"], "at": at} for p, at in t.path], "status": t.status, "first_at": t.path[0][1],
-            "last_seen_at": t.last, "evidence": list(t.refs), "center": circle(t.position)[0], "radius_km": circle(t.position)[1], "target_center": circle(t.target)[0], "target_radius_km": circle(t.target)[1],
+            "motion": "unknown" if t.target is None else "heading", "path": [{"id": p["id"], "name": p["name"], "at": at} for p, at in unrolled(t.path)], "status": t.status, "first_at": t.first,
+            "last_seen_at": t.last, "evidence": unrolled(t.refs), "center": circle(t.position)[0], "radius_km": circle(t.position)[1], "target_center": circle(t.target)[0], "target_radius_km": circle(t.target)[1],
             "region": next((p["cells"] for p in (t.target, t.position) if p and p["region"]), None), "position_region": t.position["region"], "target_region": bool(t.target and t.target["region"]),
         },
     }
@@ -266,17 +291,20 @@ def track_fold(policy: FusionPolicy, now: datetime):
     """The fold over one island's reports in order: tracks as they end, and events."""
 
     def fold(rows: Iterable[dict]) -> Iterator[dict]:
-        walk, end = Walk(policy), now
+        walk, end = None, now
         for row in rows:
-            end = now.replace(tzinfo=row["observed_at"].tzinfo) if now.tzinfo is None else now
+            zone = row["observed_at"].tzinfo
+            walk = walk or Walk(policy, row["class"], zone)
+            end = now.replace(tzinfo=zone) if now.tzinfo is None else now
             walk.age(row["observed_at"])
             walk.take(row)
             yield from walk.out
             walk.out.clear()
-        walk.age(end)
-        yield from walk.out
-        for track in walk.live.values():
-            yield finished(track, policy)
+        if walk:
+            walk.age(end)
+            yield from walk.out
+            for track in walk.live.values():
+                yield finished(track, policy)
 
     return fold
 

@@ -172,7 +172,8 @@ def k08_fit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(row: dict) -> list[dict]:
         place = lambda n: {"id": f"geonames:{n}", "via": False, "spot": {"lon": 22 + 0.7 * n, "lat": 44 + 0.3 * n, "radius_km": 10.0}}
         report = {"stance": "threat", "source_id": "s", "evidence_id": "e", "observed_at": NOW, "kind": "air.attack_drone", "places": [place(row["b"])]}
-        track = tracks.Track(1, "t", "drone", "air.attack_drone", False, ((place(row["a"]), NOW - timedelta(hours=1)),), None, ("s", "f"), ("s",), ())
+        before = NOW - timedelta(hours=1)
+        track = tracks.Track(1, "t", "drone", "air.attack_drone", False, before, place(row["a"]), before, None, None, ("s", "f"), ("s",), None)
         return [row | {"how": int(away), "meters": meters} for _, away, meters, _, _ in tracks.fits([track], report, POLICY.tracks)]
 
     return map_rows(pairs, fit, "a int, b int, how int, meters long")
