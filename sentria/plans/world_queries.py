@@ -12,7 +12,8 @@ from ..operators import bridge
 from ..operators.vocabulary import reach_km, wanted_place
 from ..params import EARTH_KM, policy
 from ..sources import ndjson, preview
-from . import runtime
+from . import point_queries, runtime
+from . import reader_queries as R
 
 def _stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings made from orders, to hold the bridge's expressions against SQL."""
@@ -108,6 +109,30 @@ def r01_r07_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select(F.get_json_object("value", "$.request_id").alias("request_id"), F.get_json_object("value", "$.failure.code").alias("code"), F.size(F.from_json(F.get_json_object("value", "$.result.cells"), "array<string>")).alias("n_cells"))
 
 
+def r03_r05_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to assess and to read bounded windows: valid ones, too large ones, unknown policies, missing fields."""
+    n, key = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    place = F.concat(F.lit('{"type":"point","coordinates":['), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]}"))
+    proof = F.concat(F.lit('{"evidence_id":"n/'), key, F.lit('","evidence_url":"u","normalizer":"x","matched":[],"place_id":"geonames:'), key, F.lit('","place_name":"N","statement":0,"place_order":0}'))
+    report = lambda source, minute, stance: F.concat(F.lit(f'{{"source_id":"{source}","kind":"air.attack_drone","stance":"{stance}","observed_at":"2024-01-01T10:{minute:02d}:00+02:00","geometry":'), place, F.lit(',"ttl":1800,"provenance":'), proof, F.lit("}"))
+    told = F.when(n % 3 == 0, F.concat_ws(",", report("s:a", 0, "threat"), report("s:b", 5, "threat"))).when(n % 3 == 1, report("s:a", 0, "threat")).otherwise(F.concat_ws(",", report("s:a", 0, "threat"), report("s:b", 9, "clear")))
+    version = F.when(n % 7 == 6, "fusion.v0").otherwise("fusion.v1")
+    at = F.when(n % 2 == 0, "2024-01-01T08:20:00Z").otherwise("2024-01-01T09:20:00Z")
+    assess = F.concat(F.lit('{"policy_version":"'), version, F.lit('","evaluation_time":"'), at, F.lit('","observations":['), told, F.lit("]}"))
+    post = F.concat(F.lit('{"source_id":"s:a","external_id":"n/'), key, F.lit('","published_at":"2024-01-01T10:00:00Z","provenance":{"url":"u","collector":"c"},"text":"2 шахеда на Киев, ракета, Новое Село"}'))
+    posts = F.when(n % 8 == 3, F.array_join(F.array_repeat(post, 501), ",")).otherwise(post)
+    read = F.concat(F.lit('{"reader":"observe","evidence":['), posts, F.lit("]}"))
+    is_read = n % 4 == 3
+    envelope = F.concat(F.lit('{"protocol_version":"signal.v1","request_id":"r'), key, F.lit('","operation":"'), F.when(is_read, "normalize").otherwise("assess"), F.lit('","payload":'), F.when(is_read, read).otherwise(assess), F.lit("}"))
+    vocabulary = runtime.Vocabulary(R.LEX, R.gazetteer(), point_queries.names(spark), {})
+    answers = runtime.handle_stream(_nations(spark, sf_dir).select(envelope.alias("value")), vocabulary)
+    at_path = lambda path: F.get_json_object("value", path)
+    return answers.select(
+        at_path("$.request_id").alias("request_id"), at_path("$.failure.code").alias("code"), at_path("$.result.assessments[0].status").alias("status"), at_path("$.result.assessments[0].corroboration_count").alias("sources"),
+        at_path("$.result.assessments[0].valid_until").alias("until"), at_path("$.result.observations[0].provenance.place_id").alias("place_id"), at_path("$.result.observations[0].count").alias("count"), at_path("$.result.skipped[0].code").alias("skipped"),
+    )
+
+
 POLICY = policy("fusion.v1")
 _KM = f"2 * {EARTH_KM} * asin(sqrt(pow(sin(radians(0.3 * (b - n_nationkey)) / 2), 2) + cos(radians(44 + 0.3 * n_nationkey)) * cos(radians(44 + 0.3 * b)) * pow(sin(radians(0.7 * (b - n_nationkey)) / 2), 2)))"
 _D = f"(12.0::DOUBLE / {EARTH_KM})"
@@ -130,6 +155,10 @@ SQL: dict[str, str] = {
     "S30_S33_gazetteer": """WITH d AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'A' ELSE 'P' END AS class, ['PPL', 'PPLX', 'PPLA', 'PPLW', 'PPLC'][s_suppkey % 5 + 1] AS code, floor(abs(s_acctbal) * 40)::BIGINT AS population FROM supplier)
         SELECT s_suppkey, code, population, (CASE WHEN population >= 200000 THEN 20 WHEN population >= 50000 THEN 12 WHEN population >= 10000 THEN 8 ELSE 5 END)::INT AS reach_km FROM d WHERE class = 'P' AND code NOT IN ('PPLX', 'PPLW') AND (population >= 1000 OR code IN ('PPLA', 'PPLC'))""",
     "S01_wire_times": "SELECT event_id, strftime(make_timestamp(1704067200000000 + event_id * 250000), '%Y-%m-%dT%H:%M:%S') || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END || 'Z' AS wire FROM events",
+    "R03_R05_windows": """WITH n AS (SELECT n_nationkey AS n, n_nationkey % 4 = 3 AS reads FROM nation),
+        c AS (SELECT *, CASE WHEN reads THEN CASE WHEN n % 8 = 3 THEN 'window_too_large' END WHEN n % 7 = 6 THEN 'unknown_policy' END AS code, CASE WHEN n % 3 = 0 THEN '2024-01-01T08:35:00Z' ELSE '2024-01-01T08:30:00Z' END AS until FROM n)
+        SELECT 'r' || n AS request_id, code, CASE WHEN NOT reads AND code IS NULL THEN CASE WHEN n % 2 = 0 THEN 'active' ELSE 'expired' END END AS status, CASE WHEN NOT reads AND code IS NULL THEN CASE WHEN n % 2 = 1 THEN '0' WHEN n % 3 = 0 THEN '2' ELSE '1' END END AS sources,
+        CASE WHEN NOT reads AND code IS NULL THEN until END AS until, CASE WHEN reads AND code IS NULL THEN 'g:1' END AS place_id, CASE WHEN reads AND code IS NULL THEN '2' END AS count, CASE WHEN reads AND code IS NULL THEN 'ambiguous_place' END AS skipped FROM c""",
     "R02_capabilities": "SELECT 'capabilities,normalize,cover,assess' AS operations, 'normalize,observe' AS readers, 'fusion.v1' AS policies, 500::INT AS evidence, 5000::INT AS observations, 400::INT AS cells",
     "R01_R07_protocol": "SELECT CASE WHEN n_nationkey % 5 <> 3 THEN 'r' || n_nationkey END AS request_id, CASE n_nationkey % 5 WHEN 1 THEN 'unknown_operation' WHEN 2 THEN 'unsupported_version' WHEN 3 THEN 'invalid_request' END AS code, CASE WHEN n_nationkey % 5 IN (0, 4) THEN 7 END::INT AS n_cells FROM nation",
 }
@@ -138,5 +167,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "B05_B07_twins": b05_b07_twins, "G02_disc": g02_disc,
     "G11_haversine": g11_haversine, "G14_valid": g14_valid,
     "S01_wire_times": s01_wire_times, "S09_plain_text": s09_plain_text, "S11_background": s11_background, "S13_dedup": s13_dedup, "S14_S15_windows": s14_s15_windows, "S17_channel_names": s17_channel_names,
-    "S30_S33_gazetteer": s30_s33_gazetteer, "R01_R07_protocol": r01_r07_protocol, "R02_capabilities": r02_capabilities,
+    "S30_S33_gazetteer": s30_s33_gazetteer, "R01_R07_protocol": r01_r07_protocol, "R03_R05_windows": r03_r05_windows, "R02_capabilities": r02_capabilities,
 }

@@ -39,7 +39,7 @@ def read_all(spark, texts):
 
 
 READINGS = [
-    ("2 шахеда на Киев", [("drone", "threat", 2, [("g:1", "target")], False)]),
+    ("2 дрона на Киев сейчас", [("drone", "threat", 2, [("g:1", "target")], False)]),
     ("Дроны через Сумы на Киев", [("drone", "threat", None, [("g:2", "via"), ("g:1", "target")], False)]),
     ("Дроны на Сумы и Киев", [("drone", "threat", None, [("g:2", "target"), ("g:1", "target")], False)]),
     ("Дроны из Сумы", [("drone", "threat", None, [("g:2", "origin")], False)]),
@@ -126,7 +126,7 @@ NAMES = {T.keyed(["киев"]): {"place": {"id": "k", "name": "Киев", "lat":
 
 
 @pytest.mark.parametrize(("line", "expected"), [
-    ("2 шахеда на Киев", [("air.attack_drone", "threat", 2, "k")]),
+    ("2 дрона на Киев сейчас", [("air.attack_drone", "threat", 2, "k")]),
     ("Реактивный дрон, ракета на Киев", [("air.attack_drone", "threat", None, "k"), ][:0] + [("air.missile", "threat", None, "k")]),
     ("Ракета на Киев. Минус", [("air.missile", "clear", None, "k")]),
     ("Ракеты на Киев, шахеды на Сумы", [("air.missile", "threat", None, "k"), ("air.attack_drone", "threat", None, "s")]),
@@ -277,7 +277,7 @@ def test_protocol(spark):
     assert ask("normalize", {"evidence": [{}] * 501})["failure"]["code"] == "window_too_large"
     assert ask("assess", {"policy_version": "x", "evaluation_time": "2024-01-01T00:00:00Z", "observations": []})["failure"]["code"] == "unknown_policy"
     assert ask("assess", {"policy_version": "fusion.v1", "observations": []})["failure"]["code"] == "invalid_request"
-    post = {"source_id": "f:x", "external_id": "x/1", "published_at": "2024-01-01T10:00:00+02:00", "provenance": {"url": "u", "collector": "c"}, "text": "2 шахеда на Киев"}
+    post = {"source_id": "f:x", "external_id": "x/1", "published_at": "2024-01-01T10:00:00+02:00", "provenance": {"url": "u", "collector": "c"}, "text": "2 дрона на Киев сейчас"}
     for reader in runtime.READERS:
         found = ask("normalize", {"evidence": [post], "reader": reader}, spark=spark)["result"]["observations"]
         assert found[0]["observed_at"] == "2024-01-01T08:00:00Z" and found[0]["count"] == 2
