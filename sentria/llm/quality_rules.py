@@ -4,7 +4,9 @@ Every document is measured by rules on its words and lines. Failures are then
 counted by host (the ``source`` of a document), host rates are shrunk by a
 beta prior that the hosts themselves give (method of moments), and a host whose
 posterior failure rate is above ``max_rate`` with confidence ``z`` is rejected
-with all of its documents.
+with all of its documents. Hosts are counted by partial sums before they are
+shuffled. Their verdicts come back by a broadcast where the planner knows them to
+be small; else by a shuffle, in which Spark's skew join deals a hot host's rows to several tasks.
 
 Defined cases: a null or empty text has no words, so it fails the word rule; a
 null source is a host of its own; repeated rows and repeated ids are measured

@@ -10,6 +10,11 @@ suffixes are the last labels, and those of several labels that the caller lists
 (``suffixes``, one pattern: some hundred at most). A host is blocked if the lower posterior bound of its bad rate is
 above ``max_rate``.
 
+Hosts are counted by partial sums before they are shuffled. Their reputations come
+back by a broadcast where the planner knows them to be small; else by a shuffle, in
+which Spark's skew join deals a hot host's rows to several tasks. Rules become one
+expression with a branch for each: some hundred at most.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 and no rule fits it; a host of one label is its own registered domain and
 suffix; repeated pages are judged row by row; of several outcomes of a
