@@ -47,6 +47,8 @@ BUCKET = 1024
 BLOCK = 512
 #: Shingles in a block, if its sets are large (8 bytes each; a task holds two blocks).
 BLOCK_SHINGLES = 2_000_000
+#: Values (of shingles or paths) that a comparison numbers at once, at some 70 bytes each.
+NUMBERED = 500_000
 MAX_DEPTH = 8
 #: Sets whose mean similarity is at least this are not split; by so many tokens, of so many sets.
 DENSE = 0.55
@@ -191,22 +193,31 @@ def leaves(classes: DataFrame, threshold: float = THRESHOLD, recall: float = TAR
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of blocks of columns."""
+    """Sizes of all pairwise intersections of sorted sets, by products of blocks of columns.
+
+    The values are hashes: equal ranges hold about as many each, and are taken one after another.
+    """
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    keep = count[column] > 1
-    owner, column = owner[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
     out = np.zeros((n, n), np.float64)
+    parts = -(-sum(map(len, sets)) // NUMBERED)
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
     width = 4096
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [start, start + width])
-        block = np.zeros((n, width), np.float32)
-        block[owner[a:b], column[a:b] - start] = 1
-        out += block @ block.T
+    block = np.zeros((n, width), np.float32)
+    for part in range(parts):
+        pieces = [s[cut[part] : cut[part + 1]] for s, cut in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(n), [len(s) for s in pieces])
+        _, column, count = np.unique(np.concatenate(pieces), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        keep = count[column] > 1
+        owner, column = owner[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [start, start + width])
+            block[:] = 0
+            block[owner[a:b], column[a:b] - start] = 1
+            out += block @ block.T
     return out
 
 
@@ -233,16 +244,13 @@ def compared(path: int, sides: list[int], wanted: tuple[int, int], sets: list[np
 
     texts, docs = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(first):
-        lower = [frozenset(p for p in own if p < path) for own in paths]
+        lower = [[p for p in own if p < path] for own in paths]
         weight = np.array(copies, np.int64)
         if n > 64:
-            names = {p: i for i, p in enumerate(sorted(set().union(*lower)))}
-            met = np.zeros((n, max(1, len(names))), np.float32)
-            for i, own in enumerate(lower):
-                met[i, [names[p] for p in own]] = 1
-            fresh = (met @ met.T)[first, second] == 0
+            fresh = _intersections([np.sort(np.array(own, np.int64).view(np.uint64)) for own in lower])[first, second] == 0
         else:
-            fresh = np.array([lower[i].isdisjoint(lower[j]) for i, j in zip(first.tolist(), second.tolist(), strict=True)])
+            names = [frozenset(own) for own in lower]
+            fresh = np.array([names[i].isdisjoint(names[j]) for i, j in zip(first.tolist(), second.tolist(), strict=True)])
         np.add.at(texts, first[fresh], 1)
         np.add.at(texts, second[fresh], 1)
         np.add.at(docs, first[fresh], weight[second[fresh]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,3 +70,38 @@ def test_odd_tables(spark):
     kept = ngram_join.one_of_each(clashing, ngram_join.ngram_join(clashing))
     assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
     assert ngram_join.ngram_join(clashing.limit(0)).count() == 0
+
+
+def test_memory_of_a_comparison():
+    rng = np.random.default_rng(5)
+    path, n = 2**61, 512
+    common = rng.integers(0, 2**64, 95, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, 5, dtype=np.uint64)])) for _ in range(n)]
+    # each set went down 400 paths of its own, and every eighth one down a path in common as well, where those have met
+    paths = [[*rng.integers(-(2**62), 2**61, 400).tolist(), path, *([-7] if i % 8 == 0 else [])] for i in range(n)]
+    large = [np.unique(rng.integers(0, 2**64, 200_000, dtype=np.uint64)) for _ in range(19)]
+    large.append(np.unique(np.concatenate([large[0][: len(large[0]) * 19 // 20], large[1][:100]])))
+    peaks, found = [], []
+    for sets_, paths_ in ((sets, paths), (large, [[path]] * len(large))):
+        tracemalloc.start()
+        found.append(ngram_join.compared(path, [0] * len(sets_), (0, 0), sets_, [2] * len(sets_), paths_, 0.8))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    (texts, documents, root), (few, _, roots) = found
+    assert texts.tolist() == [n - n // 8 if i % 8 == 0 else n - 1 for i in range(n)] and documents.tolist() == (2 * texts).tolist() and set(root) == {0}
+    assert few.tolist() == [1] + [0] * 18 + [1] and roots == [*range(19), 0]
+    assert max(peaks) < 100, f"{peaks} MB for 512 sets with 400 paths each, and for 4 million shingles"
+
+
+def test_intersections_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    # small values, the ends of the range and empty sets beside hashes
+    pool = np.concatenate([rng.integers(0, 2**64, 150, dtype=np.uint64), np.array([0, 1, 2, 2**63, 2**64 - 1], np.uint64)])
+    sets = [np.unique(rng.choice(pool, k)) for k in (*rng.integers(1, 120, 70).tolist(), 0, 0)]
+    shared = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for numbered in (40, 1000, 10**6):
+        monkeypatch.setattr(ngram_join, "NUMBERED", numbered)
+        got = ngram_join._intersections(sets)
+        off = ~np.eye(len(sets), dtype=bool)
+        assert (got[off] == np.array(shared, float)[off]).all()
+    assert (ngram_join._intersections([np.zeros(0, np.uint64)] * 2) == 0).all()
