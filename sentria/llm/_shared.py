@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +128,36 @@ def content(text: Column) -> Column:
 def beside(out: pa.RecordBatch, batch: pa.RecordBatch, names: Iterable[str]) -> pa.RecordBatch:
     """``out`` with the named columns of ``batch``, which has the same rows."""
     return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(batch.schema.get_field_index(n)) for n in names)], names=[*out.schema.names, *names])
+
+
+def finite_vectors(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists of numbers are vectors (neither null nor holding null or non-finite entries), and all as rows of doubles.
+
+    Shorter lists are filled up with zeros; rows of lists that are no vectors mean nothing.
+    """
+    n = len(column)
+    ok = column.is_valid().to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), lengths)
+    finite = np.isfinite(values)
+    ok[owner[~finite]] = False
+    values = np.where(finite, values, 0.0)
+    if n and (lengths == dims).all():
+        return ok, values.reshape(n, dims)
+    rows = np.zeros((n, dims))
+    rows[owner, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+    return ok, rows
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes, as one binary value."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.dtype.itemsize * rows.shape[1]
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def rows_from(column: pa.Array, dtype: np.dtype, dims: int) -> np.ndarray:
+    """The inverse of ``binary_rows``."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), dims)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, main_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, secrets, url_reputation, warc_zip
+from . import decontaminate, hard_negatives, main_text, ngram_join, packing, personal_data, quality_classifier, quality_rules, secrets, sharding, url_reputation, warc_zip, whitening
 from ._shared import fresh_dir, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -64,8 +64,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_filter(table(spark, sf_dir, "pages"), outcomes, URL_RULES).drop("rate")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 go on to the next of ten; anchors are ids divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and checksums are taken before the exchange, so that texts stay where they are."""
+    out = sharding.sharded(sharding.with_digests(table(spark, sf_dir, "documents")))
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op5_ngram_join, op6_quality_rules, op7_personal_data, op8_quality_classifier, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_warc, op2_secret_scans, op3_decontamination, op4_html_extraction, op5_ngram_join, op6_quality_rules, op7_personal_data, op8_quality_classifier, op9_best_fit_packing, op10_url_filters, op11_hard_negatives, op12_whitening, op13_sharding)}
 
 
 #: One group's rates around m: the prior's strength by the method of moments.
@@ -161,6 +177,18 @@ SELECT page_id, host, path,
 FROM parts p JOIN rep USING (host)
 """
 
+OP11_SQL = """
+WITH r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id NULLS LAST, s.b)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_hard_negatives": OP11_SQL}
