@@ -5,32 +5,34 @@ composite text density is computed: characters for each tag, lowered where
 characters and tags belong to links. The densities of a node's children are
 summed, and the container with the largest sum is the core; ``article`` and
 ``main`` count double. A single container that holds nearly all text of the
-core stands for it. From the core the path leads up to the body. The threshold
+core stands for it, and so does an article in it with most of its text. From the core the path leads up to the body. The threshold
 is two thirds of the larger of two figures: the smallest density on this path, and
 the median density of the core's parts (of a paragraph of ``PARAGRAPH`` characters
-at most). Blocks beside the path that reach it belong to the result; so does running
-text (paragraphs, lists, tables) beside such running text, and a heading right
-before what is kept. Where the body itself is the core, its parts are judged alike.
-An article or main element on the path that holds most of the
-page's text outside of links is kept whole, with those of its sibling articles
-that are not mostly links.
-
-Before that, what is certainly no article goes: scripts, controls, navigation,
-asides and footers by their tag; forms, page headers, and elements that name
-themselves menus, notices, adverts or comments, unless they hold nearly all of the
-page's text outside of links, or most of it with a marked article among it.
-A name counts if a class, id or role ends in it ("cookie-notice"), or begins
-with it and goes on with a word for a container ("comment-list"): "has-sidebar",
-"comments-open", "post--with-sidebar" and "social-science" name nothing. Of the header of an article,
-headings stay, and what is as dense as a line of ``LEAD`` characters (a lead is, an author's name isn't).
+at most). Containers in the core, and blocks beside the path, that reach the threshold belong to the
+result. Below it, a container is searched for denser ones. Running
+text (paragraphs, lists, tables) that isn't mostly links belongs to it in the core, in what is dense, and beside
+such running text; a heading with what follows it.
+
+What speaks against a block lowers its density, and nothing else: each of its
+characters counts as a part of one (``WEIGHTS``). That are names ("cookie-notice", "comment-list"),
+page headers, short texts outside of paragraphs that begin like notices ("Copyright", "Share this"), and being outside of article elements that hold most of the page's text. A name that may be a container's own
+("widget", "banner") weighs less where the block holds most of the page's text, and nothing where it holds all.
+A name counts if a class, id or role ends in it, or begins
+with it and goes on with a word for a container: "has-sidebar",
+"comments-open", "post--with-sidebar" and "social-science" name nothing. Blocks in the header of an article
+need a part of a paragraph's density (``HEADER``), by names such as "lead" still less.
+
+Only what is no text of the page, or no part of an article by its very tag, goes
+before that: scripts, styles, form controls, navigation, asides, footers, and what is hidden.
 
 Inline elements count as tags of their block, not as nodes of their own, so
 that a bold paragraph isn't taken for a container.
 
 Defined cases: null and empty pages give an empty text, and so do pages without
 text outside of what is cut; unclosed, misnested and unknown tags and a page
-without a body are allowed; repeated rows each keep a row; an empty table gives
-an empty result; extra columns are ignored. Work is in proportion to the page.
+without a body are allowed; a tag that isn't closed ends before the next one;
+repeated rows each keep a row; an empty table gives
+an empty result; extra columns are ignored. Work is in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ from pyspark.sql import functions as F
 
 from ._shared import batch_of, rows_of, small_batches
 
-TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
+#: Comments, declarations, tags. A tag ends at ``>``, or before a ``<`` outside of quotes; a quote without its other half is none.
+TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.DOTALL)
 CLUES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
@@ -62,7 +65,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ARTICLE = frozenset({"article", "main"})
 #: Running text: parts of an article, but never the container of one.
 FLOW = frozenset("p ul ol dl li dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption details summary address hr".split()) | HEADINGS
-#: Words that name what is no article.
+#: Words that name what is no article, unless it has most of the text.
 NO_ARTICLE = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments commentlist disqus replies respond share sharing social related recommended recommendations toolbar pagination pager "
@@ -72,22 +75,36 @@ NO_ARTICLE = frozenset(
 OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
 #: Those that name no article whatever follows.
 ALWAYS = frozenset("cookie cookies gdpr consent newsletter advert adverts advertisement advertising adsense sponsored disqus breadcrumb breadcrumbs popup modal".split())
+#: Those that name no article however much text there is.
+CERTAIN = OTHERS | ALWAYS | frozenset("ad ads adbox sponsor promo notice notices sidebar menu nav navbar navigation footer subscribe subscription signup login pagination pager".split())
+LEADS = frozenset("lead lede standfirst subtitle subhead dek deck intro summary excerpt description abstract".split())
+#: What a character counts in blocks of such names, of other names above (at least), in page headers, in texts like notices, and outside of articles that hold most of the text.
+WEIGHTS = {"certain": 0.01, "named": 0.2, "header": 0.2, "notice": 0.05, "outside": 0.2}
+#: How short texts begin that are no part of an article.
+NOTICE = re.compile(r"\W*(?:copyright\b|\u00a9|all rights reserved|share (?:this|on|it)\b|follow us\b|advertisement\b|sponsored\b|(?:related|recommended) (?:articles|posts|stories)\b|tags?\s*:|filed under\b|leave a (?:reply|comment)\b|\d+ comments?\W*\Z)", re.IGNORECASE)
+NOTICE_CHARACTERS = 80
 #: What may follow such a word in the name of a container, and what makes a name one of a state.
 CONTAINERS = frozenset(
     "area articles bar block body box button buttons column container content count feed form group heading headlines holder icon icons inner item items left link links list main news next outer panel posts previous products region right row "
     "section slot stories strip text thread title top topics bottom unit wrap wrapper".split()
 )
 STATES = frozenset("has with without no not is hide show enable disable".split())
-#: Characters of the paragraph that the threshold asks for at most, and of the shortest that the header of an article keeps.
-PARAGRAPH, LEAD = 200, 40
+#: Characters of the paragraph that the threshold asks for at most.
+PARAGRAPH = 200
 #: Share of the text outside of links that a child needs to stand for the core.
 NEARLY_ALL = 0.8
+#: Part of the density of a paragraph that blocks in the header of an article need, and by how much names of leads multiply theirs.
+HEADER, LEAD = 0.13, 4
 
 
 def _parts(name: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
 
 
+def _is_lead(attributes: str) -> bool:
+    return any(w in LEADS for m in CLUES.finditer(attributes) for w in _parts(m[1] or m[2] or m[3] or ""))
+
+
 def named(attributes: str) -> frozenset[str]:
     """Which words of ``NO_ARTICLE`` the classes, id and role name.
 
@@ -113,62 +130,55 @@ class Page:
         self.tag: list[str] = ["html"]
         self.parent: list[int] = [-1]
         self.cut: list[bool] = [False]
-        #: how much of the page's text outside of links keeps a suspect from being cut; 0 for others
-        self.suspect: list[float] = [0.0]
-        self.in_header: list[bool] = [False]  # blocks in the header of an article, headings aside
+        #: what its names, or it being a page's header, make a character of the node count; names that the text may outweigh are marked
+        self.weight: list[float] = [1.0]
+        self.outweighed: list[bool] = [False]
+        self.in_article: list[bool] = [False]
+        #: blocks in the header of an article, headings aside: 1, or ``LEAD`` for leads
+        self.in_header: list[int] = [0]
         #: (node, text) in page order; None for the edge of a block
         self.items: list[tuple[int, str | None]] = []
         self._build(source)
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
         node = len(self.tag)
-        self.tag.append(tag)
-        self.parent.append(parent)
         cut = self.cut[parent] or tag in CUT
-        suspect = 0.5 if tag == "form" else 0.0
-        if not cut and attributes and tag not in ("html", "body"):
+        weight, outweighed, header = 1.0, False, 0
+        if not cut and len(attributes) > 5 and tag not in ("html", "body"):
             cut = bool(HIDDEN.search(attributes))
-            names = named(attributes)
-            if names & OTHERS:
-                suspect = 0.5 if tag in ARTICLE else 0.9
-            elif names and tag not in ARTICLE:
-                suspect = suspect or NEARLY_ALL
-        lead = False
-        if tag == "header" and not self._within_article(parent):
-            suspect = suspect or NEARLY_ALL
-        elif self.tag[parent] == "header" and not self.suspect[parent]:
-            lead = tag not in HEADINGS and tag not in INLINE
+            if names := named(attributes):
+                if names & CERTAIN and not (tag in ARTICLE and not names & OTHERS):
+                    weight = WEIGHTS["certain"]
+                elif tag not in ARTICLE:
+                    weight, outweighed = WEIGHTS["named"], True
+        if tag == "header" and not self.in_article[parent]:
+            weight, outweighed = min(weight, WEIGHTS["header"]), weight == 1.0
+        elif self.tag[parent] == "header" and self.in_article[parent] and tag not in HEADINGS and tag not in INLINE:
+            header = LEAD if attributes and _is_lead(attributes) else 1
+        self.tag.append(tag)
+        self.parent.append(parent)
         self.cut.append(cut)
-        self.suspect.append(suspect)
-        self.in_header.append(lead)
+        self.weight.append(weight)
+        self.outweighed.append(outweighed)
+        self.in_article.append(self.in_article[parent] or tag in ARTICLE)
+        self.in_header.append(header)
         return node
 
-    def _within_article(self, node: int) -> bool:
-        while node >= 0:
-            if self.tag[node] in ARTICLE:
-                return True
-            node = self.parent[node]
-        return False
-
     def _build(self, source: str) -> None:
         stack, last, at = [0], 0, 0
-        counts: dict[str, int] = {}
+        #: where in the stack the elements of a tag are
+        depths: dict[str, list[int]] = {}
         items = self.items
 
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
                 node = stack.pop()
-                counts[self.tag[node]] -= 1
+                depths[self.tag[node]].pop()
                 if self.tag[node] not in INLINE:
                     items.append((node, None))
 
-        def close(tags: frozenset[str] | set[str], stops: frozenset[str] | set[str]) -> None:
-            for depth in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[depth]] in tags:
-                    pop_to(depth)
-                    return
-                if self.tag[stack[depth]] in stops:
-                    return
+        def deepest(tags: frozenset[str] | set[str]) -> int:
+            return max((found[-1] for t in tags if (found := depths.get(t))), default=0)
 
         while m := TOKEN.search(source, at):
             if m.start() > last:
@@ -178,16 +188,15 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if counts.get(tag):
-                    depth = next(d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == tag)
-                    pop_to(depth)
+                if found := depths.get(tag):
+                    pop_to(found[-1])
                 continue
-            if tag in ("html", "body") and counts.get(tag):
+            if tag in ("html", "body") and depths.get(tag):
                 continue
-            if tag in ENDS_P and counts.get("p"):
-                close({"p"}, {"td", "th", "table", "button", "caption"})
-            if tag in ENDS:
-                close(*ENDS[tag])
+            if depths.get("p") and tag in ENDS_P and (depth := depths["p"][-1]) > deepest({"td", "th", "table", "button", "caption"}):
+                pop_to(depth)
+            if tag in ENDS and (depth := deepest(ENDS[tag][0])) > deepest(ENDS[tag][1]):
+                pop_to(depth)
             if tag == "br":
                 items.append((stack[-1], " "))
                 continue
@@ -199,37 +208,62 @@ class Page:
             if tag in RAW:
                 end = RAW[tag].search(source, at)
                 last = at = end.start() if end else len(source)
+            if tag in depths:
+                depths[tag].append(len(stack))
+            else:
+                depths[tag] = [len(stack)]
             stack.append(node)
-            counts[tag] = counts.get(tag, 0) + 1
         if last < len(source):
             items.append((stack[-1], source[last:]))
         pop_to(1)
 
 
 def _settle_cuts(page: Page) -> list[bool]:
-    """Which nodes are cut.
+    """Which nodes are cut, by their tags or because they are hidden."""
+    return list(page.cut)
 
-    Suspects with enough of the page's text outside of links stay; where articles are
-    marked, only those that hold one, for which most of the text is enough.
-    """
+
+def _blocks(page: Page) -> tuple[list[bool], list[int]]:
+    """Which nodes are in links, and the block that each one's text belongs to."""
     n = len(page.tag)
-    own, link, marked = [0] * n, [False] * n, [False] * n
+    link, block = [False] * n, [0] * n
     for node in range(1, n):
-        link[node] = page.tag[node] == "a" or link[page.parent[node]]
-    for node, text in page.items:
-        if text and not page.cut[node] and not link[node]:
-            own[node] += len("".join(text.split()))
+        up = page.parent[node]
+        link[node] = link[up] or page.tag[node] == "a"
+        block[node] = block[up] if page.tag[node] in INLINE else node
+    return link, block
+
+
+def weights(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> list[float]:
+    """What a character of each node counts."""
+    n = len(page.tag)
+    link, block = _blocks(page)
+    own, said = [0] * n, [""] * n
+    for node, text in texts:
+        if text and not cut[node]:
+            size = len(text) - text.count(" ")
+            if not link[node]:
+                own[node] += size
+            at = block[node]
+            if len(said[at]) <= NOTICE_CHARACTERS:
+                said[at] += text[: NOTICE_CHARACTERS + 1]
+    direct = list(own)
     for node in range(n - 1, 0, -1):
         own[page.parent[node]] += own[node]
-        marked[node] = marked[node] or page.tag[node] in ARTICLE and own[node] > 0
-        marked[page.parent[node]] = marked[page.parent[node]] or marked[node]
-    cut = [False] * n
+    weight = [1.0] * n
     for node in range(1, n):
-        cut[node] = cut[page.parent[node]] or page.cut[node]
-        if (share := page.suspect[node]) and not cut[node]:
-            share = 0.5 if marked[node] and share == NEARLY_ALL else share
-            cut[node] = own[node] <= share * own[0] or marked[0] and not marked[node]
-    return cut
+        here = page.weight[node]
+        if page.outweighed[node]:
+            share = own[node] / max(1, own[0])
+            here += (1 - here) * max(0.0, 2 * share - 1)
+        if said[node] and page.tag[node] not in FLOW and len(said[node]) <= NOTICE_CHARACTERS and NOTICE.match(said[node]):
+            here = min(here, WEIGHTS["notice"])
+        weight[node] = min(weight[page.parent[node]], here)
+    weighed = [d * w for d, w in zip(direct, weight, strict=True)]
+    if 2 * sum(w for w, within in zip(weighed, page.in_article, strict=True) if within) > sum(weighed):
+        weight = [w if within else min(w, WEIGHTS["outside"]) for w, within in zip(weight, page.in_article, strict=True)]
+    top = max((weight[node] for node, text in texts if text and text.strip() and not cut[node]), default=1.0)
+    return [min(1.0, w / top) for w in weight]
 
 
 def _density(c: int, t: int, lc: int, lt: int, base: float) -> float:
@@ -244,15 +278,14 @@ def _density(c: int, t: int, lc: int, lt: int, base: float) -> float:
 class Measures:
     """Densities of all nodes that are not cut, and the sums of their children's."""
 
-    def __init__(self, page: Page, cut: list[bool], texts: list[tuple[int, str | None]]):
+    def __init__(self, page: Page, cut: list[bool], texts: list[tuple[int, str | None]], weight: list[float] | None = None):
         n = len(page.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        link = [False] * n
-        for node in range(1, n):
-            link[node] = page.tag[node] == "a" or link[page.parent[node]]
+        chars, tags, link_chars, link_tags = [0.0] * n, [0] * n, [0.0] * n, [0] * n
+        link, block = _blocks(page)
+        self.weight = weight or [1.0] * n
         for node, text in texts:
             if text and not cut[node]:
-                size = len("".join(text.split()))
+                size = len("".join(text.split())) * self.weight[node]
                 chars[node] += size
                 link_chars[node] += size if link[node] else 0
         for node in range(n - 1, 0, -1):
@@ -263,15 +296,16 @@ class Measures:
                 tags[up] += tags[node] + 1
                 link_tags[up] += link_tags[node] + link[node]
         base = link_chars[0] / max(1, chars[0])
-        self.block = [not cut[i] and page.tag[i] not in INLINE for i in range(n)]
+        self.of = block
+        self.block = [not cut[i] and block[i] == i for i in range(n)]
         self.density = [_density(chars[i], tags[i], link_chars[i], link_tags[i], base) if self.block[i] else 0.0 for i in range(n)]
         self.sums = [0.0] * n
         self.children: list[list[int]] = [[] for _ in range(n)]
         for node in range(1, n):
-            if self.block[node] or cut[node]:
-                self.children[page.parent[node]].append(node)
-            if self.block[node]:
-                self.sums[page.parent[node]] += self.density[node]
+            if block[node] == node:
+                up = block[page.parent[node]]
+                self.children[up].append(node)
+                self.sums[up] += self.density[node]
         #: characters outside of links, and whether most are
         self.own = [c - lc for c, lc in zip(chars, link_chars, strict=True)]
         self.texty = [2 * o > c for o, c in zip(self.own, chars, strict=True)]
@@ -300,39 +334,81 @@ def threshold_of(page: Page, m: Measures, core: int) -> float:
     return min(max(least if least < math.inf else 0.0, parts[len(parts) // 2]), paragraph) * 2 / 3
 
 
-def _beside(page: Page, m: Measures, up: int, inner: int | None, limit: float) -> list[int]:
-    """Children of ``up`` that belong to the article besides ``inner``, through which the path goes; without it, ``up`` is the core."""
-    children = m.children[up]
-    flows = inner is None or any(m.block[i] and page.tag[i] in FLOW and page.tag[i] not in HEADINGS and m.density[i] >= limit for i in children if i != inner)
-    kept = [i == inner or m.block[i] and (m.density[i] >= limit or flows and page.tag[i] in FLOW and m.texty[i]) for i in children]
-    for at in range(len(children) - 2, -1, -1):
-        kept[at] = kept[at] or kept[at + 1] and page.tag[children[at]] in HEADINGS and m.block[children[at]]
+def _kept(page: Page, m: Measures, children: list[int], inner: int | None, limit: float, weight: float, running: bool) -> list[int]:
+    """Which of a node's children belong to the article.
+
+    ``inner`` is the one through which the path to the core goes; ``running`` says that the
+    node is the core or as dense, so that its running text belongs to it. ``weight`` is that of the core.
+    """
+    flow = [page.tag[i] in FLOW and page.tag[i] not in HEADINGS for i in children]
+    plain = [m.weight[i] >= weight and m.texty[i] for i in children]
+    running = running or any(f and m.density[i] >= limit for i, f in zip(children, flow, strict=True) if i != inner)
+    kept = [False] * len(children)
+    for at, i in enumerate(children):
+        if not m.block[i]:
+            continue
+        if page.in_header[i]:
+            kept[at] = m.density[i] * page.in_header[i] >= HEADER * _density(PARAGRAPH, 0, 0, 0, 0.0)
+        elif page.tag[i] not in HEADINGS:
+            kept[at] = i == inner or m.density[i] >= limit or running and flow[at] and plain[at]
+    # short blocks of text between what is kept
+    if running and any(kept):
+        first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+        for at in range(first + 1, last):
+            i = children[at]
+            kept[at] = kept[at] or m.block[i] and plain[at] and not m.children[i] and page.tag[i] not in HEADINGS and not page.in_header[i]
+    for at in range(len(children) - 1, -1, -1):
+        if page.tag[children[at]] in HEADINGS and m.block[children[at]]:
+            titled = page.tag[page.parent[children[at]]] == "header" and page.in_article[page.parent[children[at]]]
+            kept[at] = titled and plain[at] or (kept[at + 1] if at + 1 < len(children) else inner is None and running and plain[at])
     return [i for i, keep in zip(children, kept, strict=True) if keep and i != inner]
 
 
-def article_roots(page: Page, cut: list[bool], texts: list[tuple[int, str | None]]) -> tuple[set[int], set[int]]:
-    """The nodes whose subtrees are the main text, and those within them that are not."""
-    m = Measures(page, cut, texts)
+def chosen(page: Page, m: Measures) -> list[bool]:
+    """Whether the text right in each node belongs to the main text."""
+    n = len(page.tag)
     core = core_of(page, m)
-    limit = threshold_of(page, m, core)
-    low = _density(LEAD, 0, 0, 0, 0.0)
-    without = {i for i in range(1, len(page.tag)) if page.in_header[i] and m.block[i] and m.density[i] < low}
-    whole = core
-    while whole > 0 and not (page.tag[whole] in ARTICLE and 2 * m.own[whole] > m.own[0]):
-        whole = page.parent[whole]
-    roots = {max(whole, 0) or core}
-    top = next(iter(roots))
-    if page.tag[top] in ARTICLE:
-        roots |= {i for i in m.children[page.parent[top]] if page.tag[i] in ARTICLE and m.block[i] and m.texty[i]}
-    if whole <= 0:
-        node = core
-        if page.tag[core] in ("html", "body"):
-            kept = set(_beside(page, m, core, None, limit))
-            without.update(i for i in m.children[core] if i not in kept)
-        while node > 0 and page.tag[node] != "body":
-            roots.update(_beside(page, m, page.parent[node], node, limit))
-            node = page.parent[node]
-    return roots, without
+    limit, weight = threshold_of(page, m, core), m.weight[core]
+    beside: dict[int, list[int]] = {}
+    node = core
+    while node > 0 and page.tag[node] != "body":
+        up = m.of[page.parent[node]]
+        beside[up] = _kept(page, m, m.children[up], node, limit, weight, False)
+        if page.tag[core] in ARTICLE and node == core:
+            # the article goes on in others beside it
+            beside[up] += [i for i in m.children[up] if i != core and page.tag[i] in ARTICLE and m.block[i] and m.weight[i] >= weight and m.texty[i]]
+        node = up
+    inside, whole, opened = [False] * n, [False] * n, [False] * n
+    #: containers that are judged child by child: the core and what is dense, and what is not, but may hold what is
+    dense = {core}
+    inside[core] = opened[core] = True
+    for node in range(n):
+        up = m.of[page.parent[node]] if node else 0
+        if m.of[node] != node:
+            inside[node] = inside[page.parent[node]]
+        elif m.block[node]:
+            if whole[up] and (m.weight[node] >= m.weight[up] or m.density[node] >= limit):
+                inside[node] = whole[node] = True
+            if node in beside:
+                found = beside[node]
+                for i in m.children[node]:
+                    opened[i] = opened[i] or m.block[i] and page.tag[i] == "header" and page.in_article[node]
+            elif opened[node]:
+                # below the threshold, but a container of running text within the core
+                running = node in dense or page.tag[core] not in ("html", "body") and m.texty[node] and m.weight[node] >= weight
+                found = _kept(page, m, m.children[node], None, limit, weight, running)
+                for i in m.children[node]:
+                    opened[i] = m.block[i] and page.tag[i] not in FLOW
+            else:
+                continue
+            for i in found:
+                inside[i] = True
+                if page.tag[i] in FLOW or page.in_header[i]:
+                    whole[i] = True
+                else:
+                    opened[i] = True
+                    dense.add(i)
+    return inside
 
 
 def main_text(source: str | None) -> str:
@@ -342,19 +418,16 @@ def main_text(source: str | None) -> str:
     page = Page(source)
     cut = _settle_cuts(page)
     texts = [(n, t if t is None else htmllib.unescape(t) if "&" in t else t) for n, t in page.items if not cut[n]]
-    roots, without = article_roots(page, cut, texts)
-    inside = [node in roots for node in range(len(page.tag))]
-    for node in range(1, len(page.tag)):
-        inside[node] = (inside[node] or inside[page.parent[node]]) and node not in without
+    inside = chosen(page, Measures(page, cut, texts, weights(page, cut, texts)))
     blocks, parts = [], []
-    for node, text in [*texts, (min(roots), None)]:
-        if inside[node]:
-            if text is not None:
-                parts.append(text)
-            elif parts:
+    for node, text in [*texts, (0, None)]:
+        if text is None:
+            if parts:
                 if block := " ".join("".join(parts).split()):
                     blocks.append(block)
                 parts = []
+        elif inside[node]:
+            parts.append(text)
     return "\n\n".join(blocks)
 
 
