@@ -12,6 +12,11 @@ to the same links). Such dense buckets, like all small ones, are compared by bru
 force, exactly, in blocks of a bounded number of sets and of shingles. Runs repeat until a pair at the threshold is met with the target
 recall. A pair that meets in several buckets is counted in the least of them only.
 
+Most sets of most buckets have met by chance. Before shingles are read and sent, the
+sets of a bucket are compared by their marks, a byte of each minhash; only sets stay that agree with a
+partner on so many of them that a pair at the threshold agrees on fewer with a probability below
+``MISSED``, which adds to what the target recall leaves out.
+
 Pairs never leave the task that compares them: it returns, for each set, how many
 links it has and one edge of a spanning forest. Star contraction turns these
 edges into groups, in rounds that are written to the shared folder.
@@ -55,6 +60,8 @@ DENSE = 0.55
 PROBES, PROBED = 16, 64
 #: Tokens on which a large bucket is split, each into buckets of its own.
 SPLITS = 3
+#: Probability that a pair at the threshold agrees on too few minhashes to be compared.
+MISSED = 1e-9
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PLACES = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(WORDS)], np.uint64)
@@ -96,8 +103,10 @@ def signature(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-SKETCH = "doc_id long, sig binary, size int, minhashes binary"
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("size", pa.int32()), ("minhashes", pa.binary())])
+SKETCH = "doc_id long, sig binary, size int, minhashes binary, marks binary"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("size", pa.int32()), ("minhashes", pa.binary()), ("marks", pa.binary())])
+MEMBER = "path long, low int, high int, side int, sig binary, n_copies long"
+_MEMBER = pa.schema([("path", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("sig", pa.binary()), ("n_copies", pa.int64())])
 SET = "sig binary, members binary"
 _SET = pa.schema([("sig", pa.binary()), ("members", pa.binary())])
 LINKED = "sig binary, other binary, n_texts long, n_docs long"
@@ -110,7 +119,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows_of(batches, "doc_id", "text"):
             sets = (shingles(t, size) for t in texts)
-            yield batch_of([(i, signature(s), len(s), minhashes(s)) for i, s in zip(ids, sets, strict=True)], _SKETCH)
+            hashed = ((i, s, minhashes(s)) for i, s in zip(ids, sets, strict=True))
+            yield batch_of([(i, signature(s), len(s), h, h[::4]) for i, s, h in hashed], _SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sketch, SKETCH)
 
@@ -273,19 +283,75 @@ def _compare(threshold: float):
         texts, docs, root = compared(path, [r[3] for r in group], (low, high), [np.frombuffer(r[7], np.uint64) for r in group], [r[5] for r in group], [r[6] for r in group], threshold)
         return [(s, sigs[r] if r != i else None, int(t), int(d)) for i, (s, r, t, d) in enumerate(zip(sigs, root, texts, docs, strict=True)) if t or r != i]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_group(judge, ("path", "low", "high", "side", "sig", "n_copies", "paths", "members"), _LINKED)
+
+
+def least_agreeing(threshold: float, missed: float = MISSED) -> int:
+    """Of all coordinates, as many as a pair at the threshold agrees on but for this probability."""
+    below, k = 0.0, 0
+    while k < COORDINATES:
+        below += math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k)
+        if below > missed:
+            break
+        k += 1
+    return k
+
+
+def with_partners(sides: list[int], wanted: tuple[int, int], marks: list[bytes], least: int) -> np.ndarray:
+    """Which sets of one bucket or block pair agree on so many marks with another one (of the other block, if there are two)."""
+    m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), COORDINATES)
+    side, two = np.array(sides), wanted[0] != wanted[1]
+    first, second = (np.flatnonzero(side == w) for w in wanted) if two else (np.arange(len(m)),) * 2
+    kept = np.zeros(len(m), bool)
+    columns = np.ascontiguousarray(m[second].T)
+    for at in range(0, len(first), 256):
+        rows = first[at : at + 256]
+        agree = np.zeros((len(rows), len(second)), np.uint8)
+        for c in range(COORDINATES):
+            agree += m[rows, c][:, None] == columns[c]
+        if not two:
+            agree[np.arange(len(rows)), rows] = 0
+        met = agree >= least
+        kept[rows] |= met.any(axis=1)
+        kept[second] |= met.any(axis=0)
+    return kept
+
+
+def _partnered(least: int):
+    """Sets of the groups of a partition, sorted by group, that have a partner there."""
+
+    def judge(group: list[tuple]) -> list[tuple]:
+        if len(group) < 2:
+            return []
+        kept = with_partners([r[3] for r in group], group[0][1:3], [r[6] for r in group], least)
+        return [r[:6] for r, keep in zip(group, kept.tolist(), strict=True) if keep]
+
+    return _by_group(judge, ("path", "low", "high", "side", "sig", "n_copies", "marks"), _MEMBER)
+
+
+def _by_group(judge, names: tuple[str, ...], schema: pa.Schema):
+    """``judge`` over the groups (the first three columns) of a partition that is sorted by these."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for rows in rows_of(batches, "path", "low", "high", "side", "sig", "n_copies", "paths", "members"):
+        for rows in rows_of(batches, *names):
             out = []
             for row in zip(*rows, strict=True):
                 if group and group[0][:3] != row[:3]:
                     out += judge(group)
                     group = []
                 group.append(row)
-            yield batch_of(out, _LINKED)
-        yield batch_of(judge(group), _LINKED)
+            yield batch_of(out, schema)
+        yield batch_of(judge(group), schema)
+
+    return walk
+
 
-    return compare
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Block pairs to partitions: those of one bucket one after another, so that a large bucket's pairs are spread evenly."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.col("high").cast("long") * (F.col("high") + 1) / 2 + F.col("low")
+    return rows.repartitionById(partitions, F.pmod(F.xxhash64("path") % partitions + pair.cast("long"), F.lit(partitions)).cast("int")).sortWithinPartitions("path", "low", "high", "sig")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -334,16 +400,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are similar; ``is_first``, whether this row stays if one of a group is kept.
     """
     sketched = written(sketches(docs, id_col, text_col, size), "sketches")
-    classes = written(sketched.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("minhashes").alias("minhashes")), "classes")
+    classes = written(sketched.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("minhashes").alias("minhashes"), F.first("marks").alias("marks")), "classes")
     met = leaves(classes.filter("size > 0"), threshold, recall)
-    own = written(met.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_list("path").alias("paths")), "paths-of")  # a path for each run and split at most
-    sets = written(_sets_of(docs, classes, own.select("sig"), id_col, text_col, size), "sets")
     one = (F.col("n") <= 2 * BLOCK) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    dealt = met.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.least(blocks, F.col("n"))).cast("int")).withColumn("side", F.pmod(F.xxhash64("sig", "path"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("path", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "sig")
-    full = dealt.join(own.join(sets, "sig"), "sig").select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
-    linked = written(full.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "sig").mapInArrow(_compare(threshold), LINKED), "linked")
+    sided = met.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.least(blocks, F.col("n"))).cast("int")).withColumn("side", F.pmod(F.xxhash64("sig", "path"), F.col("blocks")).cast("int"))
+    paired = sided.join(classes.select("sig", "marks"), "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("path", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "sig", "n_copies", "marks")
+    partnered = written(_dealt(paired).mapInArrow(_partnered(least_agreeing(threshold)), MEMBER), "partnered")
+    own = written(partnered.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_set("path").alias("paths")), "paths-of")  # a path for each run and split at most
+    sets = _sets_of(docs, classes, own.select("sig"), id_col, text_col, size)
+    full = partnered.drop("n_copies").join(own.join(sets, "sig"), "sig").select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
+    linked = written(_dealt(full).mapInArrow(_compare(threshold), LINKED), "linked")
     groups = components(linked.filter("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     links = linked.groupBy("sig").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     ids = classes.select("sig", "first_id", "n_copies")
