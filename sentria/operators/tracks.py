@@ -1,10 +1,13 @@
 """Tracks: reports about moving objects, matched to what is already followed.
 
-Observations become reports by aggregation. Everything that compares two tracks
-or a track and a report requires equal classes, and after a silence of
-``stale_s`` nothing of a class is followed any more: reports are dealt by class
-and by the island of time between such silences, and walked in time order. A walk
-keeps live tracks only; a track leaves it when it ends.
+Observations become reports by aggregation. Whatever compares two tracks, or a
+track and a report, needs one class; a place in common, or a distance that an object may
+cover before it is stale; and no silence of ``stale_s`` in between. So
+reports fall into clusters: connected components of the places that they name, linked
+where a report names both (its position and its target, all places of an all-clear) and where they lie within
+reach of each other. Each cluster is cut again at its own silences into
+islands. Reports are dealt by class, cluster and island, and walked in time order.
+A walk keeps live tracks only; a track leaves it when it ends.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from ..schemas import TRACK, TRACK_EVENT
 from .episodes import evidence_ref, hazard_class, is_region, rank_of
 from .footprint import outcome
 from .runs import fold_runs, map_rows
+from .shared import written
 
 #: Stances in the order in which reports of one moment are taken.
 TURNS = ("threat", "neutralized", "clear")
@@ -91,17 +95,83 @@ def with_contradictions(rows: DataFrame) -> DataFrame:
 
 
 def islands(observations: DataFrame, rules: TrackPolicy) -> DataFrame:
-    """``class, bucket, island``: times in buckets as long as the silence after which all is stale, numbered between such silences.
+    """``class, bucket, island`` of observations: a class's times between silences after which all is stale."""
+    return silences(observations.select(hazard_class(F.col("kind")).alias("class"), "observed_at"), ["class"], rules)
+
+
+def silences(rows: DataFrame, keys: list[str], rules: TrackPolicy) -> DataFrame:
+    """``keys, bucket, island``: times in buckets as long as the silence after which all is stale, numbered between such silences of a key.
 
     Two reports of one bucket are closer than that, so only the first and last of
-    each bucket count. The table has four rows a day for each class, whatever
-    the number of observations.
+    each bucket count. The table has four rows a day for each key, whatever
+    the number of rows.
     """
     second = F.unix_micros("observed_at")
-    spans = observations.select(hazard_class(F.col("kind")).alias("class"), second.alias("us")).groupBy("class", bucket_of(F.col("us"), rules.stale_s).alias("bucket")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    by_time = Window.partitionBy("class").orderBy("bucket")
+    spans = rows.select(*keys, second.alias("us")).groupBy(*keys, bucket_of(F.col("us"), rules.stale_s).alias("bucket")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    by_time = Window.partitionBy(*keys).orderBy("bucket")
     silent = F.col("first") - F.lag("last").over(by_time) >= rules.stale_s * 1_000_000
-    return spans.withColumn("new", F.coalesce(silent, F.lit(False))).select("class", "bucket", F.count_if("new").over(by_time).alias("island"))
+    return spans.withColumn("new", F.coalesce(silent, F.lit(False))).select(*keys, "bucket", F.count_if("new").over(by_time).alias("island"))
+
+
+CLUSTER = "class string, id string, cluster string"
+
+
+def clusters(seen: DataFrame, rules: TrackPolicy) -> DataFrame:
+    """``class, id, cluster`` of the places that reports name first.
+
+    Places and their links are reduced to distinct ones before they meet: a class's are one
+    task's work, bounded by the places there are (a vocabulary), whatever the number of
+    reports. Neighbours are found by boxes as wide as the class's objects reach (in
+    space, so that there are no poles or edges), hence in proportion to the places.
+    """
+    here, aim = F.element_at("places", 1), F.try_element_at(F.filter("places", lambda p: ~p["via"]), F.lit(-1))
+    named = F.when(F.col("stance") == "clear", F.col("places.id")).when((F.col("stance") == "threat") & aim.isNotNull(), F.array(aim["id"])).otherwise(F.array(here["id"]))
+    links = seen.select("class", "kind", here["id"].alias("id"), here["spot"].alias("spot"), F.explode(named).alias("other")).distinct()
+
+    def fold(rows: Iterable[dict]) -> Iterator[dict]:
+        held = list(rows)
+        roots = connected(held, rules)
+        yield from ({"class": held[0]["class"], "id": i, "cluster": root} for i, root in roots.items())
+
+    return fold_runs(links, ["class"], ["id", "other", "kind"], fold, CLUSTER)
+
+
+def connected(links: list[dict], rules: TrackPolicy) -> dict[str, str]:
+    """For each place of one class, the least id of its cluster. Links have ``id, spot, other, kind``."""
+    reaches = [r for kind in {x["kind"] for x in links} if (r := range_km(rules, kind, rules.stale_s)) is not None]
+    root: dict[object, object] = {}
+
+    def find(x: object) -> object:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(a: object, b: object) -> None:
+        a, b = find(a), find(b)
+        root[a] = b
+
+    for x in links:
+        join(("id", x["id"]), ("id", x["other"]))
+    if reaches:
+        wide = max(reaches) + 2 * max(x["spot"]["radius_km"] for x in links)
+        boxes = set()
+        for x in links:
+            lon, lat = math.radians(x["spot"]["lon"]), math.radians(x["spot"]["lat"])
+            at = (math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat))
+            box = tuple(math.floor(EARTH_KM * c / wide) for c in at)
+            boxes.add(box)
+            join(("id", x["id"]), ("box", box))
+        for a, b, c in boxes:
+            for near in ((a + i, b + j, c + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)):
+                if near in boxes:
+                    join(("box", (a, b, c)), ("box", near))
+    least: dict[object, str] = {}
+    ids = sorted({x["id"] for x in links} | {x["other"] for x in links})
+    for i in ids:
+        least.setdefault(find(("id", i)), i)
+    return {i: least[find(("id", i))] for i in ids}
 
 
 def bucket_of(us: Column, seconds: int) -> Column:
@@ -348,12 +418,17 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
     return map_rows(tracks, finish, f"{TRACK}, cells {cells}, region_cells {cells}")
 
 
+def dealt(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
+    """Reports with the ``class, cluster, island`` that they are walked in, and with contradicted all-clears marked."""
+    rules = policy.tracks
+    seen = written(with_contradictions(reports(observations, policy)).withColumn("bucket", bucket_of(F.unix_micros("observed_at"), rules.stale_s)), "reports")
+    placed = seen.withColumn("id", F.element_at("places", 1)["id"]).join(clusters(seen, rules), ["class", "id"]).drop("id")
+    return placed.join(silences(placed, ["class", "cluster"], rules), ["class", "cluster", "bucket"])
+
+
 def follow(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Tracks (without cells; see ``with_cells``) and their events."""
     known = observations.filter(F.col("observed_at") <= F.lit(now))
-    seen = with_contradictions(reports(known, policy)).withColumn("bucket", bucket_of(F.unix_micros("observed_at"), policy.tracks.stale_s))
     order = ["observed_at", "source_id", "evidence_id", "statement", "alone", "turn"]
-    # the calendar bounds the broadcast: four rows a day for each class
-    dealt = seen.join(F.broadcast(islands(known, policy.tracks)), ["class", "bucket"])
-    folded = fold_runs(dealt, ["class", "island"], order, track_fold(policy, now), FOLDED)
+    folded = fold_runs(dealt(known, policy), ["class", "cluster", "island"], order, track_fold(policy, now), FOLDED)
     return folded.filter("track is not null").select("track.*"), folded.filter("event is not null").select("event.*")

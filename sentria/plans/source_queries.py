@@ -16,7 +16,10 @@ PAGE = 20
 
 
 def preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``channel, html``: pages of posts, with services, edits, media, forwards, a repeated post, pages without a history and foreign posts."""
+    """``channel, html``: pages of posts, with services, edits, media, forwards, a repeated post, pages without a history and foreign posts.
+
+    Some posts have end tags that nothing opened, styles that cross or aren't closed, and parts that only the post's own end closes.
+    """
     n = F.col("event_id")
     when = lambda k, html: F.when(n % k == 0, html).otherwise(F.lit(""))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + n * 61), "yyyy-MM-dd'T'HH:mm:ss")
@@ -25,8 +28,9 @@ def preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(f'<div class="js-x {preview.MESSAGE} '), when(10, F.lit(preview.SERVICE)), F.lit('" data-post="'), owner, F.lit("/"), n.cast("string"), F.lit('">'),
         when(5, F.concat(F.lit('<a class="tgme_widget_message_photo_wrap" style="width:9px;background-image:url(\'https://x/'), n.cast("string"), F.lit(".jpg')\"></a>"))),
         when(11, F.lit(f'<div class="{preview.UNSUPPORTED}">no</div>')), when(6, F.concat(F.lit(f'<a class="{preview.FORWARDED}"><span> Some  name </span>'), n.cast("string"), F.lit("</a>"))),
-        F.when(n % 13 == 0, "").otherwise(F.concat(F.lit(f'<div class="{preview.BODY}"> Seen &amp; <b>'), "event_type", F.lit("</b>  <br/>next <i>line</i>"), n.cast("string"), F.lit(" <br></div>"))),
-        F.lit(f'<span class="{preview.META}">'), when(7, F.lit("edited ")), F.lit('<time datetime="'), stamp, F.lit('+03:00"></time></span></div>'),
+        F.when(n % 13 == 0, "").otherwise(F.concat(F.lit(f'<div class="{preview.BODY}"> Seen &amp; <b>'), "event_type", F.lit("</b>  <br/>next "),
+            F.when(n % 17 == 3, "<i>line</b></span></i>").when(n % 17 == 8, "<b><i>li</b>ne</i></em>").when(n % 17 == 12, "<s><u>line</p2>").otherwise("<i>line</i>"), n.cast("string"), F.lit(" <br>"), F.when(n % 17 == 14, "</section2></div></b>").otherwise("</div>"))),
+        F.lit(f'<span class="{preview.META}">'), when(7, F.lit("edited ")), F.lit('<time datetime="'), stamp, F.when(n % 19 == 4, '+03:00"></div>').otherwise('+03:00"></time></span></div>'),
     )
     posts = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(n / PAGE).alias("page"), n.alias("n"), post.alias("post"))
     pages = posts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", "post"))).alias("posts"))

@@ -80,80 +80,151 @@ def _classes(attrs: dict) -> set[str]:
 @dataclass
 class _Message:
     post: str
-    depth: int
     service: bool = False
     stamp: str | None = None
-    meta: list[str] = field(default_factory=list)
+    meta: list[str] | None = None
     body: list[str] | None = None
     forwarded: list[str] | None = None
     media: list[dict] = field(default_factory=list)
     unsupported: bool = False
 
 
+class _Element:
+    __slots__ = ("tag", "at", "ends", "open")
+
+    def __init__(self, tag: str, at: int):
+        self.tag, self.at, self.open = tag, at, True
+        #: what ends with the element: (list, item) to take out
+        self.ends: list[tuple[list, object]] = []
+
+
+class _Elements:
+    """The open elements, by the rules by which browsers repair markup.
+
+    A start tag ends an open paragraph, item or link where it can't be in it. An
+    end tag of a block ends all that is open in it; one of a text style ends the style alone where blocks
+    have begun since; any other end tag only counts within its block. End tags that nothing opened count for nothing.
+    """
+
+    BLOCKS = frozenset(
+        "address article aside blockquote body center details dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    )
+    STYLES = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+    #: Start tags that don't end an open paragraph.
+    IN_P = frozenset("body html li dd dt tbody td tfoot th thead tr".split())
+    #: What an item ends, and the blocks beyond which it doesn't look.
+    ITEMS = {"li": ({"li"}, {"ul", "ol", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.of: dict[str, list[_Element]] = {}
+        self.blocks: list[_Element] = []
+
+    def start(self, tag: str) -> _Element:
+        if tag in self.BLOCKS and tag not in self.IN_P and self.of.get("p") and self._last("p") > max(map(self._last, ("table", "td", "th")), default=-1):
+            self._pop_to(self.of["p"][-1])
+        if tag in self.ITEMS:
+            own, within = self.ITEMS[tag]
+            found = max(own, key=self._last)
+            if self._last(found) > max(map(self._last, within)):
+                self._pop_to(self.of[found][-1])
+        if tag == "a" and self.of.get("a"):
+            self.end("a")
+        element = _Element(tag, len(self.stack))
+        self.stack.append(element)
+        self.of.setdefault(tag, []).append(element)
+        if tag in self.BLOCKS:
+            self.blocks.append(element)
+        return element
+
+    def end(self, tag: str) -> None:
+        if not self.of.get(tag):
+            return
+        element = self.of[tag][-1]
+        if tag in self.BLOCKS or not self.blocks or element.at > self.blocks[-1].at:
+            self._pop_to(element)
+        elif tag in self.STYLES:
+            self._close(element)
+
+    def _last(self, tag: str) -> int:
+        return self.of[tag][-1].at if self.of.get(tag) else -1
+
+    def _pop_to(self, element: _Element) -> None:
+        while len(self.stack) > element.at:
+            top = self.stack.pop()
+            if top.open:
+                self._close(top)
+
+    def _close(self, element: _Element) -> None:
+        """Styles may end below what is still open; they stay in the stack until that ends."""
+        element.open = False
+        self.of[element.tag].pop()
+        if element.tag in self.BLOCKS:
+            self.blocks.pop()
+        for held, item in element.ends:
+            at = next(i for i in range(len(held) - 1, -1, -1) if held[i] is item)
+            del held[at]
+
+
 class _Parser(HTMLParser):
-    """Follows one message at a time; which part text belongs to is a stack of regions by depth."""
+    """Gathers what the open messages say; a message that isn't closed holds those that follow."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.history, self.more = 0, False, []
+        self.elements = _Elements()
+        self.history, self.more = False, []
         self.messages: list[_Message] = []
-        self.now: _Message | None = None
-        self.regions: list[tuple[int, list[str]]] = []
-        self.wrap: tuple[int, dict] | None = None
+        self.now: list[_Message] = []
+        self.regions: list[list[str]] = []
+        self.wraps: list[dict] = []
+
+    def handle_startendtag(self, tag: str, attributes: list) -> None:
+        self.handle_starttag(tag, attributes)
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
         attrs = dict(attributes)
         names = _classes(attrs)
-        void = tag in _VOID
-        self.depth += not void
+        # void elements end at once
+        element = self.elements.start(tag) if tag not in _VOID else _Element(tag, -1)
         self.history |= HISTORY in names
         if MORE in names and (attrs.get("data-before") or "").isdigit():
             self.more.append(int(attrs["data-before"]))
-        if MESSAGE in names and attrs.get("data-post"):
-            self.now = _Message(attrs["data-post"], self.depth, SERVICE in names)
-            self.messages.append(self.now)
-        m = self.now
-        if m is None:
-            return
         if tag == "br":
-            for _, into in self.regions:
+            for into in self.regions:
                 into.append("\n")
-        if tag == "time" and attrs.get("datetime") and m.stamp is None:
-            m.stamp = attrs["datetime"]
-        m.unsupported |= UNSUPPORTED in names
-        if BODY in names and m.body is None and not void:
-            m.body = []
-            self.regions.append((self.depth, m.body))
-        if FORWARDED in names and m.forwarded is None and not void:
-            m.forwarded = []
-            self.regions.append((self.depth, m.forwarded))
-        if META in names and not void:
-            self.regions.append((self.depth, m.meta))
-        kind = next((MEDIA[n] for n in names if n in MEDIA), None)
+        if MESSAGE in names and attrs.get("data-post"):
+            self.messages.append(_Message(attrs["data-post"], SERVICE in names))
+            self._hold(element, self.now, self.messages[-1])
+        kind = next((k for n, k in MEDIA.items() if n in names), None)
         found = _BACKGROUND.search(attrs.get("style") or "")
-        if kind and self.wrap is None:
-            item = {"kind": kind, "url": found[1] if found else None, "src": None, "thumb": None}
-            m.media.append(item)
-            self.wrap = (self.depth, item)
-        elif self.wrap:
-            item = self.wrap[1]
+        for item in self.wraps:
             if tag in ("video", "audio") and (attrs.get("src") or "").startswith("https://"):
                 item["src"] = item["src"] or attrs["src"]
             if found and names & VIDEO_THUMB:
                 item["thumb"] = item["thumb"] or found[1]
+        for m in self.now:
+            if tag == "time" and attrs.get("datetime"):
+                m.stamp = m.stamp or attrs["datetime"]
+            m.unsupported |= UNSUPPORTED in names
+            for name, part in ((BODY, "body"), (FORWARDED, "forwarded"), (META, "meta")):
+                if name in names and getattr(m, part) is None and tag not in _VOID:
+                    setattr(m, part, [])
+                    self._hold(element, self.regions, getattr(m, part))
+            if kind:
+                item = {"kind": kind, "url": found[1] if found else None, "src": None, "thumb": None}
+                m.media.append(item)
+                self._hold(element, self.wraps, item)
+
+    def _hold(self, element: _Element, held: list, item: object) -> None:
+        if element.at >= 0:
+            held.append(item)
+            element.ends.append((held, item))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _VOID:
-            return
-        self.regions = [r for r in self.regions if r[0] != self.depth]
-        if self.wrap and self.wrap[0] == self.depth:
-            self.wrap = None
-        if self.now and self.now.depth == self.depth:
-            self.now, self.regions = None, []
-        self.depth = max(0, self.depth - 1)
+        self.elements.end(tag)
 
     def handle_data(self, data: str) -> None:
-        for _, into in self.regions:
+        for into in self.regions:
             into.append(data)
 
 
@@ -176,7 +247,7 @@ def evidence_of(channel: str, m: _Message) -> dict:
         raise SourceError("malformed", "time without offset")
     media = [{"kind": x["kind"], "url": x["url"] or x["src"] or x["thumb"]} for x in m.media] or ([{"kind": "other", "url": None}] if m.unsupported else [])
     return {
-        "source_id": f"{FAMILY}:{channel}", "external_id": f"{channel}/{number}", "published_at": stamp.astimezone(timezone.utc), "edited": "edited" in " ".join("".join(m.meta).split()), "text": _tidy(m.body),
+        "source_id": f"{FAMILY}:{channel}", "external_id": f"{channel}/{number}", "published_at": stamp.astimezone(timezone.utc), "edited": "edited" in "".join(m.meta or []), "text": _tidy(m.body),
         "media": media, "forwarded_from": " ".join("".join(m.forwarded).split()) or None if m.forwarded is not None else None, "provenance": {"url": f"https://t.me/{channel}/{number}", "collector": COLLECTOR},
     }
 

@@ -239,6 +239,36 @@ def test_preview_page():
         preview.parse_preview("chan1", "<p>nothing</p>")
 
 
+def post(number, body, channel="chan1", more=""):
+    return f'<div class="{preview.MESSAGE}" data-post="{channel}/{number}">{more}<div class="{preview.BODY}">{body}</div><span class="{preview.META}"><time datetime="2024-01-01T00:00:00Z"></time></span></div>'
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ("three </b> x", "three  x"), ("a <b>b <i>c</b> d</i> e", "a b c d e"), ("a <i>b", "a b"), ("a </p></nav></span> b", "a  b"), ("<p>a<p>b</p>", "ab"), ("<b>a<div>b</b>c</div>d", "abcd"),
+    ("<ul><li>a<li>b</ul>c", "abc"), ("a<br/>b<br>c</br>d", "a\nb\ncd"), ("<a href=x>a<a href=y>b</a>c", "abc"), ("<span>a<div>b</span>c</div>d", "abcd"), ("a <img src=x></img> b", "a  b"), ("a <div/>b</div> c", "a b c"),
+])
+def test_repaired_markup(body, text):
+    page = preview.parse_preview("chan1", f'<section class="{preview.HISTORY}">' + post(1, "one") + post(2, body) + post(3, "last </i>") + "</section>")
+    assert [(i, e["text"]) for i, e in zip(page.ids, page.evidence, strict=True)] == [(1, "one"), (2, text), (3, "last")]
+
+
+def test_messages_that_are_not_closed():
+    """What follows belongs to the open message as well; what comes first in it counts."""
+    open_ = post(1, "one").removesuffix("</div>")
+    media = '<a class="tgme_widget_message_photo_wrap" style="background-image:url(\'https://x/2.jpg\')"></a>'
+    forward = f'<a class="{preview.FORWARDED}">Some <b>name</a> more'
+    page = preview.parse_preview("chan1", f'<section class="{preview.HISTORY}">' + open_ + post(2, "two", more=media + forward) + "</section>" + post(4, "four"))
+    first, second, last = page.evidence
+    assert (first["text"], second["text"], last["text"]) == ("one", "two", "four") and first["media"] == second["media"] == [{"kind": "photo", "url": "https://x/2.jpg"}]
+    assert first["forwarded_from"] == second["forwarded_from"] == "Some name" and last["forwarded_from"] is None and last["media"] == []
+
+
+def test_media_classes_in_their_order():
+    both = '<div class="tgme_widget_message_document_wrap tgme_widget_message_video_player"><video src="https://x/v.mp4"></video></div>'
+    page = preview.parse_preview("chan1", f'<section class="{preview.HISTORY}">' + post(1, "one", more=both) + "</section>")
+    assert page.evidence[0]["media"] == [{"kind": "video", "url": "https://x/v.mp4"}]
+
+
 def test_preview_paging_and_source(spark, tmp_path):
     (tmp_path / "chan1.html").write_text(PAGE)
     (tmp_path / "chan1-before-101.html").write_text(PAGE.replace("/101", "/99").replace('data-before="101"', 'data-before="101"'))
