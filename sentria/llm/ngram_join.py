@@ -405,12 +405,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = (F.col("n") <= 2 * BLOCK) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     sided = met.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.least(blocks, F.col("n"))).cast("int")).withColumn("side", F.pmod(F.xxhash64("sig", "path"), F.col("blocks")).cast("int"))
-    paired = sided.join(classes.select("sig", "marks"), "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("path", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "sig", "n_copies", "marks")
+    # marks and shingles meet a set once, with all its buckets; a set has a bucket for each run and split at most
+    of_set = sided.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_list(F.struct("path", "blocks", "side")).alias("buckets"))
+    marked = of_set.join(classes.select("sig", "marks"), "sig").select("sig", "n_copies", "marks", F.inline("buckets"))
+    paired = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("path", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "sig", "n_copies", "marks")
     partnered = written(_dealt(paired).mapInArrow(_partnered(least_agreeing(threshold)), MEMBER), "partnered")
-    own = written(partnered.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_set("path").alias("paths")), "paths-of")  # a path for each run and split at most
+    own = written(partnered.groupBy("sig").agg(F.first("n_copies").alias("n_copies"), F.collect_list(F.struct("path", "low", "high", "side")).alias("buckets")), "buckets-of")
     sets = _sets_of(docs, classes, own.select("sig"), id_col, text_col, size)
-    full = partnered.drop("n_copies").join(own.join(sets, "sig"), "sig").select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
+    paths = F.array_distinct(F.transform("buckets", lambda b: b["path"])).alias("paths")
+    full = own.join(sets, "sig").select("sig", "n_copies", paths, "members", F.inline("buckets")).select("path", "low", "high", "side", "sig", "n_copies", "paths", "members")
     linked = written(_dealt(full).mapInArrow(_compare(threshold), LINKED), "linked")
     groups = components(linked.filter("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     links = linked.groupBy("sig").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
