@@ -193,6 +193,25 @@ def k15_k17_track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.with_cells(found, POLICY, NOW).select("track_id", "status", F.size("cells.cells").alias("n_cells"), F.size("region_cells.cells").alias("n_region_cells"))
 
 
+def wide_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations of towns, with these some 2,000 km apart, so that bombs of one town never are those of another."""
+    n = F.substring_index("provenance.place_id", ":", -1).cast("int")
+    rows = observations(spark, sf_dir).filter(F.col("provenance.place_id").startswith("geonames:"))
+    return rows.withColumn("geometry", F.col("geometry").withField("coordinates", F.array((30.0 * n - 60).cast("double"), (3.0 * n + 44).cast("double"))))
+
+
+def k09_k13_wide_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks over places that fall into several clusters."""
+    found = tracks.follow(wide_observations(spark, sf_dir), POLICY, NOW)[0]
+    return found.select("track_id", "class", "kind", "count_unknown", F.col("position.id").alias("position"), F.col("target.id").alias("target"), F.size("path").alias("steps"), "status", micros("first_at").alias("first_us"), micros("last_seen_at").alias("last_us"))
+
+
+def k09_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters and islands in which these are walked: reports of each, and from when to when."""
+    dealt = tracks.dealt(wide_observations(spark, sf_dir).filter(F.col("observed_at") <= F.lit(NOW)), POLICY)
+    return dealt.groupBy("class", "cluster", "island").agg(F.count(F.lit(1)).alias("n"), F.min(micros("observed_at")).alias("first_us"), F.max(micros("observed_at")).alias("last_us"))
+
+
 def k18_track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.follow(observations(spark, sf_dir), POLICY, NOW)[1].select("track_id", "seq", "kind", micros("effective_at").alias("at_us"), F.col("evidence.evidence_id").alias("evidence_id"))
 
@@ -300,6 +319,10 @@ events AS (SELECT track_id, seq, happened, at_us, evidence_id FROM w WHERE what
     UNION ALL SELECT track_id, seq + 1, 'quiet', last_us + quiet_us, NULL FROM final WHERE status = 'active' AND last_us + quiet_us <= {US}
     UNION ALL SELECT track_id, seq + 1 + (status = 'active')::INT, 'stale', last_us + 21600000000, NULL FROM final WHERE last_us + 21600000000 <= {US})
 """
+#: The same walk over towns that lie far apart.
+_WIDE_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(3.0 * (b - a)) / 2), 2) + cos(radians(44 + 3.0 * a)) * cos(radians(44 + 3.0 * b)) * pow(sin(radians(30.0 * (b - a)) / 2), 2)))"
+_WIDE_OBS = _OBS + ", towns AS (SELECT * FROM obs WHERE place_id LIKE 'geonames:%')"
+WIDE_TRACKS = TRACKS.replace(_OBS, _WIDE_OBS).replace(_KM, _WIDE_KM).replace("FROM obs GROUP BY us", "FROM towns GROUP BY us")
 #: Reports of the paired view.
 GROUPED = f"""
 WITH p AS ({PAIRED_SQL}),
@@ -335,6 +358,10 @@ SQL: dict[str, str] = {
     "K08_fit_scores": f"SELECT a::INT AS a, b::INT AS b, (a <> b)::INT AS how, floor({_CLASS_KM} * 1000)::BIGINT AS meters FROM (SELECT DISTINCT place_no AS a FROM ({DUCK_OBS})), range(0, 5) t(b) WHERE a = b OR {_CLASS_KM} <= 230",
     "K06_quiet_stale": TRACKS + "SELECT track_id, seq, happened AS kind, at_us FROM events WHERE happened IN ('quiet', 'stale')",
     "K09_K13_tracks": TRACKS + f"SELECT track_id, class, kind, unknown AS count_unknown, {_place_id('position')} AS position, {_place_id('target')} AS target, CASE WHEN target IS NULL THEN 'unknown' ELSE 'heading' END AS motion, steps::INT AS steps, status, first_us, last_us FROM tracks",
+    "K09_K13_wide_tracks": WIDE_TRACKS + f"SELECT track_id, class, kind, unknown AS count_unknown, {_place_id('position')} AS position, {_place_id('target')} AS target, steps::INT AS steps, status, first_us, last_us FROM tracks",
+    "K09_clusters": f"""WITH {_WIDE_OBS}, r AS (SELECT DISTINCT us, source_id, evidence_id, class, stance, CASE class WHEN 'bomb' THEN place_id ELSE (SELECT min(place_id) FROM towns t WHERE t.class = towns.class) END AS cluster FROM towns),
+        g AS (SELECT *, us - lag(us) OVER (PARTITION BY class, cluster ORDER BY us) >= 21600000000 AS silent FROM r), i AS (SELECT *, coalesce(sum(silent::INT) OVER (PARTITION BY class, cluster ORDER BY us), 0)::BIGINT AS island FROM g)
+        SELECT class, cluster, island, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM i GROUP BY ALL""",
     "K18_track_events": TRACKS + "SELECT track_id, seq, happened AS kind, at_us, evidence_id FROM events",
     "K01_shapes": f"WITH p AS ({PAIRED_SQL}) SELECT shape, place_id, count(*) AS n, count(*) FILTER (place_id IS NOT NULL AND NOT broken AND shape IN ('point', 'polygon', 'region')) AS n_spots, round(max(CASE WHEN place_id IS NULL OR broken THEN NULL WHEN shape = 'point' THEN 10.0 WHEN shape = 'polygon' THEN {_SQUARE_KM} WHEN shape = 'region' THEN {_REGION_KM!r} END)::DOUBLE, 6) AS radius_km FROM p GROUP BY ALL".replace("SELECT shape, place_id", "SELECT CASE shape WHEN 'region' THEN 'cells' ELSE shape END AS shape, place_id").replace("GROUP BY ALL", "GROUP BY CASE shape WHEN 'region' THEN 'cells' ELSE shape END, place_id"),
     "K02_K05_grouped": GROUPED + "SELECT source_id, evidence_id, class, stance, kind, count, array_to_string(list_transform(places, lambda p: p.id), ',') AS places FROM grouped",
@@ -348,5 +375,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "F09_contradicted_clears": f09_contradicted_clears, "F10_F17_assessments": f10_f17_assessments, "F11_session_windows": f11_session_windows, "F13_episode_islands": f13_episode_islands,
     "F14_retractions": f14_retractions, "F15_neutralized_ignored": f15_neutralized_ignored, "F16_status_by_class": f16_status_by_class, "F17_corroboration": f17_corroboration, "F19_event_log": f19_event_log,
     "K01_spots": k01_spots, "K02_reports": k02_reports, "K03_K04_report_places": k03_k04_report_places, "K01_shapes": k01_shapes, "K02_K05_grouped": k02_k05_grouped, "K04_targets": k04_targets, "F02_F05_paired": f02_f05_paired, "K06_quiet_stale": k06_quiet_stale, "K07_reach": k07_reach,
-    "K08_fit_scores": k08_fit_scores, "K09_K13_tracks": k09_k13_tracks, "K14_contradicted": k14_contradicted, "K15_K17_track_cells": k15_k17_track_cells, "K18_track_events": k18_track_events,
+    "K08_fit_scores": k08_fit_scores, "K09_K13_tracks": k09_k13_tracks, "K14_contradicted": k14_contradicted, "K15_K17_track_cells": k15_k17_track_cells, "K09_K13_wide_tracks": k09_k13_wide_tracks, "K09_clusters": k09_clusters, "K18_track_events": k18_track_events,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sentria.functions import h3grid
 from sentria.operators import episodes, tracks
-from sentria.params import UnknownPolicy, policy
+from sentria.params import CLASSES, UnknownPolicy, policy
 from sentria.plans import registry
 from sentria.schemas import OBSERVATION
 from tests.oracle import rows, tables
@@ -158,6 +158,54 @@ def test_islands_cut_the_walk_and_change_nothing(spark):
     assert sorted((r["track_id"], r["seq"], r["kind"]) for r in e.collect()) == sorted((r["event"]["track_id"], r["event"]["seq"], r["event"]["kind"]) for r in whole if r["event"])
 
 
+def walks_as_one(spark, rows, now):
+    """``follow`` against one walk over all reports of each class; gives the groups that were dealt."""
+    df = spark.createDataFrame(rows, OBSERVATION)
+    t, e = tracks.follow(df, P, now)
+    seen = tracks.with_contradictions(tracks.reports(df, P)).orderBy("class", "observed_at", "source_id", "evidence_id", "statement", "alone", "turn")
+    order = [r.asDict(True) for r in seen.collect()]
+    fold = tracks.track_fold(P, now.astimezone().replace(tzinfo=None))
+    whole = [x for c in CLASSES for x in fold(iter([r for r in order if r["class"] == c]))]
+    told = lambda r: (r["track_id"], r["status"], r["position"]["id"], r["target"] and r["target"]["id"], len(r["path"]), len(r["evidence"]))
+    assert sorted(map(told, t.collect()), key=str) == sorted((told(r["track"]) for r in whole if r["track"]), key=str)
+    assert sorted((r["track_id"], r["seq"], r["kind"], r["effective_at"].replace(tzinfo=None)) for r in e.collect()) == sorted((r["event"]["track_id"], r["event"]["seq"], r["event"]["kind"], r["event"]["effective_at"].replace(tzinfo=None)) for r in whole if r["event"])
+    return tracks.dealt(df, P).groupBy("class", "cluster", "island").count().collect()
+
+
+def test_clusters_cut_a_class_without_silences(spark):
+    """Reports every few minutes, in places of which some are within reach of each other: more walks than classes."""
+    rnd = random.Random(6)
+    rows, minute = [], 0
+    # three pairs of neighbours, far from each other, on both sides of the date line and near a pole
+    at = {f"p{n}": (lon, lat) for n, (lon, lat) in enumerate([(30.5, 50.4), (31.2, 50.4), (179.9, 10.0), (-179.9, 10.3), (0.0, 89.8), (180.0, 89.9)])}
+    for n in range(260):
+        minute += rnd.choice([0, 1, 5, 20, 70])
+        place = rnd.choice(sorted(at))
+        rows.append(obs(minute, "ABC"[n % 3], rnd.choice(["threat", "threat", "threat", "clear", "neutralized"]), place=place, at=at[place], kind=rnd.choice(["air.guided_bomb", "air.guided_bomb", "air.ballistic_missile"]), count=rnd.choice([None, 1, 2]), post=f"{'ABC'[n % 3]}/{n // 2}"))
+    groups = walks_as_one(spark, rows, T0 + timedelta(minutes=minute + 45))
+    bombs = {r["cluster"] for r in groups if r["class"] == "bomb"}
+    # statements of two places link clusters; without these, each pair is one
+    assert len(groups) > len({r["class"] for r in groups}) and len({r["cluster"] for r in groups if r["class"] == "missile"}) >= 1 and 1 <= len(bombs) <= 3
+
+
+@pytest.mark.parametrize(("links", "expected"), [
+    ([("a", 30, 50, "a"), ("b", 31, 50, "b"), ("c", 60, 50, "c")], [{"a", "b"}, {"c"}]),
+    ([("a", 179.9, 0, "a"), ("b", -179.9, 0, "b"), ("c", 0, 90, "c"), ("d", 180, 89.9, "d")], [{"a", "b"}, {"c", "d"}]),
+    ([("a", 30, 50, "z"), ("z", 90, 10, "z"), ("c", 60, 50, "c")], [{"a", "z"}, {"c"}]),
+    ([("a", 30, 50, "q"), ("c", 60, 50, "q")], [{"a", "c", "q"}]),
+])
+def test_connected_places(links, expected):
+    rows = [{"id": i, "spot": {"lon": float(x), "lat": float(y), "radius_km": 10.0}, "other": o, "kind": "air.guided_bomb"} for i, x, y, o in links]
+    found = tracks.connected(rows, P.tracks)
+    groups = {}
+    for i, root in found.items():
+        groups.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected)) and all(root == min(g) for root, g in groups.items())
+    # kinds without a speed meet in place only
+    alone = tracks.connected([r | {"kind": "air.ballistic_missile"} for r in rows], P.tracks)
+    assert all((alone[i] == alone[o]) for i, _, _, o in links) and len(set(alone.values())) >= len(groups)
+
+
 def test_islands_of_episodes(spark):
     rnd = random.Random(5)
     minute, rows = 0, []
