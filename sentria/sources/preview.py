@@ -2,8 +2,10 @@
 
 A page is parsed with the standard library into flat messages; what is
 relational (deduplication, order, windows, cursors) is done on DataFrames. The
-data source pages through a channel with a transport that the caller injects, so
-tests need no network; its stream's offset is the newest post.
+data source pages through channels, each a partition, with a transport that the caller injects, so
+tests need no network. With the option ``pushdown``, bounds on ``post_id`` bound the pages that
+are fetched; Spark asks that ``spark.sql.python.filterPushdown.enabled`` is set for it. A stream follows any number of
+channels; its offset is the newest post of each, and its posts are read by the executors.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from ..operators.runs import map_rows
@@ -326,23 +328,30 @@ def fetch(transport: Transport, channel: str, before: int | None = None, after:
     raise AssertionError("unreachable")
 
 
-def backfill(transport: Transport, channel: str, max_pages: int | None = None, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """From the latest page back to the first, or ``max_pages``."""
-    before, pages = None, 0
+def backfill(transport: Transport, channel: str, max_pages: int | None = None, sleep: Callable[[float], None] = time.sleep, before: int | None = None, after: int | None = None) -> Iterator[dict]:
+    """From the latest page, or the one before ``before``, back to the first or to ``after``, or ``max_pages``. Posts are strictly within the bounds."""
+    pages = 0
     while max_pages is None or pages < max_pages:
         page = parse_preview(channel, fetch(transport, channel, before=before, sleep=sleep))
-        kept = [(i, e) for i, e in zip(page.ids, page.evidence, strict=True) if before is None or i < before]
-        yield from (e for _, e in reversed(kept))
+        kept = [e for i, e in zip(page.ids, page.evidence, strict=True) if (before is None or i < before) and (after is None or i > after)]
+        yield from reversed(kept)
         pages += 1
-        if page.older is None or before is not None and page.older >= before:
+        # older posts have smaller ids than the cursor
+        if page.older is None or before is not None and page.older >= before or after is not None and page.older <= after + 1:
             return
         before = page.older
 
 
-def poll(transport: Transport, channel: str, after: int, pages: int = POLL_PAGES, sleep: Callable[[float], None] = time.sleep) -> tuple[list[dict], int]:
-    """All posts newer than ``after``, page by page, and the newest id."""
+def newest(transport: Transport, channel: str, sleep: Callable[[float], None] = time.sleep) -> int:
+    """The newest post of a channel, by one page; 0 if it has none."""
+    return max(parse_preview(channel, fetch(transport, channel, sleep=sleep)).ids, default=0)
+
+
+def poll(transport: Transport, channel: str, after: int, pages: int | None = POLL_PAGES, sleep: Callable[[float], None] = time.sleep, until: int | None = None) -> tuple[list[dict], int]:
+    """All posts newer than ``after``, page by page (so many at most), and the newest id; beyond ``until`` no page is fetched."""
     out: list[dict] = []
-    for _ in range(pages):
+    while (pages is None or pages > 0) and (until is None or after < until):
+        pages = None if pages is None else pages - 1
         page = parse_preview(channel, fetch(transport, channel, after=after, sleep=sleep))
         fresh = [(i, e) for i, e in zip(page.ids, page.evidence, strict=True) if i > after]
         if not fresh:
@@ -378,44 +387,94 @@ def folder_transport(folder: str) -> Transport:
     return get
 
 
+def _number(e: dict) -> int:
+    return int(e["external_id"].rpartition("/")[2])
+
+
 def _row(e: dict) -> tuple:
-    return (e["source_id"], e["external_id"], e["published_at"], e["edited"], e["text"], [(m["kind"], m["url"]) for m in e["media"]], e["forwarded_from"], (e["provenance"]["url"], e["provenance"]["collector"]))
+    media = [(m["kind"], m["url"]) for m in e["media"]]
+    return (e["source_id"], e["external_id"], e["published_at"], e["edited"], e["text"], media, e["forwarded_from"], (e["provenance"]["url"], e["provenance"]["collector"]), _number(e))
 
 
 class _Channel(InputPartition):
-    def __init__(self, name: str):
+    """A channel, and what of it is read: posts after one and up to another."""
+
+    def __init__(self, name: str, after: int | None = None, until: int | None = None):
         super().__init__(name)
-        self.name = name
+        self.name, self.after, self.until = name, after, until
+
+
+def _channels(options: dict) -> list[str]:
+    return [c.strip() for c in options["channels"].split(",") if c.strip()]
 
 
 class _Backfill(DataSourceReader):
+    """A partition for each channel, read backwards within the bounds."""
+
     def __init__(self, options: dict):
         self.options = options
+        self.before: int | None = None
+        self.after: int | None = None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Channel(c) for c in self.options["channels"].split(",")]
+        return [_Channel(c) for c in _channels(self.options)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         limit = int(self.options["maxpages"]) if "maxpages" in self.options else None
-        yield from map(_row, backfill(_transport(self.options), partition.name, limit))
+        if self.before is not None and (self.before <= 1 or self.after is not None and self.after + 1 >= self.before):
+            return
+        yield from map(_row, backfill(_transport(self.options), partition.name, limit, before=self.before, after=self.after))
+
+
+class _Bounded(_Backfill):
+    """The bounds are those that filters on ``post_id`` give."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) != ("post_id",) or not isinstance(f, (EqualTo, LessThan, LessThanOrEqual, GreaterThan, GreaterThanOrEqual)):
+                yield f
+                continue
+            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                bound = f.value + (not isinstance(f, LessThan))
+                self.before = bound if self.before is None else min(self.before, bound)
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                bound = f.value - (not isinstance(f, GreaterThan))
+                self.after = bound if self.after is None else max(self.after, bound)
 
 
-class _Follow(SimpleDataSourceStreamReader):
-    """One channel; the offset is its newest post."""
+class _Follow(DataSourceStreamReader):
+    """The driver asks each channel for its newest post, one page each; posts are read in the channels' partitions.
+
+    A channel that can't be asked keeps its offset until it can; only if none answers, the stream fails.
+    """
 
     def __init__(self, options: dict):
         self.options = options
+        self.known: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        return {"newest": int(self.options.get("after", 0))}
+        return {c: int(self.options.get("after", 0)) for c in _channels(self.options)}
+
+    def latestOffset(self) -> dict:
+        failed: SourceError | None = None
+        answered = 0
+        for channel in _channels(self.options):
+            try:
+                self.known[channel] = max(newest(_transport(self.options), channel), self.known.get(channel, 0))
+                answered += 1
+            except SourceError as e:
+                failed = e
+        if failed and not answered:
+            raise failed
+        return {c: self.known.get(c, 0) for c in _channels(self.options)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first = int(self.options.get("after", 0))
+        return [_Channel(c, start.get(c, first), until) for c, until in end.items() if until > start.get(c, first)]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, newest = poll(_transport(self.options), self.options["channels"], start["newest"])
-        return iter([_row(e) for e in rows]), {"newest": newest}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = poll(_transport(self.options), self.options["channels"], start["newest"])
-        return iter([_row(e) for e in rows if int(e["external_id"].rpartition("/")[2]) <= end["newest"]])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        rows, _ = poll(_transport(self.options), partition.name, partition.after, None, until=partition.until)
+        yield from (_row(e) for e in rows if _number(e) <= partition.until)
 
 
 def _transport(options: dict) -> Transport:
@@ -423,17 +482,18 @@ def _transport(options: dict) -> Transport:
 
 
 class PreviewSource(DataSource):
-    """``spark.read.format("preview").option("channels", "a,b")``; a stream follows one channel."""
+    """``spark.read.format("preview").option("channels", "a,b")``, and the same with ``readStream``; ``after`` is where a stream begins."""
 
     @classmethod
     def name(cls) -> str:
         return "preview"
 
     def schema(self) -> str:
-        return EVIDENCE
+        return f"{EVIDENCE}, post_id long"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Backfill(dict(self.options))
+        options = dict(self.options)
+        return (_Bounded if options.get("pushdown") == "true" else _Backfill)(options)
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Follow(dict(self.options))
