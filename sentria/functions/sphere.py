@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..params import EARTH_KM
 
@@ -115,9 +113,51 @@ def corridor_ring(a: tuple[float, float], a_km: float, b: tuple[float, float], b
     return [*ring, ring[0]]
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())])))
-def corridor(a_lon: pd.Series, a_lat: pd.Series, a_km: pd.Series, b_lon: pd.Series, b_lat: pd.Series, b_km: pd.Series) -> pd.Series:
-    """The ring around two discs; null if they are too far apart. The only shape here that isn't an expression."""
-    rows = zip(a_lon, a_lat, a_km, b_lon, b_lat, b_km, strict=True)
-    rings = (corridor_ring((r[0], r[1]), r[2], (r[3], r[4]), r[5]) if all(x == x and x is not None for x in r) else None for r in rows)
-    return pd.Series([None if g is None else [{"lon": x, "lat": y} for x, y in g] for g in rings])
+def corridor(a_lon: Column | str, a_lat: Column | str, a_km: Column, b_lon: Column | str, b_lat: Column | str, b_km: Column, vertices: int = 48) -> Column:
+    """The ring around two discs, counter-clockwise from its lowest corner, as ``corridor_ring``; null if they are too far apart.
+
+    A corner of the hull is a point from which all others lie within a half circle: sorted by
+    direction, two neighbouring ones are more than half a turn apart.
+    """
+    a, b = (position(F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y) for x, y in ((a_lon, a_lat), (b_lon, b_lat)))
+    scale = F.greatest(F.cos(F.radians((a["lat"] + b["lat"]) / 2)), F.lit(1e-9))
+
+    def rim(center: Column, km: Column) -> Column:
+        d, p = km / EARTH_KM, F.radians(center["lat"])
+
+        def corner(i: Column) -> Column:
+            t = i * (2 * math.pi / vertices)
+            sine = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(t)
+            # not wrapped at the date line, so that both discs stay on one side
+            lon = center["lon"] + F.degrees(F.atan2(F.sin(t) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * sine))
+            return F.struct((lon * scale).alias("x"), F.degrees(F.asin(sine)).alias("y"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(vertices - 1)), corner)
+
+    return F.when((haversine_km(a, b) <= MAX_CORRIDOR_KM) & (F.least(a_km, b_km) > 0), _hull(F.concat(rim(a, a_km), rim(b, b_km)), scale))
+
+
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body(value)`` with the value computed once: lambdas of arrays would compute it again wherever they name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hull(points: Column, scale: Column) -> Column:
+    """Corners of the convex hull of points (x, y), with x taken back to degrees."""
+    turn = lambda p, q: F.atan2(q["y"] - p["y"], q["x"] - p["x"])
+
+    def opens(angles: Column) -> Column:
+        # each direction and the one before it; the first comes after the last, a whole turn on
+        before = F.concat(F.slice(angles, -1, 1), F.slice(angles, 1, F.size(angles) - 1))
+        gaps = F.zip_with(angles, before, lambda x, y: F.when(x < y, x - y + 2 * math.pi).otherwise(x - y))
+        return F.exists(gaps, lambda g: g > math.pi + 1e-9)
+
+    def ring(corners: Column, start: Column) -> Column:
+        rest = F.filter(corners, lambda p: (p["x"] != start["x"]) | (p["y"] != start["y"]))
+        sorted_ = F.array_sort(F.transform(rest, lambda p: F.struct(turn(start, p).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
+        first = F.array(position(start["x"] / scale, start["y"]))
+        return F.concat(first, F.transform(sorted_, lambda p: position(p["x"] / scale, p["y"])), first)
+
+    corners_of = lambda all_: F.filter(all_, lambda p: _let(F.array_sort(F.transform(F.filter(all_, lambda q: q != p), lambda q: turn(p, q))), opens))
+    lowest = lambda corners: F.element_at(F.array_sort(F.transform(corners, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x")))), 1)
+    return _let(F.array_distinct(points), lambda all_: _let(corners_of(all_), lambda corners: _let(lowest(corners), lambda start: ring(corners, start))))

@@ -65,21 +65,26 @@ def spot(policy: FusionPolicy) -> Column:
     return F.when(F.col("provenance.place_id").isNotNull() & sphere.valid_geometry(g), found)
 
 
-def reports(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
-    """One row for each statement of a post and class: kind, count, and places in their order.
-
-    A place named twice keeps its first mention by order, role and kind.
-    """
+def mentions(observations: DataFrame, policy: FusionPolicy, more: tuple[str, ...] = ()) -> DataFrame:
+    """Observations that have a place to follow, as the mentions of which ``reports`` makes statements, with ``more`` of their columns. Expressions only."""
     p = F.col("provenance")
-    rows = observations.withColumn("spot", spot(policy)).filter("spot is not null").select(
+    return observations.withColumn("spot", spot(policy)).filter("spot is not null").select(
         "observed_at", "source_id", p["evidence_id"].alias("evidence_id"), p["statement"].alias("statement"),
         F.when(p["statement"].isNull(), p["place_id"]).otherwise("").alias("alone"), hazard_class(F.col("kind")).alias("class"), rank_of(F.col("stance"), TURNS).alias("turn"), "stance",
         F.struct((~F.col("kind").isin(*SPECIFIC)).alias("plain"), rank_of(F.col("kind"), KINDS).alias("rank"), F.col("kind").alias("kind")).alias("best"), "count", evidence_ref().alias("ref"),
         F.struct(
             F.coalesce(p["place_order"], F.lit(NO_ORDER)).alias("order"), p["place_id"].alias("id"), F.coalesce(p["place_role"] == "via", F.lit(False)).alias("via"),
             p["place_name"].alias("name"), "spot", is_region(p["place_id"]).alias("region"), F.col("geometry.cells").alias("cells"),
-        ).alias("place"),
+        ).alias("place"), *more,
     )
+
+
+def reports(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
+    """One row for each statement of a post and class: kind, count, and places in their order.
+
+    A place named twice keeps its first mention by order, role and kind.
+    """
+    rows = mentions(observations, policy)
     key = ["observed_at", "source_id", "evidence_id", "statement", "alone", "class", "turn", "stance"]
     # places of one statement of one post: a handful
     gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_set("place")).alias("named"), F.min("best").alias("best"), F.max("count").alias("count"), F.min("ref").alias("ref"))
@@ -390,15 +395,10 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
     def cells_of(row: dict) -> list[str]:
         if row["status"] not in ("active", "quiet") or row["position_region"]:
             return []
-        end = now.replace(tzinfo=row["last_seen_at"].tzinfo) if now.tzinfo is None else now
-        hours = max(0.0, (end - row["last_seen_at"]).total_seconds() / 3600)
-        floor = rules.floor_km[row["class"]]
-        here = max(row["radius_km"] + min(rules.speed_kmh.get(row["kind"], 0.0) * hours, rules.cap_km), floor)
         at = (row["center"]["lon"], row["center"]["lat"])
-        ring = shapes.around(*at, here, policy.disc_vertices)
-        if row["target"] and row["target"]["id"] != row["position"]["id"] and not row["target_region"]:
-            to = row["target_center"]
-            ring = sphere.corridor_ring(at, here, (to["lon"], to["lat"]), max(row["target_radius_km"], floor), policy.disc_vertices)
+        ring = shapes.around(*at, row["here_km"], policy.disc_vertices)
+        if row["heads_on"]:
+            ring = row["ring"] and [(p["lon"], p["lat"]) for p in row["ring"]]
         for shape in (ring, shapes.around(*at, row["radius_km"], policy.disc_vertices)):
             found = outcome(lambda s=shape: shapes.texts(shapes.expanded(shapes.polygon([s], size, rules.max_cells), policy.edge_rings, rules.max_cells), size)) if shape else {"cells": None}
             if found["cells"] is not None:
@@ -412,10 +412,19 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
         return grown["cells"] if grown["cells"] is not None else row["region"]
 
     def finish(row: dict) -> Iterator[dict]:
-        yield row | {"cells": {"resolution": size, "cells": cells_of(row)}, "region_cells": {"resolution": size, "cells": region_of(row)}}
+        kept = {n: v for n, v in row.items() if n not in ("here_km", "heads_on", "ring")}
+        yield kept | {"cells": {"resolution": size, "cells": cells_of(row)}, "region_cells": {"resolution": size, "cells": region_of(row)}}
 
     cells = "struct<resolution:int,cells:array<string>>"
-    return map_rows(tracks, finish, f"{TRACK}, cells {cells}, region_cells {cells}")
+    by = lambda values: F.create_map(*(F.lit(x) for item in values.items() for x in item))
+    floor = F.element_at(by(rules.floor_km), F.col("class"))
+    hours = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_seen_at")) / 3.6e9)
+    flown = F.least(F.coalesce(F.try_element_at(by(rules.speed_kmh), F.col("kind")), F.lit(0.0)) * hours, F.lit(rules.cap_km))
+    live = F.col("status").isin("active", "quiet") & ~F.col("position_region")
+    heads_on = live & F.col("target").isNotNull() & (F.col("target.id") != F.col("position.id")) & ~F.col("target_region")
+    there = sphere.corridor("center.lon", "center.lat", F.col("here_km"), "target_center.lon", "target_center.lat", F.greatest(F.col("target_radius_km"), floor), policy.disc_vertices)
+    shaped = tracks.withColumn("here_km", F.greatest(F.col("radius_km") + flown, floor)).withColumn("heads_on", F.coalesce(heads_on, F.lit(False)))
+    return map_rows(shaped.withColumn("ring", F.when(F.col("heads_on"), there)), finish, f"{TRACK}, cells {cells}, region_cells {cells}")
 
 
 def dealt(observations: DataFrame, policy: FusionPolicy) -> DataFrame:

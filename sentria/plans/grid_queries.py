@@ -170,7 +170,22 @@ _child = lambda cell, to, d: f"((({cell} & ~(15::BIGINT << 52)) | ({to}::BIGINT
 _children = lambda cell, to: "[" + ", ".join(_child(cell, to, d) for d in range(7)) + "]"
 _hex = lambda cells: f"array_to_string(list_sort(list_transform({cells}, lambda x: printf('%x', x))), ',')"
 
+#: Points of both discs in a plane scaled at the middle latitude; a corner is a point with a gap of more than half a turn between the directions of two others.
+_RIM = "degrees(asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(t)))"
+_CORRIDORS = f"""
+WITH ends AS (SELECT n_nationkey AS id, e, CASE e WHEN 0 THEN 22 + 0.7 * n_nationkey ELSE 30.0 END AS lon, CASE e WHEN 0 THEN 44 + 0.3 * n_nationkey ELSE 48.0 END AS lat, CASE e WHEN 0 THEN 10.0 ELSE 20.0 END / {EARTH_KM} AS d, greatest(cos(radians((44 + 0.3 * n_nationkey + 48.0) / 2)), 1e-9) AS scale FROM nation, range(0, 2) r(e)),
+rims AS (SELECT id, scale, lon + degrees(atan2(sin(t) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(radians(y)))) AS x, y FROM (SELECT *, {_RIM} AS y FROM (SELECT *, i * 2 * pi() / 48 AS t FROM ends, range(0, 48) s(i)))),
+points AS (SELECT DISTINCT id, scale, x * scale AS x, y FROM rims),
+turns AS (SELECT p.id, p.scale, p.x, p.y, atan2(q.y - p.y, q.x - p.x) AS t FROM points p JOIN points q ON p.id = q.id AND (p.x <> q.x OR p.y <> q.y)),
+gaps AS (SELECT *, coalesce(t - lag(t) OVER w, t + 2 * pi() - max(t) OVER (PARTITION BY id, x, y)) AS gap FROM turns WINDOW w AS (PARTITION BY id, x, y ORDER BY t)),
+corners AS (SELECT id, x / any_value(scale) AS lon, y AS lat FROM gaps GROUP BY id, x, y HAVING max(gap) > pi() + 1e-9),
+middles AS (SELECT id, avg(lon) AS mlon, avg(lat) AS mlat, count(*) AS n FROM corners GROUP BY id)
+SELECT id AS n_nationkey, (any_value(n) + 1)::INT AS corners, round(greatest(1.0, avg(2 * {EARTH_KM} * asin(sqrt(pow(sin(radians(lat - mlat) / 2), 2) + cos(radians(lat)) * cos(radians(mlat)) * pow(sin(radians(lon - mlon) / 2), 2))))), 3) AS mean_km
+FROM corners JOIN middles USING (id) GROUP BY id
+"""
+
 SQL: dict[str, str] = {
+    "G03_corridors": _CORRIDORS,
     "G01_points": f"WITH {_AT_6} SELECT id AS c_custkey, printf('%x', cell) AS cells, NULL::VARCHAR AS error FROM cells",
     "G07_cell_ids": f"WITH {_AT_6} SELECT id AS c_custkey, printf('%x', cell) AS id, 6::INT AS resolution, base::INT AS base, true AS valid, false AS broken FROM cells",
     "G05_recast": f"WITH {_AT_6} SELECT id AS c_custkey, printf('%x', {_up('cell', 4)}) AS coarser, {_hex(_children('cell', 7))} AS finer, 'cover_too_large' AS many, 'invalid_geometry' AS wrong FROM cells",

@@ -222,6 +222,26 @@ def test_corridor_and_limits():
         shapes.polygon([[(0, 0), (40, 0), (40, 40), (0, 40), (0, 0)]], 12, 1000)
 
 
+def test_corridor_as_an_expression(spark):
+    """The column against the hull of both discs' corners: apart, one within the other, the same, along and across, at the date line."""
+    rnd = random.Random(9)
+    ends = [((30.5, 50.4), 10.0, (31.3, 51.5), 20.0), ((30.5, 50.4), 10.0, (30.5, 50.4), 40.0), ((30.5, 50.4), 10.0, (30.5, 50.4), 10.0), ((0.0, 0.0), 5.0, (3.0, 0.0), 5.0), ((10.0, -20.0), 5.0, (10.0, -17.0), 25.0), ((179.95, 5.0), 15.0, (179.0, 5.5), 30.0)]
+    ends += [((rnd.uniform(-170, 170), rnd.uniform(-70, 70)), rnd.uniform(1, 90), (0.0, 0.0), rnd.uniform(1, 90)) for _ in range(30)]
+    ends = [(a, r, b if i < 6 else (a[0] + rnd.uniform(-3, 3), a[1] + rnd.uniform(-3, 3)), s) for i, (a, r, b, s) in enumerate(ends)] + [((30.5, 50.4), 10.0, (90.0, 50.0), 10.0), ((30.5, 50.4), 0.0, (31.0, 50.0), 10.0)]
+    df = spark.createDataFrame([(n, *map(float, a), r, *map(float, b), s) for n, (a, r, b, s) in enumerate(ends)], "n int, x double, y double, r double, u double, v double, s double")
+    got = df.select("n", sphere.corridor("x", "y", F.col("r"), "u", "v", F.col("s")).alias("ring")).orderBy("n").collect()
+    for row, (a, r, b, s) in zip(got, ends, strict=True):
+        plain = sphere.corridor_ring(a, r, b, s)
+        assert (row["ring"] is None) == (plain is None)
+        if plain:
+            ring = [(p["lon"], p["lat"]) for p in row["ring"]]
+            assert ring[0] == ring[-1] and abs(len(ring) - len(plain)) <= 2
+            # corners on a line, to rounding, may be left out by one of them
+            near = lambda p, others: min(abs(p[0] - q[0]) + abs(p[1] - q[1]) for q in others) < 0.02
+            assert all(near(p, plain) for p in ring) and all(near(p, ring) for p in plain)
+            assert shapes.polygon([ring], 6, 9000) == shapes.polygon([plain], 6, 9000)
+
+
 def message(post, body="", extra="", cls="", when="2024-01-01T10:00:00+03:00"):
     return f'<div class="tgme_widget_message {cls}" data-post="{post}">{extra}{body and f"<div class=js-message_text>{body}</div>"}<span class="tgme_widget_message_meta"><time datetime="{when}"></time></span></div>'
 
