@@ -147,3 +147,75 @@ def expanded(cells: Cells, rings: int, max_cells: int) -> Cells:
     if len(grown) > max_cells:
         raise Refused("cover_too_large")
     return grown
+
+
+Segment = tuple[float, float, float, float]
+
+
+def _box(lon: float, lat: float, resolution: int) -> tuple[float, float, float, float] | None:
+    """Degrees around a cell's middle that hold the middles of all cells within it; None at the date line and the poles."""
+    up = math.degrees(2.0 * h3grid.mean_edge_km(resolution) / EARTH_KM)
+    if abs(lat) + up >= 89.0:
+        return None
+    side = up / math.cos(math.radians(abs(lat) + up))
+    return None if abs(lon) + side >= 180.0 else (lon - side, lat - up, lon + side, lat + up)
+
+
+def _meets(s: Segment, box: tuple[float, float, float, float]) -> bool:
+    """Whether a segment has a point in a box."""
+    x1, y1, x2, y2 = s
+    left, low, right, high = box
+    if max(x1, x2) < left or min(x1, x2) > right or max(y1, y2) < low or min(y1, y2) > high:
+        return False
+    # the corners on both sides of its line, or one on it
+    side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x, y in ((left, low), (right, low), (right, high), (left, high))]
+    return min(side) <= 0 <= max(side)
+
+
+def _crossed(segments: list[Segment], a: tuple[float, float], b: tuple[float, float]) -> bool:
+    """Whether a way from a to b, first along the parallel and then along the meridian, crosses the segments an odd number of times."""
+    odd = False
+    low, high = sorted((a[0], b[0]))
+    down, up = sorted((a[1], b[1]))
+    for x1, y1, x2, y2 in segments:
+        if (y1 > a[1]) != (y2 > a[1]) and low < (x2 - x1) * (a[1] - y1) / (y2 - y1) + x1 <= high:
+            odd = not odd
+        if (x1 > b[0]) != (x2 > b[0]) and down < (y2 - y1) * (b[0] - x1) / (x2 - x1) + y1 <= up:
+            odd = not odd
+    return odd
+
+
+def _within(segments: list[Segment], x: float, y: float) -> bool:
+    return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in segments) % 2 == 1
+
+
+def coarse_cells(rings: list[list[tuple[float, float]]], resolution: int) -> list[tuple[int, bool, list[Segment]]]:
+    """Cells that may hold parts of a polygon: each with whether its middle is inside, and the segments near it (all of them, at the date line)."""
+    segments = [(*p, *q) for ring in rings for p, q in zip(ring, ring[1:], strict=False)]
+    edge = h3grid.disk(_touched(rings, resolution, h3grid.mean_edge_km(resolution) / 2, math.inf), 1)
+    seen, fresh, out = set(edge), set(edge), []
+    while fresh:
+        grown = set()
+        for cell in sorted(fresh):
+            at = h3grid.center_of(cell)
+            box, inside = _box(*at, resolution), _within(segments, *at)
+            near = segments if box is None else [s for s in segments if _meets(s, box)]
+            out.append((cell, inside, near))
+            if inside:
+                grown.update(h3grid.neighbours(cell))
+        fresh = grown - seen
+        seen |= fresh
+    return out
+
+
+def split_cell(cell: int, inside: bool, segments: list[Segment]) -> list[tuple[int, bool, list[Segment]]]:
+    """A cell's children, likewise, from the segments near the cell alone."""
+    at, r = h3grid.center_of(cell), h3grid.resolution_of(cell) + 1
+    whole = _box(*at, r - 1) is None
+    out = []
+    for child in h3grid.children_of(cell, r):
+        middle = h3grid.center_of(child)
+        box = _box(*middle, r)
+        within = _within(segments, *middle) if whole else inside != _crossed(segments, at, middle)
+        out.append((child, within, segments if box is None else [s for s in segments if _meets(s, box)]))
+    return out

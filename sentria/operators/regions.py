@@ -73,3 +73,42 @@ def build_regions(boundaries: DataFrame, resolution: int = 6, max_cells: int = M
             yield out | {"error": str(why) if isinstance(why, shapes.Refused) else "invalid_geometry"}
 
     return map_rows(boundaries.select("id", "name", "polygons"), one, f"{REGION}, error string")
+
+
+_CELL = "cell long, inside boolean, segments array<struct<x1:double,y1:double,x2:double,y2:double>>"
+_NAMES = ("x1", "y1", "x2", "y2")
+
+
+def cover_polygons(polygons: DataFrame, resolution: int, levels: int = 4) -> DataFrame:
+    """``id, cell``: the cells of ``resolution`` whose middles are inside of ``rings`` ([lon, lat] pairs, closed), of polygons of any size.
+
+    From cells ``levels`` coarser, cells near the boundary are split, level by level; those that are
+    wholly inside keep all of their descendants, which only bit arithmetic makes. A cell is a row with the
+    segments near it, so that one country is the work of many tasks, in proportion to
+    its boundary. A polygon so small that it holds no middle has no rows here (see ``shapes.polygon``); invalid rings have none.
+    """
+    segments = lambda near: [dict(zip(_NAMES, s, strict=True)) for s in near]
+    rows_of = lambda id_, found: ({"id": id_, "cell": c, "inside": i, "segments": segments(near)} for c, i, near in found)
+
+    def begin(row: dict) -> Iterator[dict]:
+        try:
+            rings = shapes.rings_of({"rings": row["rings"]})
+        except (shapes.Refused, TypeError):
+            return
+        yield from rows_of(row["id"], shapes.coarse_cells(rings, max(0, resolution - levels)))
+
+    def split(row: dict) -> Iterator[dict]:
+        yield from rows_of(row["id"], shapes.split_cell(row["cell"], row["inside"], [tuple(s[n] for n in _NAMES) for s in row["segments"]]))
+
+    kind = polygons.schema["id"].dataType.simpleString()
+    level = map_rows(polygons.select("id", "rings"), begin, f"id {kind}, {_CELL}")
+    whole = []
+    for _ in range(resolution - max(0, resolution - levels)):
+        # children of one cell go on by themselves
+        level = level.repartition("id", "cell")
+        whole.append(level.filter((F.size("segments") == 0) & F.col("inside")).select("id", "cell"))
+        level = map_rows(level.filter(F.size("segments") > 0), split, f"id {kind}, {_CELL}")
+    found = level.filter("inside").select("id", "cell")
+    for n, part in enumerate(whole):
+        found = found.unionByName(uncompacted(part, resolution, resolution - max(0, resolution - levels) - n))
+    return found
