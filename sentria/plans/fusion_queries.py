@@ -13,6 +13,7 @@ from ..operators import episodes, tracks
 from ..operators.footprint import with_footprint
 from ..operators.runs import map_rows
 from ..params import policy
+from .cover_sql import FOOTPRINTS, track_cells_sql
 from .views import DUCK_OBS, EVALUATION, LOOSE_CELL_FIRST, NOW, PAIRED_SQL, REGION_CELLS, flat_observations, micros, observations, paired_observations
 
 POLICY = policy("fusion.v1")
@@ -338,6 +339,7 @@ SQL: dict[str, str] = {
     "F01_future_filter": f"WITH {_OBS} SELECT stance, count(*) AS n FROM obs GROUP BY stance",
     "F02_F03_skipped": f"WITH {_OBS} SELECT 'region' AS code, evidence_id, count(*) AS n FROM obs WHERE place_id LIKE 'ua-adm1:%' GROUP BY evidence_id",
     "F05_place_keys": f"WITH {_OBS} SELECT place_id AS key, count(*) AS n FROM obs WHERE place_id LIKE 'geonames:%' GROUP BY place_id",
+    "F04_footprints": f"WITH {_OBS}, {FOOTPRINTS}",
     "F06_class_counts": f"SELECT class, count(*) AS n FROM ({DUCK_OBS}) GROUP BY class",
     "F07_order": f"""WITH {_OBS} SELECT class, key, n, evidence_id, stance FROM (SELECT class, place_id AS key, evidence_id, stance, row_number() OVER (PARTITION BY class, place_id
         ORDER BY us, source_id, evidence_id, CASE stance WHEN 'threat' THEN 0 WHEN 'clear' THEN 1 ELSE 2 END, kind_rank, ttl)::INT AS n FROM obs WHERE place_id LIKE 'geonames:%')""",
@@ -362,6 +364,7 @@ SQL: dict[str, str] = {
     "K09_clusters": f"""WITH {_WIDE_OBS}, r AS (SELECT DISTINCT us, source_id, evidence_id, class, stance, CASE class WHEN 'bomb' THEN place_id ELSE (SELECT min(place_id) FROM towns t WHERE t.class = towns.class) END AS cluster FROM towns),
         g AS (SELECT *, us - lag(us) OVER (PARTITION BY class, cluster ORDER BY us) >= 21600000000 AS silent FROM r), i AS (SELECT *, coalesce(sum(silent::INT) OVER (PARTITION BY class, cluster ORDER BY us), 0)::BIGINT AS island FROM g)
         SELECT class, cluster, island, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM i GROUP BY ALL""",
+    "K15_K17_track_cells": TRACKS + f", {track_cells_sql(US)}",
     "K18_track_events": TRACKS + "SELECT track_id, seq, happened AS kind, at_us, evidence_id FROM events",
     "K01_shapes": f"WITH p AS ({PAIRED_SQL}) SELECT shape, place_id, count(*) AS n, count(*) FILTER (place_id IS NOT NULL AND NOT broken AND shape IN ('point', 'polygon', 'region')) AS n_spots, round(max(CASE WHEN place_id IS NULL OR broken THEN NULL WHEN shape = 'point' THEN 10.0 WHEN shape = 'polygon' THEN {_SQUARE_KM} WHEN shape = 'region' THEN {_REGION_KM!r} END)::DOUBLE, 6) AS radius_km FROM p GROUP BY ALL".replace("SELECT shape, place_id", "SELECT CASE shape WHEN 'region' THEN 'cells' ELSE shape END AS shape, place_id").replace("GROUP BY ALL", "GROUP BY CASE shape WHEN 'region' THEN 'cells' ELSE shape END, place_id"),
     "K02_K05_grouped": GROUPED + "SELECT source_id, evidence_id, class, stance, kind, count, array_to_string(list_transform(places, lambda p: p.id), ',') AS places FROM grouped",
