@@ -5,13 +5,13 @@ window is 13 consecutive words of an item; an item with fewer is one window.
 The automaton holds each item cut into consecutive blocks of seven words, one of
 which lies whole in every window (an item of fewer than 13 words is held whole),
 so that it has about as many nodes as the benchmark has characters. A text is
-normalised in the same way and scanned once; a block that occurs is expanded to the
-longest run of words that text and item share there, which is a hit from 13 words
-on. Hits are mapped back to words of the text, and on request to offsets in the original.
+normalised in the same way and scanned once. Where a block occurs, the windows of the
+text around it are looked up among those of the items that have the block: the work is the same for one item
+and for thousands that share a preamble. Hits are mapped back to words of the text and to offsets in the original.
 
 The items go to the workers as a broadcast of at most ``MAX_CHARS`` characters, which
-are counted first; each worker builds the automaton once (some 60 bytes a character,
-half a GB at most). A benchmark beyond that is dealt into parts by a hash of the item's id.
+are counted first; each worker builds the automaton once (some 60 bytes a character, and
+40 more for windows around blocks that have occurred: half a GB at most). A benchmark beyond that is dealt into parts by a hash of the item's id.
 The texts are then scanned for one part after the other, with what was found written
 between, and results are the same.
 
@@ -39,11 +39,15 @@ from ._shared import batch_of, beside, content, rows_of, small_batches, written
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 13
 #: Most characters of items in one automaton.
-MAX_CHARS = 8_000_000
+MAX_CHARS = 4_000_000
 # On UTF-8 bytes: lower case for A-Z, a space for what is no word character.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Runs of words (first word, words) that windows occupy, and the items whose windows occur.
+Hits = tuple[list[tuple[int, int]], set]
+
+
 def normalised(text: str) -> bytes:
     """UTF-8 words in lower case with a space before, between and after them; empty if there are none."""
     words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -53,22 +57,33 @@ def normalised(text: str) -> bytes:
 class Matcher:
     """The automaton of a benchmark, or of a part of it."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
         self.size = size
         step = (size + 1) // 2
+        #: how many words of a window may come before the block in it
+        self.before = size - step
         self.items: list[tuple[object, list[bytes]]] = []
-        #: for each pattern of the automaton the items and the words in them where it begins
+        #: for each pattern of the automaton its words, the items that are this pattern, and the items and words in them where it begins
+        self.n_words: list[int] = []
+        self.whole: list[list[object]] = []
         self.owners: list[list[tuple[int, int]]] = []
+        #: of patterns that have occurred: the windows of items around them, and the items that have each
+        self.around: dict[int, dict[bytes, list[object]]] = {}
         numbers: dict[bytes, int] = {}
         for item_id, text in dict.fromkeys(items):
             words = normalised(text or "").split()
             short = len(words) < size
             for at in range(0, 1 if short else len(words) - step + 1, step) if words else ():
-                block = b" " + b" ".join(words if short else words[at : at + step]) + b" "
-                number = numbers.setdefault(block, len(numbers))
-                if number == len(self.owners):
+                own = words if short else words[at : at + step]
+                number = numbers.setdefault(b" " + b" ".join(own) + b" ", len(numbers))
+                if number == len(self.n_words):
+                    self.n_words.append(len(own))
+                    self.whole.append([])
                     self.owners.append([])
-                self.owners[number].append((len(self.items), at))
+                if short:
+                    self.whole[number].append(item_id)
+                else:
+                    self.owners[number].append((len(self.items), at))
             self.items.append((item_id, words))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         self.lengths = [len(block) for block in numbers]
@@ -77,41 +92,48 @@ class Matcher:
         if numbers:
             self.automaton.make_automaton()
 
-    def hits(self, folded: bytes) -> list[tuple[int, int, object]]:
-        """(first word, words, item) of every run of words that holds a window of the item."""
-        if not len(self.automaton):
-            return []
-        seen = list(self.automaton.iter(folded.decode("latin-1")))
-        if not seen:
-            return []
-        words = folded.split()
-        spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
-        firsts = np.searchsorted(spaces, [end + 1 - self.lengths[number] for end, number in seen]).tolist()
-        reached: dict[tuple[int, int], int] = {}  # (item, its offset in the text) -> end of the last run there
-        out = []
-        for first, (_, number) in zip(firsts, seen, strict=True):
+    def _windows(self, number: int) -> dict[bytes, list[object]]:
+        """Items by each window that holds a block, gathered when the block first occurs."""
+        if number not in self.around:
+            found = self.around[number] = {}
             for item, at in self.owners[number]:
-                line = (item, first - at)
-                if reached.get(line, 0) > first:
-                    continue
                 item_id, own = self.items[item]
-                low, offset = first, first - at
-                while low > 0 and low > offset and words[low - 1] == own[low - 1 - offset]:
-                    low -= 1
-                high = first
-                while high < len(words) and high - offset < len(own) and words[high] == own[high - offset]:
-                    high += 1
-                reached[line] = high
-                if high - low >= min(self.size, len(own)):
-                    out.append((low, high - low, item_id))
-        return out
-
-
-def marked_words(n_words: int, hits: list[tuple[int, int, object]]) -> np.ndarray:
-    """For each word whether any hit covers it."""
+                for low in range(max(0, at - self.before), min(at, len(own) - self.size) + 1):
+                    found.setdefault(b" ".join(own[low : low + self.size]), []).append(item_id)
+        return self.around[number]
+
+    def hits(self, folded: bytes) -> Hits:
+        """Where windows occur, and the items that have them.
+
+        An occurrence of a block is looked up in the seven windows around it,
+        however many items share the block; a window's items are added once a text.
+        """
+        seen = list(self.automaton.iter(folded.decode("latin-1"))) if len(self.automaton) else []
+        if not seen:
+            return [], set()
+        at = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+        firsts = np.searchsorted(at, [end + 1 - self.lengths[number] for end, number in seen]).tolist()
+        spaces = at.tolist()
+        last = len(spaces) - 1 - self.size
+        runs, met = [], {}
+        for first, (_, number) in zip(firsts, seen, strict=True):
+            if self.whole[number]:
+                runs.append((first, self.n_words[number]))
+                met[number, b""] = self.whole[number]
+            windows = self._windows(number) if self.owners[number] else {}
+            for low in range(max(0, first - self.before), min(first, last) + 1) if windows else ():
+                window = folded[spaces[low] + 1 : spaces[low + self.size]]
+                if window in windows:
+                    runs.append((low, self.size))
+                    met[number, window] = windows[window]
+        return runs, set().union(*met.values())
+
+
+def marked_words(n_words: int, runs: list[tuple[int, int]]) -> np.ndarray:
+    """For each word whether any run (first word, words) covers it."""
     steps = np.zeros(n_words + 1, np.int64)
-    np.add.at(steps, [h[0] for h in hits], 1)
-    np.add.at(steps, [h[0] + h[1] for h in hits], -1)
+    np.add.at(steps, [first for first, _ in runs], 1)
+    np.add.at(steps, [first + n for first, n in runs], -1)
     return np.cumsum(steps)[:-1] > 0
 
 
@@ -164,17 +186,17 @@ _ARROW = pa.schema(
 )
 
 
-def judged(text: str | None, folded: bytes, hits: list[tuple[int, int, object]]) -> tuple:
+def judged(text: str | None, folded: bytes, hits: Hits) -> tuple:
     """What ``FOUND`` has of a text besides its id."""
     n_words = max(0, folded.count(b" ") - 1)
-    marked = marked_words(n_words, hits)
+    marked = marked_words(n_words, hits[0])
     n_hit = int(marked.sum())
-    ids = sorted({str(h[2]) for h in hits})
+    ids = sorted(set(map(str, hits[1])))
     spans = [{"start": a, "end": b} for a, b in original_spans(text or "", marked)] if n_hit else []
     return n_words, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words, ids, spans
 
 
-_HITS = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("item", pa.string())]))
+_HITS = pa.struct([("runs", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_content: bool = False) -> DataFrame:
@@ -192,8 +214,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows = []
                 for doc_id, text, found in zip(ids, texts, before, strict=True):
                     folded = normalised(text or "")
-                    hits = [(h["first"], h["n"], h["item"]) for h in found or ()] + matcher.hits(folded)
-                    rows.append((doc_id, *judged(text, folded, hits)) if last else [{"first": a, "n": n, "item": str(i)} for a, n, i in hits])
+                    runs, items = matcher.hits(folded)
+                    if found:
+                        runs, items = runs + [(h["first"], h["n"]) for h in found["runs"]], {*map(str, items), *found["items"]}
+                    rows.append((doc_id, *judged(text, folded, (runs, items))) if last else {"runs": [{"first": a, "n": n} for a, n in runs], "items": sorted(map(str, items))})
                 if last:
                     yield beside(batch_of(rows, _ARROW), batch, kept)
                 else:
@@ -202,7 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept), F.lit(None).cast("array<struct<first:long,n:long,item:string>>").alias("hits"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(content(F.col(text_col)).alias(k) for k in kept), F.lit(None).cast("struct<runs:array<struct<first:long,n:long>>,items:array<string>>").alias("hits"))
     small_batches(docs.sparkSession)
     for part, last in _parts(benchmark, item_col, item_text_col):
         if last:

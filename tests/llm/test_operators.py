@@ -172,6 +172,26 @@ def test_contamination_blocks_and_spans(spark, monkeypatch):
     assert decontaminate.decontaminate(docs(spark, *ODD), bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("shared", [7, 12, 13, 40])
+def test_contamination_of_items_with_one_preamble(shared):
+    """Work for a text doesn't grow with the items that begin alike; results are those of each item alone."""
+    import time
+
+    preamble = " ".join(f"p{i}" for i in range(shared))
+    items = [(i, f"{preamble} own{i} " + " ".join(f"t{i}x{j}" for j in range(14))) for i in range(8_000)]
+    matcher = decontaminate.Matcher(items)
+    text = f"x {preamble} y " * 20 + items[5][1]
+    folded = decontaminate.normalised(text)
+    first = matcher.hits(folded)
+    started = time.perf_counter()
+    hits = matcher.hits(folded)
+    assert time.perf_counter() - started < 0.1 and hits == first
+    few = [items[i] for i in (0, 5, 7_999)]
+    assert decontaminate.judged(text, folded, decontaminate.Matcher(few).hits(folded))[:5] == plain_contamination(text, few)
+    assert hits[1] == (set(range(8_000)) if shared >= 13 else {5})
+    assert decontaminate.judged(text, folded, hits)[1] == plain_contamination(text, few)[1]
+
+
 # 4: main text
 
 
