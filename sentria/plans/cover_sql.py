@@ -12,7 +12,7 @@ import math
 
 from ..functions import h3grid
 from ..params import EARTH_KM
-from .grid_queries import cells_sql
+from .grid_queries import ANGLE, cells_sql
 
 #: Steps of the mesh in degrees: some 2 km, where a cell of resolution 6 is 5 km wide at least.
 LON_STEP, LAT_STEP = 0.025, 0.02
@@ -100,6 +100,12 @@ SELECT 'ua-adm1:' || key AS id, round(avg(lon), 1) AS lon, ceil(sqrt(sum(km2) /
 FROM {inside_sql(_SQUARES, 'middles')} GROUP BY key
 """
 
+_ANGLES = f"(SELECT key, i, lon + {[x for x, _ in ANGLE]}[i + 1] AS x, lat + {[y for _, y in ANGLE]}[i + 1] AS y FROM ({_NATIONS}), range(0, {len(ANGLE)}) s(i))"
+DESCENT = f"""
+WITH middles AS MATERIALIZED (SELECT * FROM {middles_sql(_AROUND(_NATIONS, 0.6), 6)})
+SELECT key AS n_nationkey, printf('%x', cell) AS cell FROM {inside_sql(_ANGLES, 'middles')}
+"""
+
 #: Of ``obs`` (place_id, place_no): each town's disc of 10 km and one ring.
 FOOTPRINTS = f"""
 towns AS (SELECT DISTINCT place_id AS key, 22 + 0.7::DOUBLE * place_no AS lon, 44 + 0.3::DOUBLE * place_no AS lat, 10.0 AS km FROM obs WHERE place_id LIKE 'geonames:%'),
@@ -125,4 +131,4 @@ SELECT track_id, status, coalesce(n, 0)::INT AS n_cells, 0::INT AS n_region_cell
 """
 
 
-SQL = {"G01_G04_covers": COVERS, "S28_S34_regions": REGIONS}
+SQL = {"G01_G04_covers": COVERS, "G04_descent": DESCENT, "S28_S34_regions": REGIONS}

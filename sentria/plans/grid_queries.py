@@ -19,6 +19,8 @@ from ..params import EARTH_KM, GRID_PROFILES
 #: Positions over the whole world, from keys.
 LON, LAT = "((c_custkey * 7919 % 36000) / 100.0 - 180)", "((c_custkey * 104729 % 17900) / 100.0 - 89.5)"
 NONE = "array<string>"
+#: Corners of a shape with an angle that opens inwards, in degrees from a nation's place.
+ANGLE = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.0), (0.0, 0.0), (0.0, 0.5), (-0.5, 0.5))
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,13 @@ def g01_g04_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made("disc", disc(20.0)).join(made("sliver", disc(0.2)), "n_nationkey").join(made("large", disc(400.0)), "n_nationkey")
 
 
+def g04_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of an angle of half degrees beside each nation, by descent from coarse cells."""
+    corner = lambda x, y: F.array(F.col("lon") + x, F.col("lat") + y)
+    angles = _nations(spark, sf_dir).select(F.col("n_nationkey").alias("id"), F.array(F.array(*(corner(x, y) for x, y in [*ANGLE, ANGLE[0]]))).alias("rings"))
+    return regions.cover_polygons(angles, 6).select(F.col("id").alias("n_nationkey"), h3bits.to_text("cell").alias("cell"))
+
+
 def g03_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _nations(spark, sf_dir)
     ring = n.withColumn("ring", sphere.corridor("lon", "lat", F.lit(10.0), F.lit(30.0), F.lit(48.0), F.lit(20.0)))
@@ -196,6 +205,6 @@ SQL: dict[str, str] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "G01_points": g01_points, "G01_G04_covers": g01_g04_covers, "G03_corridors": g03_corridors, "G05_recast": g05_recast, "G06_expanded": g06_expanded, "G07_cell_ids": g07_cell_ids, "G08_G09_compact": g08_g09_compact,
+    "G01_points": g01_points, "G01_G04_covers": g01_g04_covers, "G03_corridors": g03_corridors, "G04_descent": g04_descent, "G05_recast": g05_recast, "G06_expanded": g06_expanded, "G07_cell_ids": g07_cell_ids, "G08_G09_compact": g08_g09_compact,
     "G10_centroids": g10_centroids, "G12_profiles": g12_profiles, "S28_S34_regions": s28_s34_regions,
 }
