@@ -76,6 +76,11 @@ def usable(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tupl
     return contradicted(ready), skipped
 
 
+def skipped_in_order(skipped: DataFrame) -> DataFrame:
+    """``skipped`` by evidence and code, dealt by ranges: for those who write or show it. ``usable`` itself doesn't sort."""
+    return skipped.orderBy("evidence_id", "code")
+
+
 #: Order within (class, key). The last four break ties that the policy leaves to input order.
 ORDER = ["observed_at", "source_id", "evidence_id", "stance_rank", "kind_rank", "ttl", "place_order", "aimed"]
 FOLDED = f"assessment struct<{ASSESSMENT.replace('cells struct<resolution:int,cells:array<string>>', f'geometry {GEOMETRY}')}>, event struct<{ASSESSMENT_EVENT}>"

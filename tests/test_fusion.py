@@ -244,3 +244,12 @@ def test_cells_of_tracks(spark):
     aimed = follow_(obs(0, role="via", post="A/y"), (*obs(0, place="p9", post="A/y", at=(31.6, 51.0))[:8], ("A/y", "u", "n", [], "p9", "p9", None, 0, 1)))
     assert aimed["p1"][0] > later["p1"][0] + 10
     assert follow_(obs(0), obs(5, "A", "clear"))["p1"] == (0, 0, "cleared")
+
+
+def test_skipped_rows_in_order(spark):
+    bad = {"type": "point", "coordinates": [300.0, 50.0], "rings": None, "resolution": None, "cells": None}
+    rows = [obs(3, post="c"), obs(2, post="b", geometry=bad), obs(1, post="b", place="ua-adm1:UA30"), obs(4, post="a", place="ua-adm1:UA30"), obs(5, post="b", geometry=bad)]
+    skipped = episodes.usable(spark.createDataFrame(rows, OBSERVATION).repartition(3), P, T0 + timedelta(minutes=60))[1]
+    expected = [("a", "region"), ("b", "invalid_geometry"), ("b", "invalid_geometry"), ("b", "region")]
+    assert [tuple(r) for r in episodes.skipped_in_order(skipped).collect()] == expected
+    assert episodes.skipped_in_order(skipped.limit(0)).collect() == []
