@@ -36,6 +36,11 @@ def digit(cell: Column, r: int) -> Column:
     return F.shiftright(cell, 3 * (15 - r)).bitwiseAND(F.lit(7)).cast("int")
 
 
+def last_digit(cell: Column) -> Column:
+    """The digit of its own resolution; of a base cell none that counts."""
+    return F.call_function("shiftright", cell, 3 * (15 - resolution(cell))).bitwiseAND(F.lit(7)).cast("int")
+
+
 def is_cell(cell: Column) -> Column:
     """Mode 1, a base cell there is, digits up to the resolution and none beyond."""
     good = (F.shiftright(cell, 59).bitwiseAND(F.lit(31)) == 1) & (F.shiftright(cell, 56).bitwiseAND(F.lit(7)) == 0) & (base_cell(cell) < 122)

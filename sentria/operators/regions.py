@@ -18,16 +18,20 @@ REGION = "id string, name string, lat double, lon double, reach_km int, resoluti
 def compacted(cells: DataFrame, key: str, levels: int) -> DataFrame:
     """``key, cell`` with all children of a cell replaced by it where all are there, ``levels`` times.
 
-    Each level, from the finest of a key's cells on, is one aggregation by (key, parent); cells of other levels stay.
+    Each level, from the finest of a key's cells on, is one aggregation by (key, parent) of the digits that are there;
+    cells of other levels stay. Cells that are dealt by ``key`` already are not shuffled again.
     """
     # a key is one region: the window holds its cells
     finest = F.max(h3bits.resolution(F.col("cell"))).over(Window.partitionBy(key))
-    rows = cells.select(key, "cell").distinct().withColumn("finest", finest)
+    rows = cells.select(key, "cell").withColumn("finest", finest)
     for level in range(levels):
-        marked = rows.withColumn("joins", h3bits.resolution(F.col("cell")) == F.col("finest") - level)
-        grouped = marked.groupBy(key, "finest", F.when(F.col("joins"), h3bits.up(F.col("cell"))).otherwise(F.col("cell")).alias("parent"), "joins").agg(F.collect_list("cell").alias("own"))  # seven at most
-        whole = F.col("joins") & (F.size("own") == F.size(h3bits.split(F.col("parent"))))
-        rows = grouped.select(key, "finest", F.explode(F.when(whole, F.array("parent")).otherwise(F.col("own"))).alias("cell"))
+        resolution = h3bits.resolution(F.col("cell"))
+        marked = rows.withColumn("joins", (resolution == F.col("finest") - level) & (resolution > 0))
+        bit = F.call_function("shiftleft", F.lit(1), F.when(F.col("joins"), h3bits.last_digit(F.col("cell"))).otherwise(0))
+        grouped = marked.groupBy(key, "finest", F.when(F.col("joins"), h3bits.up(F.col("cell"))).otherwise(F.col("cell")).alias("parent"), "joins").agg(F.bit_or(bit).alias("own"))
+        kept = F.filter(h3bits.split(F.col("parent")), lambda c: F.call_function("shiftright", F.col("own"), h3bits.last_digit(c)).bitwiseAND(F.lit(1)) == 1)
+        whole = ~F.col("joins") | (F.bit_count("own") == F.when(h3bits.is_pentagon(F.col("parent")), 6).otherwise(7))
+        rows = grouped.select(key, "finest", F.explode(F.when(whole, F.array("parent")).otherwise(kept)).alias("cell"))
     return rows.drop("finest")
 
 

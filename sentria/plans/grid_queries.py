@@ -24,7 +24,8 @@ ANGLE = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.0), (0.0, 0.0), (0.0, 0.5), (-0.5, 0
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    # dealt by key: a file of one row group would be one task's work
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition("c_custkey")
     return c.select("c_custkey", F.expr(f"cast({LON} as double)").alias("lon"), F.expr(f"cast({LAT} as double)").alias("lat"))
 
 
@@ -73,10 +74,9 @@ def g06_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g08_g09_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell split twice, one part left out of odd ones, and compacted again."""
-    own = _cells(spark, sf_dir).select("c_custkey", F.col("cell").alias("own"), "cell")
-    fine = regions.uncompacted(own, 8, 2)
-    first = F.get(h3bits.split(F.get(h3bits.split(F.col("own")), F.lit(0))), F.lit(0))
-    kept = fine.filter((F.col("c_custkey") % 2 == 0) | (F.col("cell") != first))
+    # the part to leave out is found once a customer, step by step: one nested expression of it would run its inner part again at each mention
+    first = _cells(spark, sf_dir).withColumn("first", F.get(h3bits.split(F.col("cell")), F.lit(0))).withColumn("first", F.get(h3bits.split(F.col("first")), F.lit(0)))
+    kept = regions.uncompacted(first, 8, 2).filter((F.col("c_custkey") % 2 == 0) | (F.col("cell") != F.col("first")))
     return regions.compacted(kept, "c_custkey", 2).groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(h3bits.to_text("cell"))), ",").alias("cells"))
 
 
