@@ -40,14 +40,17 @@ NO_ORDER = 65535
 def region_circle(cells: pd.Series) -> pd.DataFrame:
     """Centroid of a region's cells and the radius of a circle as large; null for none of this grid."""
 
-    def one(listed) -> tuple:  # noqa: ANN001
-        try:
-            known = [shapes.parsed(c) for c in listed]
-            return shapes.centroid({c for _, c in known}, known[0][0])
-        except (shapes.Refused, TypeError, IndexError):
-            return (None, None, None)
-
-    return pd.DataFrame([one(c) for c in cells], columns=["lon", "lat", "radius_km"])
+    return pd.DataFrame([_circle(None if c is None else tuple(c)) for c in cells], columns=["lon", "lat", "radius_km"])
+
+
+@lru_cache(maxsize=1000)
+def _circle(listed: tuple | None) -> tuple:
+    """Kept for the regions that were asked for last: many observations name the same one."""
+    try:
+        known = [shapes.parsed(c) for c in listed]
+        return shapes.centroid({c for _, c in known}, known[0][0])
+    except (shapes.Refused, TypeError, IndexError):
+        return (None, None, None)
 
 
 def spot(policy: FusionPolicy) -> Column:
