@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import role_reader, vocabulary
+from ..operators.shared import written
 from ..sources import ndjson, preview
 from . import reader_queries as R
 
@@ -52,7 +53,8 @@ def s05_s16_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s06_s15_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a walk backwards from a post and one forwards keep of the pages."""
-    parsed = preview.parse_pages(preview_pages(spark, sf_dir)).filter("code is null")
+    # both walks read the same pages: these are parsed once
+    parsed = written(preview.parse_pages(preview_pages(spark, sf_dir)).filter("code is null").select("source_id", "post_id", "older"), "walk")
     back, on = preview.windowed(parsed, before=400), preview.windowed(parsed, after=400)
     side = lambda rows, name: rows.groupBy("source_id").agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("n"), F.min("post_id").alias("oldest"), F.max("post_id").alias("newest"), F.max("older").alias("older"))
     return side(back, "before").unionByName(side(on, "after"))

@@ -29,3 +29,10 @@ def test_a_region_is_measured_once(monkeypatch):
     cells = ("861e63bb7ffffff", "861e63b97ffffff")
     assert tracks._circle(cells) == tracks._circle(tuple(list(cells))) and len(calls) == 1
     assert tracks._circle(None) == tracks._circle(("no",)) == tracks._circle(()) == (None, None, None)
+
+
+def test_pages_are_parsed_once_for_both_walks(spark):
+    from sentria.plans import source_queries
+
+    plan = source_queries.s06_s15_walk(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Relation [") == 2
