@@ -21,11 +21,12 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType, _parse_datatype_string
 
 from ..functions import shapes, sphere
 from ..params import EARTH_KM, KINDS, SPECIFIC, FusionPolicy, TrackPolicy
-from ..schemas import TRACK, TRACK_EVENT
+from ..schemas import EVIDENCE_REF, TRACK, TRACK_EVENT
 from .episodes import evidence_ref, hazard_class, is_region, rank_of
 from .footprint import outcome
 from .runs import fold_runs, map_rows
@@ -87,7 +88,8 @@ def reports(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
 
     A place named twice keeps its first mention by order, role and kind.
     """
-    rows = mentions(observations, policy)
+    # dealt once, by post: what compares statements of a post finds them together
+    rows = mentions(observations, policy).repartition("source_id", "evidence_id", "class")
     key = ["observed_at", "source_id", "evidence_id", "statement", "alone", "class", "turn", "stance"]
     # places of one statement of one post: a handful
     gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_set("place")).alias("named"), F.min("best").alias("best"), F.max("count").alias("count"), F.min("ref").alias("ref"))
@@ -391,7 +393,7 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
     """Adds ``cells`` and ``region_cells`` of the finished tracks, by the age of what is known.
 
     A live track covers the corridor to its target, or a disc; its circle grows
-    with the time since its last report. If that is too large, its own disc remains.
+    with the time since its last report. If that is too large, its own disc remains. Tracks may be those of ``ended``.
     """
     rules, size = policy.tracks, policy.resolution
 
@@ -415,7 +417,7 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
         return grown["cells"] if grown["cells"] is not None else row["region"]
 
     def finish(row: dict) -> Iterator[dict]:
-        kept = {n: v for n, v in row.items() if n not in ("here_km", "heads_on", "ring")}
+        kept = {n: v for n, v in row.items() if n not in ("here_km", "heads_on", "ring", "region", "position_region", "target_region")}
         yield kept | {"cells": {"resolution": size, "cells": cells_of(row)}, "region_cells": {"resolution": size, "cells": region_of(row)}}
 
     cells = "struct<resolution:int,cells:array<string>>"
@@ -427,20 +429,58 @@ def with_cells(tracks: DataFrame, policy: FusionPolicy, now: datetime) -> DataFr
     heads_on = live & F.col("target").isNotNull() & (F.col("target.id") != F.col("position.id")) & ~F.col("target_region")
     there = sphere.corridor("center.lon", "center.lat", F.col("here_km"), "target_center.lon", "target_center.lat", F.greatest(F.col("target_radius_km"), floor), policy.disc_vertices)
     shaped = tracks.withColumn("here_km", F.greatest(F.col("radius_km") + flown, floor)).withColumn("heads_on", F.coalesce(heads_on, F.lit(False)))
-    return map_rows(shaped.withColumn("ring", F.when(F.col("heads_on"), there)), finish, f"{TRACK}, cells {cells}, region_cells {cells}")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tracks.schema if f.name not in ("region", "position_region", "target_region"))
+    return map_rows(shaped.withColumn("ring", F.when(F.col("heads_on"), there)), finish, f"{kept}, cells {cells}, region_cells {cells}")
 
 
 def dealt(observations: DataFrame, policy: FusionPolicy) -> DataFrame:
-    """Reports with the ``class, cluster, island`` that they are walked in, and with contradicted all-clears marked."""
+    """Reports with the ``class, cluster, island`` that they are walked in, and with contradicted all-clears marked.
+
+    Clusters and silences are small tables; written, the planner knows their size, and
+    reports are not shuffled (nor gathered at a few places) to meet them, unless these are large.
+    """
     rules = policy.tracks
     seen = written(with_contradictions(reports(observations, policy)).withColumn("bucket", bucket_of(F.unix_micros("observed_at"), rules.stale_s)), "reports")
-    placed = seen.withColumn("id", F.element_at("places", 1)["id"]).join(clusters(seen, rules), ["class", "id"]).drop("id")
-    return placed.join(silences(placed, ["class", "cluster"], rules), ["class", "cluster", "bucket"])
+    placed = seen.withColumn("id", F.element_at("places", 1)["id"]).join(written(clusters(seen, rules), "clusters"), ["class", "id"]).drop("id")
+    return placed.join(written(silences(placed, ["class", "cluster"], rules), "silences"), ["class", "cluster", "bucket"])
+
+
+MICROSECOND = timedelta(microseconds=1)
+_ENDED = TRACK.replace("path array<struct<id:string,name:string,at:timestamp>>", "steps int").replace(f"evidence array<{EVIDENCE_REF}>, ", "")
+#: Rows of a walk: an event of the nth track with the place that it moved to, or the track as it ended or is.
+WALKED = f"class string, cluster string, island bigint, n bigint, event struct<{TRACK_EVENT}>, place struct<id:string,name:string>, track struct<{_ENDED}, region array<string>, position_region boolean, target_region boolean>"
+
+
+def walked(observations: DataFrame, policy: FusionPolicy, now: datetime) -> DataFrame:
+    """``WALKED`` rows: each class, cluster and island is walked in the order of its reports."""
+    from .walks import READ, column_walks
+
+    keys, order = ["class", "cluster", "island"], ["observed_at", "source_id", "evidence_id", "statement", "alone", "turn"]
+    known = dealt(observations.filter(F.col("observed_at") <= F.lit(now)), policy)
+    told = known.withColumn("where", F.coalesce(F.col("statement").cast("string"), F.element_at("places", 1)["id"])).withColumn("said", F.to_json("places"))
+    parsed = _parse_datatype_string(WALKED)
+    assert isinstance(parsed, StructType)
+    narrow = told.select(*keys, "statement", "alone", *READ).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return narrow.mapInArrow(column_walks(policy, now, to_arrow_schema(parsed)), parsed)
+
+
+def ended(observations: DataFrame, policy: FusionPolicy, now: datetime) -> DataFrame:
+    """Tracks as they ended or are, with the number of ``steps`` of their paths: for those who need neither path nor evidence."""
+    return walked(observations, policy, now).filter("track is not null").select("track.*")
+
+
+def with_histories(rows: DataFrame) -> DataFrame:
+    """Tracks of ``WALKED`` rows with their paths and evidence, from their events."""
+    e = F.col("event")
+    step = F.struct(e["seq"].alias("seq"), F.when(F.col("place").isNotNull(), F.struct(F.col("place.id").alias("id"), F.col("place.name").alias("name"), e["effective_at"].alias("at"))).alias("step"), e["evidence"].alias("ref"))
+    told = rows.groupBy("class", "cluster", "island", "n").agg(F.first("track", ignorenulls=True).alias("track"), F.array_sort(F.collect_list(F.when(e.isNotNull(), step))).alias("told"))
+    some = lambda name: F.filter(F.transform("told", lambda x: x[name]), lambda x: x.isNotNull())
+    more = ["region", "position_region", "target_region"]
+    names = [f.name for f in _parse_datatype_string(TRACK).fields]
+    return told.select(*(some("step").alias(n) if n == "path" else some("ref").alias(n) if n == "evidence" else F.col("track")[n].alias(n) for n in [*names, *more]))
 
 
 def follow(observations: DataFrame, policy: FusionPolicy, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Tracks (without cells; see ``with_cells``) and their events."""
-    known = observations.filter(F.col("observed_at") <= F.lit(now))
-    order = ["observed_at", "source_id", "evidence_id", "statement", "alone", "turn"]
-    folded = fold_runs(dealt(known, policy), ["class", "cluster", "island"], order, track_fold(policy, now), FOLDED)
-    return folded.filter("track is not null").select("track.*"), folded.filter("event is not null").select("event.*")
+    rows = walked(observations, policy, now)
+    return with_histories(rows), rows.filter("event is not null").select("event.*")
