@@ -185,8 +185,8 @@ def k14_contradicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k09_k13_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tracks.follow(observations(spark, sf_dir), POLICY, NOW)[0]
-    return found.select("track_id", "class", "kind", "count_unknown", F.col("position.id").alias("position"), F.col("target.id").alias("target"), "motion", F.size("path").alias("steps"), "status", micros("first_at").alias("first_us"), micros("last_seen_at").alias("last_us"))
+    found = tracks.ended(observations(spark, sf_dir), POLICY, NOW)
+    return found.select("track_id", "class", "kind", "count_unknown", F.col("position.id").alias("position"), F.col("target.id").alias("target"), "motion", "steps", "status", micros("first_at").alias("first_us"), micros("last_seen_at").alias("last_us"))
 
 
 def k15_k17_track_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
