@@ -203,8 +203,8 @@ def wide_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k09_k13_wide_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks over places that fall into several clusters."""
-    found = tracks.follow(wide_observations(spark, sf_dir), POLICY, NOW)[0]
-    return found.select("track_id", "class", "kind", "count_unknown", F.col("position.id").alias("position"), F.col("target.id").alias("target"), F.size("path").alias("steps"), "status", micros("first_at").alias("first_us"), micros("last_seen_at").alias("last_us"))
+    found = tracks.ended(wide_observations(spark, sf_dir), POLICY, NOW)
+    return found.select("track_id", "class", "kind", "count_unknown", F.col("position.id").alias("position"), F.col("target.id").alias("target"), "steps", "status", micros("first_at").alias("first_us"), micros("last_seen_at").alias("last_us"))
 
 
 def k09_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
