@@ -1,10 +1,11 @@
 """Episodes: a window of observations becomes assessments and their event log.
 
 A pure function of observations, policy and evaluation time. Rows are
-classified by expressions; what ends up in the fold is dealt by (class, place)
-and by the island of time between gaps that no report outlives, and walked in one
+classified by expressions, dealt by (class, place) and by the island of time between
+gaps that no report outlives, and cut into episodes by windows in one
 total order, so any order of the input gives equal rows. Rows are narrow: the
 cells of an assessment are covered when it is finished, from its first report.
+``episode_fold`` is the same row by row, for a bounded window without Spark.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sphere import valid_geometry
 from ..params import CLASS_OF, CLASSES, KINDS, REGION_PREFIX, STANCES, FusionPolicy
-from ..schemas import ASSESSMENT, ASSESSMENT_EVENT, EVIDENCE_REF, GEOMETRY
+from ..schemas import EVIDENCE_REF
 from .footprint import with_footprint, with_problem
-from .runs import fold_runs
 
 
 class Assessed(NamedTuple):
@@ -83,7 +83,6 @@ def skipped_in_order(skipped: DataFrame) -> DataFrame:
 
 #: Order within (class, key). The last four break ties that the policy leaves to input order.
 ORDER = ["observed_at", "source_id", "evidence_id", "stance_rank", "kind_rank", "ttl", "place_order", "aimed"]
-FOLDED = f"assessment struct<{ASSESSMENT.replace('cells struct<resolution:int,cells:array<string>>', f'geometry {GEOMETRY}')}>, event struct<{ASSESSMENT_EVENT}>"
 #: Rows of one place are cut into islands at gaps between buckets of so many seconds.
 BUCKET_S = 6 * 3600
 
@@ -186,14 +185,86 @@ def episode_fold(policy: FusionPolicy, now: datetime):
     return fold
 
 
+#: After all rows of its moment.
+LAST = (1 << 31) - 1
+_KEYS = ("class", "key", "island")
+
+
+def with_episodes(rows: DataFrame) -> DataFrame:
+    """Rows of ``with_islands`` that take part, with the ``episode`` of their class, place and island.
+
+    A source speaks from a threat until its validity ends or its own next row, be that a threat or an all-clear.
+    So what is open before a row is the largest of these ends so far: a threat
+    after it starts an episode, and an all-clear at which it ends takes the last source out. Adds ``n`` (place in
+    order), ``starts``, ``retracts``, ``until_us`` (of a threat), ``stays`` (its source doesn't change that), ``before_us`` (validity
+    of the source's row before) and ``fresh`` (first of its post in the episode). Windows only: nothing is held for a place.
+    """
+    told = rows.filter("stance = 'threat' or stance = 'clear' and not contradicted").withColumn("us", F.unix_micros("observed_at"))
+    numbered = told.withColumn("n", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*ORDER))).withColumn("until_us", F.when(F.col("stance") == "threat", F.col("us") + F.col("ttl").cast("long") * 1_000_000))
+    own, here = Window.partitionBy(*_KEYS, "source_id").orderBy("n"), Window.partitionBy(*_KEYS).orderBy("n")
+    moment = lambda us, n: F.struct(us.alias("us"), n.alias("n"))
+    at = moment(F.col("us"), F.col("n"))
+    heard = numbered.withColumn("next", F.lead(at).over(own)).withColumn("before_us", F.lag("until_us").over(own))
+    ends = F.when(F.col("until_us").isNotNull(), F.least("next", moment(F.col("until_us"), F.lit(LAST))))
+    spoken = heard.withColumn("ends", ends).withColumn("open", F.max("ends").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = spoken.withColumn("starts", (F.col("stance") == "threat") & F.coalesce(F.col("open") < at, F.lit(True))).withColumn("retracts", (F.col("stance") == "clear") & F.coalesce(F.col("open") == at, F.lit(False)))
+    counted = marked.withColumn("episode", F.count_if("starts").over(here.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stays", F.coalesce(F.col("ends.n") == LAST, F.lit(False)))
+    post = Window.partitionBy(*_KEYS, "episode", "source_id", "evidence_id", "stance").orderBy("n")
+    taken = counted.filter("episode > 0 and (stance = 'threat' or retracts)")
+    return taken.withColumn("fresh", (F.col("stance") == "threat") & (F.row_number().over(post) == 1)).drop("next", "ends", "open")
+
+
+def _id(policy: FusionPolicy, evidence_id: Column) -> Column:
+    return F.concat(F.lit(f"{policy.version}/"), "class", F.lit("/"), "key", F.lit("/"), evidence_id)
+
+
+def _valid_until() -> Column:
+    """Of an episode's rows: as the source that was taken out last said, or as those say that were not."""
+    return F.coalesce(F.max(F.when(F.col("retracts"), F.col("before_us"))), F.max(F.when(F.col("stays"), F.col("until_us"))))
+
+
+def _assessments(rows: DataFrame, policy: FusionPolicy, now: datetime) -> DataFrame:
+    """Rows of ``with_episodes`` as assessments, with the geometry of the first of each; what isn't asked for is not gathered."""
+    now_us, threat = F.unix_micros(F.lit(now).cast("timestamp")), F.col("stance") == "threat"
+    first = lambda column: F.first(F.when(F.col("starts"), column), ignorenulls=True)
+    found = rows.groupBy(*_KEYS, "episode").agg(
+        first(F.col("evidence_id")).alias("evidence_id"), first(F.col("place_id")).alias("place_id"), first(F.col("place_name")).alias("place_name"), first(F.col("geometry")).alias("geometry"),
+        first(F.col("observed_at")).alias("valid_from"), F.max(F.when(threat, F.col("aimed"))).alias("aimed"), F.max("retracts").alias("retracted"), _valid_until().alias("until_us"), F.count_if("fresh").cast("int").alias("revision"),
+        F.array_sort(F.collect_set(F.when(threat, F.struct("kind_rank", "kind")))).alias("kinds"), F.collect_set(F.when(F.col("stays") & (F.col("until_us") > now_us), F.col("source_id"))).alias("live"),
+        F.array_sort(F.collect_list(F.when(F.col("fresh"), F.struct("n", "ref")))).alias("told"),
+    )
+    active = F.when(F.col("retracted"), F.array().cast("array<string>")).otherwise(F.array_sort("live"))
+    return found.withColumn("active", active).select(
+        _id(policy, F.col("evidence_id")).alias("assessment_id"), F.lit(policy.version).alias("policy_version"), "class", F.col("kinds.kind").alias("kinds"),
+        F.when(F.col("place_id").isNotNull(), F.struct(F.col("place_id").alias("id"), F.col("place_name").alias("name"))).alias("place"), F.when(F.col("aimed"), "target").otherwise("nearby").alias("proximity"), "geometry",
+        "valid_from", F.timestamp_micros("until_us").alias("valid_until"), F.when(F.col("retracted"), "retracted").when(F.col("until_us") <= now_us, "expired").otherwise("active").alias("status"), "revision",
+        F.when(F.size("active") >= 2, "high").otherwise("moderate").alias("likelihood"), F.size("active").alias("corroboration_count"), F.col("active").alias("active_sources"), F.col("told.ref").alias("evidence"),
+    )
+
+
+def _events(rows: DataFrame, policy: FusionPolicy, now: datetime) -> DataFrame:
+    """Events of rows of ``with_episodes``; an episode's first row tells that it expired."""
+    now_us, whole = F.unix_micros(F.lit(now).cast("timestamp")), Window.partitionBy(*_KEYS, "episode")
+    known = rows.withColumn("seq", F.count_if("fresh").over(whole.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")).withColumn("posts", F.count_if("fresh").over(whole).cast("int"))
+    known = known.withColumn("id", F.first(F.when(F.col("starts"), F.col("evidence_id")), ignorenulls=True).over(whole)).withColumn("retracted", F.max("retracts").over(whole)).withColumn("end_us", F.max(F.when(F.col("stays"), F.col("until_us"))).over(whole))
+    event = lambda seq, kind, at, ref, reason: F.struct(seq.alias("seq"), kind.alias("kind"), at.alias("effective_at"), ref.alias("evidence"), reason.cast("string").alias("reason"))
+    nothing = F.lit(None)
+    told = F.array(
+        F.when(F.col("fresh"), event(F.col("seq"), F.when(F.col("seq") == 1, "issued").otherwise("superseded"), F.col("observed_at"), F.col("ref"), nothing)),
+        F.when(F.col("retracts"), event(F.col("posts") + 1, F.lit("retracted"), F.col("observed_at"), F.col("ref"), F.lit("source_all_clear"))),
+        F.when(F.col("starts") & ~F.col("retracted") & (F.col("end_us") <= now_us), event(F.col("posts") + 1, F.lit("expired"), F.timestamp_micros("end_us"), F.when(F.lit(False), F.col("ref")), nothing)),
+    )
+    return known.select(_id(policy, F.col("id")).alias("assessment_id"), F.explode(F.array_compact(told)).alias("e")).select("assessment_id", "e.*")
+
+
 def assess(observations: DataFrame, policy: FusionPolicy, now: datetime) -> Assessed:
     """Assessments, events and skipped rows. Sorted output: ``assessments_sorted`` and ``events_sorted``."""
     rows, skipped = usable(observations, policy, now)
-    folded = fold_runs(with_islands(rows.filter("stance <> 'neutralized'")), ["class", "key", "island"], ORDER, episode_fold(policy, now), FOLDED)
-    found = with_footprint(folded.filter("assessment is not null").select("assessment.*"), policy)
+    told = with_episodes(with_islands(rows.filter("stance <> 'neutralized'")))
+    found = with_footprint(_assessments(told, policy, now), policy)
     covered = found.withColumn("cells", F.struct(F.lit(policy.resolution).alias("resolution"), F.col("footprint.cells").alias("cells")))
     columns = ["cells" if n == "geometry" else n for n in found.columns if n != "footprint"]
-    return Assessed(covered.select(*columns), folded.filter("event is not null").select("event.*"), skipped)
+    return Assessed(covered.select(*columns), _events(told, policy, now), skipped)
 
 
 def assessments_sorted(df: DataFrame) -> DataFrame:
