@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import h3bits, h3cells
 from ..operators import episodes, lookups, regions
+from ..operators.shared import written
 from . import fusion_queries as fusion
 from .grid_queries import _AT_6, _cells, _up
 from .views import NOW, micros, observations
@@ -32,7 +33,7 @@ def j01_positions_in_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = c.select("c_custkey", h3cells.cell_of((22 + 0.7 * n).cast("double"), (44 + 0.3 * n + near).cast("double"), F.lit(8)).alias("cell"))
     assessed = episodes.assess(observations(spark, sf_dir), fusion.POLICY, NOW).assessments
     # a place's cover is compacted once, not once an assessment
-    places = assessed.select("class", F.col("place.id").alias("place_id"), "status", F.col("cells.cells").alias("cells"))
+    places = written(assessed.select("class", F.col("place.id").alias("place_id"), "status", F.col("cells.cells").alias("cells")), "places")
     fine = places.dropDuplicates(["place_id"]).select("place_id", F.explode("cells").alias("text")).select("place_id", h3bits.parse(F.col("text")).alias("cell"))
     covers = regions.compacted(fine, "place_id", 2).withColumnRenamed("cell", "cover_cell")
     counts = places.groupBy("place_id", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "active").alias("n_active"))
@@ -41,7 +42,8 @@ def j01_positions_in_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j02_valid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many assessments of its class were valid when a report was made, and the first of them by id."""
-    assessed = fusion.f10_f17_assessments(spark, sf_dir).select("class", "assessment_id", "from_us", "until_us")
+    # read twice, for the levels and for the join
+    assessed = written(fusion.f10_f17_assessments(spark, sf_dir).select("class", "assessment_id", "from_us", "until_us"), "assessments")
     found = lookups.at_times(_reports(spark, sf_dir), assessed, "at_us", "from_us", "until_us", ("class",))
     return found.groupBy("evidence_id", "class", "stance").agg(F.count(F.lit(1)).alias("n_valid"), F.min("assessment_id").alias("first_id"))
 
